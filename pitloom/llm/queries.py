@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import debruijn, decontaminate, html, langid, packing, pii, simhash, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def _fold(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page, taken as a response."""
+    return warc.derivatives(warc.responses_of_pages(_read(spark, sf_dir, "pages")), keep=("page_id",))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned from the fold that isn't held out."""
     docs = _read(spark, sf_dir, "documents")
@@ -35,7 +40,96 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(marked, model, keep=("doc_id", "held_out"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without passages of 20 words that occur earlier."""
+    kept = debruijn.remove_repeats(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms that reveal it."""
+    found = pii.all_spans(_read(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    everything = F.concat("spans", F.coalesce("terms", F.expr("array()").cast("array<struct<kind:string,start:int,end:int>>")))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("spans").cast("binary"), 256).alias("base_sha256"), joined(everything).alias("spans"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the group of near-duplicates that it belongs to."""
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 512 to 4096 tokens."""
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector with all others."""
+    return topk.search(_read(spark, sf_dir, "embeddings"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain passages of the benchmark, with the best overlap for each of its items."""
+    return decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_pii": op5_pii,
+    "op6_simhash": op6_simhash,
+    "op7_packing": op7_packing,
+    "op8_topk": op8_topk,
+    "op9_main_text": op9_main_text,
+    "op10_decontamination": op10_decontamination,
+}
+
+#: DuckDB SQL for the operators that SQL can express on whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), starts AS (
+            SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM words WHERE len(w) >= 20
+        ), windows AS (
+            SELECT doc_id, s, w[s:s + 19] AS seq FROM starts
+        ), repeated AS (
+            SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY seq ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, s + k AS i FROM repeated, (SELECT unnest(range(0, 20)) AS k)
+        ), by_doc AS (
+            SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, w, coalesce(len(gone), 0) AS n_removed,
+                   CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS k
+            FROM words LEFT JOIN by_doc USING (doc_id)
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+    """,
+    "op8_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
 }
