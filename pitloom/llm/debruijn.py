@@ -36,6 +36,15 @@ def _first_of_equals(keys: list[np.ndarray], ids: np.ndarray, starts: np.ndarray
     return out
 
 
+def _runs(at: np.ndarray, ids: np.ndarray, starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows `at`, those where a run begins that continues from row to row, and how many windows it has."""
+    if not len(at):
+        return at, count[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (ids[at[1:]] != ids[at[:-1]]) | (starts[at[1:]] != starts[at[:-1]] + count[at[:-1]])
+    return at[new], np.add.reduceat(count[at], np.flatnonzero(new))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -44,8 +53,8 @@ def edges(docs: DataFrame, *, window: int = 20, anchor: int = 6, id_col: str = "
     """anchor, label, id, start (of its first window, in words), n (windows), known.
 
     Edges that occur earlier in the same batch of rows are known to be repeats; they needn't meet
-    the others, so they carry a key that spreads them instead of their anchor. This bounds a hot anchor's rows
-    with one label by the number of batches.
+    the others, so that runs of them are merged and carry a key that spreads them instead of their anchor. This
+    bounds a hot anchor's rows with one label by the number of batches.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +86,12 @@ def edges(docs: DataFrame, *, window: int = 20, anchor: int = 6, id_col: str = "
                 continue
             key, label, ids, begin, count = (np.concatenate(x) for x in zip(*parts, strict=True))
             known = ~_first_of_equals([key, label], ids, begin)
-            key = np.where(known, mixed(label ^ mixed(ids.view(np.uint64) + begin.astype(np.uint64))), key)
-            yield pa.RecordBatch.from_arrays([_signed(key), _signed(label), pa.array(ids), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(known)], names=["anchor", "label", "id", "start", "n", "known"])
+            run, total = _runs(np.flatnonzero(known), ids, begin, count)
+            key[run] = mixed(label[run] ^ mixed(ids[run].view(np.uint64) + begin[run].astype(np.uint64)))
+            count[run] = total
+            rest = ~known
+            rest[run] = True
+            yield pa.RecordBatch.from_arrays([_signed(key[rest]), _signed(label[rest]), pa.array(ids[rest]), pa.array(begin[rest].astype(np.int32)), pa.array(count[rest].astype(np.int32)), pa.array(known[rest])], names=["anchor", "label", "id", "start", "n", "known"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     return rows.mapInArrow(of, "anchor long, label long, id long, start int, n int, known boolean")
@@ -108,7 +121,7 @@ def passages(repeated: DataFrame) -> DataFrame:
 
 
 def _branching_windows(docs: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
-    """id, start, n = 1 of windows of branching edges that occur earlier."""
+    """id, start, n: windows of branching edges that occur earlier."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, other = Hasher(13), Hasher(14)
@@ -131,14 +144,19 @@ def _branching_windows(docs: DataFrame, repeated: DataFrame, window: int) -> Dat
                 continue
             key, check, ids, start = (np.concatenate(x) for x in zip(*parts, strict=True))
             known = ~_first_of_equals([key, check], ids, start)
-            key = np.where(known, mixed(key ^ mixed(ids.view(np.uint64) + start.astype(np.uint64))), key)
-            yield pa.RecordBatch.from_arrays([_signed(key), pa.array((check >> np.uint64(33)).astype(np.int32)), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(known)], names=["key", "check", "id", "start", "known"])
+            count = np.ones(len(key), np.int64)
+            run, total = _runs(np.flatnonzero(known), ids, start, count)
+            key[run] = mixed(key[run] ^ mixed(ids[run].view(np.uint64) + start[run].astype(np.uint64)))
+            count[run] = total
+            rest = ~known
+            rest[run] = True
+            yield pa.RecordBatch.from_arrays([_signed(key[rest]), pa.array((check[rest] >> np.uint64(33)).astype(np.int32)), pa.array(ids[rest]), pa.array(start[rest].astype(np.int32)), pa.array(count[rest].astype(np.int32)), pa.array(known[rest])], names=["key", "check", "id", "start", "n", "known"])
 
     spans = repeated.where("branching").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    found = docs.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(of, "key long, check int, id long, start int, known boolean")
+    found = docs.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(of, "key long, check int, id long, start int, n int, known boolean")
     # known repeats have keys of their own, so that a window's rows are one for each batch at most
     first = F.min(F.struct("id", "start")).over(Window.partitionBy("key", "check"))
-    return found.withColumn("first", first).where(F.col("known") | (F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start"))).select("id", "start", F.lit(1).cast("bigint").alias("n"))
+    return found.withColumn("first", first).where(F.col("known") | (F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start"))).select("id", "start", F.col("n").cast("bigint").alias("n"))
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
