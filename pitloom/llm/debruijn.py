@@ -22,6 +22,10 @@ from .scratch import materialize
 from .tokens import WHITE, Hasher, byte_classes, least, mixed, slices, words_of
 
 
+#: So many edges or windows are compared at once inside a task.
+_TOGETHER = 500_000
+
+
 def _first_of_equals(keys: list[np.ndarray], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each row whether it is the earliest of those with the same keys (by id, then start)."""
     order = np.lexsort((starts, ids, *keys))
@@ -57,41 +61,44 @@ def edges(docs: DataFrame, *, window: int = 20, anchor: int = 6, id_col: str = "
     bounds a hot anchor's rows with one label by the number of batches.
     """
 
+    def merged(parts: list[tuple]) -> pa.RecordBatch:
+        key, label, ids, begin, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        known = ~_first_of_equals([key, label], ids, begin)
+        run, total = _runs(np.flatnonzero(known), ids, begin, count)
+        key[run] = mixed(label[run] ^ mixed(ids[run].view(np.uint64) + begin[run].astype(np.uint64)))
+        count[run] = total
+        rest = ~known
+        rest[run] = True
+        return pa.RecordBatch.from_arrays([_signed(key[rest]), _signed(label[rest]), pa.array(ids[rest]), pa.array(begin[rest].astype(np.int32)), pa.array(count[rest].astype(np.int32)), pa.array(known[rest])], names=["anchor", "label", "id", "start", "n", "known"])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kmers, labels = Hasher(11), Hasher(12)
-        for batch in batches:
-            parts = []
-            for part in slices(batch, "text"):
-                w = words_of(part.column("text"), byte_classes(WHITE))
-                n = len(w.begin)
-                if n < window:
-                    continue
-                row = w.row()
-                starts = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
-                if not len(starts):
-                    continue
-                hashes = kmers.words(w)
-                at = np.arange(n - anchor + 1)
-                kmer = kmers.stretch(kmers.sums(hashes), at, at + anchor)
-                place = least(kmer, window - anchor + 1)[1][starts]
-                new = np.ones(len(starts), bool)
-                new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
-                run = np.flatnonzero(new)
-                count = np.diff(np.append(run, len(starts)))
-                begin = starts[run]
-                label = labels.stretch(labels.sums(mixed(hashes)), begin, begin + count + window - 1)
-                ids = part.column("id").to_numpy(zero_copy_only=False)[row[begin]]
-                parts.append((kmer[place[run]], label, ids.astype(np.int64), begin - w.first[row[begin]], count))
-            if not parts:
+        kmers, labels, parts = Hasher(11), Hasher(12), []
+        for part in (p for b in batches for p in slices(b, "text")):
+            w = words_of(part.column("text"), byte_classes(WHITE))
+            n = len(w.begin)
+            if n < window:
                 continue
-            key, label, ids, begin, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-            known = ~_first_of_equals([key, label], ids, begin)
-            run, total = _runs(np.flatnonzero(known), ids, begin, count)
-            key[run] = mixed(label[run] ^ mixed(ids[run].view(np.uint64) + begin[run].astype(np.uint64)))
-            count[run] = total
-            rest = ~known
-            rest[run] = True
-            yield pa.RecordBatch.from_arrays([_signed(key[rest]), _signed(label[rest]), pa.array(ids[rest]), pa.array(begin[rest].astype(np.int32)), pa.array(count[rest].astype(np.int32)), pa.array(known[rest])], names=["anchor", "label", "id", "start", "n", "known"])
+            row = w.row()
+            starts = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
+            if not len(starts):
+                continue
+            hashes = kmers.words(w)
+            at = np.arange(n - anchor + 1)
+            kmer = kmers.stretch(kmers.sums(hashes), at, at + anchor)
+            place = least(kmer, window - anchor + 1)[1][starts]
+            new = np.ones(len(starts), bool)
+            new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
+            run = np.flatnonzero(new)
+            count = np.diff(np.append(run, len(starts)))
+            begin = starts[run]
+            label = labels.stretch(labels.sums(mixed(hashes)), begin, begin + count + window - 1)
+            ids = part.column("id").to_numpy(zero_copy_only=False)[row[begin]]
+            parts.append((kmer[place[run]], label, ids.astype(np.int64), begin - w.first[row[begin]], count))
+            if sum(len(x[0]) for x in parts) > _TOGETHER:
+                yield merged(parts)
+        if parts:
+            yield merged(parts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     return rows.mapInArrow(of, "anchor long, label long, id long, start int, n int, known boolean")
@@ -123,34 +130,37 @@ def passages(repeated: DataFrame) -> DataFrame:
 def _branching_windows(docs: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
     """id, start, n: windows of branching edges that occur earlier."""
 
+    def merged(parts: list[tuple]) -> pa.RecordBatch:
+        key, check, ids, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        known = ~_first_of_equals([key, check], ids, start)
+        count = np.ones(len(key), np.int64)
+        run, total = _runs(np.flatnonzero(known), ids, start, count)
+        key[run] = mixed(key[run] ^ mixed(ids[run].view(np.uint64) + start[run].astype(np.uint64)))
+        count[run] = total
+        rest = ~known
+        rest[run] = True
+        return pa.RecordBatch.from_arrays([_signed(key[rest]), pa.array((check[rest] >> np.uint64(33)).astype(np.int32)), pa.array(ids[rest]), pa.array(start[rest].astype(np.int32)), pa.array(count[rest].astype(np.int32)), pa.array(known[rest])], names=["key", "check", "id", "start", "n", "known"])
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, other = Hasher(13), Hasher(14)
-        for batch in batches:
-            parts = []
-            for part in slices(batch.filter(batch.column("spans").is_valid()), "text"):
-                w = words_of(part.column("text"), byte_classes(WHITE))
-                spans = part.column("spans")
-                flat = spans.flatten()
-                begin, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n"))
-                row = np.repeat(np.arange(len(spans)), np.asarray(spans.value_lengths()))
-                whose = np.repeat(row, n)
-                start = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-                place = w.first[whose] + start
-                fits = place + window <= w.first[whose + 1]
-                whose, start, place = whose[fits], start[fits], place[fits]
-                hashes = hasher.words(w)
-                parts.append((hasher.stretch(hasher.sums(hashes), place, place + window), other.stretch(other.sums(mixed(hashes)), place, place + window), part.column("id").to_numpy(zero_copy_only=False)[whose].astype(np.int64), start))
-            if not parts:
-                continue
-            key, check, ids, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            known = ~_first_of_equals([key, check], ids, start)
-            count = np.ones(len(key), np.int64)
-            run, total = _runs(np.flatnonzero(known), ids, start, count)
-            key[run] = mixed(key[run] ^ mixed(ids[run].view(np.uint64) + start[run].astype(np.uint64)))
-            count[run] = total
-            rest = ~known
-            rest[run] = True
-            yield pa.RecordBatch.from_arrays([_signed(key[rest]), pa.array((check[rest] >> np.uint64(33)).astype(np.int32)), pa.array(ids[rest]), pa.array(start[rest].astype(np.int32)), pa.array(count[rest].astype(np.int32)), pa.array(known[rest])], names=["key", "check", "id", "start", "n", "known"])
+        hasher, other, parts = Hasher(13), Hasher(14), []
+        for part in (p for b in batches for p in slices(b.filter(b.column("spans").is_valid()), "text")):
+            w = words_of(part.column("text"), byte_classes(WHITE))
+            spans = part.column("spans")
+            flat = spans.flatten()
+            begin, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n"))
+            row = np.repeat(np.arange(len(spans)), np.asarray(spans.value_lengths()))
+            whose = np.repeat(row, n)
+            start = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place = w.first[whose] + start
+            fits = place + window <= w.first[whose + 1]
+            whose, start, place = whose[fits], start[fits], place[fits]
+            hashes = hasher.words(w)
+            parts.append((hasher.stretch(hasher.sums(hashes), place, place + window), other.stretch(other.sums(mixed(hashes)), place, place + window), part.column("id").to_numpy(zero_copy_only=False)[whose].astype(np.int64), start))
+            if sum(len(x[0]) for x in parts) > _TOGETHER:
+                yield merged(parts)
+        if parts:
+            yield merged(parts)
 
     spans = repeated.where("branching").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     found = docs.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(of, "key long, check int, id long, start int, n int, known boolean")

@@ -109,7 +109,7 @@ class Hasher:
         return mixed((sums[end] - sums[begin]) * self._word_powers.upto(len(sums))[1][begin] + (end - begin).astype(np.uint64))
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with about `most` bytes of text together, one row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0
