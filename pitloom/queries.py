@@ -23,6 +23,7 @@ from .plans.labels import LABELS, label_panel
 from .research.report import BOARDS, leaderboard
 from .sources.market import FrameSource
 from .sources.proxy import LEAST, RULES, WINDOW, Proxy
+from .sources.stages import fingerprint, staged
 from .sources.store import merge_by_key
 
 #: Factors and labels that the evaluation queries compare.
@@ -50,23 +51,27 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """The lazy tables of one input folder. Those that a query reads several times are persisted (Spark spills and recomputes them),
-    so that queries of one session share them."""
+    """The tables of one input folder: lazy, but for the stages that others build on, which are written once as Parquet
+    (as the command line does between its stages) and shared by the queries of an application."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir, self.raw = spark, sf_dir, Proxy(spark, sf_dir)
+        self.spark, self.raw = spark, Proxy(spark, sf_dir)
+        self._input = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in ("supplier", "nation", "region", "lineitem", "orders")])
+
+    def _stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return staged(self.spark, (name, self._input), build)
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return lake.calendar_table(self.raw.trade_cal())
+        return self._stage("calendar", lambda: lake.calendar_table(self.raw.trade_cal()))
 
     @cached_property
     def prices(self) -> DataFrame:
-        return lake.adjusted_price_panel(self.raw.daily(), self.raw.adj_factor())
+        return self._stage("prices", lambda: lake.adjusted_price_panel(self.raw.daily(), self.raw.adj_factor()))
 
     @cached_property
     def universe(self) -> DataFrame:
-        return lake.monthly_universe(self.calendar, self.raw.stock_basic(), self.prices, RULES, check=False).persist()
+        return self._stage("universe", lambda: lake.monthly_universe(self.calendar, self.raw.stock_basic(), self.prices, RULES, check=False))
 
     def statement(self, prefix: str) -> DataFrame:
         spec = lake.STATEMENTS[prefix]
@@ -74,32 +79,36 @@ class Tables:
 
     @cached_property
     def snapshot(self) -> DataFrame:
+        return self._stage("snapshot", self._snapshot)
+
+    def _snapshot(self) -> DataFrame:
         industry = self.raw.stock_basic().select("ts_code", "industry")
         whole = lake.monthly_snapshot_base(self.universe, self.prices, self.raw.daily_basic(), {p: self.statement(p) for p in lake.STATEMENTS})
-        return whole.join(industry, "ts_code", "left").persist()
+        return whole.join(industry, "ts_code", "left")
 
     def raws(self, names) -> DataFrame:
         return raw_factors(self.snapshot, self.prices, FACTORS.list(names=names), window=WINDOW, least=LEAST)
 
     @cached_property
     def labels(self) -> DataFrame:
-        return label_panel(self.universe, self.prices)
+        return self._stage("labels", lambda: label_panel(self.universe, self.prices))
 
     @cached_property
     def evaluated(self) -> DataFrame:
-        return self.raws(EVALUATED).select("rebalance_date", "ts_code", "is_eligible", *(F.col(f"factor_{n}_raw").alias(f"factor_{n}") for n in EVALUATED))
+        chosen = [F.col(f"factor_{n}_raw").alias(f"factor_{n}") for n in EVALUATED]
+        return self._stage("evaluated", lambda: self.raws(EVALUATED).select("rebalance_date", "ts_code", "is_eligible", *chosen))
 
     @cached_property
     def aligned(self) -> DataFrame:
-        return ev.aligned_panel(self.evaluated, self.labels, SETTINGS).persist()
+        return ev.aligned_panel(self.evaluated, self.labels, SETTINGS)
 
     @cached_property
     def ic(self) -> DataFrame:
-        return ev.rank_ic_timeseries(self.aligned, SETTINGS).persist()
+        return self._stage("rank_ic", lambda: ev.rank_ic_timeseries(self.aligned, SETTINGS))
 
     @cached_property
     def returns(self) -> DataFrame:
-        return ev.quantile_returns(self.aligned, SETTINGS).persist()
+        return self._stage("returns", lambda: ev.quantile_returns(self.aligned, SETTINGS))
 
     @cached_property
     def spreads(self) -> DataFrame:
@@ -242,8 +251,8 @@ def _features(t: Tables) -> DataFrame:
 
 
 _PLANS: dict[str, Callable[[Tables], DataFrame]] = {
-    "calendar_table": lambda t: t.calendar,
-    "adjusted_price_panel": lambda t: t.prices,
+    "calendar_table": lambda t: lake.calendar_table(t.raw.trade_cal()),
+    "adjusted_price_panel": lambda t: lake.adjusted_price_panel(t.raw.daily(), t.raw.adj_factor()),
     "missing_factor_months": lambda t: lake.missing_factor_months(t.raw.daily(), t.raw.adj_factor()),
     "tradable_date_map": _dates,
     "asof_join": _asof,
