@@ -106,7 +106,7 @@ class UnigramModel:
             scores = self.log_likelihoods(flat)
         owner = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, runs), np.int64, len(runs)))
         out = np.zeros((len(tokens), len(self.langs) + 1))
-        np.add.at(out, owner, np.column_stack([scores.reshape(len(flat), -1), np.fromiter(map(len, flat), float, len(flat))]))
+        np.add.at(out, owner, np.column_stack([scores.reshape(len(flat), len(self.langs)), np.fromiter(map(len, flat), float, len(flat))]))
         return out
 
     def expected_counts(self, lattices: list[Lattices], weights: np.ndarray) -> np.ndarray:
