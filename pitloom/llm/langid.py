@@ -41,7 +41,10 @@ def read_pieces(path: str, longest: int = 8) -> list[str]:
 def stretches(token: str) -> list[str]:
     """The lattices' inputs for one white-space token: its runs of letters, lower-cased."""
     out = []
-    for run in _LETTERS.findall(token.lower()):
+    token = token.lower()
+    if not token.isalpha():  # numerals such as ² are word characters, but no letters
+        token = "".join(c if c.isalpha() else " " for c in token)
+    for run in _LETTERS.findall(token):
         out += [(_START if at == 0 else "") + run[at : at + _STRETCH] for at in range(0, len(run), _STRETCH)]
     return out
 

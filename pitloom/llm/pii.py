@@ -41,6 +41,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """At most 255; leading zeros, however many, count for nothing."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches: from each @ leftwards over the local part, no further than the match before."""
     done, at = 0, text.find("@")
@@ -62,7 +68,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     out = [("email", a, b) for a, b in emails(text)]
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(_byte(p) for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _NOT_DIGIT.sub("", m[0])

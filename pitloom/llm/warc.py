@@ -22,6 +22,7 @@ from .words import text_rows
 VERSION = "WARC/1.0"
 _HREF = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.IGNORECASE)
+_LENGTH = re.compile(r"[0-9]{1,18}")
 RESPONSE = "record_id string, target_uri string, warc_date string, warc_headers string, http_headers string, payload binary, block_digest string, payload_digest string, complete boolean"
 DERIVED = "warc_type string, record_id string, refers_to string, refers_to_target_uri string, refers_to_date string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, block string"
 _DERIVED_NAMES = [c.split()[0] for c in DERIVED.split(", ")]
@@ -144,7 +145,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         continue
                     lines = head.decode("utf-8", "replace")
                     by = {n.lower(): v for n, v in fields(lines)}
-                    length = int(by["content-length"]) if by.get("content-length", "").isdigit() else len(block)
+                    length = int(by["content-length"]) if _LENGTH.fullmatch(by.get("content-length", "")) else len(block)
                     whole, block = len(block) >= length, block[:length]
                     http = None
                     if by.get("warc-type") == "response":

@@ -108,6 +108,7 @@ def test_base_patterns_against_plain_regexes():
         t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
         want = [(k, m.start(), m.end()) for k, p, ok in BASE for m in p.finditer(t) if ok(m[0])]
         assert pii.base_spans(t) == want, t
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] and pii.base_spans("9" * 5000 + ".1.1.1") == []
     assert pii.base_spans("a" * 300_000 + "@") == [] and pii.base_spans("1" * 300_000) == []
 
 
@@ -184,6 +185,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert bytes(back[text.record_id].payload) == text.block.encode() and back[text.record_id].block_digest == text.block_digest
 
 
+def test_lengths_that_are_no_numbers(spark, tmp_path):
+    for k, n in enumerate(["²", "9" * 5000, "-1", "x"]):
+        (tmp_path / f"{k}.warc").write_bytes(f"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: {n}\r\n\r\nbody".encode())
+    assert [(bytes(r.payload), r.complete) for r in warc.read(spark, str(tmp_path)).collect()] == [(b"body", True)] * 4
+
+
 def test_masks_survive_any_two_substitutions():
     for a in range(13):
         for b in range(a):
@@ -207,6 +214,7 @@ def test_decontamination_both_ways(spark):
 
 def test_language_model_sums_all_segmentations():
     model = langid.UnigramModel(["x"], {"▁a": 0, "b": 1, "ab": 2, "▁ab": 3}, np.array([[0.3], [0.2], [0.1], [0.4], [0.0]]))
+    assert langid.stretches("² ½ Ⅷ 12") == [] and langid.stretches("Ab²c") == ["▁ab", "▁c"]
     got = model.log_likelihoods(["▁ab"])[0, 0]
     assert got == pytest.approx(math.log(0.3 * 0.2 + 0.4))
 
