@@ -63,8 +63,9 @@ def links(distinct: DataFrame, *, distance: int = 2) -> DataFrame:
     """a, b (a != b): fingerprints that differ in at most `distance` bits (an even number), linked through the least
     fingerprint around each variant; two that are linked only through others have a path. Input: distinct fingerprints."""
     masks = F.array(*(F.lit(m - 2**64 if m >= 2**63 else m).cast("long") for m in ball(distance // 2)))
-    # dealt anew, as few small partitions would become large ones here
-    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
+    # dealt anew, as few small partitions would become large ones here; by a hash, as Spark leaves out a repartition
+    # by a column that rows are already dealt by, and then merges the small partitions
+    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fingerprint"))
     variants = dealt.select("fingerprint", F.explode(masks).alias("mask")).select(F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("variant"), "fingerprint")
     # those around one variant are within the distance of each other: at most as many as the ball has masks
     met = variants.groupBy("variant").agg(F.collect_list("fingerprint").alias("around")).where(F.size("around") > 1)
