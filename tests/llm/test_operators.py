@@ -82,11 +82,6 @@ def test_simhash_against_brute_force(docs, texts):
     assert got == {i: (f"{prints[i]:016x}", find(i)) for i in prints}
 
 
-def test_variants_are_dealt_anew(spark):
-    distinct = spark.range(100).selectExpr("id as fingerprint", "id").groupBy("fingerprint").agg(F.min("id").alias("least")).select("fingerprint")
-    assert "REPARTITION_BY_NUM" in simhash.links(distinct)._jdf.queryExecution().executedPlan().toString()
-
-
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.component for r in components.component_labels(spark.createDataFrame(edges, "a long, b long")).collect()}
