@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitloom.llm import decontaminate, langid, packing, pii, simhash
+from pitloom.llm import decontaminate, langid, minhash, packing, pii
 from pitloom.llm.scratch import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,9 +19,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates, once. Null ids can't be told apart and stay."""
-    found = simhash.near_duplicates(docs.where("doc_id is not null"))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    """The document with the smallest id of each group of near-duplicates, once: texts are linked if their shingles of five words
+    have a Jaccard similarity of 0.8 or more. Null ids can't be told apart and stay."""
+    found = minhash.near_duplicates(docs.where("doc_id is not null"), size=5, similarity=0.8)
+    first = found.where("doc_id = component_id").select("doc_id")
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 

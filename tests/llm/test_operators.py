@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pitloom.llm import components, debruijn, decontaminate, html, langid, packing, pii, queries, simhash, topk, toxicity, warc
+from pitloom.llm import components, debruijn, decontaminate, html, langid, minhash, packing, pii, queries, simhash, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -257,3 +257,28 @@ def test_pipeline_against_its_parts(spark):
     first = {r.doc_id for r in simhash.near_duplicates(docs.where(F.col("doc_id").isin(list(letters)))).where("doc_id = component_id").collect()}
     dirty = {r.doc_id for r in decontaminate.overlaps(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert got == (letters & first) - dirty and dirty
+
+
+@pytest.mark.parametrize("options", [{}, {"dense": 0.0, "rounds": 3}])
+def test_near_duplicate_stage_against_brute_force(spark, options):
+    """Texts with edited words are near-duplicates by their shingles, however far apart their fingerprints are."""
+    rng = random.Random(17)
+    pool = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(60, 200))) for _ in range(25)]
+    for _ in range(90):
+        t = rng.choice(texts[:12]).split()
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = "changed"
+        texts.append("  ".join(t).upper() if rng.random() < 0.3 else " ".join(t))
+    texts += [texts[0], "", None, "one two", "One  two", "one three"]
+    sets = [minhash.shingles((t or "").lower().encode().split(), 5) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if minhash.jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((want[i], want[j]))
+                want = [low if c == high else c for c in want]
+    docs = docs_of(spark, texts)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, **options).collect()} == dict(enumerate(want))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == set(want) and len(kept) < len({r.component_id for r in simhash.near_duplicates(docs).collect()})
