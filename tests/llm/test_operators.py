@@ -282,3 +282,13 @@ def test_near_duplicate_stage_against_brute_force(spark, options):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, **options).collect()} == dict(enumerate(want))
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == set(want) and len(kept) < len({r.component_id for r in simhash.near_duplicates(docs).collect()})
+
+
+def test_token_counts_are_of_whole_texts(spark):
+    """White space counts as the tokenizer has it, wherever texts are cut for the cache."""
+    rng = random.Random(19)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\xa0", "　", "​", "word", "it's", "'ll", "12", "é", "日本", "...", "-", "\x85"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["def f(x):\n    return x\n\n\n", "a  b", None, ""]
+    encode = packing.read_encoding(packing.DEFAULT_VOCABULARY).encode_ordinary
+    got = {r.doc_id: r.n_tokens for r in packing.count_tokens(docs_of(spark, texts)).collect()}
+    assert got == {i: len(encode(t or "")) for i, t in enumerate(texts)}
