@@ -42,9 +42,12 @@ def seed_hashes(words: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarr
 
 
 def masks_for(n: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(salt, mask) for an item of n tokens; one too short for the masks has the mask of all its tokens."""
-    fit = [(k + 1, m) for k, m in enumerate(MASKS) if m[-1] < n]
-    return fit if n > max(m[-1] for m in MASKS) else [*fit, (1000 + n, tuple(range(n)))]
+    """(salt, mask) for an item of n tokens. Below WINDOW, the run of tokens that is left between any substitutions SIMILARITY permits."""
+    if n >= WINDOW:
+        return [(k + 1, m) for k, m in enumerate(MASKS)]
+    other = int(n * (1 - SIMILARITY) + 1e-9)
+    run = -(-(n - other) // (other + 1))
+    return [(1000 + run, tuple(range(run)))]
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -177,7 +180,7 @@ def _joined_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                     words, first = _tokenised(lowered(part, "text"), hasher)
                     for k, i in enumerate(part.column("id").to_pylist()):
                         own = words[first[k] : first[k + 1]]
-                        masks = masks_for(len(own)) if not all_masks else [*((s + 1, m) for s, m in enumerate(MASKS)), *((1000 + n, tuple(range(n))) for n in range(SHORTEST, max(m[-1] for m in MASKS) + 1))]
+                        masks = masks_for(len(own)) if not all_masks else sorted({x for n in range(SHORTEST, WINDOW + 1) for x in masks_for(n)})
                         if len(own) < SHORTEST:
                             continue
                         for salt, mask in masks:

@@ -292,3 +292,15 @@ def test_token_counts_are_of_whole_texts(spark):
     encode = packing.read_encoding(packing.DEFAULT_VOCABULARY).encode_ordinary
     got = {r.doc_id: r.n_tokens for r in packing.count_tokens(docs_of(spark, texts)).collect()}
     assert got == {i: len(encode(t or "")) for i, t in enumerate(texts)}
+
+
+def test_short_items_survive_all_permitted_substitutions():
+    for n in range(5, 14):
+        item = np.arange(1, n + 1).astype(np.uint64)
+        seeds = decontaminate.Seeds.of(np.array([7]), [item])
+        for a in range(n):
+            for b in range(n) if n >= 10 else [a]:
+                doc = np.concatenate([np.full(3, 99), item, np.full(3, 98)]).astype(np.uint64)
+                doc[[3 + a, 3 + b]] = 97
+                met = {(at - place) for salt, m in seeds.masks() for at, _, place in zip(*seeds.hits(decontaminate.seed_hashes(doc, m, salt), seeds.filter()), strict=True)}
+                assert 3 in met and decontaminate.best_overlap(doc, item, 3), (n, a, b)
