@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_labels
+from .scratch import materialize
 
 
 def fingerprint_words(words: list[bytes], size: int = 3, seed: int = 42) -> int:
@@ -30,6 +31,11 @@ def fingerprint_words(words: list[bytes], size: int = 3, seed: int = 42) -> int:
     begin = end - length
     of = xxhash.xxh64_intdigest
     hashes = np.array([of(joined[a:b], seed) for a, b in zip(begin[: len(words) - size + 1].tolist(), (end[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return bits_of(hashes)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; 0 without any."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # a long text's bits a part at a time
         ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -81,8 +87,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null component_id. An empty table gives an empty one. Other columns are ignored.
     """
     prints = fingerprints(docs, id_col=id_col, text_col=text_col, size=size)
-    from .scratch import materialize
-
     prints = materialize(prints)
     distinct = prints.groupBy("fingerprint").agg(F.min("id").alias("least"))
     labels = component_labels(links(distinct.select("fingerprint"), distance=distance))
