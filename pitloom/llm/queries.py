@@ -24,19 +24,19 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document; learned from the fold that isn't held out."""
+    """Language of every document; learned from the fold that isn't held out. Nothing is learned from a null id, held_out is false there."""
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit(docs.where(_fold(4) != 2).select("doc_id", "text", "lang"))
-    marked = docs.select("doc_id", (_fold(4) == 2).alias("held_out"), "text")
+    marked = docs.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "text")
     return langid.identify(marked, model, keep=("doc_id", "held_out"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document; learned from the labelled rows of the fold that isn't held out."""
+    """Toxicity of every document; learned from the labelled rows of the fold that isn't held out. Nothing is learned from a null id, held_out is false there."""
     docs = _read(spark, sf_dir, "documents")
     labels = toxicity.sample_labels(_read(spark, sf_dir, "labels").where(_fold(5) != 0))
     model = toxicity.fit(docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id"))
-    marked = docs.select("doc_id", (_fold(5) == 0).alias("held_out"), "text")
+    marked = docs.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "text")
     return toxicity.score(marked, model, keep=("doc_id", "held_out"))
 
 

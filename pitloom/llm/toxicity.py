@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (hashed into rows of one embedding table) and of itself,
-so that unseen inflections and misspellings share vectors with seen words. A text is cut into spans
+so that unseen inflections and misspellings share vectors with seen words. A text's words, as they stand, form overlapping spans
 of a few words; a span's embeddings are averaged and pass a linear softmax over {clean, toxic}. A
 text scores as its most toxic span, so that one insult isn't thinned out by a long text; the spans
 of a labelled text compete for its label in the same way while training.
@@ -15,15 +15,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import materialize
 from .words import WordFeatures, map_texts, shipped
 
 
-def distinct(text: str | None) -> list[str]:
-    """The words of a text, in order of first appearance, each once: repeats add nothing to its tone."""
-    return list(dict.fromkeys(text.lower().split())) if text else []
+#: A longer run of characters without white space (as in scripts without spaces) counts as several words of so many characters.
+LONG = 24
+
+
+def words_of(text: str | None, longest: int) -> list[str]:
+    """All words of a text, in order. Parts of a long one overlap, so that no n-gram of up to `longest` characters is lost between them."""
+    if not text:
+        return []
+    words = text.lower().split()
+    if all(len(w) <= LONG for w in words):
+        return words
+    return [w[at : at + LONG + longest - 1] for w in words for at in (range(0, max(1, len(w) - longest + 1), LONG) if len(w) > LONG else (0,))]
+
+
+def span_begins(n: int, span: int) -> np.ndarray:
+    """Where the spans of n words begin: every half span, so that any half span of words stands in one of them as a whole."""
+    return np.arange(0, max(n - span // 2, 1), max(1, span // 2))
 
 
 @dataclass
@@ -38,7 +53,7 @@ class BagModel:
 
     def features(self, word: str) -> list[int]:
         bare = word.strip("\"'.,;:!?()[]{}<>*#%$&-_|/\\~`+=«»“”‘’…¿¡")
-        framed = f"<{bare[:40]}>"
+        framed = f"<{bare}>"
         out = [zlib.crc32(framed.encode("utf-8", "surrogatepass")) % self.buckets]
         for n in range(self.shortest, self.longest + 1):
             out += [zlib.crc32(framed[i : i + n].encode("utf-8", "surrogatepass")) % self.buckets for i in range(len(framed) - n + 1)]
@@ -59,7 +74,9 @@ class BagModel:
         """Of a text's words; without words the bias alone."""
         if not len(rows):
             return self.bias
-        sums = np.add.reduceat(rows, np.arange(0, len(rows), self.span), axis=0)
+        sums = np.concatenate([np.zeros((1, 2)), np.cumsum(rows, axis=0)])
+        begin = span_begins(len(rows), self.span)
+        sums = sums[np.minimum(begin + self.span, len(rows))] - sums[begin]
         return float((sums[:, 0] / sums[:, 1]).max()) + self.bias
 
 
@@ -72,13 +89,17 @@ def sample_labels(labels: DataFrame, *, id_col: str = "doc_id", label_col: str =
     return chosen[0].unionByName(chosen[1])
 
 
-def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 2500, **options) -> BagModel:
+def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = 2500, bytes_per_class: int = 48 << 20, **options) -> BagModel:
     """Fit on a bounded sample of labelled rows: about rows_per_class of each class, chosen by a hash
-    of the id. Null labels are left out; a null text counts as empty."""
+    of the id, and of those so many, in order of the hash, as have bytes_per_class of text together. Null labels are left out; a null text counts as
+    empty. A document with two labels is learned once with each."""
     train = train.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) == 1).cast("int").alias("y")).where("y is not null")
     sizes = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    bound = F.when(F.col("y") == 1, F.lit(rows_per_class / max(1, sizes.get(1, 1)))).otherwise(F.lit(rows_per_class / max(1, sizes.get(0, 1))))
-    got = train.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < bound * 1_000_000).select("id", "text", "y").toPandas().sort_values("id", kind="stable")
+    share = F.when(F.col("y") == 1, F.lit(rows_per_class / max(1, sizes.get(1, 1)))).otherwise(F.lit(rows_per_class / max(1, sizes.get(0, 1))))
+    mix = F.xxhash64("id")
+    chosen = materialize(train.where(mix.cast("double") / F.lit(2.0**64) + 0.5 < share).select("id", "text", "y", mix.alias("mix")))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy("mix", "id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    got = chosen.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.octet_length("text") <= bytes_per_class).select("id", "text", "y").toPandas().sort_values(["id", "y", "text"], kind="stable")
     return fit_texts(list(got["text"]), got["y"].to_numpy(), **options)
 
 
@@ -91,7 +112,7 @@ def fit_texts(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, d
     """
     model = BagModel(buckets, span, shortest, longest, np.zeros(buckets), 0.0)
     number: dict[str, int] = {}
-    ids = [np.fromiter((number.setdefault(w, len(number)) for w in distinct(t)), np.int32) for t in texts]
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t, longest)), np.int32) for t in texts]
     y = np.asarray(labels, float)
     some = [k for k, i in enumerate(ids) if len(i)]
     if not some or len(set(y[some])) < 2:  # nothing to tell apart
@@ -113,12 +134,14 @@ def fit_texts(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, d
     common = (in_texts >= least_texts).astype(float)
     words = np.concatenate(ids)
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    spans = -(-lengths // span)
+    begins = [span_begins(int(n), span) for n in lengths]
+    spans = np.fromiter(map(len, begins), np.int64, len(begins))
     doc_of = np.repeat(np.arange(len(ids)), spans)
-    first = np.cumsum(spans) - spans
-    begin = np.repeat(np.cumsum(lengths) - lengths, spans) + span * (np.arange(len(doc_of)) - np.repeat(first, spans))
-    span_of = np.repeat(np.arange(len(begin)), np.diff([*begin, len(words)]))
-    n_span = np.add.reduceat(size[words], begin)
+    last = np.cumsum(lengths)
+    begin = np.concatenate(begins) + (last - lengths)[doc_of]
+    end = np.minimum(begin + span, last[doc_of])
+    summed = np.concatenate([[0], np.cumsum(size[words])])
+    n_span = summed[end] - summed[begin]
     rng = np.random.default_rng(seed)
     table, weight, bias = common[:, None] * rng.normal(0, 0.1, (len(used), dim)), rng.normal(0, 0.1, (2, dim)), np.zeros(2)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
@@ -126,16 +149,17 @@ def fit_texts(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, d
     for step in range(1, rounds + 1):
         difference = weight[1] - weight[0]
         word = np.add.reduceat((table @ difference)[flat], starts)
-        logit = np.add.reduceat(word[words], begin) / n_span + bias[1] - bias[0]
+        summed = np.concatenate([[0.0], np.cumsum(word[words])])
+        logit = (summed[end] - summed[begin]) / n_span + bias[1] - bias[0]
         if step <= warm:  # all spans share the label, until the table can tell them apart
             active, per = np.arange(len(logit)), share[doc_of] / spans[doc_of]
         else:
             order = np.lexsort((logit, doc_of))
             active, per = order[np.cumsum(spans) - 1], share
         g = per * (1 / (1 + np.exp(-np.clip(logit[active], -30, 30))) - y[doc_of[active]])
-        by_span = np.zeros(len(logit))
-        by_span[active] = g / n_span[active]
-        by_feature = common * np.bincount(flat, np.bincount(words, by_span[span_of], len(size))[owner], len(used))
+        each = g / n_span[active]
+        steps = np.bincount(begin[active], each, len(words) + 1) - np.bincount(end[active], each, len(words) + 1)
+        by_feature = common * np.bincount(flat, np.bincount(words, np.cumsum(steps)[:-1], len(size))[owner], len(used))
         toward = by_feature @ table
         for p, grad, (m, v) in zip((table, weight, bias), (np.outer(by_feature, difference), np.vstack([-toward, toward]), np.array([-g.sum(), g.sum()])), moments, strict=True):
             m += 0.1 * (grad - m)
@@ -160,7 +184,7 @@ def score(docs: DataFrame, model: BagModel, *, text_col: str = "text", keep: tup
         features = WordFeatures(m.word_rows)
 
         def of(texts: list) -> list[tuple]:
-            logits = np.array([m.logit(rows) for rows in features.rows([distinct(t) for t in texts])])
+            logits = np.array([m.logit(rows) for rows in features.rows([words_of(t, m.longest) for t in texts])])
             p = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
             return list(zip(p.tolist(), (p >= 0.5).astype(int).tolist(), strict=True))
 
