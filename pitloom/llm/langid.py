@@ -23,30 +23,26 @@ from .words import WordFeatures, map_texts, shipped, text_rows
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
-#: A run of letters is cut into stretches of so many letters, so that a lattice stays small.
-_STRETCH = 24
+#: Runs of letters up to this length share lattices with others of their length; each longer one is summed by itself, in logarithms.
+_SHARED = 24
 _UNSEEN = 1e-7
 
 
-def read_pieces(path: str, longest: int = 8) -> list[str]:
-    """Pieces of a sentencepiece model with at most `longest` characters, lower-cased, letters only,
-    without duplicates, in id order."""
+def read_pieces(path: str) -> list[str]:
+    """All pieces of a sentencepiece model that are letters only, lower-cased, without duplicates, in id order."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = dict.fromkeys(model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-    return [p for p in pieces if len(p) <= longest and (_LETTERS.fullmatch(p.removeprefix(_START)) or p == _START)]
+    return [p for p in pieces if _LETTERS.fullmatch(p.removeprefix(_START)) or p == _START]
 
 
 def stretches(token: str) -> list[str]:
-    """The lattices' inputs for one white-space token: its runs of letters, lower-cased."""
-    out = []
+    """The lattices' inputs for one white-space token: its runs of letters, lower-cased, whole."""
     token = token.lower()
     if not token.isalpha():  # numerals such as ² are word characters, but no letters
         token = "".join(c if c.isalpha() else " " for c in token)
-    for run in _LETTERS.findall(token):
-        out += [(_START if at == 0 else "") + run[at : at + _STRETCH] for at in range(0, len(run), _STRETCH)]
-    return out
+    return [_START + run for run in _LETTERS.findall(token)]
 
 
 @dataclass
@@ -68,9 +64,11 @@ class UnigramModel:
     probs: np.ndarray
 
     def lattices(self, words: list[str]) -> list[Lattices]:
+        """Of the words that share them."""
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
+            if len(w) <= _SHARED:
+                by_length.setdefault(len(w), []).append(k)
         get, longest, out = self.pieces.get, max(map(len, self.pieces), default=1), []
         for n, which in by_length.items():
             spans = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - longest), j)]
@@ -97,8 +95,50 @@ class UnigramModel:
         for at in range(0, len(words), 20_000):
             for lat in self.lattices(words[at : at + 20_000]):
                 out[at + lat.which] = np.log(np.maximum(self.forward(lat, padded)[-1], 1e-300))
+        with np.errstate(divide="ignore"):
+            logs = np.log(padded)
+        for k, w in enumerate(words):
+            if len(w) > _SHARED:
+                sums = None
+                for at in range(0, len(w), 1 << 16):  # a part of the word at a time
+                    sums = self._sums(self._ids(w, at, min(len(w), at + (1 << 16))), logs, sums)
+                out[k] = np.maximum(sums[-1], -690.0 * len(w))
         return out
 
+    def _ids(self, word: str, low: int = 0, high: int | None = None) -> np.ndarray:
+        """[j, k]: the piece that ends after letter low + j and has k + 1 letters, or -1."""
+        get, longest, high = self.pieces.get, max(map(len, self.pieces), default=1), len(word) if high is None else high
+        ids = np.fromiter((get(word[j - k : j + 1], -1) if k <= j else -1 for j in range(low, high) for k in range(longest)), np.int32, (high - low) * longest).reshape(high - low, longest)
+        ids[:, 0][ids[:, 0] < 0] = len(self.pieces)  # a single letter always has a piece
+        return ids
+
+    def _sums(self, ids: np.ndarray, logs: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """For each number of letters from 0 (or from the end of the part before), the logarithm of the summed probability of all segmentations of so many, by language."""
+        n, longest = ids.shape
+        sums = np.full((n + longest, len(self.langs)), -np.inf)  # row longest - 1 is no letters
+        sums[longest - 1] = 0
+        if before is not None:
+            sums[longest - min(longest, len(before)) : longest] = before[-longest:]
+        for j in range(n):
+            sums[j + longest] = np.logaddexp.reduce(sums[j : j + longest][::-1] + logs[ids[j]], axis=0)
+        return sums[longest - 1 :]
+
+    def _long_counts(self, word: str, weight: np.ndarray, logs: np.ndarray, total: np.ndarray) -> None:
+        """Adds the expected uses of pieces in one long word."""
+        ids = self._ids(word)
+        n, longest = ids.shape
+        forward = self._sums(ids, logs)
+        back = np.full((n + longest, len(self.langs)), -np.inf)
+        back[n] = 0
+        for i in range(n - 1, -1, -1):  # pieces that begin at letter i end after letter i + k
+            k = np.arange(min(longest, n - i))
+            back[i] = np.logaddexp.reduce(back[i + 1 + k] + logs[ids[i + k, k]], axis=0)
+        for k in range(longest):
+            j = np.arange(k, n)
+            some = j[ids[j, k] >= 0]
+            use = np.exp(forward[some - k] + logs[ids[some, k]] + back[some + 1] - forward[-1]) * weight
+            np.add.at(total, ids[some, k], np.nan_to_num(use))
+
     def token_scores(self, tokens: list[str], seen: WordFeatures | None = None) -> np.ndarray:
         """For each token, the log-likelihoods by language and the number of its letters."""
         runs = [stretches(t) for t in tokens]
@@ -133,6 +173,16 @@ class UnigramModel:
                     np.add.at(total, ids, use)
         return total
 
+    def expected_counts_of_long(self, words: list[str], weights: np.ndarray) -> np.ndarray:
+        """The same for the words that share no lattice."""
+        total = np.zeros_like(self.probs)
+        with np.errstate(divide="ignore"):
+            logs = np.log(self._padded())
+        for k, w in enumerate(words):
+            if len(w) > _SHARED:
+                self._long_counts(w, weights[k], logs, total)
+        return total
+
 
 def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = DEFAULT_VOCABULARY, rows_per_lang: int = 1000, max_langs: int = 512, rounds: int = 3) -> UnigramModel:
     """Fit on a bounded sample: about rows_per_lang rows of each language, chosen by a hash of the id.
@@ -148,7 +198,7 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
     if not langs:
         return UnigramModel([], {}, np.zeros((1, 0)))
     share: Column = reduce(lambda c, lang: c.when(F.col("lang") == lang, F.lit(min(1.0, rows_per_lang / sizes[lang]))), langs[1:], F.when(F.col("lang") == langs[0], F.lit(min(1.0, rows_per_lang / sizes[langs[0]]))))
-    chosen = train.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = train.where(F.xxhash64("id").cast("double") / F.lit(2.0**64) + 0.5 < share)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -178,7 +228,7 @@ def fit_counts(counts: list[tuple[str, str, int]], langs: list[str], pieces: lis
     model = UnigramModel(langs, known, np.full((len(known) + 1, len(langs)), 1 / (len(known) + 1)))
     lattices = model.lattices(list(words))
     for _ in range(rounds):
-        use = model.expected_counts(lattices, weights)
+        use = model.expected_counts(lattices, weights) + model.expected_counts_of_long(list(words), weights)
         model.probs = (use + 0.02) / (use.sum(axis=0) + 0.02 * len(use))
         model.probs[-1] = _UNSEEN
     return model

@@ -24,15 +24,15 @@ class _Numbering(dict):
 class WordFeatures:
     """Feature rows of words, computed on first sight by `compute(list of words) -> array of rows`.
 
-    It forgets everything once `limit` words are held (checked between texts), so memory is bounded.
+    It forgets everything once `limit` words or `characters` are held (checked between texts), so memory is bounded.
     """
 
-    def __init__(self, compute: Callable[[list], np.ndarray], limit: int = 400_000) -> None:
-        self._compute, self._limit = compute, limit
+    def __init__(self, compute: Callable[[list], np.ndarray], limit: int = 400_000, characters: int = 16 << 20) -> None:
+        self._compute, self._limit, self._characters = compute, limit, characters
         self._clear()
 
     def _clear(self) -> None:
-        self._numbers = _Numbering()
+        self._numbers, self._held = _Numbering(), 0
         self._rows: np.ndarray | None = None
 
     def rows(self, texts: list[list]) -> list[np.ndarray]:
@@ -40,13 +40,14 @@ class WordFeatures:
 
         The new words of all given texts are computed together.
         """
-        if len(self._numbers) > self._limit:
+        if len(self._numbers) > self._limit or self._held > self._characters:
             self._clear()
         find = self._numbers.__getitem__
         ids = [np.fromiter(map(find, words), np.int64, len(words)) for words in texts]
         if self._numbers.fresh or self._rows is None:
             new = self._compute(self._numbers.fresh)
             known = len(self._numbers) - len(new)
+            self._held += sum(map(len, self._numbers.fresh))
             self._numbers.fresh = []
             if self._rows is None or len(self._rows) < known + len(new):
                 grown = np.empty((max(1024, 2 * (known + len(new))), *new.shape[1:]), new.dtype)
