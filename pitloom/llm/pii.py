@@ -1,25 +1,28 @@
 """Personal data: base patterns, and terms that reveal them by information theory.
 
-A protected entity is a value that a base pattern finds. The corpus tells how strongly a term near it
-reveals it: pointwise mutual information against the entity's information content. At `generalise` times the
-content a term is generalised, at `remove` times it is removed. Terms seen with the entity in fewer than `support` distinct
-contexts tell nothing, so copies of one text don't count as evidence.
+A protected entity is a value that a base pattern finds. The corpus tells how strongly a term reveals it: of the n_t documents with
+the term, n_te have the entity too, and they have d different texts. The chance that a document with the term has the entity is estimated as
+n_te / n_t, shrunk by d / (d + 1), so that copies of one text are no evidence and rare entities count with what little there is. The term's pointwise
+mutual information with the entity is the entity's content, -log2 of its share of the documents, less -log2 of that chance: what is left secret.
+A term that leaves at most `generalise` bits of some entity secret gives way to its class (name, number, code, word), one that leaves at
+most `remove` bits goes, wherever they stand in any document. A term that one text alone has, together with an entity, leaves one bit.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .words import text_rows
+from .words import shipped, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that the statistics add.
@@ -32,7 +35,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TERM = re.compile(r"[^\W_]{3,}")
-_SPACE = re.compile(r"\s")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
@@ -100,71 +102,74 @@ def _disjoint(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], reach: int, width: int = 240) -> Iterator[tuple[str, str, int, int, str]]:
-    """(entity, term, start, end, hash of the context) for the `reach` terms on each side of each span, whole words at most `width` characters away."""
-    starts, ends = _disjoint(spans)
+def terms_of(text: str) -> set[str]:
+    return set(map(str.lower, _TERM.findall(text)))
 
-    def free(c: int, d: int) -> bool:
-        k = bisect_left(starts, d) - 1  # the last one that starts before d
-        return k < 0 or ends[k] <= c
 
-    for kind, a, b in spans:
-        low, high = max(0, a - width), min(len(text), b + width)
-        if low:
-            cut = _SPACE.search(text, low, a)
-            low = cut.end() if cut else a
-        if high < len(text):
-            high = max(b, text.rfind(" ", b, high), text.rfind("\n", b, high))
-        near = [m.span() for m in _TERM.finditer(text, low, a)][-reach:] + [m.span() for m in _TERM.finditer(text, b, high)][:reach]
-        near = [(c, d) for c, d in near if free(c, d)]
-        terms = [text[c:d].lower() for c, d in near]
-        whose, mark = entity(kind, text[a:b]), hashlib.blake2b(" ".join(terms).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-        for (c, d), term in zip(near, terms, strict=True):
-            yield whose, term, c, d, mark
+def hashed(value: str) -> int:
+    return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, spans array<struct<kind,start,end>>: what the base patterns find. No shuffle."""
+class Told:
+    """Hashes of terms that reveal something, and which of them are to be removed."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            out = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in base_spans(t)] for (texts,) in text_rows(batch, "text") for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
+    def __init__(self, terms, removed) -> None:
+        terms, removed = np.asarray(terms, np.int64), np.asarray(removed, bool)
+        order = np.argsort(terms)
+        self.terms, self.removed = terms[order], removed[order]
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int>>")
+    def kinds(self, terms: set[str]) -> dict[str, str]:
+        """Of those among the terms that are told."""
+        if not len(self.terms) or not terms:
+            return {}
+        words = list(terms)
+        marks = np.fromiter(map(hashed, words), np.int64, len(words))
+        at = np.minimum(np.searchsorted(self.terms, marks), len(self.terms) - 1)
+        return {words[k]: TERM_REMOVED if self.removed[at[k]] else TERM for k in np.flatnonzero(self.terms[at] == marks).tolist()}
 
 
-def revealing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, support: int = 3, generalise: float = 0.9, remove: float = 0.99) -> DataFrame:
-    """doc_id, start, end, kind (`term` or `term_removed`): terms near a protected entity that reveal it.
+def term_spans(text: str | None, known: Told, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of each known term outside of base spans."""
+    told = known.kinds(terms_of(text)) if text else {}
+    if not told:
+        return []
+    starts, ends = _disjoint(base)
+    out = []
+    for m in _TERM.finditer(text):
+        kind = told.get(m[0].lower())
+        if kind:
+            before = bisect_left(starts, m.end()) - 1  # the last base span that starts before the term's end
+            if before < 0 or ends[before] <= m.start():
+                out.append((kind, m.start(), m.end()))
+    return sorted(out)
 
-    With N documents, n_t of them with the term, n_e with the entity and n_te with the term in the entity's
-    context: PMI = ln(N n_te / (n_t n_e)), content = ln(N / n_e). Frequencies are over all documents.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts_with_entities(rows: DataFrame) -> DataFrame:
+    """digest, copies, entities, terms (hashes): one row for each different text with an entity."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ids, texts in text_rows(batch, "doc_id", "text"):
-                for i, text in zip(ids, texts, strict=True):
-                    if i is not None and text and (spans := base_spans(text)):
-                        out += [(i, *c) for c in contexts(text, spans, reach)]
-            names = ["doc_id", "entity", "term", "start", "end", "context"]
-            kinds = [batch.schema.field("doc_id").type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(6)], names=names)
-
-    seen = materialize(rows.mapInArrow(near, f"doc_id {id_type}, entity string, term string, start int, end int, context string"))
-    together = seen.groupBy("term", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc_id").alias("n_te")).where(F.col("contexts") >= support)
-    together = materialize(together)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            digests, entities, terms = [], [], []
+            for marks, texts in text_rows(batch, "digest", "text"):
+                for mark, text in zip(marks, texts, strict=True):
+                    if text and (spans := base_spans(text)):
+                        digests.append(mark)
+                        entities.append(list({hashed(entity(k, text[a:b])) for k, a, b in spans}))
+                        terms.append(list({hashed(t) for t in terms_of(text)}))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))], names=["digest", "entities", "terms"])
+
+    found = rows.select("digest", "text").mapInArrow(of, "digest string, entities array<long>, terms array<long>")
+    return found.groupBy("digest").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+
+
+def _document_frequencies(rows: DataFrame) -> DataFrame:
+    """term (hash), n: parts of the number of documents that have it."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            out = pa.RecordBatch.from_pydict({"term": pa.array([hashed(t) for t in counts], pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
             counts.clear()
             return out
 
@@ -172,60 +177,122 @@ def revealing_terms(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             for (texts,) in text_rows(batch, "text"):
                 for text in texts:
                     if text:
-                        counts.update(set(_TERM.findall(text.lower())))
-                if len(counts) > 500_000:
+                        counts.update(terms_of(text))
+                if len(counts) > 300_000:
                     yield flush()
         yield flush()
 
-    asked = together.select("term").distinct()
-    n_t = rows.select("text").mapInArrow(frequencies, "term string, n long").join(asked, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_t"))
-    n_e = seen.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_e"))
-    total = rows.agg(F.count("*").alias("total")).first().total
-    measured = together.join(n_t, "term").join(n_e, "entity")
-    content = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
-    # a term can be cut out of another one by an entity beside it, so that n_te exceeds n_t
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    flagged = measured.where((content > 0) & (pmi >= generalise * content)).select("term", "entity", F.when(pmi >= remove * content, F.lit(TERM_REMOVED)).otherwise(F.lit(TERM)).alias("kind"))
-    hits = seen.join(flagged, ["term", "entity"]).groupBy("doc_id", "start", "end").agg(F.max("kind").alias("kind"))
-    return hits.select("doc_id", "start", "end", "kind")
+    return rows.select("text").mapInArrow(of, "term long, n long")
+
+
+def revealing_terms(docs: DataFrame, *, text_col: str = "text", generalise: float = 1.0, remove: float = 0.16) -> DataFrame:
+    """term (hash), kind (`term` or `term_removed`), secret (bits that the term leaves of the entity it reveals most): terms that leave few.
+
+    All counts are over all documents and whole texts. generalise may be at most one bit: pairs of a term and an entity are only made where
+    each stands in two different texts or more, since a term with one such text leaves a bit or more.
+    """
+    if not 0 <= remove <= generalise <= 1:
+        raise ValueError("0 <= remove <= generalise <= 1")
+    least = 2.0**-generalise
+    rows = docs.select(F.col(text_col).alias("text"), F.md5(F.col(text_col).cast("binary")).alias("digest"))
+    texts = materialize(_texts_with_entities(rows))
+    used = texts.select("digest", "copies", F.explode("terms").alias("term"))
+    near = used.groupBy("term").agg(F.sum("copies").alias("with_any"), F.count("*").alias("texts"))
+    n_t = _document_frequencies(rows).groupBy("term").agg(F.sum("n").alias("n_t"))
+    # a chance of `least` or more needs at least that share of the term's documents to have any entity
+    known = materialize(near.join(n_t, "term").where(F.col("with_any") >= F.col("n_t") * least - 1e-9))
+    alone = known.where("texts = 1").select("term", (F.col("with_any") / F.col("n_t") / 2).alias("chance"))
+    often = texts.select("digest", F.explode("entities").alias("entity"))
+    repeated = often.groupBy("entity").agg(F.count("*").alias("m")).where("m > 1").select("entity")
+    several = used.join(known.where("texts > 1").select("term", "n_t"), "term")
+    together = several.join(often.join(repeated, "entity"), "digest").groupBy("term", "entity").agg(F.sum("copies").alias("n_te"), F.count("*").alias("d"), F.max("n_t").alias("n_t"))
+    chance = F.col("n_te") / F.col("n_t") * F.col("d") / (F.col("d") + 1)
+    pairs = together.select("term", chance.alias("chance")).groupBy("term").agg(F.max("chance").alias("chance"))
+    secret = F.greatest(-F.log2("chance"), F.lit(0.0))
+    told = alone.unionByName(pairs).select("term", secret.alias("secret")).where(F.col("secret") <= generalise + 1e-9)
+    return told.select("term", F.when(F.col("secret") <= remove, F.lit(TERM_REMOVED)).otherwise(F.lit(TERM)).alias("kind"), "secret")
+
+
+def _with_terms(docs: DataFrame, text_col: str, broadcast_terms: int, options: dict) -> tuple[DataFrame, object]:
+    """docs, perhaps with `__told`, and what gives a task the kinds by hash: revealing terms are broadcast up to broadcast_terms, else they meet the texts by a shuffle."""
+    told = materialize(revealing_terms(docs, text_col=text_col, **options))
+    if told.count() <= broadcast_terms:
+        got = told.select("term", (F.col("kind") == TERM_REMOVED).alias("removed")).toPandas()
+        return docs.withColumn("__told", F.lit(None).cast("array<struct<term:bigint,removed:boolean>>")), shipped(docs.sparkSession, Told(got["term"], got["removed"]))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for marks, texts in text_rows(batch, "digest", "text"):
+                each = [[hashed(t) for t in terms_of(x)] if x else [] for x in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([m for m, x in zip(marks, each, strict=True) for _ in x], pa.string()), pa.array([t for x in each for t in x], pa.int64())], names=["digest", "term"])
+
+    mark = F.md5(F.col(text_col).cast("binary"))
+    met = docs.select(mark.alias("digest"), F.col(text_col).alias("text")).mapInArrow(of, "digest string, term long").join(told, "term")
+    by_text = met.groupBy("digest").agg(F.collect_set(F.struct("term", (F.col("kind") == TERM_REMOVED).alias("removed"))).alias("__told"))
+    return docs.withColumn("__digest", mark).join(by_text.withColumnRenamed("digest", "__digest"), "__digest", "left").drop("__digest"), None
+
+
+def _known(told: list | None, held: Told | None) -> Told:
+    return held or Told([t["term"] for t in told or ()], [t["removed"] for t in told or ()])
 
 
-def all_spans(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, spans (base), terms (array<struct<kind,start,end>>, null if none): one row for each row.
+def all_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_terms: int = 1_000_000, **options) -> DataFrame:
+    """doc_id, spans (base), terms: both array<struct<kind,start,end>>; one row for each row.
 
-    A null text counts as empty. Rows with equal ids must have equal texts; each gets the same spans. A
-    null id gets base spans only. Other columns are ignored; an empty table gives an empty one.
+    A null text counts as empty. Equal or null ids are rows like others. Other columns are ignored; an empty table gives an empty one.
     """
-    keep = {k: v for k, v in options.items() if k in ("id_col", "text_col")}
-    terms = revealing_terms(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("terms"))
-    return find(docs, **keep).join(terms, "doc_id", "left")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    met, held = _with_terms(rows, "text", broadcast_terms, options)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        known = held() if held else None
+        spans_of = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
+        for batch in batches:
+            base, terms = [], []
+            for texts, told in text_rows(batch, "text", "__told"):
+                for text, more in zip(texts, told, strict=True):
+                    found = base_spans(text)
+                    base.append(spans_of(found))
+                    terms.append(spans_of(term_spans(text, _known(more, known), found)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, kind), pa.array(terms, kind)], names=["doc_id", "spans", "terms"])
+
+    span = "array<struct<kind:string,start:int,end:int>>"
+    return met.select("doc_id", "text", "__told").mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {span}, terms {span}")
 
 
-def sanitize(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def sanitize(docs: DataFrame, *, text_col: str = "text", broadcast_terms: int = 1_000_000, **options) -> DataFrame:
     """All columns of docs, with personal data in the text replaced: base spans by their kind in angle brackets, terms by
-    `<TERM>`, or by nothing where they reveal too much. A null text stays null."""
-    terms = revealing_terms(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "end")).alias("__terms")).withColumnRenamed("doc_id", "__id")
-    met = docs.join(terms, docs[id_col] == F.col("__id"), "left").drop("__id")
-    names = [c for c in docs.columns]
+    their class, or by nothing where they reveal too much. A null text stays null."""
+    names = list(docs.columns)
+    met, held = _with_terms(docs, text_col, broadcast_terms, options)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held() if held else None
         for batch in batches:
-            out = []
-            for texts, found in text_rows(batch, text_col, "__terms"):
-                for text, more in zip(texts, found, strict=True):
-                    out.append(replaced(text, more))
+            out = [replaced(text, _known(more, known)) for texts, told in text_rows(batch, text_col, "__told") for text, more in zip(texts, told, strict=True)]
             at = batch.schema.get_field_index(text_col)
             columns = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return met.select(*names, "__terms").mapInArrow(of, docs.schema)
+    return met.select(*names, "__told").mapInArrow(of, docs.schema)
+
+
+def term_class(term: str) -> str:
+    """What a term is generalised to."""
+    if term.isdigit():
+        return "<NUMBER>"
+    if any(c.isdigit() for c in term):
+        return "<CODE>"
+    return "<NAME>" if term[0].isupper() else "<WORD>"
 
 
-def replaced(text: str | None, terms: list[dict] | None) -> str | None:
+def replaced(text: str | None, known: Told) -> str | None:
     """Overlapping spans are replaced as one, by the kind of the one that starts first (the longest of those)."""
     if text is None:
         return None
-    spans = sorted([(a, -b, f"<{k.upper()}>") for k, a, b in base_spans(text)] + [(t["start"], -t["end"], "<TERM>" if t["kind"] == TERM else "") for t in terms or () if t["end"] <= len(text)])
+    base = base_spans(text)
+    spans = sorted([(a, -b, f"<{k.upper()}>") for k, a, b in base] + [(a, -b, term_class(text[a:b]) if k == TERM else "") for k, a, b in term_spans(text, known, base)])
     out, done = [], 0
     for a, b, by in spans:
         if a >= done:

@@ -56,7 +56,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    everything = F.concat("spans", F.coalesce("terms", F.expr("array()").cast("array<struct<kind:string,start:int,end:int>>")))
+    everything = F.concat("spans", "terms")
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined("spans").cast("binary"), 256).alias("base_sha256"), joined(everything).alias("spans"))
 
 

@@ -112,17 +112,43 @@ def test_base_patterns_against_plain_regexes():
     assert pii.base_spans("a" * 300_000 + "@") == [] and pii.base_spans("1" * 300_000) == []
 
 
-def test_terms_that_reveal(spark):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_terms_that_reveal(spark, broadcast):
     rng = random.Random(5)
     words = [f"{a}{b}word" for a in "bcdfghjkl" for b in "aeiou"]
     around = lambda *w: " ".join([*rng.sample(words, 12), *w, *rng.sample(words, 12)])
-    texts = [around("zephyr", "ann@example.com") for _ in range(6)] + [around() for _ in range(80)] + [around("ordinary") for _ in range(30)] + [around("ordinary", "bob@example.com")] * 9
+    texts = [around("zephyr") + " x" * 500 + " ann@example.com" for _ in range(40)] + [around() for _ in range(80)] + [around("ordinary") for _ in range(30)] + [around("ordinary", "bob@example.com")] * 9
+    texts += ["Zephyr stands alone", around("Quill", "once@example.com"), around("A7b", "twice@example.com"), around("A7b", "twice@example.com"), None, ""]
     docs = docs_of(spark, texts)
-    hits = pii.revealing_terms(docs).collect()
-    told = {texts[r.doc_id][r.start : r.end] for r in hits}
-    assert told == {"zephyr"} and {r.kind for r in hits} == {"term_removed"}
-    clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
-    assert "zephyr" not in clean[0] and "<EMAIL>" in clean[0] and clean[10] == texts[10]
+    found = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.terms] for r in pii.all_spans(docs, broadcast_terms=broadcast).collect()}
+    told = {i: set(x) for i, x in found.items() if x}
+    assert all(told[i] == {("term_removed", "zephyr")} for i in range(40)), "far from the entity"
+    assert told[159] == {("term_removed", "Zephyr")}, "and in other documents"
+    assert told[160] == {("term", "Quill")} and told[161] == told[162] == {("term", "A7b")} and len(told) == 44
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs, broadcast_terms=broadcast).collect()}
+    assert "zephyr" not in clean[0] and "<EMAIL>" in clean[0] and clean[50] == texts[50] and clean[159] == " stands alone"
+    assert "<NAME>" in clean[160] and "<CODE>" in clean[161] and clean[163] is None and clean[164] == ""
+
+
+def test_what_terms_leave_secret_against_brute_force(spark):
+    rng = random.Random(23)
+    names = [f"n{i}@x.org" for i in range(6)]
+    pool = [f"term{i:03d}" for i in range(150)]
+    texts = [" ".join([*rng.sample(pool, rng.randint(2, 6)), *rng.sample(names, rng.randint(0, 2))]) for _ in range(60)]
+    texts += texts[:10]
+    terms = [set(pii.terms_of(t)) for t in texts]
+    who = [{pii.entity(k, t[a:b]) for k, a, b in pii.base_spans(t)} for t in texts]
+    want = {}
+    for t in set().union(*terms):
+        best = 0.0
+        for e in set().union(*who):
+            both = [k for k in range(len(texts)) if t in terms[k] and e in who[k]]
+            d = len({texts[k] for k in both})
+            best = max(best, len(both) / sum(t in x for x in terms) * d / (d + 1))
+        if best >= 0.5:
+            want[pii.hashed(t)] = -math.log2(best)
+    got = {r.term: r.secret for r in pii.revealing_terms(docs_of(spark, texts)).collect()}
+    assert got == pytest.approx(want) and len(want) > 5
 
 
 def test_packing_is_whole_and_tight(spark):
