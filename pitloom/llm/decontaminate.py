@@ -22,13 +22,19 @@ from .words import shipped
 #: Fixed values. Of 13 tokens with any two substituted, one of these masks fits between the substitutions.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 9, 10))
 WINDOW, SIMILARITY = 13, 0.8
-#: Items with fewer tokens take no part.
+#: Items with fewer tokens are only found in documents that have no other tokens: as a part of longer texts they would tell nothing.
 SHORTEST = 5
+#: What isn't a letter, digit or mark beyond ASCII, where bytes don't tell.
+_OTHER = r"[^\x00-\x7F\p{L}\p{N}\p{M}]"
 
 
 def lowered(batch: pa.RecordBatch, text: str) -> pa.RecordBatch:
+    """With the texts in lower case and white space for what separates tokens beyond ASCII."""
     at = batch.schema.get_field_index(text)
-    return batch.set_column(at, batch.schema.field(at), pc.utf8_lower(batch.column(at)))
+    low = pc.utf8_lower(batch.column(at))
+    if not pc.all(pc.string_is_ascii(low), min_count=0).as_py():
+        low = pc.replace_substring_regex(low, _OTHER, " ")
+    return batch.set_column(at, batch.schema.field(at), low)
 
 
 def seed_hashes(words: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
@@ -42,7 +48,9 @@ def seed_hashes(words: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarr
 
 
 def masks_for(n: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(salt, mask) for an item of n tokens. Below WINDOW, the run of tokens that is left between any substitutions SIMILARITY permits."""
+    """(salt, mask) for an item of n tokens. Below WINDOW, the run of tokens that is left between any substitutions SIMILARITY permits; below SHORTEST, all."""
+    if n < SHORTEST:
+        return [(2000 + n, tuple(range(n)))] if n else []
     if n >= WINDOW:
         return [(k + 1, m) for k, m in enumerate(MASKS)]
     other = int(n * (1 - SIMILARITY) + 1e-9)
@@ -80,7 +88,7 @@ class Seeds:
 
     @staticmethod
     def of(ids: np.ndarray, tokens: list[np.ndarray]) -> Seeds:
-        found = [(seed_hashes(t, m, salt), k) for k, t in enumerate(tokens) if len(t) >= SHORTEST for salt, m in masks_for(len(t))]
+        found = [(seed_hashes(t, m, salt), k) for k, t in enumerate(tokens) for salt, m in masks_for(len(t))]
         hashes = np.concatenate([h for h, _ in found] or [np.zeros(0, np.uint64)])
         item = np.concatenate([np.full(len(h), k) for h, k in found] or [np.zeros(0, np.int64)])
         place = np.concatenate([np.arange(len(h)) for h, _ in found] or [np.zeros(0, np.int64)])
@@ -88,7 +96,7 @@ class Seeds:
         return Seeds(ids, tokens, hashes[order], item[order], place[order])
 
     def masks(self) -> list[tuple[int, tuple[int, ...]]]:
-        return sorted({x for t in self.tokens if len(t) >= SHORTEST for x in masks_for(len(t))})
+        return sorted({x for t in self.tokens for x in masks_for(len(t))})
 
     def filter(self) -> np.ndarray:
         """Whether a hash with these top 22 bits can be among the seeds."""
@@ -130,8 +138,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     """doc_id, item_id, doc_start, item_start, n_tokens, n_equal: the best overlap of each document and item that have one.
 
     Tokens are runs of letters and digits, lower-cased. An overlap is at least 13 tokens long (or the whole item, if that is
-    shorter), and any 13 of its tokens or the like differ in a fifth of them at most. Items with fewer than 5 tokens take no part, nor do null
-    ids and null texts. Rows with equal ids count as one document (item) with all their texts. An empty table gives an empty one.
+    shorter), and any 13 of its tokens or the like differ in a fifth of them at most. Items with fewer than 5 tokens are found where a document has
+    no other tokens. Null ids and null texts take no part. Of equally good overlaps the one that begins first in the document counts, then the later one in the item. Rows with equal ids count as one document (item) with all their texts. An empty table gives an empty one.
     The benchmark is broadcast if its texts have at most broadcast_bytes; else its seeds are joined by a shuffle.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
@@ -158,7 +166,9 @@ def _broadcast_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 tried = set()
                 for salt, mask in masks:
                     for at, item, place in zip(*(x.tolist() for x in seeds.hits(seed_hashes(words, mask, salt), maybe)), strict=True):
-                        tried.add((at - place, item, int(np.searchsorted(first, at, "right")) - 1))
+                        row = int(np.searchsorted(first, at, "right")) - 1
+                        if len(seeds.tokens[item]) >= SHORTEST or first[row + 1] - first[row] == len(seeds.tokens[item]):
+                            tried.add((at - place, item, row))
                 for diagonal, item, row in tried:
                     a, b = int(first[row]), int(first[row + 1])
                     best = best_overlap(words[a:b], seeds.tokens[item], diagonal - a)
@@ -172,26 +182,35 @@ def _broadcast_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _joined_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The same for a benchmark of any size: seeds meet by a shuffle, then texts by their ids."""
 
-    def seeds(all_masks: bool):
+    masks_of_docs = sorted({x for n in range(1, WINDOW + 1) for x in masks_for(n)})
+
+    def seeds(of_docs: bool):
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = Hasher(21)
             for batch in batches:
                 for part in slices(batch, "text"):
                     words, first = _tokenised(lowered(part, "text"), hasher)
-                    for k, i in enumerate(part.column("id").to_pylist()):
-                        own = words[first[k] : first[k + 1]]
-                        masks = masks_for(len(own)) if not all_masks else sorted({x for n in range(SHORTEST, WINDOW + 1) for x in masks_for(n)})
-                        if len(own) < SHORTEST:
-                            continue
-                        for salt, mask in masks:
-                            h = seed_hashes(own, mask, salt)
-                            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), i)), pa.array(np.arange(len(h), dtype=np.int32))], names=["seed", "id", "place"])
+                    size, row = np.diff(first), np.repeat(np.arange(len(first) - 1), np.diff(first))
+                    found, where = [], []
+                    for salt, mask in masks_of_docs:
+                        h = seed_hashes(words, mask, salt)
+                        at = np.flatnonzero(row[: len(h)] == row[mask[-1] :][: len(h)])  # inside one text
+                        n = size[row[at]]
+                        if len(mask) < SHORTEST and salt >= 2000:
+                            at = at[n == len(mask)]
+                        elif not of_docs:
+                            at = at[np.isin(n, [k for k in range(SHORTEST, WINDOW) if (salt, mask) in masks_for(k)]) | ((n >= WINDOW) & (salt < 1000))]
+                        found.append(h[at])
+                        where.append(at)
+                    at = np.concatenate(where)
+                    ids = part.column("id").to_numpy(zero_copy_only=False)[row[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids, pa.int64()), pa.array((at - first[row[at]]).astype(np.int32))], names=["seed", "id", "place"])
 
         return of
 
     met = docs.withColumnRenamed("doc_id", "id").mapInArrow(seeds(True), "seed long, id long, place int").join(items.withColumnRenamed("item_id", "id").mapInArrow(seeds(False), "seed long, id long, place int").select("seed", F.col("id").alias("item_id"), F.col("place").alias("item_place")), "seed")
-    tried = met.select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
-    both = tried.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id").select("doc_id", "item_id", "diagonal", "text", "item_text")
+    tried = met.select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
+    both = tried.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id").select("doc_id", "item_id", "diagonals", "text", "item_text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(21)
@@ -201,10 +220,14 @@ def _joined_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 words, first = _tokenised(lowered(part, "text"), hasher)
                 wanted = part.select(["item_text"]).rename_columns(["text"])
                 tokens, begin = _tokenised(lowered(wanted, "text"), hasher)
-                for k, (i, j, diagonal) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonal")), strict=True)):
-                    best = best_overlap(words[first[k] : first[k + 1]], tokens[begin[k] : begin[k + 1]], diagonal)
-                    if best:
-                        found.append((i, j, best[0] + diagonal, *best))
+                for k, (i, j, diagonals) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "item_id", "diagonals")), strict=True)):
+                    doc, item = words[first[k] : first[k + 1]], tokens[begin[k] : begin[k + 1]]
+                    if len(item) < SHORTEST and len(doc) != len(item):
+                        continue
+                    for diagonal in diagonals:
+                        best = best_overlap(doc, item, diagonal)
+                        if best:
+                            found.append((i, j, best[0] + diagonal, *best))
             yield _rows(found)
 
     return both.mapInArrow(verify, _RESULT)

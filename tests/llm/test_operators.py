@@ -230,10 +230,10 @@ def test_decontamination_both_ways(spark):
     filler = lambda n: [word() + "x" for _ in range(n)]
     edited = list(items[0])
     edited[5], edited[17], edited[30] = "zzz", "yyy", "qqq"
-    texts = [" ".join(filler(30) + t + filler(5)) for t in (*items[:6], edited, items[1][:13])] + [" ".join(filler(60)), " ".join(items[6] + filler(9)), "!! ".join(filler(3) + items[2]).upper(), None, ""]
+    texts = [" ".join(filler(30) + t + filler(5)) for t in (*items[:6], edited, items[1][:13])] + [" ".join(filler(60)), " ".join(items[6] + filler(9)), "!! ".join(filler(3) + items[2]).upper(), None, "", " ".join(items[6]), "“" + "—".join(items[2]) + "”"]
     docs, bench = docs_of(spark, texts), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(50, None), (51, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
-    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 0), (7, 1), (10, 2)}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 0), (7, 1), (10, 2), (13, 6), (14, 2)}
     joined = decontaminate.overlaps(docs, bench, broadcast_bytes=0)
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()))
 
