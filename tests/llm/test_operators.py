@@ -178,7 +178,20 @@ def test_topk_against_brute_force(spark):
     got = [tuple(r) for r in topk.search(df, every=10, query_block=7).orderBy("query_id", "rank").collect()]
     want = [(q, k + 1, i, -s) for q in range(0, 300, 10) for k, (s, i) in enumerate(sorted((-int(x[i] @ x[q]), i) for i in range(300) if i != q)[:10])]
     assert got == want
-    assert topk.search(df.limit(0)).count() == 0 and topk.search(df.where("vec_id in (0, 3, 5)")).count() == 2
+    assert topk.search(df.limit(0)).count() == 0 and topk.search(spark.createDataFrame([(0, []), (1, [])], df.schema)).first().score == 0 and topk.search(df.where("vec_id in (0, 3, 5)")).count() == 2
+
+
+@pytest.mark.parametrize("top", [3.0, 1e9])
+def test_topk_of_repeated_rows_and_long_vectors(spark, top):
+    """As the SQL has it: every row but those with the query's id, as often as it is there."""
+    rng = random.Random(29)
+    rows = [(i, [rng.uniform(-top, top) for _ in range(4)]) for i in range(12)]
+    rows += [rows[3], rows[3], rows[5], rows[0], (0, [1.0, 0.0, 0.0, 0.0]), (7, [top, top, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = [(i, [math.floor(1024 * c) for c in v]) for i, v in rows]
+    got = [tuple(r) for r in topk.search(df).orderBy("query_id", "rank").collect()]
+    found = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, c)))), j) for i, q in x if i % 100 == 0 for j, c in x if i != j)[:10]
+    assert got == [(0, k + 1, j, -s) for k, (s, j) in enumerate(found)]
 
 
 def test_pages():
