@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -23,6 +24,10 @@ VERSION = "WARC/1.0"
 _HREF = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.IGNORECASE)
 _LENGTH = re.compile(r"[0-9]{1,18}")
+#: What every record begins with, and what follows.
+_MARK = b"WARC/"
+_VERSION = re.compile(rb"[0-9]+\.[0-9]+\r?\n")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 RESPONSE = "record_id string, target_uri string, warc_date string, warc_headers string, http_headers string, payload binary, block_digest string, payload_digest string, complete boolean"
 DERIVED = "warc_type string, record_id string, refers_to string, refers_to_target_uri string, refers_to_date string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, block string"
 _DERIVED_NAMES = [c.split()[0] for c in DERIVED.split(", ")]
@@ -61,11 +66,53 @@ def decoded(payload: bytes, http_headers: str | None) -> str:
         return payload.decode("utf-8", "replace")
 
 
+def _unchunked(body: bytes) -> bytes:
+    """Of a chunked body; what breaks the rules is left as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return body if not out else b"".join([*out, body[at:]])
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def _inflated(body: bytes, window: int) -> bytes | None:
+    """All gzip members, or one zlib or raw deflate stream; None if it is none. A stream that breaks off gives what it has."""
+    out, rest = [], body
+    try:
+        while rest:
+            one = zlib.decompressobj(window)
+            out += [one.decompress(rest), one.flush()]
+            rest = one.unused_data if window > 16 else b""
+    except zlib.error:
+        return b"".join(out) if out else None
+    return b"".join(out)
+
+
+def entity_body(payload: bytes, http: str) -> bytes:
+    """The payload without its transfer and content encodings (chunked, gzip, deflate); unknown ones stay."""
+    by = {n.lower(): v.lower() for n, v in fields(http)}
+    if "chunked" in by.get("transfer-encoding", ""):
+        payload = _unchunked(payload)
+    for coding in reversed([c.strip() for c in by.get("content-encoding", "").split(",")]):
+        for window in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            got = _inflated(payload, window)
+            if got is not None:
+                payload = got
+                break
+    return payload
+
+
 def derive(source: dict) -> tuple[tuple, tuple]:
     """The metadata and the conversion record of one response, as in DERIVED."""
     payload, http = source["payload"] or b"", source["http_headers"] or ""
     uri, date, refers = source["target_uri"], source["warc_date"], source["record_id"]
-    html = decoded(payload, http)
+    html = decoded(entity_body(payload, http), http)
     kind = next((v for n, v in fields(http) if n.lower() == "content-type"), "text/html")
     text = all_text(html) if "html" in kind.lower() else html if kind.lower().startswith("text/") else ""
     about = [("source-block-digest", source["block_digest"] or digest(http.encode("utf-8", "surrogatepass") + b"\r\n" + payload)), ("source-payload-digest", source["payload_digest"] or digest(payload))]
@@ -126,34 +173,95 @@ def write(records: DataFrame, path: str) -> None:
     records.select(F.concat(F.lit(f"{VERSION}\r\n"), *head, F.lit("\r\n"), F.coalesce("block", F.lit(""))).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
+class Framer:
+    """Puts together the records of one file from what lies between its marks, in order: a mark inside a block or a header starts no record."""
+
+    def __init__(self) -> None:
+        self._head: bytes | None = None  # of the record that is open
+        self._parts: list[bytes] = []
+        self._need = self._got = 0
+
+    def add(self, part: bytes) -> Iterator[tuple]:
+        if self._head is not None and self._got < self._need:
+            self._take(_MARK + part)
+        elif self._head is None and self._parts and not (self._parts[-1].endswith(b"\n") and _VERSION.match(part)):
+            self._parts = [b"".join([*self._parts, _MARK, part])]  # a mark inside a header
+            self._open()
+        else:
+            yield from self.end()
+            if _VERSION.match(part):
+                self._parts = [part]
+                self._open()
+            elif part.strip():
+                yield _record(None, part, False)
+        if self._head is not None and self._got >= self._need:
+            yield from self.end()
+
+    def _open(self) -> None:
+        found = _HEAD_END.search(self._parts[0])
+        if not found:
+            return
+        whole = self._parts[0]
+        self._head, block = whole[: found.start()], whole[found.end() :]
+        length = {n.lower(): v for n, v in fields(self._head.decode("utf-8", "replace"))}.get("content-length", "")
+        if not _LENGTH.fullmatch(length):
+            block = block.removesuffix(b"\r\n\r\n")
+        self._parts, self._got, self._need = [], 0, int(length) if _LENGTH.fullmatch(length) else len(block)
+        self._take(block)
+
+    def _take(self, data: bytes) -> None:
+        self._parts.append(data)
+        self._got += len(data)
+
+    def end(self) -> Iterator[tuple]:
+        """What is open, complete or not."""
+        if self._head is not None:
+            yield _record(self._head, b"".join(self._parts)[: self._need], self._got >= self._need)
+        elif self._parts:
+            yield _record(None, b"".join(self._parts), False)
+        self._head, self._parts, self._need, self._got = None, [], 0, 0
+
+
+def _record(head: bytes | None, block: bytes, whole: bool) -> tuple:
+    lines = head.decode("utf-8", "replace") if head is not None else None
+    by = {n.lower(): v for n, v in fields(lines or "")}
+    http, payload = None, block
+    if by.get("warc-type") == "response":
+        http, _, payload = block.partition(b"\r\n\r\n")
+        http = (http + b"\r\n").decode("latin-1")
+    return by.get("warc-type"), by.get("warc-record-id"), by.get("warc-target-uri"), by.get("warc-date"), lines, http, payload, by.get("warc-block-digest") or digest(block), by.get("warc-payload-digest") or digest(payload), whole
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records of uncompressed or gzipped WARC files: warc_type, then as in RESPONSE. Uncompressed files are read in splits.
+    """All records of uncompressed or gzipped WARC files of any version, framed by their Content-Length: warc_type, then as in RESPONSE.
 
     For records other than responses, http_headers is null and the payload is the whole block. complete is false
-    where the block is shorter than its Content-Length says; what lies beyond it is left out.
+    where the block is shorter than its Content-Length says; what lies beyond it is left out. A record without a Content-Length reaches to the
+    next one. What is no record has a null type and isn't complete. A file that is one split is framed as it is read; the
+    parts of larger uncompressed ones are brought together first, as a mark inside a block may lie in another split than the block's beginning.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["warc_type", *(c.split()[0] for c in RESPONSE.split(", "))]
         kinds = {"payload": pa.binary(), "complete": pa.bool_()}
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds.get(n, pa.string())) for k, n in enumerate(names)], names=names)
+
+        framer, file = Framer(), None
         for batch in batches:
-            out = []
-            for (values,) in text_rows(batch, "value", size=64):
-                for data in values:
-                    head, found, block = data.partition(b"\r\n\r\n")
-                    if not found:
-                        continue
-                    lines = head.decode("utf-8", "replace")
-                    by = {n.lower(): v for n, v in fields(lines)}
-                    length = int(by["content-length"]) if _LENGTH.fullmatch(by.get("content-length", "")) else len(block)
-                    whole, block = len(block) >= length, block[:length]
-                    http = None
-                    if by.get("warc-type") == "response":
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        http = (http + b"\r\n").decode("latin-1")
-                    else:
-                        payload = block
-                    out.append((by.get("warc-type"), by.get("warc-record-id"), by.get("warc-target-uri"), by.get("warc-date"), lines, http, payload, by.get("warc-block-digest") or digest(block), by.get("warc-payload-digest") or digest(payload), whole))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds.get(n, pa.string())) for k, n in enumerate(names)], names=names)
-
-    return spark.read.option("lineSep", f"{VERSION}\r\n").text(path).select(F.col("value").cast("binary").alias("value")).mapInArrow(of, f"warc_type string, {RESPONSE}")
+            for values, files in text_rows(batch, "value", "file", size=64):
+                out = []
+                for data, name in zip(values, files, strict=True):
+                    if name != file:
+                        out += framer.end()
+                        file = name
+                    out += framer.add(data)
+                yield batch_of(out)
+        yield batch_of(list(framer.end()))
+
+    parts = spark.read.option("lineSep", _MARK.decode()).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("cut"), F.monotonically_increasing_id().alias("n"))
+    schema = f"warc_type string, {RESPONSE}"
+    whole = parts.where("not cut").select("value", "file").mapInArrow(of, schema)
+    together = parts.where("cut").repartition("file").sortWithinPartitions("file", "at", "n").select("value", "file")
+    return whole.unionByName(together.mapInArrow(of, schema))

@@ -1,8 +1,10 @@
 """Operators against brute force, and the cases that every operator must stand."""
 
+import gzip
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -224,6 +226,32 @@ def test_warc_round_trip(spark, tmp_path):
     assert bytes(back[text.record_id].payload) == text.block.encode() and back[text.record_id].block_digest == text.block_digest
 
 
+@pytest.mark.parametrize("split", ["128m", "300b"])
+def test_responses_are_framed_by_their_lengths(spark, tmp_path, split):
+    """Several versions, gzip members, marks inside payloads and headers, encoded bodies, a record that breaks off."""
+    page = b"<html><body><p>It says WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc here</p></body></html>"
+
+    def response(version, uri, http, body, cut=0):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + http + b"\r\n" + body
+        return f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{uri}>\r\nWARC-Target-URI: http://x.org/WARC/{uri}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + (block[:-cut] if cut else block) + b"\r\n\r\n"
+
+    chunked = b"5\r\n" + page[:5] + b"\r\n" + f"{len(page) - 5:x}\r\n".encode() + page[5:] + b"\r\n0\r\n\r\n"
+    records = [response("1.0", "a", b"", page), response("1.1", "b", b"Content-Encoding: gzip\r\n", gzip.compress(page)), response("1.1", "c", b"Transfer-Encoding: chunked\r\n", chunked), response("1.0", "d", b"Content-Encoding: deflate\r\n", zlib.compress(page)), response("1.1", "e", b"", page, cut=20)]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[:4]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = warc.read(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.record_id, r.complete) for r in got) == sorted([(f"<urn:{u}>", u != "e") for u in "abcde"] + [(f"<urn:{u}>", True) for u in "abcd"])
+    by = {r.record_id: r for r in got}
+    assert bytes(by["<urn:a>"].payload) == page and by["<urn:a>"].target_uri == "http://x.org/WARC/a"
+    for u in "abcd":
+        assert warc.derive(by[f"<urn:{u}>"].asDict())[1][-1] == "It says WARC/1.0 WARC-Type: response Content-Length: 3 abc here"
+
+
 def test_lengths_that_are_no_numbers(spark, tmp_path):
     for k, n in enumerate(["²", "9" * 5000, "-1", "x"]):
         (tmp_path / f"{k}.warc").write_bytes(f"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: {n}\r\n\r\nbody".encode())
