@@ -1,7 +1,7 @@
 """Main text of web pages by two passes over their blocks.
 
 First, each block is judged by itself: link density, length and the share of stop words make it good or bad, or
-leave it undecided if it is short or tells too little. Then undecided blocks take the label of the nearest decided
+leave it undecided if it is short or tells too little. On a page in a language without stop words here, length and link density decide. Then undecided blocks take the label of the nearest decided
 neighbours inside the same article. Blocks in menus, notices, forms and the like are bad by their markup.
 """
 
@@ -40,6 +40,9 @@ _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PART = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+#: Ideographs and syllables of scripts without spaces between words.
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -90,9 +93,9 @@ def blocks(html: str | None) -> list[Block]:
 
     def flush() -> None:
         if pieces:
-            text = " ".join(unescape("".join(pieces)).split())
+            text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(state[0], text, min(len(text), len(" ".join(unescape("".join(linked)).split()))) if linked else 0, state[1], state[2]))
+                out.append(Block(state[0], text, min(len(text), len(" ".join("".join(linked).split()))) if linked else 0, state[1], state[2]))
             pieces.clear()
             linked.clear()
 
@@ -100,6 +103,8 @@ def blocks(html: str | None) -> list[Block]:
         state[:] = stack[-1] if stack else ("", False, 0)
 
     def add(text: str) -> None:
+        if "&" in text:  # a reference ends where a tag begins
+            text = unescape(text)
         pieces.append(text)
         if in_link:
             linked.append(text)
@@ -173,23 +178,41 @@ def blocks(html: str | None) -> list[Block]:
     return out
 
 
-def _by_itself(b: Block, short: int, long: int, few: float, many: float, links: float) -> bool | None:
-    """True: good, False: bad, None: undecided."""
+def _length(text: str) -> int:
+    """In characters; those of scripts without spaces between words say about three times as much."""
+    return len(text) + 2 * len(_WIDE.findall(text)) if not text.isascii() else len(text)
+
+
+def _stop_words(b: Block) -> tuple[int, int]:
+    """How many of the block's words are stop words, and how many words it has."""
+    words = _WORD.findall(b.text.lower())
+    return sum(w in _STOP for w in words), len(words)
+
+
+def _by_itself(b: Block, known: tuple[int, int] | None, short: int, long: int, few: float, many: float, links: float) -> bool | None:
+    """True: good, False: bad, None: undecided. known: of _stop_words(), or None where they tell nothing."""
     if b.excluded or b.linked > links * len(b.text):
         return False
-    if b.tag in _HEADINGS or len(b.text) < short:
-        return False if "©" in b.text and not b.article else None
-    words = _WORD.findall(b.text.lower())
-    share = sum(w in _STOP for w in words) / max(1, len(words))
+    if b.tag in _HEADINGS or _length(b.text) < short:
+        return False if _RIGHTS.match(b.text) and not b.article else None
+    if known is None:
+        return True if _length(b.text) >= long else None
+    share = known[0] / max(1, known[1])
     if share >= (many if len(b.text) < long else few):
         return True
     return None if share >= few / 2 or b.article else False
 
 
 def main_text(html: str | None, *, short: int = 70, long: int = 200, few: float = 0.1, many: float = 0.15, links: float = 0.3) -> str:
-    """The good blocks' texts, joined by one space. short, long: characters; few, many: shares of stop words; links: share of linked characters."""
+    """The good blocks' texts, joined by one space. short, long: characters; few, many: shares of stop words; links: share of linked characters.
+
+    A page whose blocks together have less than a quarter of `few` is taken to be in another language. Of two decided neighbours
+    equally far away the good one counts.
+    """
     found = blocks(html)
-    label = [_by_itself(b, short, long, few, many, links) for b in found]
+    known = [(0, 0) if b.excluded or b.linked > links * len(b.text) or len(b.text) < short // 3 else _stop_words(b) for b in found]
+    other = sum(k for k, _ in known) < few / 4 * sum(n for _, n in known)
+    label = [_by_itself(b, None if other else k, short, long, few, many, links) for b, k in zip(found, known, strict=True)]
     # an article's blocks have their neighbours in it, where what markup excludes is none; other blocks have them anywhere
     decided: dict[int, list[int]] = {0: [k for k, v in enumerate(label) if v is not None]}
     for k, (b, v) in enumerate(zip(found, label, strict=True)):

@@ -206,6 +206,14 @@ def test_pages():
     assert html.main_text(page) == "The & title It was the best of times and it was the worst of times for all of them <here> and there. Short. In the end they had all that they were looking for, and it was as good as it could have been for them."
     plain = "<body><ul><li><a href=a>Home</a><li><a href=b>News of the day</a></ul><div>It is the story of a man who was at the end of his way, and of all that he had seen by then and there.</div><div>So it was.</div><div>And it is the end of the story, as far as anyone who was there with them could say at the time.</div><p>Contact us</p><div><a href=x>more of the same</a></div></body>"
     assert html.main_text(plain).startswith("It is the story") and "Home" not in html.main_text(plain)
+    russian = "Это история о человеке, который прошёл весь свой путь до конца и увидел там всё, что хотел увидеть; он рассказал об этом своим детям, а они своим, и так эта история дошла до нас через много лет почти без изменений."
+    chinese = "这是一个关于一个人的故事，他走完了自己的路，看到了他想看到的一切；他把这件事告诉了他的孩子们，孩子们又告诉了他们的孩子，就这样，这个故事经过许多年几乎没有改变地传到了我们这里，今天我们把它写下来。"
+    for text in (russian, chinese):
+        page = f"<body><ul><li><a href=a>Меню</a><li><a href=b>新闻</a></ul><div>{text}</div><div>{text[:20]}</div><div class=footer>{text}</div></body>"
+        assert html.main_text(page) == f"{text} {text[:20]}"
+    told = "It is the story of a man who was at the end of his way, and of all that he had seen by then"
+    assert html.main_text(f"<p>{told} &<b>amp;</b> &lt<i>there</i> ©</p>") == f"{told} &amp; <there ©"
+    assert html.main_text(f"<div>{told}.</div><div>{told}.</div><div>It has a © in it.</div><div>© all of it</div>") == f"{told}. {told}. It has a © in it."
     for odd in (None, "", "<", "a < b", "<p", "<!-- x", "<script>", "<a href='x>y", "</", "<p>" * 3000, "<b " * 3000, "<!--" * 3000):
         assert isinstance(html.main_text(odd), str)
 
