@@ -25,29 +25,25 @@ class AsofSource:
 def asof_join(left: DataFrame, sources: Sequence[AsofSource], *, key: str, left_time: str) -> DataFrame:
     """left with the sources' value columns (their names must differ). A NULL left time or key finds nothing.
 
-    All sources share one shuffle and one sort by key and time: markers for left rows and rows of each source
+    All sources share one shuffle and one sort, by key, time and ties: markers for left rows and rows of each source
     are stacked, and the last non-null row of each source is carried forward. No pair is ever built.
     """
-    frames = []
-    kinds = [f"struct<{', '.join(f'`{v}`: {s.table.schema[v].dataType.simpleString()}' for v in s.values)}>".replace(": ", ":") for s in sources]
+    kinds = [f"struct<{','.join(f'`{v}`:{s.table.schema[v].dataType.simpleString()}' for v in s.values)}>" for s in sources]
     payload = f"struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in left.schema.fields)}>"
+    tie_of = {(k, t): (f"__tie{k}_{i}", s.table.schema[t].dataType) for k, s in enumerate(sources) for i, t in enumerate(s.ties)}
 
     def stacked(df: DataFrame, time: str, side: int, which: int) -> DataFrame:
         rows = F.struct(*(F.col(f"`{c}`") for c in (left.columns if which < 0 else sources[which].values)))
         columns = [F.col(key).alias("__key"), F.col(time).cast("date").alias("__time"), F.lit(side).alias("__side"), (rows if which < 0 else F.lit(None).cast(payload)).alias("__left")]
+        columns += [(F.col(t) if k == which else F.lit(None).cast(kind)).alias(name) for (k, t), (name, kind) in tie_of.items()]
         return df.select(*columns, *((rows if k == which else F.lit(None).cast(kinds[k])).alias(f"__right{k}") for k in range(len(sources))))
 
-    frames.append(stacked(left, left_time, 1, -1))
+    union = stacked(left, left_time, 1, -1)
     for k, s in enumerate(sources):
-        latest = Window.partitionBy(key, s.time).orderBy(*(F.desc_nulls_first(t) for t in s.ties), F.lit(1))
-        clean = s.table.where(F.col(key).isNotNull() & F.col(s.time).isNotNull())
-        if s.ties:
-            clean = clean.withColumn("__n", F.row_number().over(latest)).where("__n = 1")
-        frames.append(stacked(clean, s.time, 0, k))
-    union = frames[0]
-    for f in frames[1:]:
-        union = union.unionByName(f)
-    past = Window.partitionBy("__key").orderBy(F.asc_nulls_first("__time"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+        union = union.unionByName(stacked(s.table.where(F.col(key).isNotNull() & F.col(s.time).isNotNull()), s.time, 0, k))
+    # among equal times of one source the greatest ties come last; those of other sources are NULL there
+    order = [F.asc_nulls_first("__time"), F.asc("__side"), *(F.asc_nulls_last(name) for name, _ in tie_of.values())]
+    past = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     found = union.withColumns({f"__found{k}": F.last(f"__right{k}", ignorenulls=True).over(past) for k in range(len(sources))})
     values = [F.when(F.col("__key").isNotNull() & F.col("__time").isNotNull(), F.col(f"__found{k}.`{v}`")).alias(v) for k, s in enumerate(sources) for v in s.values]
     return found.where("__side = 1").select(*(F.col(f"__left.`{c}`").alias(c) for c in left.columns), *values)

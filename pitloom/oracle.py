@@ -6,7 +6,7 @@ import re
 
 from .plans.factors import FACTORS
 from .plans.lake import BASIC, STATEMENTS
-from .queries import EVALUATED, SETTINGS, STEP_FACTORS
+from .queries import FACTORS_OF_MANY, FACTORS_REGRESSED, SETTINGS, STEP_FACTORS
 
 _LABELS = SETTINGS.labels
 _FIELDS = SETTINGS.factors
@@ -20,7 +20,7 @@ PARTS: dict[str, str] = {
         FROM lineitem GROUP BY 1, 2, 3""",
     "cal": "SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS idx, lag(trade_date) OVER (ORDER BY trade_date) AS prev_trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS next_trade_date FROM (SELECT DISTINCT d AS trade_date FROM bars)",
     "calendar": "SELECT trade_date, prev_trade_date, next_trade_date, coalesce(strftime(trade_date, '%Y-%m') <> strftime(next_trade_date, '%Y-%m'), true) AS is_month_end, strftime(trade_date, '%Y-%m') AS month, idx FROM cal",
-    "factors_of_day": "SELECT ts_code, d, 1 + 0.05::DOUBLE * (year(d) - 1995) AS adj_factor FROM bars WHERE NOT (k % 13 = 0 AND month(d) = 3)",
+    "factors_of_day": "SELECT ts_code, d, 1 + 0.05::DOUBLE * (year(d) - 1995) AS adj_factor FROM bars WHERE NOT (k % 13 = 0 AND month(d) = 3) AND NOT (year(d) = 1996 AND month(d) = 5)",
     "prices": """SELECT b.ts_code, b.d AS trade_date, low AS open, high, low, amount / vol AS close, NULL::DOUBLE AS pre_close, NULL::DOUBLE AS change, NULL::DOUBLE AS pct_chg, vol, amount, adj_factor,
         low * adj_factor AS adj_open, high * adj_factor AS adj_high, low * adj_factor AS adj_low, (amount / vol) * adj_factor AS adj_close
         FROM bars b LEFT JOIN factors_of_day f USING (ts_code, d)""",
@@ -61,7 +61,7 @@ _METRICS = {
     "fi": ("ann", "ann", None, {"roe": "revenue / assets", "roa": "cost / assets", "gross_margin": "(revenue - cost) / revenue"}),
     "inc": ("ann", "coalesce(f_ann, ann)", ("f_ann_date", "f_ann"), {"revenue": "revenue", "oper_cost": "cost", "n_income_attr_p": "revenue * 0.1::DOUBLE"}),
     "bs": ("ann", "coalesce(f_ann, ann)", ("f_ann_date", "f_ann"), {"total_assets": "assets", "total_liab": "assets * 0.4::DOUBLE + cost", "money_cap": "revenue * 0.1::DOUBLE", "inventories": "cost * 0.2::DOUBLE + 1"}),
-    "cf": ("ann", "coalesce(f_ann, ann)", ("f_ann_date", "f_ann"), {"n_cashflow_act": "revenue - cost"}),
+    "cf": ("ann", "coalesce(f_ann, ann)", ("f_ann_date", "f_ann"), {"n_cashflow_act": "(revenue - cost) * (0.7::DOUBLE + 0.1::DOUBLE * (k % 4))"}),
     "fc": ("(end_date - 15)::DATE", "(end_date - 15)::DATE", ("first_ann_date", "(end_date - 15 - (k % 4)::INTEGER)::DATE"), {"net_profit_min": "revenue * 0.08::DOUBLE"}),
     "ex": ("(end_date + 10)::DATE", "(end_date + 10)::DATE", None, {"revenue": "revenue"}),
 }
@@ -137,7 +137,7 @@ _RISK = {
     "idiosyncratic_volatility": "CASE WHEN var_m > 0 THEN sqrt(CASE WHEN var_i - cov * cov / var_m < 0 THEN 0 ELSE var_i - cov * cov / var_m END) END",
 }
 
-PARTS["wide"] = "SELECT *, " + ", ".join(f"{_FORMULAS[n]} AS factor_{n}" for n in dict.fromkeys([*EVALUATED, *STEP_FACTORS])) + " FROM snapshot"
+PARTS["wide"] = "SELECT s.*, " + ", ".join(f"{(_FORMULAS | _RISK)[n]} AS factor_{n}" for n in STEP_FACTORS) + " FROM snapshot s LEFT JOIN (SELECT ts_code AS m_code, trade_date AS m_date, * EXCLUDE (ts_code, trade_date) FROM moments) m ON m_code = s.ts_code AND m_date = s.rebalance_date"
 PARTS["long0"] = " UNION ALL ".join(f"SELECT rebalance_date, ts_code, coalesce(is_eligible, false) AS e, industry, total_mv, 'factor_{n}_raw' AS factor_name, factor_{n} AS v FROM wide" for n in STEP_FACTORS)
 
 
@@ -200,29 +200,66 @@ PARTS["summary"] = f"""SELECT {_P}, ic_mean, ic_std, ic_hit_rate, mean_universe_
 PARTS["corr_series"] = " UNION ALL ".join(f"SELECT rebalance_date, '{a}' AS factor_a, '{b}' AS factor_b, {_corr(f'{a}', f'{b}').replace(f'stddev_pop({a})', f'stddev_pop({a}) FILTER ({b} IS NOT NULL)').replace(f'stddev_pop({b})', f'stddev_pop({b}) FILTER ({a} IS NOT NULL)') if a != b else f'var_pop({a}) / nullif(stddev_pop({a}) * stddev_pop({a}), 0)'} AS correlation, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS pair_size, count(*) AS universe_size FROM wide WHERE coalesce(is_eligible, false) GROUP BY 1" for i, a in enumerate(_FIELDS) for b in _FIELDS[i:])
 PARTS["corr_means"] = "SELECT factor_a, factor_b, count(correlation) AS observation_months, avg(correlation) AS mean_corr, stddev_samp(correlation) AS corr_std, avg(abs(correlation)) AS mean_abs_corr, max(abs(correlation)) AS max_abs_corr, avg(pair_size) AS mean_pair_size FROM corr_series GROUP BY ALL"
 PARTS["corr_both"] = "SELECT factor_a, factor_b, mean_corr FROM corr_means UNION SELECT factor_b, factor_a, mean_corr FROM corr_means"
-PARTS["two"] = "SELECT rebalance_date, ts_code, factor_size AS a, factor_book_to_market AS b FROM aligned WHERE factor_size IS NOT NULL AND factor_book_to_market IS NOT NULL"
-PARTS["two_sums"] = "SELECT rebalance_date, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a) * count(*) AS saa, var_pop(b) * count(*) AS sbb, covar_pop(a, b) * count(*) AS sab FROM two GROUP BY 1 HAVING count(*) >= 2"
-PARTS["residuals"] = """SELECT rebalance_date, ts_code, 'factor_size' AS factor_name, (a - ma) - coalesce(CASE WHEN sbb > 1e-12 THEN sab / sbb END, 0) * (b - mb) AS e, CASE WHEN saa > 0 THEN coalesce(CASE WHEN sbb > 1e-12 THEN sab / sbb END, 0) * sab / saa END AS r2, n FROM two JOIN two_sums USING (rebalance_date)
-    UNION ALL SELECT rebalance_date, ts_code, 'factor_book_to_market', (b - mb) - coalesce(CASE WHEN saa > 1e-12 THEN sab / saa END, 0) * (a - ma), CASE WHEN sbb > 0 THEN coalesce(CASE WHEN saa > 1e-12 THEN sab / saa END, 0) * sab / sbb END, n FROM two JOIN two_sums USING (rebalance_date)"""
-PARTS["residual_base"] = "SELECT rebalance_date, factor_name, max(r2) AS r2, max(n) AS n_obs, stddev_pop(e) AS spread FROM residuals GROUP BY ALL"
-PARTS["residual_pairs"] = "SELECT r.rebalance_date, r.factor_name, 'label_fwd_ret_1m' AS label_name, r.ts_code, e AS x, label_fwd_ret_1m AS y FROM residuals r JOIN residual_base b USING (rebalance_date, factor_name) JOIN aligned a ON a.rebalance_date = r.rebalance_date AND a.ts_code = r.ts_code WHERE spread > 1e-12 AND label_fwd_ret_1m IS NOT NULL"
-PARTS["residual_ic"] = f"SELECT {_G}, {_corr('rx', 'ry')} AS residual_rank_ic FROM (SELECT {_G}, {_ranked('x', _G)} AS rx, {_ranked('y', _G)} AS ry FROM residual_pairs) GROUP BY ALL"
-PARTS["residual_spread"] = f"SELECT {_G}, avg(y) FILTER (quantile = 5) - avg(y) FILTER (quantile = 1) AS residual_spread FROM (SELECT *, {_bucket('x', _G)} AS quantile FROM residual_pairs QUALIFY count(*) OVER (PARTITION BY {_G}) >= 5) GROUP BY ALL"
-PARTS["redundancy"] = f"SELECT b.rebalance_date, b.factor_name, 'label_fwd_ret_1m' AS label_name, r2, n_obs, residual_rank_ic, residual_spread FROM residual_base b LEFT JOIN residual_ic i ON b.rebalance_date = i.rebalance_date AND b.factor_name = i.factor_name LEFT JOIN residual_spread s ON b.rebalance_date = s.rebalance_date AND b.factor_name = s.factor_name"
+
+
+def _swept(a: str, p: int, k: int) -> str:
+    """One step of Gauss and Jordan on the k x k list `a` (whose diagonal was `d` at first): after the pivots P it holds the coefficients of every other
+    variable on P in P's rows, and what P leaves of the variances in the diagonal. A variable that those before explain is no pivot."""
+    at = lambda i, j: f"{a}[({i}) * {k} + {j} + 1]"
+    i, j, pivot = f"(x // {k})", f"(x % {k})", at(p, p)
+    cells = f"CASE WHEN {i} = {p} AND {j} = {p} THEN 1 / {pivot} WHEN {i} = {p} THEN {at(p, j)} / {pivot} WHEN {j} = {p} THEN -{at(i, p)} / {pivot} ELSE {at(i, j)} - {at(i, p)} * {at(p, j)} / {pivot} END"
+    return f"CASE WHEN {pivot} <= 1e-10 * {a}0[{p * k + p + 1}] THEN {a} ELSE list_transform(range({k * k}), lambda x: {cells}) END"
+
+
+def _moments(group: str, fields: list[str], source: str, least: int) -> str:
+    k, whole = len(fields), " AND ".join(f"{f} IS NOT NULL" for f in fields)
+    cells = ", ".join(f"covar_pop({x}, {y})" for x in fields for y in fields)
+    return f"SELECT {group}, n, mu, a, a AS a0 FROM (SELECT {group}, count(*) AS n, [{', '.join(f'avg({f})' for f in fields)}] AS mu, [{cells}] AS a FROM {source} WHERE {whole} GROUP BY {group} HAVING count(*) >= {least})"
+
+
+def _regressions(name: str, factors: tuple[str, ...]) -> None:
+    """Parts {name}_residuals, _redundancy, _fm for these factors and all labels."""
+    fields = [f"factor_{n}" for n in factors]
+    k, whole = len(fields), " AND ".join(f"factor_{n} IS NOT NULL" for n in factors)
+    PARTS[f"{name}_r"] = f"SELECT m.*, t FROM ({_moments('rebalance_date', fields, 'aligned', k)}) m CROSS JOIN (SELECT unnest(range({k})) AS t)"
+    for p in range(k):
+        PARTS[f"{name}_r{p}"] = f"SELECT * EXCLUDE (a), CASE WHEN t = {p} THEN a ELSE {_swept('a', p, k)} END AS a FROM {name}_r{p - 1 if p else ''}"
+    rest = lambda t: f"(w.{fields[t]} - mu[{t + 1}])" + "".join(f" - a[{p * k + t + 1}] * (w.{fields[p]} - mu[{p + 1}])" for p in range(k) if p != t)
+    own_at = lambda t: (f"a[{t * k + t + 1}]", f"a0[{t * k + t + 1}]")
+    cases = " ".join(f"WHEN {t} THEN CASE WHEN {own_at(t)[0]} <= 1e-10 * {own_at(t)[1]} THEN 0 ELSE {rest(t)} END" for t in range(k))
+    own = " ".join(f"WHEN {t} THEN CASE WHEN {own_at(t)[1]} > 0 THEN CASE WHEN {own_at(t)[0]} <= 1e-10 * {own_at(t)[1]} THEN 1 ELSE 1 - {own_at(t)[0]} / {own_at(t)[1]} END END" for t in range(k))
+    PARTS[f"{name}_residuals"] = f"SELECT w.rebalance_date, ts_code, [{', '.join(repr(f) for f in fields)}][t + 1] AS factor_name, CASE t {cases} END AS e, CASE t {own} END AS r2, n FROM aligned w JOIN {name}_r{k - 1} USING (rebalance_date) WHERE {whole}"
+    PARTS[f"{name}_base"] = f"SELECT rebalance_date, factor_name, max(r2) AS r2, max(n) AS n_obs, stddev_pop(e) AS spread FROM {name}_residuals GROUP BY ALL"
+    PARTS[f"{name}_pairs"] = " UNION ALL ".join(f"SELECT r.rebalance_date, r.factor_name, '{y}' AS label_name, r.ts_code, e AS x, {y} AS y FROM {name}_residuals r JOIN {name}_base b USING (rebalance_date, factor_name) JOIN aligned a ON a.rebalance_date = r.rebalance_date AND a.ts_code = r.ts_code WHERE spread > 1e-12 AND {y} IS NOT NULL" for y in _LABELS)
+    PARTS[f"{name}_ic"] = f"SELECT {_G}, {_corr('rx', 'ry')} AS residual_rank_ic FROM (SELECT {_G}, {_ranked('x', _G)} AS rx, {_ranked('y', _G)} AS ry FROM {name}_pairs) GROUP BY ALL"
+    PARTS[f"{name}_spread"] = f"SELECT {_G}, avg(y) FILTER (quantile = 5) - avg(y) FILTER (quantile = 1) AS residual_spread FROM (SELECT *, {_bucket('x', _G)} AS quantile FROM {name}_pairs QUALIFY count(*) OVER (PARTITION BY {_G}) >= 5) GROUP BY ALL"
+    PARTS[f"{name}_redundancy"] = f"SELECT {_G}, r2, n_obs, residual_rank_ic, residual_spread FROM {name}_base CROSS JOIN (SELECT unnest([{', '.join(repr(y) for y in _LABELS)}]) AS label_name) LEFT JOIN {name}_ic USING ({_G}) LEFT JOIN {name}_spread USING ({_G})"
+    PARTS[f"{name}_l"] = " UNION ALL ".join(f"SELECT rebalance_date, '{y}' AS label_name, {', '.join(fields)}, {y} AS y FROM aligned" for y in _LABELS)
+    PARTS[f"{name}_f"] = _moments("rebalance_date, label_name", [*fields, "y"], f"{name}_l", k + 1)
+    for p in range(k):
+        here = p * (k + 1) + p + 1
+        PARTS[f"{name}_f{p}"] = f"SELECT * EXCLUDE (a), a[{here}] <= 1e-10 * a0[{here}] AS skip{p}, {_swept('a', p, k + 1)} AS a FROM {name}_f{p - 1 if p else ''}"
+    # with one factor that others explain, of all solutions the one of least norm: along the direction v that leaves the fit as it is
+    skips, cell = " + ".join(f"skip{p}::INTEGER" for p in range(k)), lambda p, q: f"a[{p * (k + 1)} + {q} + 1]"
+    PARTS[f"{name}_b"] = f"SELECT rebalance_date, label_name, n, mu, {skips} AS skipped, [{', '.join(f'CASE WHEN skip{p} THEN 0 ELSE {cell(p, k)} END' for p in range(k))}] AS b, CASE {' '.join(f'WHEN skip{q} THEN [{", ".join("1" if p == q else f"CASE WHEN skip{p} THEN 0 ELSE -{cell(p, q)} END" for p in range(k))}]' for q in range(k))} END AS v FROM {name}_f{k - 1}"
+    dot = lambda x, y: " + ".join(f"{x}[{p + 1}] * {y}[{p + 1}]" for p in range(k))
+    PARTS[f"{name}_z"] = f"SELECT *, coalesce(((mu[{k + 1}] - ({dot('b', 'mu')})) * ({dot('v', 'mu')}) - ({dot('b', 'v')})) / (({dot('v', 'mu')}) * ({dot('v', 'mu')}) + {dot('v', 'v')}), 0) AS z FROM {name}_b"
+    PARTS[f"{name}_c"] = f"SELECT *, [{', '.join(f'b[{p + 1}] + z * coalesce(v[{p + 1}], 0)' for p in range(k))}] AS c FROM {name}_z"
+    terms = [("intercept", f"mu[{k + 1}] - ({dot('c', 'mu')})"), *((f, f"c[{p + 1}]") for p, f in enumerate(fields))]
+    PARTS[f"{name}_fm"] = " UNION ALL ".join(f"SELECT rebalance_date, label_name, '{t}' AS term, {e} AS coefficient, n AS n_obs, {k + 1} - skipped AS design_rank, skipped = 0 AS full_rank FROM {name}_c" for t, e in terms)
+
+
+_regressions("reg", FACTORS_REGRESSED)
+_regressions("many", FACTORS_OF_MANY)
 PARTS["redundancy_means"] = f"""SELECT {_P}, r.observation_months, mean_r2, residual_ic_mean, residual_spread_mean, ic_mean, spread_mean, residual_ic_mean / nullif(ic_mean, 0) AS residual_ic_retention, residual_spread_mean / nullif(spread_mean, 0) AS residual_spread_retention
-    FROM (SELECT {_P}, count(DISTINCT rebalance_date) AS observation_months, avg(r2) AS mean_r2, avg(residual_rank_ic) AS residual_ic_mean, avg(residual_spread) AS residual_spread_mean FROM redundancy GROUP BY ALL) r LEFT JOIN summary USING ({_P})"""
+    FROM (SELECT {_P}, count(DISTINCT rebalance_date) AS observation_months, avg(r2) AS mean_r2, avg(residual_rank_ic) AS residual_ic_mean, avg(residual_spread) AS residual_spread_mean FROM reg_redundancy GROUP BY ALL) r LEFT JOIN summary USING ({_P})"""
 PARTS["periods"] = "SELECT rebalance_date, ntile(3) OVER (ORDER BY rebalance_date) AS period FROM (SELECT DISTINCT rebalance_date FROM aligned)"
 PARTS["subperiods"] = f"""SELECT period, {_P}, ic_months, ic_mean, ic_std, ic_hit_rate, spread_mean, spread_std, ic_mean / nullif(ic_std, 0) AS icir, spread_mean / nullif(spread_std, 0) AS spread_ir
     FROM (SELECT period, {_P}, count(rank_ic) AS ic_months, avg(rank_ic) AS ic_mean, stddev_samp(rank_ic) AS ic_std, avg((rank_ic > 0)::INTEGER) AS ic_hit_rate FROM ic JOIN periods USING (rebalance_date) GROUP BY ALL)
     LEFT JOIN (SELECT period, {_P}, avg(top_bottom_spread) AS spread_mean, stddev_samp(top_bottom_spread) AS spread_std FROM spreads JOIN periods USING (rebalance_date) GROUP BY ALL) USING (period, {_P})"""
 PARTS["robust"] = f"""SELECT {_P}, count(*) AS periods, max(s.ic_mean) AS ic_mean, min(p.ic_mean) AS min_period_ic, max(p.ic_mean) AS max_period_ic, avg(coalesce(sign(p.ic_mean) = sign(s.ic_mean), false)::INTEGER) AS ic_sign_consistency,
     max(s.spread_mean) AS spread_mean, min(p.spread_mean) AS min_period_spread, max(p.spread_mean) AS max_period_spread, avg(coalesce(sign(p.spread_mean) = sign(s.spread_mean), false)::INTEGER) AS spread_sign_consistency FROM subperiods p LEFT JOIN summary s USING ({_P}) GROUP BY ALL"""
-PARTS["fm"] = """SELECT rebalance_date, count(*) AS n, avg(factor_size) AS mx, avg(label_fwd_ret_1m) AS my, covar_pop(factor_size, label_fwd_ret_1m) AS sxy, var_pop(factor_size) AS sxx FROM aligned WHERE factor_size IS NOT NULL AND label_fwd_ret_1m IS NOT NULL GROUP BY 1 HAVING count(*) >= 2"""
-PARTS["fm_solved"] = "SELECT *, sxx > 1e-24 AS ok, CASE WHEN sxx > 1e-24 THEN sxy / sxx ELSE mx * my / (1 + mx * mx) END AS slope FROM fm"
-PARTS["fm_series"] = """SELECT rebalance_date, 'label_fwd_ret_1m' AS label_name, 'intercept' AS term, CASE WHEN ok THEN my - slope * mx ELSE my / (1 + mx * mx) END AS coefficient, n AS n_obs, CASE WHEN ok THEN 2 ELSE 1 END AS design_rank, ok AS full_rank FROM fm_solved
-    UNION ALL SELECT rebalance_date, 'label_fwd_ret_1m', 'factor_size', slope, n, CASE WHEN ok THEN 2 ELSE 1 END, ok FROM fm_solved"""
-PARTS["fm_means"] = "SELECT label_name, term, count(coefficient) AS observation_months, avg(coefficient) AS mean_coefficient, stddev_samp(coefficient) AS coefficient_std, avg((coefficient > 0)::INTEGER) AS positive_ratio, avg(n_obs) AS mean_n_obs, avg(full_rank::INTEGER) AS full_rank_ratio, avg(coefficient) / nullif(stddev_samp(coefficient) / sqrt(count(coefficient)), 0) AS t_stat FROM fm_series GROUP BY ALL"
-PARTS["bars_1998"] = "SELECT ts_code, trade_date, close FROM prices WHERE year(trade_date) = 1998"
+PARTS["fm_means"] = "SELECT label_name, term, count(coefficient) AS observation_months, avg(coefficient) AS mean_coefficient, stddev_samp(coefficient) AS coefficient_std, avg((coefficient > 0)::INTEGER) AS positive_ratio, avg(n_obs) AS mean_n_obs, avg(full_rank::INTEGER) AS full_rank_ratio, avg(coefficient) / nullif(stddev_samp(coefficient) / sqrt(count(coefficient)), 0) AS t_stat FROM reg_fm GROUP BY ALL"
 
 _MV = ("total_mv", "circ_mv", "pb", "pe_ttm", "ps_ttm", "dv_ttm", "turnover_rate", "turnover_rate_f", "volume_ratio")
 _MARKET = ["rebalance_date", "ts_code", "price_trade_date", "close", "adj_close", "amount", "vol", "daily_basic_trade_date", *_MV]
@@ -236,6 +273,7 @@ def _pivot(chain: str) -> str:
 
 
 def _board(table: str, columns: str, order: str, where: str = "true", k: int = 5) -> str:
+    order = re.sub(r"\b(\w+)((?: DESC)? NULLS LAST)", r"round(\1, 12)\2", order)
     return f"SELECT {columns} FROM {table} WHERE {where} ORDER BY {order} LIMIT {k}"
 
 
@@ -277,12 +315,14 @@ SELECTS: dict[str, str] = {
     "factor_corr_timeseries": "SELECT * FROM corr_series",
     "factor_corr_summary": "SELECT * FROM corr_means",
     "factor_corr_matrix": f"SELECT factor_a AS factor_name, {', '.join(f'''max(mean_corr) FILTER (factor_b = '{f}') AS {f}''' for f in _FIELDS)} FROM corr_both GROUP BY 1",
-    "redundancy_timeseries": "SELECT * FROM redundancy",
+    "redundancy_timeseries": "SELECT * FROM reg_redundancy",
+    "redundancy_many": "SELECT * FROM many_redundancy",
     "redundancy_summary": "SELECT * FROM redundancy_means",
     "robustness_periods": "SELECT period, min(rebalance_date) AS start_date, max(rebalance_date) AS end_date, count(*) AS months FROM periods GROUP BY 1",
     "subperiod_summary": "SELECT * FROM subperiods",
     "robustness_summary": "SELECT * FROM robust",
-    "fama_macbeth_timeseries": "SELECT * FROM fm_series",
+    "fama_macbeth_timeseries": "SELECT * FROM reg_fm",
+    "fama_macbeth_many": "SELECT * FROM many_fm",
     "fama_macbeth_summary": "SELECT * FROM fm_means",
     "validate_calendar": "SELECT count(*) AS rows, 0 AS month_label_consistency, (SELECT count(*) FROM (SELECT 1 FROM calendar GROUP BY strftime(trade_date, '%Y-%m') HAVING sum(is_month_end::INTEGER) <> 1)) AS single_month_end_per_month, 0 AS prev_trade_date_link, 0 AS next_trade_date_link, count(DISTINCT month) AS month_count, sum(is_month_end::INTEGER)::BIGINT AS month_end_count FROM calendar",
     "validate_prices": "SELECT count(*) AS rows, 0 AS partition_columns_match_trade_date, count(*) FILTER (abs(adj_open - open * adj_factor) > 1e-8 + 1e-5 * abs(open * adj_factor)) AS adj_open_formula, count(*) FILTER (abs(adj_close - close * adj_factor) > 1e-8 + 1e-5 * abs(close * adj_factor)) AS adj_close_formula, count(DISTINCT ts_code) AS unique_ts_code_count, count(DISTINCT trade_date) AS trade_date_count, round(avg((adj_factor IS NOT NULL)::INTEGER), 6) AS adj_factor_non_null_ratio FROM prices",
@@ -290,8 +330,8 @@ SELECTS: dict[str, str] = {
     "validate_snapshot": f"SELECT count(*) AS rows, 0 AS partition_columns_match_rebalance_date, count(*) FILTER (price_trade_date > rebalance_date) AS price_cutoff, count(*) FILTER (daily_basic_trade_date > rebalance_date) AS daily_basic_cutoff, {' + '.join(f'count(*) FILTER ({p}_tradable_date > trade_execution_date)' for p in STATEMENTS)} AS tradable_date_cutoff, {_COVERED} FROM snapshot",
     "validate_alignment": "SELECT count(*) FILTER (s.ts_code IS NULL OR u.ts_code IS NULL) AS key_alignment_with_monthly_universe, count(*) FILTER (s.ts_code IS NOT NULL AND u.ts_code IS NOT NULL AND (s.is_eligible IS DISTINCT FROM u.is_eligible OR s.exclude_reason IS DISTINCT FROM u.exclude_reason OR s.trade_execution_date IS DISTINCT FROM u.trade_execution_date)) AS universe_audit_columns_consistency FROM snapshot s FULL JOIN universe u ON s.rebalance_date = u.rebalance_date AND s.ts_code = u.ts_code",
     "validate_duplicates": "SELECT coalesce(sum(n), 0)::BIGINT AS primary_key_unique FROM (SELECT count(*) AS n FROM prices GROUP BY trade_date HAVING count(*) > 1)",
-    "upsert_by_month": "SELECT ts_code, trade_date, CASE WHEN month(trade_date) = 2 THEN close * 2 ELSE close END AS close FROM bars_1998 WHERE month(trade_date) <= 3",
-    "replace_by_month": "SELECT ts_code, trade_date, close, year(trade_date) AS year, month(trade_date) AS month FROM bars_1998",
+    "upsert_by_month": "SELECT ts_code, trade_date, CASE WHEN year(trade_date) = 1996 THEN close * 2 ELSE close END AS close FROM prices",
+    "replace_by_month": "SELECT ts_code, trade_date, close, year(trade_date) AS year, month(trade_date) AS month FROM prices",
     "incremental_ingest": "SELECT ts_code, trade_date, close, vol, amount FROM prices",
     "leaderboard_top_ic": _board("ic_summary", "factor_name, label_name, ic_mean, icir, ic_hit_rate", "ic_mean DESC NULLS LAST, factor_name, label_name"),
     "leaderboard_bottom_ic": _board("ic_summary", "factor_name, label_name, ic_mean, icir, ic_hit_rate", "ic_mean NULLS LAST, factor_name, label_name"),
@@ -316,7 +356,7 @@ def assembled(select: str, doubles: list[str]) -> str:
     """The query with its doubles rounded like the Spark results."""
     found: dict[str, None] = {}
     _needed(select, found)
-    rounded = f" REPLACE ({', '.join(f'round({c} * (1 + 1e-12::DOUBLE), 6) + 0.0::DOUBLE AS {c}' for c in doubles)})" if doubles else ""
+    rounded = f" REPLACE ({', '.join(f'round({c} * (1 + 1e-12::DOUBLE), CASE WHEN abs({c}) < 0.001 THEN 9 ELSE 6 END) + 0.0::DOUBLE AS {c}' for c in doubles)})" if doubles else ""
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n]})" for n in found) + f"\nSELECT *{rounded} FROM ({select})"
 
 

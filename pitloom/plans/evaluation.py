@@ -1,12 +1,13 @@
 """Evaluation of factors against labels: 18 tables, all on long panels.
 
 Groups are (factor, label) pairs within a date; nothing loops over pairs on the driver. Regressions on several factors are
-one least-squares problem for each date (and label), the only step in Python; its groups are one date's cross-section.
+one least-squares problem for each date (and label): Spark sums a date's means and covariances, Python solves for the
+coefficients from those alone, and residuals come from a join with the coefficients.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,12 +126,15 @@ def evaluation_summary(ic: DataFrame, spread: DataFrame, monotonicity: DataFrame
 
 
 def correlation_timeseries(factors: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Pearson of every unordered pair of factors (each with itself too) for each date, over eligible rows that have both: one aggregation."""
+    """Pearson of every unordered pair of factors (each with itself too) for each date, over eligible rows that have both: one aggregation by date and pair."""
     eligible = factors.where(F.coalesce("is_eligible", F.lit(False)))
-    chosen = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    both = lambda a, b: F.sum((F.col(a).isNotNull() & F.col(b).isNotNull()).cast("long"))
-    wide = eligible.groupBy(DATE).agg(F.count(F.lit(1)).alias("universe_size"), *(F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), correlation(F.col(a), F.col(b)).alias("correlation"), both(a, b).alias("pair_size")).alias(f"p{k}") for k, (a, b) in enumerate(chosen)))
-    return wide.select(DATE, "universe_size", F.explode(F.array(*(f"p{k}" for k in range(len(chosen))))).alias("p")).select(DATE, "p.*", "universe_size")
+    # every value, then every value from it on
+    first = eligible.select(DATE, F.array(*names).alias("values")).select(DATE, "values", F.posexplode("values").alias("i", "x"))
+    both = first.select(DATE, "i", "x", F.posexplode(F.slice("values", F.col("i") + 1, len(names))).alias("more", "y")).withColumn("j", F.col("i") + F.col("more"))
+    pair = F.sum((F.col("x").isNotNull() & F.col("y").isNotNull()).cast("long"))
+    out = both.groupBy(DATE, "i", "j").agg(correlation(F.col("x"), F.col("y")).alias("correlation"), pair.alias("pair_size"), F.count(F.lit(1)).alias("universe_size"))
+    name = lambda k: F.get(F.array(*map(F.lit, names)), F.col(k))
+    return out.select(DATE, name("i").alias("factor_a"), name("j").alias("factor_b"), "correlation", "pair_size", "universe_size")
 
 
 def correlation_summary(series: DataFrame) -> DataFrame:
@@ -144,47 +148,92 @@ def correlation_matrix(summary: DataFrame, names: Sequence[str]) -> DataFrame:
     return mirrored.groupBy(F.col("factor_a").alias("factor_name")).pivot("factor_b", list(names)).agg(F.max("mean_corr"))
 
 
+# -- regressions ------------------------------------------------------------------------------------------------------
+
+
+def moments(rows: DataFrame, group: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """group, n_obs, means (by field), covariances (by pair i <= j, row after row), over rows that have all fields."""
+    pairs_ = [(a, b) for i, a in enumerate(fields) for b in fields[i:]]
+    means, covariances = F.array(*map(F.avg, fields)), F.array(*(F.covar_pop(a, b) for a, b in pairs_))
+    return rows.dropna(subset=list(fields)).groupBy(*group).agg(F.count(F.lit(1)).alias("n_obs"), means.alias("means"), covariances.alias("covariances"))
+
+
+#: A regression that leaves no more than this of the variance leaves rounding errors: a residual of zero.
+_NOTHING = 1e-10
+
+
+def _square(flat: Sequence[float], k: int) -> np.ndarray:
+    out = np.zeros((k, k))
+    out[np.triu_indices(k)] = flat
+    return out + np.triu(out, 1).T
+
+
+def solve(means: np.ndarray, covariances: np.ndarray, target: int) -> tuple[float, np.ndarray, int]:
+    """Intercept, coefficients and rank (with the constant's) of one field on all others: the least-squares solution of least norm.
+
+    A direction counts as none if it has less than 1e-10 of the variance that fields of their own would have.
+    """
+    others = np.delete(np.arange(len(means)), target)
+    mean, inner, outer = means[others], covariances[np.ix_(others, others)], covariances[others, target]
+    spread = np.diag(inner) > 1e-20 * (1 + mean**2)
+    scale = np.where(spread, np.sqrt(np.where(spread, np.diag(inner), 1)), 1.0)
+    values, axes = np.linalg.eigh(inner / np.outer(scale, scale) * np.outer(spread, spread))
+    kept = values > 1e-10
+    beta = axes[:, kept] @ ((axes[:, kept].T @ (outer / scale * spread)) / values[kept]) / scale
+    intercept = means[target] - mean @ beta
+    if not kept.all():  # what the data leave open is chosen for the least norm
+        free = axes[:, ~kept] / scale[:, None]
+        move = np.linalg.lstsq(np.vstack([-mean @ free, free]), -np.concatenate([[intercept], beta]), rcond=None)[0]
+        beta = beta + free @ move
+        intercept = means[target] - mean @ beta
+    return float(intercept), beta, int(kept.sum()) + 1
+
+
 # -- redundancy -------------------------------------------------------------------------------------------------------
 
 
+def redundancy_coefficients(aligned: DataFrame, names: Sequence[str]) -> DataFrame:
+    """date, n_obs, means, fits (by factor: coefficients of all factors, 0 for its own, and r2), for dates with as many rows as coefficients."""
+    k = len(names)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fits = []
+            for means, flat in zip(batch["means"], batch["covariances"], strict=True):
+                means, covariances = np.array(means, float), _square(flat, k)
+                one = []
+                for target in range(k):
+                    _, beta, _ = solve(means, covariances, target)
+                    full = np.insert(beta, target, 0.0)
+                    own = covariances[target, target]
+                    rest = own - 2 * full @ covariances[target] + full @ covariances @ full
+                    left = rest / own if own > 1e-20 * (1 + means[target] ** 2) else None
+                    one.append({"coefficients": full.tolist(), "r2": None if left is None else 1.0 if left <= _NOTHING else 1 - left})
+                fits.append(one)
+            yield batch[[DATE, "n_obs", "means"]].assign(fits=fits)
+
+    return moments(aligned, [DATE], names).where(F.col("n_obs") >= k).mapInPandas(of, f"{DATE} date, n_obs long, means array<double>, fits array<struct<coefficients: array<double>, r2: double>>")
+
+
 def redundancy_residuals(aligned: DataFrame, names: Sequence[str]) -> DataFrame:
     """date, ts_code, factor_name, residual, r2, n_obs of each factor's least squares on all others and a constant, over rows that have all factors.
 
-    Dates with fewer rows than coefficients are left out; r2 is NULL where the factor is constant.
+    Dates with fewer rows than coefficients are left out; r2 is NULL where the factor is constant, 1 (and the residual 0) where the others explain it.
     """
     if len(names) < 2:
         raise ValueError("redundancy needs two factors")
-    fields = list(names)
-
-    def of(cross: pd.DataFrame) -> pd.DataFrame:
-        x, n = cross[fields].to_numpy(float), len(cross)
-        out = []
-        for k, name in enumerate(fields if n >= len(fields) else []):
-            others, y = np.column_stack([np.ones(n), np.delete(x, k, 1)]), x[:, k]
-            rest = y - others @ np.linalg.lstsq(others, y, rcond=None)[0]
-            total = float(((y - y.mean()) ** 2).sum())
-            out.append(pd.DataFrame({DATE: cross[DATE].to_numpy(), "ts_code": cross["ts_code"].to_numpy(), "factor_name": name, "residual": rest, "r2": 1 - float((rest**2).sum()) / total if total > 0 else np.nan, "n_obs": n}))
-        none = np.zeros(0)
-        return pd.concat(out) if out else pd.DataFrame({DATE: cross[DATE].iloc[:0], "ts_code": cross["ts_code"].iloc[:0], "factor_name": cross["ts_code"].iloc[:0], "residual": none, "r2": none, "n_obs": none.astype(np.int64)})
-
-    complete = aligned.select(DATE, "ts_code", *fields).dropna(subset=fields)
-    return complete.groupBy(DATE).applyInPandas(of, f"{DATE} date, ts_code string, factor_name string, residual double, r2 double, n_obs long")
+    complete = aligned.select(DATE, "ts_code", *names).dropna(subset=list(names))
+    met = complete.join(F.broadcast(redundancy_coefficients(complete, names)), DATE)  # a row for each month
+    centred = [F.col(n) - F.get("means", F.lit(i)) for i, n in enumerate(names)]
 
+    def residual(k: int):
+        fit = F.get("fits", F.lit(k))
+        explained = sum((F.get(fit["coefficients"], F.lit(i)) * c for i, c in enumerate(centred) if i != k), F.lit(0.0))
+        rest = F.when(fit["r2"] == 1, F.lit(0.0)).otherwise(centred[k] - explained)
+        return F.struct(F.lit(names[k]).alias("factor_name"), rest.alias("residual"), fit["r2"].alias("r2"))
 
-def redundancy_residuals_of_two(aligned: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The same for exactly two factors, without Python: the line through centred moments."""
-    a, b = names
-    rows = aligned.select(DATE, "ts_code", a, b).dropna(subset=[a, b])
-    date = Window.partitionBy(DATE)
-    rows = rows.withColumns({"n_obs": F.count(F.lit(1)).over(date), "da": F.col(a) - F.avg(a).over(date), "db": F.col(b) - F.avg(b).over(date)})
-    rows = rows.withColumns({"saa": F.sum(F.col("da") * F.col("da")).over(date), "sbb": F.sum(F.col("db") * F.col("db")).over(date), "sab": F.sum(F.col("da") * F.col("db")).over(date)}).where("n_obs >= 2")
-
-    def side(name: str, y: str, x: str) -> DataFrame:
-        syy, sxx = F.col(f"s{y}{y}"), F.col(f"s{x}{x}")
-        slope = F.coalesce(F.try_divide(F.col("sab"), F.when(sxx > 1e-12, sxx)), F.lit(0.0))
-        return rows.select(DATE, "ts_code", F.lit(name).alias("factor_name"), (F.col(f"d{y}") - slope * F.col(f"d{x}")).alias("residual"), F.when(syy > 0, F.try_divide(slope * F.col("sab"), syy)).alias("r2"), "n_obs")
-
-    return side(a, "a", "b").unionByName(side(b, "b", "a"))
+    each = met.select(DATE, "ts_code", F.explode(F.array(*map(residual, range(len(names))))).alias("x"), "n_obs")
+    return each.select(DATE, "ts_code", "x.factor_name", "x.residual", "x.r2", "n_obs")
 
 
 def redundancy_timeseries(residuals: DataFrame, aligned: DataFrame, s: EvaluationSettings) -> DataFrame:
@@ -251,31 +300,19 @@ def fama_macbeth_timeseries(aligned: DataFrame, s: EvaluationSettings) -> DataFr
     """date, label_name, term (intercept or factor), coefficient, n_obs, design_rank, full_rank: least squares of least norm of the label on all factors
     and a constant, over complete rows, for dates with at least as many rows as coefficients."""
     fields, k = list(s.factors), len(s.factors) + 1
+    terms = ["intercept", *fields]
 
-    def of(cross: pd.DataFrame) -> pd.DataFrame:
-        n = len(cross)
-        if n < k:
-            none = np.zeros(0, np.int64)
-            return pd.DataFrame({DATE: cross[DATE].iloc[:0], "label_name": cross["label_name"].iloc[:0], "term": cross["label_name"].iloc[:0], "coefficient": none.astype(float), "n_obs": none, "design_rank": none, "full_rank": none.astype(bool)})
-        x = np.column_stack([np.ones(n), cross[fields].to_numpy(float)])
-        beta, _, rank, _ = np.linalg.lstsq(x, cross["label_value"].to_numpy(float), rcond=None)
-        return pd.DataFrame({DATE: cross[DATE].iloc[0], "label_name": cross["label_name"].iloc[0], "term": ["intercept", *fields], "coefficient": beta, "n_obs": n, "design_rank": int(rank), "full_rank": bool(rank == k)})
-
-    long = stack(aligned, s.labels, [DATE, "ts_code", *fields], "label_name", "label_value").dropna(subset=[*fields, "label_value"])
-    return long.groupBy(DATE, "label_name").applyInPandas(of, f"{DATE} date, label_name string, term string, coefficient double, n_obs long, design_rank long, full_rank boolean")
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for day, label, n, means, flat in zip(batch[DATE], batch["label_name"], batch["n_obs"], batch["means"], batch["covariances"], strict=True):
+                intercept, beta, rank = solve(np.array(means, float), _square(flat, k), k - 1)
+                out += [(day, label, t, c, n, rank, rank == k) for t, c in zip(terms, [intercept, *beta.tolist()], strict=True)]
+            yield pd.DataFrame(out, columns=[DATE, "label_name", "term", "coefficient", "n_obs", "design_rank", "full_rank"])
 
-
-def fama_macbeth_of_one(aligned: DataFrame, s: EvaluationSettings) -> DataFrame:
-    """The same for one factor, without Python. A constant factor c has the solution of least norm: mean / (1 + c²) and c times that."""
-    (x,) = s.factors
-    long = stack(aligned, s.labels, [DATE, "ts_code", x], "label_name", "label_value").dropna(subset=[x, "label_value"])
-    g = long.groupBy(DATE, "label_name").agg(F.count(F.lit(1)).alias("n_obs"), F.avg(x).alias("mx"), F.avg("label_value").alias("my"), F.covar_pop(x, "label_value").alias("sxy"), F.var_pop(x).alias("sxx")).where("n_obs >= 2")
-    spread = F.col("sxx") > 1e-24
-    least = F.try_divide(F.col("my"), 1 + F.col("mx") * F.col("mx"))
-    slope = F.when(spread, F.try_divide(F.col("sxy"), F.col("sxx"))).otherwise(F.col("mx") * least)
-    g = g.withColumns({"slope": slope, "design_rank": F.when(spread, F.lit(2)).otherwise(F.lit(1)).cast("long"), "full_rank": spread}).withColumn("intercept", F.when(spread, F.col("my") - F.col("slope") * F.col("mx")).otherwise(least))
-    terms = F.array(F.struct(F.lit("intercept").alias("term"), F.col("intercept").alias("coefficient")), F.struct(F.lit(x).alias("term"), F.col("slope").alias("coefficient")))
-    return g.select(DATE, "label_name", F.explode(terms).alias("t"), "n_obs", "design_rank", "full_rank").select(DATE, "label_name", "t.*", "n_obs", "design_rank", "full_rank")
+    long = stack(aligned, s.labels, [DATE, "ts_code", *fields], "label_name", "label_value")
+    found = moments(long, [DATE, "label_name"], [*fields, "label_value"]).where(F.col("n_obs") >= k)
+    return found.mapInPandas(of, f"{DATE} date, label_name string, term string, coefficient double, n_obs long, design_rank long, full_rank boolean")
 
 
 def fama_macbeth_summary(series: DataFrame) -> DataFrame:
@@ -288,25 +325,31 @@ def fama_macbeth_summary(series: DataFrame) -> DataFrame:
 # -- all tables -------------------------------------------------------------------------------------------------------
 
 
-def evaluate(factors: DataFrame, labels: DataFrame, s: EvaluationSettings) -> dict[str, DataFrame]:
-    """The 18 tables by name, lazily. Several share the aligned panel; persist the inputs or write them first."""
-    aligned = aligned_panel(factors, labels, s)
-    ic = rank_ic_timeseries(aligned, s)
-    returns = quantile_returns(aligned, s)
-    spreads = spread_timeseries(returns, s.quantiles)
-    out = {"rank_ic_timeseries": ic, "rank_ic_summary": rank_ic_summary(ic), "quantile_returns": returns, "quantile_summary": quantile_summary(returns), "top_bottom_spread_timeseries": spreads, "top_bottom_spread_summary": spread_summary(spreads)}
+def evaluate(factors: DataFrame, labels: DataFrame, s: EvaluationSettings, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
+    """The 18 tables by name. keep(name, table) is called for the tables that others are made from, in order, and gives what they read: a caller that
+    writes them and reads them back has each computed once. Without it all tables are lazy."""
+    aligned = keep("aligned_panel", aligned_panel(factors, labels, s))
+    out: dict[str, DataFrame] = {}
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        out[name] = keep(name, df)
+        return out[name]
+
+    ic = kept("rank_ic_timeseries", rank_ic_timeseries(aligned, s))
+    out["rank_ic_summary"] = rank_ic_summary(ic)
+    returns = kept("quantile_returns", quantile_returns(aligned, s))
+    out["quantile_summary"] = quantile_summary(returns)
+    spreads = kept("top_bottom_spread_timeseries", spread_timeseries(returns, s.quantiles))
+    out["top_bottom_spread_summary"] = spread_summary(spreads)
     out["monotonicity_summary"] = monotonicity_summary(returns, out["quantile_summary"], s.quantiles)
-    out["evaluation_summary"] = evaluation_summary(out["rank_ic_summary"], out["top_bottom_spread_summary"], out["monotonicity_summary"])
-    out["factor_correlation_timeseries"] = correlation_timeseries(factors, s.factors)
-    out["factor_correlation_summary"] = correlation_summary(out["factor_correlation_timeseries"])
+    summary = kept("evaluation_summary", evaluation_summary(out["rank_ic_summary"], out["top_bottom_spread_summary"], out["monotonicity_summary"]))
+    correlations = kept("factor_correlation_timeseries", correlation_timeseries(factors, s.factors))
+    out["factor_correlation_summary"] = correlation_summary(correlations)
     out["factor_correlation_matrix"] = correlation_matrix(out["factor_correlation_summary"], s.factors)
     if len(s.factors) > 1:
-        out["redundancy_timeseries"] = redundancy_timeseries(redundancy_residuals(aligned, s.factors), aligned, s)
-        out["redundancy_summary"] = redundancy_summary(out["redundancy_timeseries"], out["evaluation_summary"])
+        out["redundancy_summary"] = redundancy_summary(kept("redundancy_timeseries", redundancy_timeseries(redundancy_residuals(aligned, s.factors), aligned, s)), summary)
     periods = robustness_periods(aligned, s.periods)
     out["robustness_periods"] = period_bounds(periods)
-    out["subperiod_summary"] = subperiod_summary(ic, spreads, periods)
-    out["robustness_summary"] = robustness_summary(out["subperiod_summary"], out["evaluation_summary"])
-    out["fama_macbeth_timeseries"] = fama_macbeth_timeseries(aligned, s)
-    out["fama_macbeth_summary"] = fama_macbeth_summary(out["fama_macbeth_timeseries"])
+    out["robustness_summary"] = robustness_summary(kept("subperiod_summary", subperiod_summary(ic, spreads, periods)), summary)
+    out["fama_macbeth_summary"] = fama_macbeth_summary(kept("fama_macbeth_timeseries", fama_macbeth_timeseries(aligned, s)))
     return out

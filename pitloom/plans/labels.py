@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_divide
-from .lake import schedule
+from .lake import check_schedule, schedule
 
 _NAME = re.compile(r"[a-z][a-z0-9_]*")
 
@@ -71,17 +71,28 @@ class LabelRegistry:
 LABELS = LabelRegistry([LabelSpec("fwd_ret_1m", 1), LabelSpec("fwd_ret_3m", 3), LabelSpec("fwd_ret_6m", 6)])
 
 
-def label_panel(universe: DataFrame, prices: DataFrame, specs: Sequence[LabelSpec] | None = None) -> DataFrame:
+def label_panel(universe: DataFrame, prices: DataFrame, specs: Sequence[LabelSpec] | None = None, *, check: bool = True) -> DataFrame:
     """Base columns, the start (adjusted price on the execution date), then for each label its end date, end price and return.
 
-    A label's end is the execution date k rebalance dates later; the return is NULL if either price is missing or the first is zero.
+    A label's end is the execution date k rebalance dates later; the return is NULL if either price is missing or the first is zero. Of
+    several prices of a security and a day the last one as read counts. ValueError if a rebalance date has two execution dates (check: an action).
+
+    Only bars on execution dates matter; they become one map of prices by date for each security, so that the universe is joined once.
     """
     specs = LABELS.list() if specs is None else list(specs)
+    keys = ["rebalance_date", "trade_execution_date"]
+    months = schedule(universe)
+    if check:
+        check_schedule(months)
     by_date = Window.orderBy("rebalance_date")  # one row for each month
-    dates = schedule(universe).select("rebalance_date", *(F.lead("trade_execution_date", s.months).over(by_date).alias(f"{s.field}_end_date") for s in specs))
-    out = universe.select("rebalance_date", "trade_execution_date", "ts_code", "is_eligible", "exclude_reason", "year", "month").join(F.broadcast(dates), "rebalance_date", "left")
-    bars = prices.select("ts_code", "trade_date", "adj_close")
-    for day, name in (("trade_execution_date", "label_start_adj_close"), *((f"{s.field}_end_date", f"{s.field}_end_adj_close") for s in specs)):
-        out = out.join(bars.select("ts_code", F.col("trade_date").alias(day), F.col("adj_close").alias(name)), ["ts_code", day], "left")
+    dates = months.select(*keys, *(F.lead("trade_execution_date", s.months).over(by_date).alias(f"{s.field}_end_date") for s in specs))
+    days = F.broadcast(months.select(F.col("trade_execution_date").alias("trade_date")))
+    bars = prices.select("ts_code", "trade_date", "adj_close").withColumn("__at", F.monotonically_increasing_id()).join(days, "trade_date", "left_semi")
+    by_day = bars.groupBy("ts_code", "trade_date").agg(F.max_by("adj_close", "__at").alias("adj_close"))
+    maps = by_day.groupBy("ts_code").agg(F.map_from_entries(F.collect_list(F.struct("trade_date", "adj_close"))).alias("__prices"))
+    base = ["rebalance_date", "trade_execution_date", "ts_code", "is_eligible", "exclude_reason", "year", "month"]
+    out = universe.select(*base).join(F.broadcast(dates), keys, "left").join(maps, "ts_code", "left")
+    at = lambda day: F.try_element_at("__prices", F.col(day))
+    out = out.withColumns({"label_start_adj_close": at("trade_execution_date"), **{f"{s.field}_end_adj_close": at(f"{s.field}_end_date") for s in specs}})
     values = [c for s in specs for c in (F.col(f"{s.field}_end_date"), F.col(f"{s.field}_end_adj_close"), (safe_divide(F.col(f"{s.field}_end_adj_close"), F.col("label_start_adj_close")) - 1).alias(s.field))]
     return out.select("rebalance_date", "trade_execution_date", "ts_code", "is_eligible", "exclude_reason", F.col("trade_execution_date").alias("label_start_date"), "label_start_adj_close", *values, "year", "month")

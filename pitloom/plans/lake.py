@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import number, require_columns, with_dates
+from ..functions.scalars import number, with_dates
 from ..operators.asof import AsofSource, asof_join
 from ..operators.calendar_map import map_dates
+from ..operators.unique import assert_unique
 
 PRICES = ("open", "high", "low", "close")
 PRICE_PANEL = ("ts_code", "trade_date", *PRICES, "pre_close", "change", "pct_chg", "vol", "amount", "adj_factor", *(f"adj_{p}" for p in PRICES))
@@ -44,11 +45,15 @@ def calendar_table(raw: DataFrame) -> DataFrame:
 # -- prices -----------------------------------------------------------------------------------------------------------
 
 
-def adjusted_price_panel(daily: DataFrame, factors: DataFrame) -> DataFrame:
-    """Prices times the adjustment factor of the same day; without a factor the adjusted ones are NULL."""
+def adjusted_price_panel(daily: DataFrame, factors: DataFrame, *, check: bool = True) -> DataFrame:
+    """Prices times the adjustment factor of the same day; without a factor the adjusted ones are NULL. ValueError if a security
+    and day has two prices or two factors (check: an action)."""
     keys = ["ts_code", "trade_date"]
     prices = with_dates(daily, "trade_date")
     factor = with_dates(factors, "trade_date").select(*keys, number(F.col("adj_factor")).alias("adj_factor"))
+    if check:
+        for table, name in ((prices, "daily"), (factor, "adj_factor")):
+            assert_unique(table, keys, name)
     joined = prices.join(factor, keys, "left")
     plain = [number(F.col(c)).alias(c) for c in (*PRICES, "pre_close", "change", "pct_chg", "vol", "amount")]
     return joined.select(*keys, *plain, "adj_factor", *((number(F.col(p)) * F.col("adj_factor")).alias(f"adj_{p}") for p in PRICES))
@@ -214,11 +219,3 @@ def check_schedule(dates: DataFrame) -> None:
     twice = dates.groupBy("rebalance_date").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"{twice[0].rebalance_date} has two execution dates")
-
-
-def read_raw(tables: Mapping[str, DataFrame], name: str, columns: Sequence[str]) -> DataFrame:
-    if name not in tables:
-        raise FileNotFoundError(name)
-    require_columns(tables[name], columns, name)
-    return tables[name]
-

@@ -1,17 +1,20 @@
 """One query for each operator, over raw market tables made from the star schema (sources/proxy.py).
 
-Numbers are rounded to six digits and dates are dates, so that results can be compared across engines.
-Evaluation runs on raw factors, whose values don't depend on the order of sums.
+Numbers are rounded to six digits (small ones to nine) and dates are dates, so that results can be compared across engines.
+Evaluation runs on all raw factors, whose values don't depend on the order of sums. Regressions take six of them: in the tables made here
+others are sums of each other, so that their residuals would be rounding errors.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Config
 from .functions.ranks import quantile_bucket
 from .operators import cross_section
 from .operators.asof import AsofSource, asof_join
@@ -23,15 +26,22 @@ from .plans.labels import LABELS, label_panel
 from .research.report import BOARDS, leaderboard
 from .sources.market import FrameSource
 from .sources.proxy import LEAST, RULES, WINDOW, Proxy
-from .sources.stages import fingerprint, staged
-from .sources.store import merge_by_key
-
-#: Factors and labels that the evaluation queries compare.
-EVALUATED = ("size", "book_to_market", "reversal_1m", "momentum_3_1", "roe", "leverage")
-SETTINGS = ev.EvaluationSettings([f"factor_{n}" for n in EVALUATED], [s.field for s in LABELS.list()])
-TWO = ev.EvaluationSettings(["factor_size", "factor_book_to_market"], ["label_fwd_ret_1m"])
-ONE = ev.EvaluationSettings(["factor_size"], ["label_fwd_ret_1m"])
-STEP_FACTORS = ("size", "book_to_market", "roe")
+from .sources.stages import fingerprint, shared_folder, staged
+from .sources.state import IngestionState
+from .sources.store import Store
+from .streaming.ingest import Ingestor
+
+#: All factors and labels.
+STEP_FACTORS = EVALUATED = tuple(s.name for s in FACTORS.list())
+FACTORS_REGRESSED = ("size", "book_to_market", "reversal_1m", "momentum_3_1", "roe", "leverage")
+FACTORS_OF_MANY = ("beta", "gross_margin", "turnover")
+
+
+def _settings(names) -> ev.EvaluationSettings:
+    return ev.EvaluationSettings([f"factor_{n}" for n in names], [s.field for s in LABELS.list()])
+
+
+SETTINGS, REGRESSED, MANY = map(_settings, (EVALUATED, FACTORS_REGRESSED, FACTORS_OF_MANY))
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -41,7 +51,8 @@ def tidy(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
         if kind == "double":
-            c = F.round(c * F.lit(1 + 1e-12), 6) + F.lit(0.0)  # engines break exact ties differently
+            x = c * F.lit(1 + 1e-12)  # engines break exact ties differently
+            c = F.when(F.abs(c) < 0.001, F.round(x, 9)).otherwise(F.round(x, 6)) + F.lit(0.0)
         elif kind in ("int", "smallint", "bigint"):
             c = c.cast("bigint")
         elif kind.startswith("timestamp"):
@@ -100,7 +111,7 @@ class Tables:
 
     @cached_property
     def aligned(self) -> DataFrame:
-        return ev.aligned_panel(self.evaluated, self.labels, SETTINGS)
+        return self._stage("aligned", lambda: ev.aligned_panel(self.evaluated, self.labels, SETTINGS))
 
     @cached_property
     def ic(self) -> DataFrame:
@@ -124,11 +135,11 @@ class Tables:
 
     @cached_property
     def correlation(self) -> DataFrame:
-        return ev.correlation_timeseries(self.evaluated, SETTINGS.factors)
+        return self._stage("correlations", lambda: ev.correlation_timeseries(self.evaluated, SETTINGS.factors))
 
     @cached_property
     def redundancy(self) -> DataFrame:
-        return ev.redundancy_timeseries(ev.redundancy_residuals_of_two(self.aligned, TWO.factors), self.aligned, TWO)
+        return self._stage("redundancy", lambda: ev.redundancy_timeseries(ev.redundancy_residuals(self.aligned, REGRESSED.factors), self.aligned, REGRESSED))
 
     @cached_property
     def periods(self) -> DataFrame:
@@ -140,11 +151,11 @@ class Tables:
 
     @cached_property
     def fama_macbeth(self) -> DataFrame:
-        return ev.fama_macbeth_of_one(self.aligned, ONE)
+        return ev.fama_macbeth_timeseries(self.aligned, REGRESSED)
 
     @cached_property
     def long(self) -> DataFrame:
-        """Three raw factors, long, with exposures."""
+        """All raw factors, long, with exposures."""
         raw = self.raws(STEP_FACTORS)
         return stack(raw, [f"factor_{n}_raw" for n in STEP_FACTORS], ["rebalance_date", "ts_code", "is_eligible", "industry", "market", "total_mv"])
 
@@ -199,26 +210,41 @@ def _moments(t: Tables) -> DataFrame:
     return rolling_moments(t.prices, window=WINDOW, least=LEAST)
 
 
+def _store(t: Tables) -> Store:
+    """A store of its own in the shared folder."""
+    return Store(t.spark, shared_folder(t.spark))
+
+
+_BARS = ["ts_code", "trade_date", "close"]
+
+
 def _upsert(t: Tables) -> DataFrame:
-    """January and February of 1998 are stored; March comes in, with all of February again at twice the price."""
-    bars = t.prices.select("ts_code", "trade_date", "close").where("year(trade_date) = 1998")
-    stored = bars.where("month(trade_date) <= 2")
-    new = bars.where("month(trade_date) in (2, 3)").withColumn("close", F.when(F.month("trade_date") == 2, F.col("close") * 2).otherwise(F.col("close")))
-    return merge_by_key(stored, new, ["ts_code", "trade_date"])
+    """The years up to 1996 are stored; those from 1996 on come in, with all of 1996 again at twice the price."""
+    store, bars = _store(t), t.prices.select(*_BARS)
+    store.replace_by_month(bars.where("year(trade_date) <= 1996"), "bars", date="trade_date", keys=_BARS[:2])
+    twice = F.when(F.year("trade_date") == 1996, F.col("close") * 2).otherwise(F.col("close"))
+    store.upsert_by_month(bars.where("year(trade_date) >= 1996").withColumn("close", twice), "bars", date="trade_date", keys=_BARS[:2])
+    return store.read("bars", _BARS)
 
 
 def _replace(t: Tables) -> DataFrame:
-    bars = t.prices.select("ts_code", "trade_date", "close").where("year(trade_date) = 1998")
-    return lake.year_month(merge_by_key(None, bars.unionByName(bars), ["ts_code", "trade_date"]), "trade_date")
+    """All bars, twice each, over a table that held something else."""
+    store, bars = _store(t), t.prices.select(*_BARS)
+    for rows in (bars.withColumn("close", F.lit(0.0)).where("ts_code like '%.SH'"), bars.unionByName(bars)):
+        store.replace_by_month(rows, "bars", date="trade_date", keys=_BARS[:2])
+    return store.read("bars", [*_BARS, "year", "month"])
 
 
 def _ingest(t: Tables) -> DataFrame:
-    """A history up to the middle of 1998, then all days since, with the last twenty again: the same as one load."""
-    source = FrameSource({"daily": t.raw.daily()})
-    first = source.fetch("daily", None, "19980630")
-    later = source.fetch("daily", "19980210", None)
-    dated = [lake.with_dates(x, "trade_date").select("ts_code", "trade_date", "close", "vol", "amount") for x in (first, later)]
-    return merge_by_key(dated[0], dated[1], ["ts_code", "trade_date"])
+    """A history up to the middle of 1998, then all since the watermark less its look-back: the same as one load."""
+    store = _store(t)
+    source = FrameSource({"daily": t.raw.daily(), "trade_cal": t.raw.trade_cal()})
+    with tempfile.TemporaryDirectory() as folder:  # the state is the driver's alone
+        ingestor = Ingestor(t.spark, source, store, IngestionState(f"{folder}/state.json"), Config(history_start="19900101"))
+        ingestor.run("trade_cal")
+        for end in ("19980630", None):
+            ingestor.run("daily", end=end)
+    return store.read("daily", ["ts_code", "trade_date", "close", "vol", "amount"])
 
 
 def _validate(table: str) -> Callable[[Tables], DataFrame]:
@@ -290,13 +316,13 @@ _PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "factor_corr_matrix": lambda t: ev.correlation_matrix(ev.correlation_summary(t.correlation), SETTINGS.factors),
     "redundancy_timeseries": lambda t: t.redundancy,
     "redundancy_summary": lambda t: ev.redundancy_summary(t.redundancy, t.summary),
-    "redundancy_many": lambda t: ev.redundancy_timeseries(ev.redundancy_residuals(t.aligned, SETTINGS.factors), t.aligned, SETTINGS),
+    "redundancy_many": lambda t: ev.redundancy_timeseries(ev.redundancy_residuals(t.aligned, MANY.factors), t.aligned, MANY),
     "robustness_periods": lambda t: ev.period_bounds(t.periods),
     "subperiod_summary": lambda t: t.subperiods,
     "robustness_summary": lambda t: ev.robustness_summary(t.subperiods, t.summary),
     "fama_macbeth_timeseries": lambda t: t.fama_macbeth,
     "fama_macbeth_summary": lambda t: ev.fama_macbeth_summary(t.fama_macbeth),
-    "fama_macbeth_many": lambda t: ev.fama_macbeth_timeseries(t.aligned, SETTINGS),
+    "fama_macbeth_many": lambda t: ev.fama_macbeth_timeseries(t.aligned, MANY),
     **{f"validate_{k}": _validate(v) for k, v in (("calendar", "calendar_table"), ("prices", "adjusted_price_panel"), ("universe", "monthly_universe"), ("snapshot", "monthly_snapshot_base"))},
     "validate_alignment": _alignment,
     "validate_duplicates": _duplicates,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+
 from ..plans.evaluation import EvaluationSettings, evaluate
 from ..plans.factors import FACTORS, factor_panel, snapshot_columns
 from ..plans.labels import LABELS, label_panel
@@ -95,10 +97,20 @@ def build_evaluation(e: Experiment, store: Store, factors: Sequence[str] | None
     targets = [f"label_{n}" for n in labels] if labels else e.required("labels")["fields"]
     s = EvaluationSettings(fields, targets, quantiles, periods)
     panel = store.read(e.panel("factor_panel"), ["rebalance_date", "ts_code", "is_eligible", *fields])
-    tables = evaluate(panel, store.read(e.panel("label_panel"), ["rebalance_date", "ts_code", *targets]), s)
-    if not dry_run:
-        for name, df in tables.items():
-            store.overwrite(df, f"experiments/{e.slug}/evaluation/{name}")
+    written: set[str] = set()
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        """Tables that others are made from are written at once and read back."""
+        if dry_run:
+            return df
+        store.overwrite(df, f"experiments/{e.slug}/evaluation/{name}")
+        written.add(name)
+        return store.read(f"experiments/{e.slug}/evaluation/{name}")
+
+    tables = evaluate(panel, store.read(e.panel("label_panel"), ["rebalance_date", "ts_code", *targets]), s, keep)
+    for name, df in tables.items():
+        if name not in written:
+            keep(name, df)
     return e.manifest("evaluation", {"factors": fields, "labels": targets, "quantiles": quantiles, "periods": periods, "tables": sorted(tables), "dry_run": dry_run})
 
 

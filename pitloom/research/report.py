@@ -23,13 +23,14 @@ BOARDS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
 
 
 def leaderboard(table: DataFrame, name: str, k: int = 5) -> DataFrame:
-    """The first k rows; missing values come last, names settle ties."""
+    """The first k rows; missing values come last, names settle ties (of numbers equal to 12 digits)."""
     _, order, columns = BOARDS[name]
     if name == "top_t_stat":
         table = table.where("term <> 'intercept'")
     if name == "top_correlation":
         table = table.where("factor_a <> factor_b")
-    return table.orderBy(*(F.desc_nulls_last(c[1:]) if c[0] == "-" else F.asc_nulls_last(c) for c in order)).limit(k).select(*columns)
+    value = lambda c: F.round(c, 12) if table.schema[c].dataType.typeName() == "double" else F.col(c)
+    return table.orderBy(*(F.desc_nulls_last(value(c[1:])) if c[0] == "-" else F.asc_nulls_last(value(c)) for c in order)).limit(k).select(*columns)
 
 
 def _cell(x) -> str:

@@ -62,7 +62,8 @@ class Proxy:
         return self._bars().select("ts_code", _text(F.col("d")).alias("trade_date"), F.col("low").alias("open"), "high", "low", "close", none.alias("pre_close"), none.alias("change"), none.alias("pct_chg"), "vol", "amount")
 
     def adj_factor(self) -> DataFrame:
-        rows = self._bars().where(~((F.col("k") % 13 == 0) & (F.month("d") == 3)))
+        """Some securities have none in March, none has any in May 1996."""
+        rows = self._bars().where(~((F.col("k") % 13 == 0) & (F.month("d") == 3)) & (F.date_format("d", "yyyyMM") != "199605"))
         return rows.select("ts_code", _text(F.col("d")).alias("trade_date"), (1 + 0.05 * (F.year("d") - 1995)).alias("adj_factor"))
 
     def daily_basic(self) -> DataFrame:
@@ -99,7 +100,7 @@ class Proxy:
         return self._statement(a.alias("total_assets"), (a * 0.4 + F.col("cost")).alias("total_liab"), (F.col("revenue") * 0.1).alias("money_cap"), (F.col("cost") * 0.2 + 1).alias("inventories"))
 
     def cashflow(self) -> DataFrame:
-        return self._statement((F.col("revenue") - F.col("cost")).alias("n_cashflow_act"))
+        return self._statement(((F.col("revenue") - F.col("cost")) * (0.7 + 0.1 * (F.col("k") % 4))).alias("n_cashflow_act"))
 
     def forecast(self) -> DataFrame:
         ann = F.date_sub("end", 15)

@@ -21,13 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fingerprint(spark: SparkSession, paths: Sequence[str]) -> tuple:
-    """Paths with their sizes and times of change, as far as the file system tells."""
+    """Paths (of folders: all files in them) with their sizes and times of change, as far as the file system tells."""
     out = []
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-        out.append((p, status.getLen(), status.getModificationTime()))
-    return tuple(out)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        inside = system.listFiles(path, True)
+        while inside.hasNext():
+            status = inside.next()
+            out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def staged(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:

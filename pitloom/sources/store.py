@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
 def merge_by_key(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """One row for each key: new rows win over existing ones; of new rows the last in `order` (columns) wins, then the last as read."""
     rows = new.withColumns({"__new": F.lit(1), "__at": F.monotonically_increasing_id()})
@@ -40,6 +45,24 @@ class Store:
             raise FileNotFoundError(self.path(table)) from e
         return df.select(*columns) if columns else df
 
+    def read_mixed(self, table: str, columns: Sequence[str] | None = None) -> DataFrame:
+        """As read(), where months were written with other columns or types: what a month lacks is NULL there, numbers of several types are
+        doubles, all else strings. Reads the footers of all files."""
+        if not self.exists(table):
+            raise FileNotFoundError(self.path(table))
+        try:
+            df = self.spark.read.option("mergeSchema", "true").parquet(self.path(table))
+        except (PySparkException, Py4JJavaError):
+            months = [self.spark.read.parquet(f"{self.path(table)}/year={y}/month={m}").withColumns({"year": F.lit(y), "month": F.lit(m)}) for y, m in self.partitions(table)]
+            kinds: dict[str, set[str]] = {}
+            for month in months:
+                for f in month.schema.fields:
+                    kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+            clash = {n: "double" if all(k in _NUMBERS or k.startswith("decimal") for k in ks) else "string" for n, ks in kinds.items() if len(ks) > 1}
+            months = [m.withColumns({n: F.col(n).cast(k) for n, k in clash.items() if n in m.columns}) for m in months]
+            df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), months)
+        return df.select(*columns) if columns else df
+
     def read_optional(self, table: str) -> DataFrame | None:
         try:
             return self.read(table)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
@@ -13,9 +14,11 @@ from ..config import Config
 from ..functions.scalars import parsed_date, with_dates
 from ..sources.market import TABLES, MarketSource
 from ..sources.state import IngestionState
-from ..sources.store import Store
+from ..sources.store import Store, merge_by_key
 
 _DATES = ("trade_date", "cal_date", "pretrade_date", "list_date", "delist_date", "ann_date", "f_ann_date", "first_ann_date", "end_date")
+#: The order of a pull's rows.
+_ORDER = "__pulled_at"
 _STATEMENTS = ("fina_indicator", "income", "balancesheet", "cashflow", "forecast", "express")
 
 
@@ -67,24 +70,36 @@ class Ingestor:
         return trade_date_start(self.store.read("trade_cal"), last, lookback, self._history())
 
     def run(self, table: str, *, end: str | None = None, full_refresh: bool = False, replace: bool = False, dry_run: bool = False) -> IngestResult:
-        """An empty pull keeps the watermark. replace: the table is rewritten instead of merged."""
+        """An empty pull keeps the watermark. replace: the table is rewritten instead of merged.
+
+        The source is asked once: what it gives is landed as Parquet, with the order of its rows. Of rows with equal keys the last counts.
+        """
         column, keys = TABLES[table]
         start = self.start_of(table, full_refresh)
         pulled = with_dates(self.source.fetch(table, start and start.strftime("%Y%m%d"), end), *_DATES)
         if dry_run:
             return IngestResult(table, start and start.isoformat(), pulled.count(), [], True)
+        landing = f"landing/{uuid.uuid4().hex}"
+        self.store.overwrite(pulled.withColumn(_ORDER, F.monotonically_increasing_id()), landing)
+        try:
+            return self._merge(table, self.store.read(landing), start, replace)
+        finally:
+            self.store.clear(landing)
+
+    def _merge(self, table: str, landed: DataFrame, start: date | None, replace: bool) -> IngestResult:
+        column, keys = TABLES[table]
         if column is None:
-            last = pulled.dropDuplicates(list(keys)) if table == "trade_cal" else pulled
-            self.store.overwrite(last.dropDuplicates(list(keys)), table)
+            self.store.overwrite(merge_by_key(None, landed, keys, [_ORDER]).drop(_ORDER), table)
             rows = self.store.read(table).count()
             self.state.mark_success(table, rows=rows, mode="overwrite")
             return IngestResult(table, None, rows, [], False)
-        size = pulled.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("rows"), F.max(column).alias("last")).first()
+        size = landed.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("rows"), F.max(column).alias("last")).first()
+        latest = merge_by_key(None, landed.where(F.col(column).isNotNull()), keys, [_ORDER]).drop(_ORDER)
         months: Sequence[tuple[int, int]] = []
         if replace:
-            self.store.replace_by_month(pulled, table, date=column, keys=keys)
+            self.store.replace_by_month(latest, table, date=column, keys=keys)
         elif size.rows:
-            months = self.store.upsert_by_month(pulled, table, date=column, keys=keys)
+            months = self.store.upsert_by_month(latest, table, date=column, keys=keys)
         before = self.state.get(table).get(f"last_success_{column}")
         self.state.mark_success(table, rows=size.rows, months=[list(m) for m in months], mode="replace" if replace else "upsert", **{f"last_success_{column}": size.last.isoformat() if size.last else before})
         return IngestResult(table, start and start.isoformat(), size.rows, months, False)

@@ -2,12 +2,14 @@
 
 import datetime as dt
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pitloom.config import Config
 from pitloom.functions.ranks import average_rank, quantile_bucket
 from pitloom.functions.scalars import parsed_date
 from pitloom.operators import cross_section as cs
@@ -178,14 +180,103 @@ def test_evaluation_tables(spark):
     assert t["factor_correlation_timeseries"].count() == 6 and t["factor_correlation_matrix"].count() == 2
     fm = {(r.rebalance_date.month, r.term): r.coefficient for r in t["fama_macbeth_timeseries"].collect()}
     assert fm[1, "factor_a"] == pytest.approx(0.1) and fm[2, "factor_a"] == pytest.approx(-0.1)
-    two = ev.redundancy_residuals_of_two(panel, s.factors).select("factor_name", "ts_code", "rebalance_date", F.round("residual", 9).alias("r"))
-    many = ev.redundancy_residuals(panel, s.factors).select("factor_name", "ts_code", "rebalance_date", F.round("residual", 9).alias("r"))
-    assert two.exceptAll(many).count() == 0
     assert "Top ic" in render(t, title="x", factors=s.factors, labels=s.labels)
-    one = ev.EvaluationSettings(["factor_a"], ["label_x"])
-    flat = panel.withColumn("factor_a", F.lit(2.0))
-    a, b = ({(r.rebalance_date, r.term): round(r.coefficient, 9) for r in f(flat, one).collect()} for f in (ev.fama_macbeth_timeseries, ev.fama_macbeth_of_one))
-    assert a == b
+
+
+def test_regressions_against_lstsq(spark):
+    """Full rank, a factor that others explain, a constant factor, and too few rows."""
+    rng = np.random.default_rng(4)
+    f = pd.DataFrame(rng.normal(size=(120, 3)) * [1, 0.01, 100] + [13, 0, 5], columns=["factor_a", "factor_b", "factor_c"])
+    f["rebalance_date"] = np.repeat([d("2024-01-31"), d("2024-02-29"), d("2024-03-29"), d("2024-04-30")], [50, 40, 27, 3])
+    f.loc[50:89, "factor_c"] = 2 * f["factor_a"] - 3 * f["factor_b"] + 1
+    f.loc[90:116, "factor_b"] = 0.25
+    f["label_x"] = f["factor_a"] * 0.3 + rng.normal(size=120)
+    f["ts_code"] = [f"s{i:03d}" for i in range(120)]
+    fields = ["factor_a", "factor_b", "factor_c"]
+    panel = spark.createDataFrame(f).persist()
+    got = {(r.rebalance_date, r.term): r for r in ev.fama_macbeth_timeseries(panel, ev.EvaluationSettings(fields, ["label_x"])).collect()}
+    left = {(r.ts_code, r.factor_name): r for r in ev.redundancy_residuals(panel, fields).collect()}
+    for day, g in f.groupby("rebalance_date"):
+        x = np.column_stack([np.ones(len(g)), g[fields]])
+        beta, _, rank, _ = np.linalg.lstsq(x, g["label_x"], rcond=None)
+        if len(g) < 4:
+            assert (day, "intercept") not in got
+        else:
+            assert [got[day, t].coefficient for t in ["intercept", *fields]] == pytest.approx(beta, rel=1e-6, abs=1e-9)
+            assert got[day, "intercept"].design_rank == rank and got[day, "intercept"].full_rank == (rank == 4)
+        for k, name in enumerate(fields):
+            others = np.delete(x, k + 1, 1)
+            rest = g[name] - others @ np.linalg.lstsq(others, g[name], rcond=None)[0]
+            mine = [left[c, name] for c in g["ts_code"]]
+            assert [r.residual for r in mine] == pytest.approx(rest.to_numpy(), abs=1e-6)
+            total = ((g[name] - g[name].mean()) ** 2).sum()
+            assert mine[0].r2 is None if total < 1e-20 else mine[0].r2 == pytest.approx(1 - (rest**2).sum() / total, abs=1e-6)
+    with pytest.raises(ValueError):
+        ev.redundancy_residuals(panel, ["factor_a"])
+
+
+def exchanges(df):
+    """Shuffles by hash or range in the plan, broadcasts aside."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_one_shuffle_for_all_sources_of_an_asof_join(spark):
+    left = spark.range(20).selectExpr("cast(id % 3 as string) k", "date_add(date'2024-01-01', cast(id as int)) t")
+    right = [left.selectExpr("k", f"t u{i}", f"1 tie{i}", f"2 v{i}") for i in range(3)]
+    df = asof_join(left, [AsofSource(r, f"u{i}", [f"v{i}"], [f"tie{i}"]) for i, r in enumerate(right)], key="k", left_time="t")
+    assert exchanges(df) == 1
+
+
+def test_guards(spark, snapshot):
+    """Two prices, two factors or two execution dates are errors; of two prices labels take the last."""
+    daily = spark.createDataFrame([("A", "20240131", 1.0)] * 2, "ts_code string, trade_date string, open double").selectExpr("ts_code", "trade_date", *(f"open as {c}" for c in ("open", "high", "low", "close", "pre_close", "change", "pct_chg", "vol", "amount")))
+    factor = daily.selectExpr("ts_code", "trade_date", "1.0 as adj_factor")
+    with pytest.raises(ValueError, match="daily"):
+        lake.adjusted_price_panel(daily, factor.limit(1))
+    with pytest.raises(ValueError, match="adj_factor"):
+        lake.adjusted_price_panel(daily.limit(1), factor)
+    universe = snapshot.where("ts_code = 'A'")
+    prices = universe.select("ts_code", F.col("trade_execution_date").alias("trade_date"), "adj_close")
+    doubled = prices.withColumn("adj_close", F.lit(1.0)).unionByName(prices).coalesce(1)
+    spec = [LabelSpec("fwd_ret_1m", 1)]
+    assert rows(label_panel(universe, doubled, spec), "rebalance_date") == rows(label_panel(universe, prices, spec), "rebalance_date")
+    second = universe.withColumn("trade_execution_date", F.date_add("trade_execution_date", 1))
+    with pytest.raises(ValueError, match="two execution dates"):
+        label_panel(universe.unionByName(second), prices, spec)
+
+
+def test_months_stored_with_other_columns_are_read_together(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    one = spark.createDataFrame([("A", d("2024-01-05"), 1)], "ts_code string, trade_date date, close int")
+    two = spark.createDataFrame([("A", d("2024-02-05"), 2.5, "x")], "ts_code string, trade_date date, close double, more string")
+    for df in (one, two):
+        store.upsert_by_month(df, "t", date="trade_date", keys=["ts_code", "trade_date"])
+    assert rows(store.read_mixed("t", ["ts_code", "close", "more"]), "close") == [("A", 1.0, None), ("A", 2.5, "x")]
+    store.write_month(two, "t", 2024, 3)
+    assert store.read_mixed("t").count() == 3 and store.partitions("t") == [(2024, 1), (2024, 2), (2024, 3)]
+    store.replace_by_month(two, "t", date="trade_date", keys=["ts_code", "trade_date"])
+    assert store.partitions("t") == [(2024, 2)]
+    store.clear("t")
+    assert not store.exists("t") and store.read_optional("t") is None
+
+
+def test_a_source_is_asked_once(spark, tmp_path):
+    asked = []
+
+    class Source(FrameSource):
+        def fetch(self, table, start=None, end=None):
+            asked.append((table, start, end))
+            return super().fetch(table, start, end)
+
+    stocks = spark.createDataFrame([("A", "first"), ("A", "last"), ("B", "only")], "ts_code string, name string").coalesce(1)
+    bars = spark.createDataFrame([("A", "20240105", 1.0), ("A", "20240105", 2.0)], "ts_code string, trade_date string, close double").coalesce(1)
+    cal = spark.createDataFrame([("X", "20240105", 1)], "exchange string, cal_date string, is_open int")
+    store = Store(spark, str(tmp_path / "raw"))
+    ingestor = Ingestor(spark, Source({"stock_basic": stocks, "daily": bars, "trade_cal": cal}), store, IngestionState(tmp_path / "s.json"))
+    assert [ingestor.run(t).rows for t in ("trade_cal", "stock_basic", "daily")] == [1, 2, 2]
+    assert len(asked) == 3 and {r.name for r in store.read("stock_basic").collect()} == {"last", "only"}
+    assert [r.close for r in store.read("daily").collect()] == [2.0]
 
 
 def test_quality(spark, calendar):
@@ -245,3 +336,36 @@ def test_small_things(spark, tmp_path):
     with pytest.raises(OSError):
         Retrying(Failing(), 3, 0.5, waits.append).fetch("daily")
     assert len(calls) == 3 and waits == [0.5, 1.0]
+
+
+def test_research_from_raw_tables_to_the_report(spark, tmp_path, capsys, monkeypatch):
+    """Every command on the smallest tables: ingest, build, validate, and the stages of an experiment."""
+    from pitloom.research import cli
+    from pitloom.sources.market import TABLES
+    from pitloom.sources.proxy import RULES, Proxy
+
+    raw = Proxy(spark, "/root/testdata/sf0.001")
+    adjusted = raw.adj_factor().unionByName(raw.daily().where("trade_date like '199605%'").selectExpr("ts_code", "trade_date", "1.0 as adj_factor"))
+    source = FrameSource({t: adjusted if t == "adj_factor" else raw.table(t) for t in TABLES})
+    root = str(tmp_path)
+    monkeypatch.setenv("PIT_HISTORY_START", "19900101")
+    assert cli.main(["--root", root, "ingest", "all"], lambda: source) == 0
+    store = Store(spark, root)
+    assert store.read("raw/daily").count() == raw.daily().count()
+    for table in cli.LAKE:
+        cli.build_table(store, table, Config(), replace(RULES, ipo_min_trade_days=5))
+    cli.main(["--root", root, "validate"])
+    assert "monthly_snapshot_base" in capsys.readouterr().out
+    names = ["size", "roe", "leverage"]
+    with pytest.raises(FileNotFoundError):
+        cli.main(["--root", root, "research", "build-evaluation", "--name", "My run"])
+    for stage, more in (("init", []), ("build-factors", ["--factors", *names]), ("build-labels", []), ("build-evaluation", ["--dry-run"]), ("build-evaluation", []), ("build-report", [])):
+        assert cli.main(["--root", root, "research", stage, "--name", "My run", "--as-of", "2024-01-31", *more]) == 0
+    e = Experiment("My run", root, "2024-01-31")
+    made = e.manifest("evaluation")
+    assert made["factors"] == [f"factor_{n}" for n in sorted(names, key=[s.name for s in FACTORS.list()].index)] and len(made["tables"]) == 18
+    assert store.read(f"experiments/{e.slug}/evaluation/rank_ic_summary").count() == 9
+    assert store.read(f"experiments/{e.slug}/evaluation/redundancy_summary").count() == 9
+    report = (e.folder / "reports" / "report.md").read_text()
+    assert "factor_size" in report and sorted(p.suffix for p in (e.folder / "reports").iterdir())[0] == ".md"
+    assert any("heat" in p.stem or "corr" in p.stem for p in (e.folder / "reports").glob("*.svg"))

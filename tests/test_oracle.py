@@ -1,5 +1,6 @@
 """Queries against their SQL on the smallest tables."""
 
+import math
 import os
 
 import duckdb
@@ -9,7 +10,7 @@ import __spark_entry__ as entry
 from pitloom.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ("calendar_table", "monthly_universe", "asof_join", "statement_pit_inc", "rank_ic_summary", "spread_summary", "pre_chain", "redundancy_summary", "fama_macbeth_summary", "upsert_by_month")
+CHOSEN = ("calendar_table", "monthly_universe", "asof_join", "statement_pit_inc", "rank_ic_summary", "spread_summary", "pre_chain", "redundancy_summary", "fama_macbeth_summary", "upsert_by_month", "replace_by_month", "incremental_ingest", "missing_factor_months", "redundancy_many", "fama_macbeth_many", "factor_corr_matrix", "factor_amihud_illiquidity_raw", "factor_panel")
 
 
 @pytest.fixture(scope="module")
@@ -36,5 +37,9 @@ def test_same_rows(spark, con, sql, name):
     found = con.execute(sql[name])
     columns = [c[0] for c in found.description]
     assert sorted(columns) == sorted(df.columns)
-    want = sorted(str([r[columns.index(c)] for c in sorted(columns)]) for r in found.fetchall())
-    assert sorted(str([r[c] for c in sorted(columns)]) for r in df.collect()) == want
+    text = lambda r: str([f"{x:.5g}" if isinstance(x, float) else x for x in r])
+    want = sorted(([r[columns.index(c)] for c in sorted(columns)] for r in found.fetchall()), key=text)
+    got = sorted(([r[c] for c in sorted(columns)] for r in df.collect()), key=text)
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert all(x == y or isinstance(x, float) and math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-6) for x, y in zip(a, b, strict=True)), (a, b)
