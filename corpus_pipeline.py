@@ -20,18 +20,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates, once: texts are linked if their shingles of five words
-    have a Jaccard similarity of 0.8 or more. Null ids can't be told apart and stay."""
+    have a Jaccard similarity of 0.8 or more. Null ids can't be told apart and stay; of rows with one id the least stays."""
     found = minhash.near_duplicates(docs.where("doc_id is not null"), size=5, similarity=0.8)
     first = found.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
     return kept.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with the benchmark."""
+    """Documents that share no passage with the benchmark. A hash of the text stands for the document, so that null ids are judged too."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    dirty = materialize(decontaminate.overlaps(docs, benchmark).select("doc_id").distinct())
-    return docs.join(dirty, "doc_id", "left_anti").select(*COLUMNS)
+    named = docs.withColumn("text_hash", F.xxhash64("text"))
+    found = decontaminate.overlaps(named.select("text_hash", "text"), benchmark, id_col="text_hash")
+    dirty = materialize(found.select(F.col("doc_id").alias("text_hash")).distinct())
+    return named.join(dirty, "text_hash", "left_anti").select(*COLUMNS)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
