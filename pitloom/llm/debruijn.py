@@ -2,11 +2,12 @@
 
 Each window of `window` words is represented by its anchor: the one of its token k-mers with the least
 hash. Equal windows have equal anchors at equal places, so that windows need comparing only where
-anchors meet. Consecutive windows with the same anchor form one edge of the graph, labelled with the
-hash of all its words. An edge whose anchor has one label wherever it occurs doesn't branch: every
-occurrence but the first repeats it as a whole, and runs of such edges that follow the same source
-compact into one long span with the source's coordinates. Only windows of branching edges are
-compared one by one. A tie in the 64-bit anchor is settled by the 64-bit label of its words, a window by 96 bits.
+anchors meet. The anchors are the graph's nodes; consecutive windows with the same anchor form one edge, labelled with the
+hash of all its words, and a node's degree is the number of its different labels. An edge whose anchor has degree one doesn't branch: every
+occurrence but the first repeats it as a whole. Joins find which edges go on where the one before ends, in the repeat as in its source; such
+paths compact into one long span with the source's coordinates. The words at both coordinates are then compared through a hash of another
+family, and only spans that agree are removed. Windows of branching edges are compared one by one. A tie in the 64-bit anchor is settled by the
+64-bit label of its words, a span by 64 bits more, a window by 96 bits.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .tokens import WHITE, Hasher, byte_classes, least, mixed, slices, words_of
 _TOGETHER = 500_000
 
 
-def _first_of_equals(keys: list[np.ndarray], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each row whether it is the earliest of those with the same keys (by id, then start)."""
+def _first_of_equals(keys: list[np.ndarray], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row whether it is the earliest of those with the same keys (by id, then start), and which row is."""
     order = np.lexsort((starts, ids, *keys))
     new = np.ones(len(order), bool)
     for k in keys:
@@ -35,17 +36,20 @@ def _first_of_equals(keys: list[np.ndarray], ids: np.ndarray, starts: np.ndarray
         new[1:] = (s[1:] != s[:-1]) | new[1:] if k is not keys[0] else s[1:] != s[:-1]
     group = np.cumsum(new) - 1
     head = order[np.flatnonzero(new)][group]
-    out = np.zeros(len(order), bool)
+    out, first = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
     out[order] = (ids[order] == ids[head]) & (starts[order] == starts[head])
-    return out
+    first[order] = head
+    return out, first
 
 
-def _runs(at: np.ndarray, ids: np.ndarray, starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows `at`, those where a run begins that continues from row to row, and how many windows it has."""
+def _runs(at: np.ndarray, ids: np.ndarray, starts: np.ndarray, count: np.ndarray, steady: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows `at`, those where a run begins that continues from row to row (with the same `steady` values), and how many windows it has."""
     if not len(at):
         return at, count[at]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (ids[at[1:]] != ids[at[:-1]]) | (starts[at[1:]] != starts[at[:-1]] + count[at[:-1]])
+    for x in steady:
+        new[1:] |= x[at[1:]] != x[at[:-1]]
     return at[new], np.add.reduceat(count[at], np.flatnonzero(new))
 
 
@@ -54,9 +58,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def edges(docs: DataFrame, *, window: int = 20, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """anchor, label, id, start (of its first window, in words), n (windows), known.
+    """anchor, label, id, start (of its first window, in words), n (windows), known, source_id, source_start.
 
-    Edges that occur earlier in the same batch of rows are known to be repeats; they needn't meet
+    Edges that occur earlier in the same batch of rows, at their source, are known to be repeats; they needn't meet
     the others, so that runs of them are merged and carry a key that spreads them instead of their anchor. This
     bounds a hot anchor's rows with one label by the number of batches.
     """
@@ -64,13 +68,15 @@ def edges(docs: DataFrame, *, window: int = 20, anchor: int = 6, id_col: str = "
     def merged(parts: list[tuple]) -> pa.RecordBatch:
         key, label, ids, begin, count = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
-        known = ~_first_of_equals([key, label], ids, begin)
-        run, total = _runs(np.flatnonzero(known), ids, begin, count)
+        earliest, first = _first_of_equals([key, label], ids, begin)
+        known = ~earliest
+        source, place = ids[first], begin[first]
+        run, total = _runs(np.flatnonzero(known), ids, begin, count, (source, place - begin))
         key[run] = mixed(label[run] ^ mixed(ids[run].view(np.uint64) + begin[run].astype(np.uint64)))
         count[run] = total
         rest = ~known
         rest[run] = True
-        return pa.RecordBatch.from_arrays([_signed(key[rest]), _signed(label[rest]), pa.array(ids[rest]), pa.array(begin[rest].astype(np.int32)), pa.array(count[rest].astype(np.int32)), pa.array(known[rest])], names=["anchor", "label", "id", "start", "n", "known"])
+        return pa.RecordBatch.from_arrays([_signed(key[rest]), _signed(label[rest]), pa.array(ids[rest]), pa.array(begin[rest].astype(np.int32)), pa.array(count[rest].astype(np.int32)), pa.array(known[rest]), pa.array(source[rest], mask=~known[rest]), pa.array(place[rest].astype(np.int32), mask=~known[rest])], names=["anchor", "label", "id", "start", "n", "known", "source_id", "source_start"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kmers, labels, parts = Hasher(11), Hasher(12), []
@@ -101,72 +107,113 @@ def edges(docs: DataFrame, *, window: int = 20, anchor: int = 6, id_col: str = "
             yield merged(parts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return rows.mapInArrow(of, "anchor long, label long, id long, start int, n int, known boolean")
+    return rows.mapInArrow(of, "anchor long, label long, id long, start int, n int, known boolean, source_id long, source_start int")
 
 
 def repeats(found: DataFrame) -> DataFrame:
     """From edges(): id, start, n, source_id, source_start, branching; edges that neither repeat nor branch are left out.
 
-    Source coordinates are null for known repeats and for branching edges.
+    Source coordinates are null for branching edges.
     """
     graph = found.where("not known").groupBy("anchor").agg(F.count("*").alias("uses"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("id", "start")).alias("first")).where("uses > 1")
+    met = found.join(graph.select("anchor", (F.col("low") != F.col("high")).alias("branching"), "first"), "anchor", "left")
     first = F.col("first")
-    met = found.select("anchor", "id", "start", "n", "known").join(graph.select("anchor", (F.col("low") != F.col("high")).alias("branching"), "first"), "anchor", "left")
     later = (F.col("id") != first["id"]) | (F.col("start") != first["start"])
     met = met.where(F.col("known") | F.col("branching") | (first.isNotNull() & later))
     branching = F.coalesce(~F.col("known") & F.col("branching"), F.lit(False))
-    source = F.when(~branching & ~F.col("known"), first)
+    source = F.when(F.col("known"), F.struct(F.col("source_id").alias("id"), F.col("source_start").alias("start"))).when(~branching, first)
     return met.select("id", "start", "n", source["id"].alias("source_id"), source["start"].alias("source_start"), branching.alias("branching"))
 
 
 def passages(repeated: DataFrame) -> DataFrame:
     """From repeats(): nonbranching edges that follow one source compacted to id, start, n (windows), source_id, source_start."""
-    by_start = Window.partitionBy("id").orderBy("start", "n")
-    gap = (F.col("start") != F.lag(F.col("start") + F.col("n")).over(by_start)) | ~F.lag("source_id").over(by_start).eqNullSafe(F.col("source_id")) | ~F.lag(F.col("source_start") - F.col("start")).over(by_start).eqNullSafe(F.col("source_start") - F.col("start"))
-    runs = repeated.where("not branching").withColumn("gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("run", F.sum("gap").over(by_start))
-    return runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.first("source_id").alias("source_id"), F.min("source_start").alias("source_start")).drop("run")
+    steps = repeated.where("not branching").select("id", "start", "n", "source_id", "source_start").distinct()
+    ends = steps.select("id", (F.col("start") + F.col("n")).alias("start"), "source_id", (F.col("source_start") + F.col("n")).alias("source_start"), F.lit(0).alias("head")).distinct()
+    place = ["id", "start", "source_id", "source_start"]
+    met = steps.join(ends, place, "left").select(*place, "n", F.coalesce("head", F.lit(1)).alias("head"), (F.col("source_start") - F.col("start")).alias("shift"))
+    along = Window.partitionBy("id", "source_id", "shift").orderBy("start", "n")
+    paths = met.withColumn("path", F.sum("head").over(along)).groupBy("id", "source_id", "shift", "path")
+    return paths.agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"), F.min("source_start").alias("source_start")).select("id", "start", "n", "source_id", "source_start")
 
 
-def _branching_windows(docs: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
-    """id, start, n: windows of branching edges that occur earlier."""
+def _looked_up(docs: DataFrame, repeated: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """What the texts hold at the places that are asked for: windows of branching edges (key, check, id, start, n, known; mark null), and the words of
+    passages and of their sources (id, start, n and their hash, mark). Each text is read once for both."""
 
     def merged(parts: list[tuple]) -> pa.RecordBatch:
         key, check, ids, start = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
-        known = ~_first_of_equals([key, check], ids, start)
+        known = ~_first_of_equals([key, check], ids, start)[0]
         count = np.ones(len(key), np.int64)
         run, total = _runs(np.flatnonzero(known), ids, start, count)
         key[run] = mixed(key[run] ^ mixed(ids[run].view(np.uint64) + start[run].astype(np.uint64)))
         count[run] = total
         rest = ~known
         rest[run] = True
-        return pa.RecordBatch.from_arrays([_signed(key[rest]), pa.array((check[rest] >> np.uint64(33)).astype(np.int32)), pa.array(ids[rest]), pa.array(start[rest].astype(np.int32)), pa.array(count[rest].astype(np.int32)), pa.array(known[rest])], names=["key", "check", "id", "start", "n", "known"])
+        rows = [_signed(key[rest]), pa.array((check[rest] >> np.uint64(33)).astype(np.int32)), pa.array(ids[rest]), pa.array(start[rest].astype(np.int32)), pa.array(count[rest].astype(np.int32)), pa.array(known[rest])]
+        return pa.RecordBatch.from_arrays([*rows, pa.nulls(len(rows[0]), pa.int64())], names=names)
+
+    def marks(parts: list[tuple]) -> pa.RecordBatch:
+        mark, ids, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        none = pa.nulls(len(ids), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), none.cast(pa.bool_()), _signed(mark)], names=names)
+
+    names = ["key", "check", "id", "start", "n", "known", "mark"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, other, parts = Hasher(13), Hasher(14), []
+        hasher, other, third, parts, seen = Hasher(13), Hasher(14), Hasher(15), [], []
         for part in (p for b in batches for p in slices(b.filter(b.column("spans").is_valid()), "text")):
             w = words_of(part.column("text"), byte_classes(WHITE))
             spans = part.column("spans")
             flat = spans.flatten()
             begin, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n"))
+            whole = flat.field("whole").to_numpy(zero_copy_only=False).astype(bool)
             row = np.repeat(np.arange(len(spans)), np.asarray(spans.value_lengths()))
+            ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            hashes = hasher.words(w)
+            place = w.first[row] + begin
+            inside = whole & (place + n + window - 1 <= w.first[row + 1])  # of texts with one id each has its own length
+            if inside.any():
+                at, upto = place[inside], place[inside] + n[inside] + window - 1
+                seen.append((third.stretch(third.sums(mixed(hashes)), at, upto), ids[row[inside]], begin[inside], n[inside]))
+                if sum(len(x[0]) for x in seen) > _TOGETHER:
+                    yield marks(seen)
+            begin, n, row = begin[~whole], n[~whole], row[~whole]
+            if not len(n):
+                continue
             whose = np.repeat(row, n)
             start = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
             place = w.first[whose] + start
             fits = place + window <= w.first[whose + 1]
             whose, start, place = whose[fits], start[fits], place[fits]
-            hashes = hasher.words(w)
-            parts.append((hasher.stretch(hasher.sums(hashes), place, place + window), other.stretch(other.sums(mixed(hashes)), place, place + window), part.column("id").to_numpy(zero_copy_only=False)[whose].astype(np.int64), start))
+            parts.append((hasher.stretch(hasher.sums(hashes), place, place + window), other.stretch(other.sums(mixed(hashes)), place, place + window), ids[whose], start))
             if sum(len(x[0]) for x in parts) > _TOGETHER:
                 yield merged(parts)
-        if parts:
-            yield merged(parts)
+        for rows, make in ((parts, merged), (seen, marks)):
+            if rows:
+                yield make(rows)
+
+    ask = lambda df, whole, id_="id", start="start": df.select(F.col(id_).alias("id"), F.col(start).cast("int").alias("start"), F.col("n").cast("int").alias("n"), F.lit(whole).alias("whole"))
+    asked = ask(repeated.where("branching"), False).unionByName(ask(spans, True).unionByName(ask(spans, True, "source_id", "source_start")).distinct())
+    by_text = asked.groupBy("id").agg(F.collect_list(F.struct("start", "n", "whole")).alias("spans"))
+    return docs.join(by_text, "id", "left").select("id", "text", "spans").mapInArrow(of, "key long, check int, id long, start int, n int, known boolean, mark long")
+
 
-    spans = repeated.where("branching").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    found = docs.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(of, "key long, check int, id long, start int, n int, known boolean")
+def _verified(spans: DataFrame, found: DataFrame) -> DataFrame:
+    """id, start, n of the passages whose words are those at their source's coordinates."""
+    marks = found.where("mark is not null").select("id", "start", "n", "mark").distinct()
+    source = marks.select(F.col("id").alias("source_id"), F.col("start").alias("source_start"), "n", F.col("mark").alias("source_mark"))
+    met = spans.join(marks, ["id", "start", "n"]).join(source, ["source_id", "source_start", "n"])
+    return met.where("mark = source_mark").select("id", "start", F.col("n").cast("bigint").alias("n"))
+
+
+def _repeated_windows(found: DataFrame) -> DataFrame:
+    """id, start, n: windows of branching edges that occur earlier."""
     # known repeats have keys of their own, so that a window's rows are one for each batch at most
     first = F.min(F.struct("id", "start")).over(Window.partitionBy("key", "check"))
-    return found.withColumn("first", first).where(F.col("known") | (F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start"))).select("id", "start", F.col("n").cast("bigint").alias("n"))
+    windows = found.where("mark is null").withColumn("first", first)
+    return windows.where(F.col("known") | (F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start"))).select("id", "start", F.col("n").cast("bigint").alias("n"))
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,11 +222,13 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 6, id_col
     A word goes if a window of `window` words that covers it occurs earlier: in a document with a smaller
     id, or earlier in the same one. Windows are judged on the input. A null text counts as empty;
     texts shorter than a window lose nothing. Rows with equal id and text are one document twice:
-    neither is earlier. A null id takes no part and loses nothing. An empty table gives an empty one.
+    neither is earlier; rows with equal ids and different texts count as one document with both texts, which loses words at the same places in each. A null id takes no part and loses nothing. An empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     repeated = materialize(repeats(edges(docs, window=window, anchor=anchor, id_col="id")))
-    gone = passages(repeated).select("id", "start", "n").unionByName(_branching_windows(docs, repeated, window))
+    spans = materialize(passages(repeated))
+    found = materialize(_looked_up(docs, repeated, spans, window))
+    gone = _verified(spans, found).unionByName(_repeated_windows(found))
     gone = gone.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
