@@ -12,9 +12,11 @@ _WRITTEN: dict[tuple, tuple[str, object]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one on a local master, else RuntimeError."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pitloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
@@ -33,6 +35,12 @@ def fingerprint(spark: SparkSession, paths: Sequence[str]) -> tuple:
     return tuple(sorted(out))
 
 
+def forget(spark: SparkSession, name: str) -> None:
+    """The table of that name is built anew when it is next asked for."""
+    for key in [k for k in _WRITTEN if k[:2] == (spark.sparkContext.applicationId, name)]:
+        del _WRITTEN[key]
+
+
 def staged(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
     """The table under this key, built and written as Parquet unless this application has done so.
 
