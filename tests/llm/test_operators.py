@@ -398,3 +398,99 @@ def test_short_items_survive_all_permitted_substitutions():
                 doc[[3 + a, 3 + b]] = 97
                 met = {(at - place) for salt, m in seeds.masks() for at, _, place in zip(*seeds.hits(decontaminate.seed_hashes(doc, m, salt), seeds.filter()), strict=True)}
                 assert 3 in met and decontaminate.best_overlap(doc, item, 3), (n, a, b)
+
+
+def test_segmentations_against_enumeration():
+    """All segmentations into pieces, long ones included."""
+    rng = np.random.default_rng(31)
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "abababababab", "▁ababababab"]
+    model = langid.UnigramModel(["x", "y"], {p: k for k, p in enumerate(pieces)}, rng.random((len(pieces) + 1, 2)))
+
+    def total(word, lang):
+        if not word:
+            return 1.0
+        cut = [(p, model.probs[model.pieces[p], lang]) for p in pieces if word.startswith(p)]
+        if word[0] not in model.pieces:
+            cut.append((word[0], model.probs[-1, lang]))
+        return sum(p * total(word[len(w) :], lang) for w, p in cut)
+
+    for word in ("▁ab", "▁abc", "▁" + "ab" * 7, "▁cab" + "ba" * 12):
+        assert model.log_likelihoods([word])[0] == pytest.approx([math.log(total(word, k)) for k in (0, 1)])
+    assert len(langid.read_pieces(langid.DEFAULT_VOCABULARY)) > 23_000 and max(map(len, langid.read_pieces(langid.DEFAULT_VOCABULARY))) > 8
+
+
+def test_language_ties_go_to_the_first(spark):
+    model = langid.UnigramModel(["a", "b"], {"▁x": 0}, np.array([[0.5, 0.5], [0.1, 0.1]]))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs_of(spark, ["x x", "x" * 100_000, None, "1 2"]), model).collect()}
+    assert got == {0: ("a", 0.5), 1: ("a", 0.5), 2: ("und", 0.0), 3: ("und", 0.0)}
+
+
+def test_toxicity_reads_all_of_a_text(spark):
+    """Held-out accuracy, misspelt words anywhere in a text, and a text without spaces whose end tells."""
+    rng = random.Random(37)
+    calm, rude = [f"{a}{b}{c}m" for a in "lmnr" for b in "aeiou" for c in "lnst"], ["grobzak", "vilkrut", "snorfdum"]
+    text = lambda bad: " ".join(rng.choice(calm) for _ in range(40)) + (f" {rng.choice(rude)} {rng.choice(rude)}" if bad else "") + " " + " ".join(rng.choice(calm) for _ in range(rng.randint(1, 60)))
+    train = [(text(k % 2), k % 2) for k in range(300)]
+    model = toxicity.fit_texts([t for t, _ in train], np.array([y for _, y in train]))
+    test = [(text(k % 2), k % 2) for k in range(200)]
+    odd = [" ".join(rng.choice(calm) for _ in range(n)) + " grobzaks vilkrutt " + " ".join(rng.choice(calm) for _ in range(20)) for n in range(5, 30)]
+    glued = ["".join(rng.choice(calm) for _ in range(500)) + "grobzakvilkrutsnorfdum" * 5, "".join(rng.choice(calm) for _ in range(500))]
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs_of(spark, [t for t, _ in test] + odd + glued), model).collect()}
+    assert np.mean([got[k] == y for k, (_, y) in enumerate(test)]) > 0.97
+    assert np.mean([got[200 + k] for k in range(len(odd))]) > 0.9
+    assert (got[200 + len(odd)], got[201 + len(odd)]) == (1, 0)
+
+
+def test_no_ngram_is_lost_between_parts_of_a_word():
+    word = "".join(chr(0x4E00 + k) for k in range(1000))
+    parts = toxicity.words_of(f"a {word} b", 6)
+    assert parts[0] == "a" and parts[-1] == "b" and all(any(word[k : k + 6] in p for p in parts) for k in range(995))
+    assert all(len(p) <= toxicity.LONG + 5 for p in parts)
+
+
+def test_packing_against_the_rule_by_brute_force():
+    rng = random.Random(41)
+    for capacities in ((8, 16), (5, 9, 20), (16,)):
+        lengths = sorted((rng.randint(1, capacities[-1]) for _ in range(120)), reverse=True)
+        bins = []  # [room, contents]
+        for at, n in enumerate(lengths):
+            left = sum(lengths[at + 1 :])
+            fits = [b for b in bins if b[0] >= n]
+            if not fits:
+                bins.append([min((c for c in capacities if c >= n), key=lambda c: ((c + 2) / (n + min(c - n, left)), c)), 0])
+                fits = bins[-1:]
+            best = min(fits, key=lambda b: b[0])
+            best[0] -= n
+            best[1] += n
+        where, _, sizes = packing.pack_lengths(lengths, capacities, 2)
+        used = [sum(n for n, w in zip(lengths, where, strict=True) if w == b) for b in range(len(sizes))]
+        assert len(sizes) == len(bins) and sum(used) == sum(lengths) and all(u <= c for u, c in zip(used, sizes, strict=True))
+        if len(capacities) == 1:  # bins with equal room and different sizes may be swapped
+            assert sorted(used) == sorted(b[1] for b in bins)
+
+
+def test_overlaps_against_brute_force(spark):
+    """Every pair of a document and an item, window against window."""
+    rng = random.Random(43)
+    pool = [f"w{i}" for i in range(60)]
+    items = [[rng.choice(pool) for _ in range(n)] for n in (3, 5, 6, 8, 10, 12, 13, 20, 30) for _ in range(3)]
+    docs = []
+    for item in items * 3:
+        copy = list(item)
+        for k in rng.sample(range(len(copy)), rng.randint(0, len(copy) // 4)):
+            copy[k] = "zzz"
+        docs.append([rng.choice(pool) for _ in range(rng.randint(0, 15))] + copy + [rng.choice(pool) for _ in range(rng.randint(0, 15))])
+    docs += [list(i) for i in items[:6]]
+
+    def dirty(doc, item):
+        if len(item) < decontaminate.SHORTEST:
+            return doc == item
+        width = min(13, len(item))
+        windows = lambda x: [x[k : k + width] for k in range(len(x) - width + 1)]
+        return any(sum(a == b for a, b in zip(x, y, strict=True)) >= 0.8 * width - 1e-9 for x in windows(doc) for y in windows(item))
+
+    want = {(i, j) for i, d in enumerate(docs) for j, t in enumerate(items) if dirty(d, t)}
+    bench = spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(items)], "item_id long, text string")
+    for size in (16 << 20, 0):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs_of(spark, [" ".join(d) for d in docs]), bench, broadcast_bytes=size).collect()}
+        assert got == want and len(want) > 40
