@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
@@ -11,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import at_least, number, optional, require_columns, safe_divide, safe_inverse, safe_log
 from ..operators.cross_section import DEFAULT_STEPS, preprocess
+from .catalogue import Catalogue, require_name
 
 FAMILIES = ("size_value", "momentum", "risk_liquidity", "profitability", "investment_leverage")
 KINDS = ("snapshot", "lagged", "daily_risk")
-_NAME = re.compile(r"[a-z][a-z0-9_]*")
 
 
 @dataclass(frozen=True)
@@ -27,12 +26,11 @@ class FactorSpec:
     kind: str
     inputs: Sequence[str]
     expression: Callable[..., Column]
-    description: str = ""
+    description: str
     steps: Sequence[str] = DEFAULT_STEPS
 
     def __post_init__(self) -> None:
-        if not _NAME.fullmatch(self.name):
-            raise ValueError(f"{self.name!r} isn't in snake case")
+        require_name(self)
         if self.family not in FAMILIES:
             raise ValueError(f"no family {self.family!r}")
         if self.kind not in KINDS:
@@ -45,42 +43,19 @@ class FactorSpec:
         return f"factor_{self.name}"
 
 
-class FactorRegistry:
-    """Specs by name, listed by family, then name."""
+class FactorRegistry(Catalogue[FactorSpec]):
+    """By family, then name."""
 
-    def __init__(self, specs: Iterable[FactorSpec] = ()) -> None:
-        self._specs: dict[str, FactorSpec] = {}
-        self.register_many(specs)
-
-    def register(self, spec: FactorSpec) -> None:
-        if spec.name in self._specs:
-            raise ValueError(f"{spec.name} is registered already")
-        self._specs[spec.name] = spec
+    kind = "factor"
 
-    def register_many(self, specs: Iterable[FactorSpec]) -> None:
-        for s in specs:
-            self.register(s)
-
-    def get(self, name: str) -> FactorSpec:
-        if name not in self._specs:
-            raise KeyError(f"no factor {name!r}")
-        return self._specs[name]
+    def __init__(self, specs: Iterable[FactorSpec] = ()) -> None:
+        super().__init__(specs, order=lambda s: (FAMILIES.index(s.family), s.name))
 
     def list(self, *, family: str | None = None, names: Sequence[str] | None = None) -> list[FactorSpec]:
-        chosen = [self.get(n) for n in names] if names is not None else self._specs.values()
-        return sorted((s for s in chosen if family in (None, s.family)), key=lambda s: (FAMILIES.index(s.family), s.name))
+        return [s for s in super().list(names) if family in (None, s.family)]
 
     def families(self) -> list[str]:
-        return [f for f in FAMILIES if any(s.family == f for s in self._specs.values())]
-
-    def output_fields(self) -> list[str]:
-        return [s.field for s in self.list()]
-
-    def __contains__(self, name: object) -> bool:
-        return name in self._specs
-
-    def __len__(self) -> int:
-        return len(self._specs)
+        return self.groups("family")
 
 
 def _col(name: str) -> Column:

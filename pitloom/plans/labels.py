@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -10,22 +9,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_divide
+from .catalogue import Catalogue, require_name
 from .lake import check_schedule, schedule
 
-_NAME = re.compile(r"[a-z][a-z0-9_]*")
-
-
 @dataclass(frozen=True)
 class LabelSpec:
     name: str
     months: int
+    description: str
     stage: str = "v1"
     anchor: str = "trade_execution_date"
     window_rule: str = "require_full_window"
 
     def __post_init__(self) -> None:
-        if not _NAME.fullmatch(self.name):
-            raise ValueError(f"{self.name!r} isn't in snake case")
+        require_name(self)
         if self.months < 1:
             raise ValueError("a label looks at least one month ahead")
         if self.anchor != "trade_execution_date" or self.window_rule != "require_full_window":
@@ -36,39 +33,22 @@ class LabelSpec:
         return f"label_{self.name}"
 
 
-class LabelRegistry:
-    """Specs by name, listed by stage, horizon and name."""
-
-    def __init__(self, specs: Iterable[LabelSpec] = ()) -> None:
-        self._specs: dict[str, LabelSpec] = {}
-        for s in specs:
-            self.register(s)
+class LabelRegistry(Catalogue[LabelSpec]):
+    """By stage, horizon and name."""
 
-    def register(self, spec: LabelSpec) -> None:
-        if spec.name in self._specs:
-            raise ValueError(f"{spec.name} is registered already")
-        self._specs[spec.name] = spec
+    kind = "label"
 
-    def get(self, name: str) -> LabelSpec:
-        if name not in self._specs:
-            raise KeyError(f"no label {name!r}")
-        return self._specs[name]
-
-    def list(self, names: Sequence[str] | None = None) -> list[LabelSpec]:
-        chosen = [self.get(n) for n in names] if names is not None else self._specs.values()
-        return sorted(chosen, key=lambda s: (s.stage, s.months, s.name))
-
-    def output_fields(self) -> list[str]:
-        return [s.field for s in self.list()]
+    def __init__(self, specs: Iterable[LabelSpec] = ()) -> None:
+        super().__init__(specs, order=lambda s: (s.stage, s.months, s.name))
 
-    def __contains__(self, name: object) -> bool:
-        return name in self._specs
+    def list(self, names: Sequence[str] | None = None, *, stage: str | None = None) -> list[LabelSpec]:
+        return [s for s in super().list(names) if stage in (None, s.stage)]
 
-    def __len__(self) -> int:
-        return len(self._specs)
+    def stages(self) -> list[str]:
+        return self.groups("stage")
 
 
-LABELS = LabelRegistry([LabelSpec("fwd_ret_1m", 1), LabelSpec("fwd_ret_3m", 3), LabelSpec("fwd_ret_6m", 6)])
+LABELS = LabelRegistry(LabelSpec(f"fwd_ret_{k}m", k, f"Return from the execution date to the one {k} rebalance dates later") for k in (1, 3, 6))
 
 
 def label_panel(universe: DataFrame, prices: DataFrame, specs: Sequence[LabelSpec] | None = None, *, check: bool = True) -> DataFrame:

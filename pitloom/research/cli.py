@@ -7,6 +7,7 @@ import json
 from collections.abc import Callable, Sequence
 
 from ..config import Config
+from ..logs import logger
 from ..plans.lake import STATEMENTS, UniverseRules, adjusted_price_panel, calendar_table, missing_factor_months, monthly_snapshot_base, monthly_universe, statement_pit_table, year_month
 from ..plans.quality import report, schema_consistency, validate
 from ..session import session
@@ -22,6 +23,7 @@ LAKE = ("calendar_table", "adjusted_price_panel", "monthly_universe", "monthly_s
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="pitloom")
     top.add_argument("--root", default=None)
+    top.add_argument("--log", default=None, help="a file for log lines, besides standard error")
     sub = top.add_subparsers(dest="command", required=True)
     ingest = sub.add_parser("ingest")
     ingest.add_argument("table", choices=[*TABLES, "all"])
@@ -70,6 +72,8 @@ def main(argv: Sequence[str] | None = None, source: Callable[[], MarketSource] |
     root = args.root or config.root
     spark = session()
     store = Store(spark, root)
+    log = logger("pitloom", args.log)
+    log.info("%s %s", args.command, " ".join(f"{k}={v}" for k, v in vars(args).items() if v and k not in ("command", "root", "log")))
     if args.command == "ingest":
         if source is None:
             raise SystemExit("no market source is configured")

@@ -118,8 +118,8 @@ def build_report(e: Experiment, store: Store, *, dry_run: bool = False) -> dict:
     """report.md and its charts, from the evaluation's summaries (small tables)."""
     made = e.required("evaluation")
     tables = {t: store.read(f"experiments/{e.slug}/evaluation/{t}") for t in made["tables"]}
-    text = render(tables, title=e.name, factors=made["factors"], labels=made["labels"])
     charts = svg_charts(tables)
+    text = render(tables, title=e.name, factors=made["factors"], labels=made["labels"], charts=sorted(charts))
     if not dry_run:
         (e.folder / "reports" / "report.md").write_text(text)
         for name, svg in charts.items():

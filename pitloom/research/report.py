@@ -8,6 +8,9 @@ from html import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.factors import FACTORS
+from ..plans.labels import LABELS
+
 #: name: table, what to sort by (- for descending), columns.
 BOARDS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
     "top_ic": ("rank_ic_summary", ("-ic_mean", "factor_name", "label_name"), ("factor_name", "label_name", "ic_mean", "icir", "ic_hit_rate")),
@@ -43,15 +46,66 @@ def markdown_table(rows: Sequence, columns: Sequence[str]) -> list[str]:
     return [f"| {' | '.join(columns)} |", f"|{' --- |' * len(columns)}", *(f"| {' | '.join(_cell(r[c]) for c in columns)} |" for r in rows)] if rows else ["No rows."]
 
 
-def render(tables: Mapping[str, DataFrame], *, title: str, factors: Sequence[str], labels: Sequence[str], k: int = 5) -> str:
-    lines = [f"# {title}", "", f"{len(factors)} factors, {len(labels)} labels.", ""]
+def render(tables: Mapping[str, DataFrame], *, title: str, factors: Sequence[str], labels: Sequence[str], k: int = 5, charts: Sequence[str] = ()) -> str:
+    lines = [f"# {title}", "", f"{len(factors)} factors, {len(labels)} labels.", "", *_summary(tables), *_sizes(tables), *_method(factors, labels)]
     for name, (table, _, columns) in BOARDS.items():
         if table in tables:
             lines += [f"## {name.replace('_', ' ').capitalize()}", "", *markdown_table(leaderboard(tables[table], name, 6 if name == "top_subperiods" else k).collect(), columns), ""]
     if "robustness_periods" in tables:
         periods = tables["robustness_periods"].orderBy("period").collect()
         lines += ["## Periods", "", *markdown_table(periods, ("period", "start_date", "end_date", "months")), ""]
-    return "\n".join(lines)
+    if charts:
+        lines += ["## Charts", "", *(f"![{c.replace('_', ' ')}]({c}.svg)" for c in charts), ""]
+    return "\n".join([*lines, *_by_factor(tables, factors)])
+
+
+#: A board's first row as a sentence.
+HIGHLIGHTS = {
+    "top_ic": "Rank IC is highest for `{factor_name}` on `{label_name}`: mean {ic_mean}, ICIR {icir}.",
+    "top_spread": "The spread between top and bottom is widest for `{factor_name}` on `{label_name}`: mean {spread_mean}, ratio {spread_ir}.",
+    "top_robustness": "`{factor_name}` on `{label_name}` keeps its sign best: {ic_sign_consistency} of the periods.",
+    "top_t_stat": "Of the regression's terms `{term}` on `{label_name}` has the largest t: {t_stat}.",
+    "top_correlation": "`{factor_a}` and `{factor_b}` overlap most: mean absolute correlation {mean_abs_corr}.",
+    "top_redundancy": "The other factors explain `{factor_name}` best: mean R² {mean_r2}.",
+}
+
+
+def _summary(tables: Mapping[str, DataFrame]) -> list[str]:
+    lines = []
+    for name, sentence in HIGHLIGHTS.items():
+        if BOARDS[name][0] in tables:
+            lines += [f"- {sentence.format(**{c: _cell(v) for c, v in r.asDict().items()})}" for r in leaderboard(tables[BOARDS[name][0]], name, 1).collect()]
+    return ["## Summary", "", *lines, ""] if lines else []
+
+
+def _sizes(tables: Mapping[str, DataFrame]) -> list[str]:
+    """Rows of the summaries, which are small."""
+    found = [f"- {t}: {tables[t].count()} rows" for t in sorted(tables) if t.endswith("_summary")]
+    return ["## Tables", "", *found, ""] if found else []
+
+
+def _method(factors: Sequence[str], labels: Sequence[str]) -> list[str]:
+    known = {s.field: s for s in (*FACTORS, *LABELS)}
+    steps = dict.fromkeys(", ".join(known[f].steps) for f in factors if f in known)
+    told = [f"- `{n}`: {known[n].description}" for n in (*factors, *labels) if n in known]
+    return ["## Method", "", "Cross-sections of eligible securities at month ends, with data as of then; labels begin on the day of execution.", "", *(f"- Steps: {s}" for s in steps), *told, ""]
+
+
+def _by_factor(tables: Mapping[str, DataFrame], factors: Sequence[str]) -> list[str]:
+    """A line for each factor and label, with what the evaluation and the redundancy say of it."""
+    if "evaluation_summary" not in tables:
+        return []
+    columns = ("label_name", "ic_mean", "icir", "spread_mean", "direction", "is_monotonic")
+    table = tables["evaluation_summary"]
+    if "redundancy_summary" in tables:
+        columns += ("mean_r2", "residual_ic_retention")
+        table = table.join(tables["redundancy_summary"].select("factor_name", "label_name", "mean_r2", "residual_ic_retention"), ["factor_name", "label_name"], "left")
+    rows = table.orderBy("factor_name", "label_name").collect()  # one for each factor and label
+    out = ["## By factor", ""]
+    for f in factors:
+        mine = [r for r in rows if r.factor_name == f]
+        out += [f"### {f}", "", *markdown_table(mine, columns), ""]
+    return out
 
 
 def bar_chart(title: str, bars: Sequence[tuple[str, float]], width: int = 640) -> str:
@@ -79,7 +133,7 @@ def heat_map(title: str, names: Sequence[str], values: Mapping[tuple[str, str],
 
 def svg_charts(tables: Mapping[str, DataFrame], k: int = 10) -> dict[str, str]:
     out = {}
-    for name, value, title in (("top_ic", "ic_mean", "Rank IC"), ("top_spread", "spread_mean", "Top-bottom spread"), ("top_t_stat", "t_stat", "Fama-MacBeth t")):
+    for name, value, title in (("top_ic", "ic_mean", "Rank IC"), ("top_spread", "spread_mean", "Top-bottom spread"), ("top_t_stat", "t_stat", "Fama-MacBeth t"), ("top_robustness", "ic_sign_consistency", "Periods with the whole's sign")):
         table = BOARDS[name][0]
         if table in tables:
             rows = leaderboard(tables[table], name, k).collect()

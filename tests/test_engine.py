@@ -137,6 +137,9 @@ def test_factor_registry():
         FactorRegistry([FACTORS.get("size"), FACTORS.get("size")])
     with pytest.raises(KeyError):
         FACTORS.get("none")
+    with pytest.raises(ValueError):
+        replace(FACTORS.get("size"), description="")
+    assert FACTORS.families()[0] == "size_value" and {s.family for s in FACTORS.list(family="momentum")} == {"momentum"}
 
 
 @pytest.fixture(scope="module")
@@ -159,12 +162,18 @@ def test_lagged_factors_and_panel(snapshot):
 def test_labels(spark, snapshot):
     universe = snapshot.where("ts_code = 'A'")
     prices = universe.select("ts_code", F.col("trade_execution_date").alias("trade_date"), "adj_close")
-    got = label_panel(universe, prices, [LabelSpec("fwd_ret_1m", 1), LabelSpec("fwd_ret_3m", 3)]).orderBy("rebalance_date").collect()
+    got = label_panel(universe, prices, LABELS.list(["fwd_ret_1m", "fwd_ret_3m"])).orderBy("rebalance_date").collect()
     assert got[0].label_fwd_ret_1m == pytest.approx(0.1) and got[0].label_fwd_ret_3m == pytest.approx(0.3)
     assert got[3].label_fwd_ret_1m is None
     assert [s.months for s in LABELS.list()] == [1, 3, 6]
     with pytest.raises(ValueError):
-        LabelSpec("x", 1, window_rule="allow_partial_window")
+        LabelSpec("x", 1, "text", window_rule="allow_partial_window")
+    for bad in (("X", 1, "text"), ("x", 0, "text"), ("x", 1, " ")):
+        with pytest.raises(ValueError):
+            LabelSpec(*bad)
+    assert LABELS.stages() == ["v1"] and LABELS.list(stage="v2") == [] and len(LABELS.output_fields()) == 3
+    with pytest.raises(ValueError):
+        LABELS.register(LABELS.get("fwd_ret_1m"))
 
 
 def test_evaluation_tables(spark):
@@ -239,7 +248,7 @@ def test_guards(spark, snapshot):
     universe = snapshot.where("ts_code = 'A'")
     prices = universe.select("ts_code", F.col("trade_execution_date").alias("trade_date"), "adj_close")
     doubled = prices.withColumn("adj_close", F.lit(1.0)).unionByName(prices).coalesce(1)
-    spec = [LabelSpec("fwd_ret_1m", 1)]
+    spec = LABELS.list(["fwd_ret_1m"])
     assert rows(label_panel(universe, doubled, spec), "rebalance_date") == rows(label_panel(universe, prices, spec), "rebalance_date")
     second = universe.withColumn("trade_execution_date", F.date_add("trade_execution_date", 1))
     with pytest.raises(ValueError, match="two execution dates"):
@@ -349,7 +358,8 @@ def test_research_from_raw_tables_to_the_report(spark, tmp_path, capsys, monkeyp
     source = FrameSource({t: adjusted if t == "adj_factor" else raw.table(t) for t in TABLES})
     root = str(tmp_path)
     monkeypatch.setenv("PIT_HISTORY_START", "19900101")
-    assert cli.main(["--root", root, "ingest", "all"], lambda: source) == 0
+    assert cli.main(["--root", root, "--log", f"{root}/run.log", "ingest", "all"], lambda: source) == 0
+    assert "ingest table=all" in (tmp_path / "run.log").read_text()
     store = Store(spark, root)
     assert store.read("raw/daily").count() == raw.daily().count()
     for table in cli.LAKE:
@@ -367,5 +377,7 @@ def test_research_from_raw_tables_to_the_report(spark, tmp_path, capsys, monkeyp
     assert store.read(f"experiments/{e.slug}/evaluation/rank_ic_summary").count() == 9
     assert store.read(f"experiments/{e.slug}/evaluation/redundancy_summary").count() == 9
     report = (e.folder / "reports" / "report.md").read_text()
-    assert "factor_size" in report and sorted(p.suffix for p in (e.folder / "reports").iterdir())[0] == ".md"
+    for part in ("## Summary", "## Method", "## Charts", "### factor_size", "Rank IC is highest for"):
+        assert part in report
+    assert sorted(p.suffix for p in (e.folder / "reports").iterdir())[0] == ".md"
     assert any("heat" in p.stem or "corr" in p.stem for p in (e.folder / "reports").glob("*.svg"))
