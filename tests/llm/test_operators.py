@@ -494,3 +494,35 @@ def test_overlaps_against_brute_force(spark):
     for size in (16 << 20, 0):
         got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs_of(spark, [" ".join(d) for d in docs]), bench, broadcast_bytes=size).collect()}
         assert got == want and len(want) > 40
+
+
+def test_results_of_odd_rows(spark):
+    """Null, empty, blank, very long texts without spaces, and repeated rows: what each operator says of them."""
+    long = "x" * 200_000
+    texts = [None, "", " \n\t", "...", long, "one two", "one two"]
+    docs = docs_of(spark, texts).unionByName(docs_of(spark, ["one two"], first=6)).unionByName(docs_of(spark, ["null id"]).withColumn("doc_id", F.lit(None).cast("long"))).withColumns({"spans": F.lit("clash"), "terms": F.lit(1), "id": F.lit(2), "bands": F.lit(3)})
+    by = lambda df, *c: sorted(((r.doc_id, *(r[x] for x in c)) for r in df.collect()), key=str)
+    kept = debruijn.remove_repeats(docs)
+    assert by(kept, "n_words", "n_removed", "text") == sorted([(0, 0, 0, ""), (1, 0, 0, ""), (2, 0, 0, ""), (3, 1, 0, "..."), (4, 1, 0, long), (5, 2, 0, "one two"), (6, 2, 0, "one two"), (6, 2, 0, "one two"), (None, 2, 0, "null id")], key=str)
+    groups = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect() if r.doc_id is not None}
+    assert groups[0] == groups[1] == groups[2] == ("0" * 16, 0) and groups[5] == groups[6] and groups[6][1] == 5 and groups[4][1] == 4
+    near = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert near == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 5}
+    spans = pii.all_spans(docs)
+    assert by(spans, "spans", "terms") == sorted([(i, [], []) for i in (0, 1, 2, 3, 4, 5, 6, 6, None)], key=str)
+    packed = packing.pack_documents(docs)
+    sizes = {}
+    for r in packed.collect():
+        sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.n_tokens
+        assert (r.bin_id is None) == (r.n_tokens == 0) and r.n_tokens <= 4096
+    encode = packing.read_encoding(packing.DEFAULT_VOCABULARY).encode_ordinary
+    assert sizes == {**{i: len(encode(t or "")) for i, t in enumerate(texts)}, 6: 2 * len(encode("one two")), None: len(encode("null id"))}
+    clean = pii.sanitize(docs)
+    assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
+    pages = spark.createDataFrame([(1, None, None, "a"), (2, "u", "", "b"), (3, "u", "<p>" + long, "c"), (3, "u", "<p>" + long, "c")], "page_id long, url string, html string, text string")
+    got = [tuple(r) for r in html.extract(pages).orderBy("page_id").collect()]
+    assert got[:2] == [(1, None, "", 0), (2, "u", "", 0)] and got[2] == got[3] and got[2][3] == len(got[2][2])
+    made = warc.derivatives(warc.responses_of_pages(pages), keep=("page_id",)).collect()
+    assert [len(r.block) for r in made if r.warc_type == "conversion" and r.page_id < 3] == [0, 0] and len({r.record_id for r in made if r.page_id == 3}) == 2
+    items = spark.createDataFrame([(1, "one two", 0), (2, None, 0), (None, "one two", 0), (1, "one two", 0), (3, "", 0)], "item_id long, text string, doc_id int")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items).collect()) == [(5, 1), (6, 1)]
