@@ -381,3 +381,43 @@ def test_research_from_raw_tables_to_the_report(spark, tmp_path, capsys, monkeyp
         assert part in report
     assert sorted(p.suffix for p in (e.folder / "reports").iterdir())[0] == ".md"
     assert any("heat" in p.stem or "corr" in p.stem for p in (e.folder / "reports").glob("*.svg"))
+
+
+def test_vendor_endpoints_as_a_data_source(spark, tmp_path):
+    """Requests by listing status, open day, security and calendar day; a request that fails is made again."""
+    from pitloom.sources.vendor import ASKED_BY, VendorSource
+
+    marks = str(tmp_path)
+
+    def call(endpoint, **asked):
+        import pathlib
+
+        if endpoint == "trade_cal":
+            return [{"exchange": "X", "cal_date": f"202401{k:02d}", "is_open": float(k != 6), "pretrade_date": None} for k in range(5, 9)]
+        if endpoint == "stock_basic":
+            known = {"L": [{"ts_code": "A.SH", "market": "M"}, {"ts_code": "C.XX", "market": "M"}], "D": [{"ts_code": "B.SZ", "market": "M", "delist_date": "20240105"}], "P": []}
+            return known[asked["list_status"]]
+        mark = pathlib.Path(marks) / f"{endpoint}-{'-'.join(asked.values())}"
+        if not mark.exists():
+            mark.write_text("")
+            raise OSError("the first time fails")
+        if "trade_date" in asked:
+            return [{"ts_code": c, "trade_date": asked["trade_date"], "close": 1.0} for c in ("A.SH", "B.SZ")]
+        if "ts_code" in asked:
+            return [{"ts_code": asked["ts_code"], "ann_date": asked["end_date"], "end_date": "20231231", "revenue": 2.0}]
+        return [{"ts_code": "A.SH", "ann_date": asked["ann_date"], "end_date": "20231231"}]
+
+    store, state = Store(spark, str(tmp_path / "raw")), IngestionState(tmp_path / "state.json")
+    config = Config(history_start="20240105")
+    ingestor = Ingestor(spark, VendorSource(spark, call, store, config, markets=("M",), per_task=1, wait=0.0), store, state, config)
+    got = {t: ingestor.run(t, end="20240108") for t in ("trade_cal", "stock_basic", "daily", "income", "forecast")}
+    assert {t: r.rows for t, r in got.items()} == {"trade_cal": 4, "stock_basic": 3, "daily": 6, "income": 2, "forecast": 4}
+    assert rows(store.read("income", ["ts_code", "ann_date"]), "ts_code") == [("A.SH", d("2024-01-08")), ("B.SZ", d("2024-01-08"))]
+    assert [r.trade_date.day for r in store.read("daily").where("ts_code = 'A.SH'").orderBy("trade_date").collect()] == [5, 7, 8]
+    assert len(ASKED_BY) == 11
+
+    def never(endpoint, **asked):
+        raise OSError("down")
+
+    with pytest.raises(Exception, match="failed 2 times"):
+        VendorSource(spark, never, store, config, attempts=2, wait=0.0).fetch("stock_basic").collect()
