@@ -66,8 +66,10 @@ def ball(radius: int) -> list[int]:
 
 
 def links(distinct: DataFrame, *, distance: int = 2) -> DataFrame:
-    """a, b (a != b): fingerprints that differ in at most `distance` bits (an even number), linked through the least
+    """a, b (a != b): fingerprints that differ in at most `distance` bits (an even number, else ValueError), linked through the least
     fingerprint around each variant; two that are linked only through others have a path. Input: distinct fingerprints."""
+    if distance % 2 or distance < 0:  # half of it is no whole radius, and some links would have no variant in common
+        raise ValueError("the distance must be even")
     masks = F.array(*(F.lit(m - 2**64 if m >= 2**63 else m).cast("long") for m in ball(distance // 2)))
     # dealt anew, as few small partitions would become large ones here; by a hash, as Spark leaves out a repartition
     # by a column that rows are already dealt by, and then merges the small partitions

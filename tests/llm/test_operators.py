@@ -94,6 +94,11 @@ def test_simhash_against_brute_force(docs, texts):
     assert got == {i: (f"{prints[i]:016x}", find(i)) for i in prints}
 
 
+def test_fingerprints_at_odd_distances_are_refused(docs):
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(docs, distance=3)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.component for r in components.component_labels(spark.createDataFrame(edges, "a long, b long")).collect()}
