@@ -328,6 +328,13 @@ def test_stream_merges_batches(spark, tmp_path):
     assert store.read("daily").count() == 3
 
 
+def test_settings_from_variables_and_a_file(tmp_path):
+    (tmp_path / ".env").write_text("# local\nPIT_TOKEN='secret'\nPIT_DAILY_LOOKBACK=7\nPIT_ROOT=here\n")
+    got = Config.from_env({"PIT_ROOT": "there"}, tmp_path / ".env")
+    assert (got.token, got.daily_lookback, got.root, got.adjust_lookback) == ("secret", 7, "there", 60)
+    assert Config.from_env({}, tmp_path / "none") == Config()
+
+
 def test_small_things(spark, tmp_path):
     assert slugify(" A b!") == "a-b" and Experiment("A b", str(tmp_path), "2024-01-31").slug == "20240131__a-b"
     with pytest.raises(ValueError):
