@@ -226,7 +226,7 @@ def _regressions(name: str, factors: tuple[str, ...]) -> None:
         PARTS[f"{name}_r{p}"] = f"SELECT * EXCLUDE (a), CASE WHEN t = {p} THEN a ELSE {_swept('a', p, k)} END AS a FROM {name}_r{p - 1 if p else ''}"
     rest = lambda t: f"(w.{fields[t]} - mu[{t + 1}])" + "".join(f" - a[{p * k + t + 1}] * (w.{fields[p]} - mu[{p + 1}])" for p in range(k) if p != t)
     own_at = lambda t: (f"a[{t * k + t + 1}]", f"a0[{t * k + t + 1}]")
-    cases = " ".join(f"WHEN {t} THEN CASE WHEN {own_at(t)[0]} <= 1e-10 * {own_at(t)[1]} THEN 0 ELSE {rest(t)} END" for t in range(k))
+    cases = " ".join(f"WHEN {t} THEN CASE WHEN {own_at(t)[0]} <= 1e-10 * {own_at(t)[1]} THEN 0 ELSE round(({rest(t)}) / sqrt({own_at(t)[1]}), 9) * sqrt({own_at(t)[1]}) END" for t in range(k))
     own = " ".join(f"WHEN {t} THEN CASE WHEN {own_at(t)[1]} > 0 THEN CASE WHEN {own_at(t)[0]} <= 1e-10 * {own_at(t)[1]} THEN 1 ELSE 1 - {own_at(t)[0]} / {own_at(t)[1]} END END" for t in range(k))
     PARTS[f"{name}_residuals"] = f"SELECT w.rebalance_date, ts_code, [{', '.join(repr(f) for f in fields)}][t + 1] AS factor_name, CASE t {cases} END AS e, CASE t {own} END AS r2, n FROM aligned w JOIN {name}_r{k - 1} USING (rebalance_date) WHERE {whole}"
     PARTS[f"{name}_base"] = f"SELECT rebalance_date, factor_name, max(r2) AS r2, max(n) AS n_obs, stddev_pop(e) AS spread FROM {name}_residuals GROUP BY ALL"

@@ -193,7 +193,7 @@ def solve(means: np.ndarray, covariances: np.ndarray, target: int) -> tuple[floa
 
 
 def redundancy_coefficients(aligned: DataFrame, names: Sequence[str]) -> DataFrame:
-    """date, n_obs, means, fits (by factor: coefficients of all factors, 0 for its own, and r2), for dates with as many rows as coefficients."""
+    """date, n_obs, means, fits (by factor: coefficients of all factors, 0 for its own, r2 and the factor's deviation), for dates with as many rows as coefficients."""
     k = len(names)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,17 +208,18 @@ def redundancy_coefficients(aligned: DataFrame, names: Sequence[str]) -> DataFra
                     own = covariances[target, target]
                     rest = own - 2 * full @ covariances[target] + full @ covariances @ full
                     left = rest / own if own > 1e-20 * (1 + means[target] ** 2) else None
-                    one.append({"coefficients": full.tolist(), "r2": None if left is None else 1.0 if left <= _NOTHING else 1 - left})
+                    one.append({"coefficients": full.tolist(), "r2": None if left is None else 1.0 if left <= _NOTHING else 1 - left, "scale": float(np.sqrt(own)) if own > 0 else 1.0})
                 fits.append(one)
             yield batch[[DATE, "n_obs", "means"]].assign(fits=fits)
 
-    return moments(aligned, [DATE], names).where(F.col("n_obs") >= k).mapInPandas(of, f"{DATE} date, n_obs long, means array<double>, fits array<struct<coefficients: array<double>, r2: double>>")
+    return moments(aligned, [DATE], names).where(F.col("n_obs") >= k).mapInPandas(of, f"{DATE} date, n_obs long, means array<double>, fits array<struct<coefficients: array<double>, r2: double, scale: double>>")
 
 
 def redundancy_residuals(aligned: DataFrame, names: Sequence[str]) -> DataFrame:
     """date, ts_code, factor_name, residual, r2, n_obs of each factor's least squares on all others and a constant, over rows that have all factors.
 
     Dates with fewer rows than coefficients are left out; r2 is NULL where the factor is constant, 1 (and the residual 0) where the others explain it.
+    Residuals are rounded to 9 digits of the factor's deviation, so that ranks don't order rounding errors.
     """
     if len(names) < 2:
         raise ValueError("redundancy needs two factors")
@@ -229,7 +230,7 @@ def redundancy_residuals(aligned: DataFrame, names: Sequence[str]) -> DataFrame:
     def residual(k: int):
         fit = F.get("fits", F.lit(k))
         explained = sum((F.get(fit["coefficients"], F.lit(i)) * c for i, c in enumerate(centred) if i != k), F.lit(0.0))
-        rest = F.when(fit["r2"] == 1, F.lit(0.0)).otherwise(centred[k] - explained)
+        rest = F.when(fit["r2"] == 1, F.lit(0.0)).otherwise(F.round((centred[k] - explained) / fit["scale"], 9) * fit["scale"])
         return F.struct(F.lit(names[k]).alias("factor_name"), rest.alias("residual"), fit["r2"].alias("r2"))
 
     each = met.select(DATE, "ts_code", F.explode(F.array(*map(residual, range(len(names))))).alias("x"), "n_obs")

