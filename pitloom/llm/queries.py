@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, decontaminate, html, langid, packing, pii, simhash, topk, toxicity, warc
+from . import debruijn, decontaminate, filters, html, langid, packing, pii, simhash, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five quality filters remove from each source in all 120 orders."""
+    return filters.audit(filters.measured(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_language_id": op2_language_id,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_main_text": op9_main_text,
     "op10_decontamination": op10_decontamination,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 #: DuckDB SQL for the operators that SQL can express on whole tables.
@@ -132,4 +138,35 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op12_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), l AS (
+            SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+        ), f AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+                'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+                'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)} AS fails
+            FROM d LEFT JOIN l USING (doc_id)
+        ), patterns AS (
+            SELECT part, good, toxic, map(['A', 'B', 'C', 'D', 'E'], [fails.A, fails.B, fails.C, fails.D, fails.E]) AS fails, count(*) AS n FROM f GROUP BY ALL
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (
+            SELECT filter_order, step::INTEGER AS step, filter_order[step] AS x, [filter_order[k] FOR k IN range(1, step)] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS step)
+        ), outcomes AS (
+            SELECT part, filter_order, step, x, n, good, toxic, fails[x] AS fails, len(list_filter(earlier, lambda y: fails[y])) > 0 AS gone,
+                len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda y: fails[y])) AS many FROM steps, patterns
+        ), counted AS (
+            SELECT part, filter_order, step, x, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND fails THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN gone AND fails THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails AND many = 1 THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN NOT gone AND fails AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND fails AND toxic THEN n ELSE 0 END) AS toxic_lost
+            FROM outcomes GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+            good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM counted
+    """,
 }
