@@ -3,8 +3,9 @@
 A table key is a pair: one hash from a first small collection and one from a second. Twelve of each give 144 tables from 24 hashes, 72 minhashes in place of 864. What no other text has in
 common in either collection is left out before pairs are formed, so that most texts form none. Candidates are confirmed on the full sets of shingles.
 
-A table key that many texts share is never paired out: all its texts are compared with the one that has most company, and only what is in different components after that is compared
-within the key, small keys pair by pair and large ones block against block. So no link between components is lost, and no group of copies is expanded.
+A table key that many texts share is never paired out: all its texts are compared with the one that has most company, what isn't linked to the key's largest component by then with another text
+of that, and only what is in different components after that is compared within the key, small keys pair by pair and large ones block against block. So no link between components is
+lost, and no group of copies is expanded.
 """
 
 from __future__ import annotations
@@ -185,23 +186,37 @@ def block_links(block: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b inside keys with several components. left: key, digest, n, component. What isn't in a key's largest component is compared with all of it, dealt into blocks
-    on either side: no pair is a row, and no task holds more than two blocks."""
-    parts = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-    whole = parts.groupBy("key").agg(F.max(F.struct("m", "component", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
-    blocks = lambda m, s: F.ceil(F.greatest(m / F.lit(BLOCK_TEXTS), s / F.lit(BLOCK_SHINGLES), F.lit(1.0))).cast("int")
-    whole = whole.select("key", F.col("top.component").alias("main"), blocks(F.col("m"), F.col("s")).alias("all_blocks"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("lone_blocks"))
-    met = left.join(whole, "key")
-    deal = lambda k: F.pmod(F.xxhash64("digest", "key"), k).cast("int")
+    """Links a, b inside keys with several components. left: key, digest, n, component. Keys with one largest component are taken together, so that no two texts are compared in each key that they
+    share: what isn't in that component is compared with all texts of its keys, dealt into blocks on either side. No pair is a row, and no task holds more than two blocks."""
+    largest = _largest(left)
+    rows = left.join(largest, "key").select("main", "digest", "component", "n").distinct()
+    lone_ = F.col("component") != F.col("main")
+    count = lambda x, c=F.lit(True): F.sum(F.when(c, x).otherwise(0))
+    whole = rows.groupBy("main").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"), count(F.lit(1), lone_).alias("lone_m"), count(F.col("n"), lone_).alias("lone_s"))
+    blocks = lambda m, s: F.ceil(F.greatest(F.col(m) / F.lit(BLOCK_TEXTS), F.col(s) / F.lit(BLOCK_SHINGLES), F.lit(1.0))).cast("int")
+    met = rows.join(whole.select("main", blocks("m", "s").alias("all_blocks"), blocks("lone_m", "lone_s").alias("lone_blocks")), "main")
+    deal = lambda k: F.pmod(F.xxhash64("digest", "main"), F.col(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    lone = met.where("component != main").select("key", "digest", "component", F.lit(0).alias("side"), deal(F.col("lone_blocks")).alias("i"), each("all_blocks").alias("j"))
-    all_ = met.select("key", "digest", "component", F.lit(1).alias("side"), each("lone_blocks").alias("i"), deal(F.col("all_blocks")).alias("j"))
-    rows = lone.unionByName(all_).join(sets, "digest")
-    return rows.groupBy("key", "i", "j").applyInPandas(lambda block: block_links(block, percent), "a binary, b binary").distinct()
+    lone = met.where(lone_).select("main", "digest", "component", F.lit(0).alias("side"), deal("lone_blocks").alias("i"), each("all_blocks").alias("j"))
+    all_ = met.select("main", "digest", "component", F.lit(1).alias("side"), each("lone_blocks").alias("i"), deal("all_blocks").alias("j"))
+    sized = lone.unionByName(all_).join(sets, "digest")
+    return sized.groupBy("main", "i", "j").applyInPandas(lambda block: block_links(block, percent), "a binary, b binary").distinct()
+
+
+def _largest(rows: DataFrame) -> DataFrame:
+    """key, main: the component with most texts of each key."""
+    return rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "component")).alias("l")).select("key", F.col("l.component").alias("main"))
+
+
+def _undecided(bucket: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, digest, n, m, component of keys that hold several components, written as a table."""
+    now = bucket.join(labels, bucket.digest == labels.node, "left").select("key", "digest", "n", "m", F.coalesce("component", "digest").alias("component"))
+    several = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    return materialize(now.join(several, "key", "left_semi"))
 
 
 def links(made: DataFrame, texts: DataFrame, *, size: int, percent: int, small: int = SMALL) -> DataFrame:
-    """Links a, b between digests that give all components. made: sketches; texts: id, text_hash, text."""
+    """node, component: components over links between digests. made: sketches; texts: id, text_hash, text."""
     keys = materialize(table_keys(made))
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     bucket = materialize(keys.join(many, "key"))
@@ -209,21 +224,31 @@ def links(made: DataFrame, texts: DataFrame, *, size: int, percent: int, small:
     reps = bucket.select("digest").distinct().join(made, "digest").groupBy("digest").agg(F.min(F.struct("text_hash", "id")).alias("r")).select(F.col("r.text_hash").alias("h"), F.col("r.id").alias("i"))
     chosen = texts.join(reps, (F.col("text_hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i")), "left_semi").dropDuplicates(["text_hash", "id"])
     sets = materialize(shingle_sets(chosen, size))
+    # first: a key's texts against the one that has most company
     weight = bucket.groupBy("digest").agg(F.sum("m").alias("weight"))
     lead = bucket.join(weight, "digest").groupBy("key").agg(F.max(F.struct("weight", "digest", "n")).alias("l")).select("key", F.col("l.digest").alias("a"), F.col("l.n").alias("n_a"))
-    star = materialize(bucket.join(lead, "key").where((F.col("digest") != F.col("a")) & _fits(F.col("n"), F.col("n_a"), percent)).select("a", F.col("digest").alias("b")).distinct())
+    led = lambda rows, lead: rows.join(lead, "key").where((F.col("digest") != F.col("a")) & _fits(F.col("n"), F.col("n_a"), percent)).select("a", F.col("digest").alias("b")).distinct()
+    star = materialize(led(bucket, lead))
     edges = materialize(confirmed(star, sets, percent))
     labels = component_labels(edges)
-    now = bucket.join(labels, bucket.digest == labels.node, "left").select("key", "digest", "n", "m", F.coalesce("component", "digest").alias("component"))
-    open_ = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = materialize(now.join(open_, "key", "left_semi"))
+    left = _undecided(bucket, labels)
+    # then: what isn't in a key's largest component against some text of that, another one in each key
+    placed = left.join(_largest(left), "key")
+    lead = placed.where("component = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "digest").alias("h"), "digest", "n")).alias("l")).select("key", F.col("l.digest").alias("a"), F.col("l.n").alias("n_a"))
+    again = materialize(led(placed.where("component != main"), lead).join(star, ["a", "b"], "left_anti"))
+    found = materialize(confirmed(again, sets, percent))
+    if not found.isEmpty():
+        edges = materialize(edges.unionByName(found))
+        labels = component_labels(edges)
+        left = _undecided(left.drop("component"), labels)
+    # last: what is left in other components against all of the key
     few = left.where(F.col("m") <= small)
     other = few.select("key", F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
     across = few.join(other, "key").where((F.col("digest") < F.col("b")) & (F.col("component") != F.col("component_b")) & _fits(F.col("n"), F.col("n_b"), percent)).select(F.col("digest").alias("a"), "b").distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = star.unionByName(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = confirmed(materialize(across.join(tried, ["a", "b"], "left_anti")), sets, percent)
-    blocks = _in_blocks(left.where(F.col("m") > small), sets, percent)
-    return materialize(edges.unionByName(more).unionByName(blocks))
+    rest = materialize(more.unionByName(_in_blocks(left.where(F.col("m") > small), sets, percent)))
+    return labels if rest.isEmpty() else component_labels(edges.unionByName(rest))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, small: int = SMALL) -> DataFrame:
@@ -235,7 +260,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     made = materialize(sketches(rows, size))
-    labels = component_labels(links(made, rows, size=size, percent=percent, small=small))
+    labels = links(made, rows, size=size, percent=percent, small=small)
     least = made.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"))
     named = least.join(labels, least.digest == labels.node, "left").select("digest", "least", F.coalesce("component", "digest").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("name"))
