@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from .plans.factors import FACTORS
 from .plans.lake import BASIC, STATEMENTS
-from .queries import FACTORS_OF_MANY, FACTORS_REGRESSED, SETTINGS, STEP_FACTORS
+from .queries import FACTORS_OF_MANY, FACTORS_OF_SIX, SETTINGS, STEP_FACTORS
 
 _LABELS = SETTINGS.labels
 _FIELDS = SETTINGS.factors
@@ -202,63 +203,71 @@ PARTS["corr_means"] = "SELECT factor_a, factor_b, count(correlation) AS observat
 PARTS["corr_both"] = "SELECT factor_a, factor_b, mean_corr FROM corr_means UNION SELECT factor_b, factor_a, mean_corr FROM corr_means"
 
 
-def _swept(a: str, p: int, k: int) -> str:
-    """One step of Gauss and Jordan on the k x k list `a` (whose diagonal was `d` at first): after the pivots P it holds the coefficients of every other
-    variable on P in P's rows, and what P leaves of the variances in the diagonal. A variable that those before explain is no pivot."""
-    at = lambda i, j: f"{a}[({i}) * {k} + {j} + 1]"
-    i, j, pivot = f"(x // {k})", f"(x % {k})", at(p, p)
-    cells = f"CASE WHEN {i} = {p} AND {j} = {p} THEN 1 / {pivot} WHEN {i} = {p} THEN {at(p, j)} / {pivot} WHEN {j} = {p} THEN -{at(i, p)} / {pivot} ELSE {at(i, j)} - {at(i, p)} * {at(p, j)} / {pivot} END"
-    return f"CASE WHEN {pivot} <= 1e-10 * {a}0[{p * k + p + 1}] THEN {a} ELSE list_transform(range({k * k}), lambda x: {cells}) END"
+def _orthogonal(name: str, source: str, steps: int) -> str:
+    """Parts {name}0 to {name}{steps - 1}: each takes one more column out of those after it (modified Gram-Schmidt). source: a (columns as lists), a0 (their lengths at first) and w, a list of numbers for each
+    column that goes along with it. A column that those before explain is left as it is. Gives the last part's name."""
+    for p in range(steps):
+        q, there = f"a[{p + 1}]", f"sqrt(list_dot_product(a[{p + 1}], a[{p + 1}])) > 1e-10 * a0[{p + 1}]"
+        shares = f"SELECT *, CASE WHEN {there} THEN list_transform(a, lambda c: list_dot_product({q}, c) / list_dot_product({q}, {q})) END AS d FROM {source if p == 0 else f'{name}{p - 1}'}"
+        taken = lambda x: f"CASE WHEN d IS NULL THEN {x} ELSE list_transform({x}, lambda c, j: CASE WHEN j <= {p + 1} THEN c ELSE list_transform(c, lambda v, i: v - {x}[{p + 1}][i] * d[j]) END) END AS {x}"  # noqa: B023, E731
+        PARTS[f"{name}{p}"] = f"SELECT * EXCLUDE (a, w, d), {taken('a')}, {taken('w')} FROM ({shares})"
+    return f"{name}{steps - 1}"
 
 
-def _moments(group: str, fields: list[str], source: str, least: int) -> str:
-    k, whole = len(fields), " AND ".join(f"{f} IS NOT NULL" for f in fields)
-    cells = ", ".join(f"covar_pop({x}, {y})" for x in fields for y in fields)
-    return f"SELECT {group}, n, mu, a, a AS a0 FROM (SELECT {group}, count(*) AS n, [{', '.join(f'avg({f})' for f in fields)}] AS mu, [{cells}] AS a FROM {source} WHERE {whole} GROUP BY {group} HAVING count(*) >= {least})"
+def _length(x: str) -> str:
+    return f"sqrt(list_dot_product({x}, {x}))"
 
 
 def _regressions(name: str, factors: tuple[str, ...]) -> None:
     """Parts {name}_residuals, _redundancy, _fm for these factors and all labels."""
     fields = [f"factor_{n}" for n in factors]
     k, whole = len(fields), " AND ".join(f"factor_{n} IS NOT NULL" for n in factors)
-    PARTS[f"{name}_r"] = f"SELECT m.*, t FROM ({_moments('rebalance_date', fields, 'aligned', k)}) m CROSS JOIN (SELECT unnest(range({k})) AS t)"
-    for p in range(k):
-        PARTS[f"{name}_r{p}"] = f"SELECT * EXCLUDE (a), CASE WHEN t = {p} THEN a ELSE {_swept('a', p, k)} END AS a FROM {name}_r{p - 1 if p else ''}"
-    rest = lambda t: f"(w.{fields[t]} - mu[{t + 1}])" + "".join(f" - a[{p * k + t + 1}] * (w.{fields[p]} - mu[{p + 1}])" for p in range(k) if p != t)
-    own_at = lambda t: (f"a[{t * k + t + 1}]", f"a0[{t * k + t + 1}]")
-    cases = " ".join(f"WHEN {t} THEN CASE WHEN {own_at(t)[0]} <= 1e-10 * {own_at(t)[1]} THEN 0 ELSE round(({rest(t)}) / sqrt({own_at(t)[1]}), 9) * sqrt({own_at(t)[1]}) END" for t in range(k))
-    own = " ".join(f"WHEN {t} THEN CASE WHEN {own_at(t)[1]} > 0 THEN CASE WHEN {own_at(t)[0]} <= 1e-10 * {own_at(t)[1]} THEN 1 ELSE 1 - {own_at(t)[0]} / {own_at(t)[1]} END END" for t in range(k))
-    PARTS[f"{name}_residuals"] = f"SELECT w.rebalance_date, ts_code, [{', '.join(repr(f) for f in fields)}][t + 1] AS factor_name, CASE t {cases} END AS e, CASE t {own} END AS r2, n FROM aligned w JOIN {name}_r{k - 1} USING (rebalance_date) WHERE {whole}"
-    PARTS[f"{name}_base"] = f"SELECT rebalance_date, factor_name, max(r2) AS r2, max(n) AS n_obs, stddev_pop(e) AS spread FROM {name}_residuals GROUP BY ALL"
-    PARTS[f"{name}_pairs"] = " UNION ALL ".join(f"SELECT r.rebalance_date, r.factor_name, '{y}' AS label_name, r.ts_code, e AS x, {y} AS y FROM {name}_residuals r JOIN {name}_base b USING (rebalance_date, factor_name) JOIN aligned a ON a.rebalance_date = r.rebalance_date AND a.ts_code = r.ts_code WHERE spread > 1e-12 AND {y} IS NOT NULL" for y in _LABELS)
-    PARTS[f"{name}_ic"] = f"SELECT {_G}, {_corr('rx', 'ry')} AS residual_rank_ic FROM (SELECT {_G}, {_ranked('x', _G)} AS rx, {_ranked('y', _G)} AS ry FROM {name}_pairs) GROUP BY ALL"
-    PARTS[f"{name}_spread"] = f"SELECT {_G}, avg(y) FILTER (quantile = 5) - avg(y) FILTER (quantile = 1) AS residual_spread FROM (SELECT *, {_bucket('x', _G)} AS quantile FROM {name}_pairs QUALIFY count(*) OVER (PARTITION BY {_G}) >= 5) GROUP BY ALL"
-    PARTS[f"{name}_redundancy"] = f"SELECT {_G}, r2, n_obs, residual_rank_ic, residual_spread FROM {name}_base CROSS JOIN (SELECT unnest([{', '.join(repr(y) for y in _LABELS)}]) AS label_name) LEFT JOIN {name}_ic USING ({_G}) LEFT JOIN {name}_spread USING ({_G})"
-    PARTS[f"{name}_l"] = " UNION ALL ".join(f"SELECT rebalance_date, '{y}' AS label_name, {', '.join(fields)}, {y} AS y FROM aligned" for y in _LABELS)
-    PARTS[f"{name}_f"] = _moments("rebalance_date, label_name", [*fields, "y"], f"{name}_l", k + 1)
-    for p in range(k):
-        here = p * (k + 1) + p + 1
-        PARTS[f"{name}_f{p}"] = f"SELECT * EXCLUDE (a), a[{here}] <= 1e-10 * a0[{here}] AS skip{p}, {_swept('a', p, k + 1)} AS a FROM {name}_f{p - 1 if p else ''}"
-    # with one factor that others explain, of all solutions the one of least norm: along the direction v that leaves the fit as it is
-    skips, cell = " + ".join(f"skip{p}::INTEGER" for p in range(k)), lambda p, q: f"a[{p * (k + 1)} + {q} + 1]"
-    PARTS[f"{name}_b"] = f"SELECT rebalance_date, label_name, n, mu, {skips} AS skipped, [{', '.join(f'CASE WHEN skip{p} THEN 0 ELSE {cell(p, k)} END' for p in range(k))}] AS b, CASE {' '.join(f'WHEN skip{q} THEN [{", ".join("1" if p == q else f"CASE WHEN skip{p} THEN 0 ELSE -{cell(p, q)} END" for p in range(k))}]' for q in range(k))} END AS v FROM {name}_f{k - 1}"
-    dot = lambda x, y: " + ".join(f"{x}[{p + 1}] * {y}[{p + 1}]" for p in range(k))
-    PARTS[f"{name}_z"] = f"SELECT *, coalesce(((mu[{k + 1}] - ({dot('b', 'mu')})) * ({dot('v', 'mu')}) - ({dot('b', 'v')})) / (({dot('v', 'mu')}) * ({dot('v', 'mu')}) + {dot('v', 'v')}), 0) AS z FROM {name}_b"
-    PARTS[f"{name}_c"] = f"SELECT *, [{', '.join(f'b[{p + 1}] + z * coalesce(v[{p + 1}], 0)' for p in range(k))}] AS c FROM {name}_z"
-    terms = [("intercept", f"mu[{k + 1}] - ({dot('c', 'mu')})"), *((f, f"c[{p + 1}]") for p, f in enumerate(fields))]
-    PARTS[f"{name}_fm"] = " UNION ALL ".join(f"SELECT rebalance_date, label_name, '{t}' AS term, {e} AS coefficient, n AS n_obs, {k + 1} - skipped AS design_rank, skipped = 0 AS full_rank FROM {name}_c" for t, e in terms)
-
-
-_regressions("reg", FACTORS_REGRESSED)
+    columns = lambda names: f"[{', '.join(f'list({f}::DOUBLE ORDER BY ts_code)' for f in names)}]"
+    centred = "list_transform(xs, lambda c, j: list_transform(c, lambda v: v - mu[j]))"
+    means = "list_transform(xs, lambda c: list_avg(c))"
+    # each factor after all others
+    PARTS[f"{name}_x"] = f"SELECT *, {centred} AS cs FROM (SELECT *, {means} AS mu FROM (SELECT rebalance_date, count(*) AS n, list(ts_code ORDER BY ts_code) AS codes, {columns(fields)} AS xs FROM aligned WHERE {whole} GROUP BY 1 HAVING count(*) >= {k}))"
+    PARTS[f"{name}_t"] = f"SELECT rebalance_date, n, codes, t, mu[t] AS mean, a, list_transform(a, lambda c: {_length('c')}) AS a0, list_transform(a, lambda c: [0.0::DOUBLE]) AS w FROM (SELECT *, list_filter(cs, lambda c, j: j <> t) || [cs[t]] AS a FROM {name}_x CROSS JOIN (SELECT unnest(range(1, {k + 1})) AS t))"
+    last = _orthogonal(f"{name}_o", f"{name}_t", k - 1)
+    PARTS[f"{name}_rest"] = f"SELECT rebalance_date, n, codes, [{', '.join(repr(f) for f in fields)}][t] AS factor_name, a[{k}] AS rest, {_length(f'a[{k}]')} AS kept, CASE WHEN a0[{k}] > 1e-10 * sqrt(n * (1 + mean * mean)) THEN a0[{k}] END AS own FROM {last}"
+    unit = "(coalesce(own / sqrt(n), 1.0) / CASE WHEN own IS NULL OR kept > 1e-4 * own THEN 1e9::DOUBLE ELSE 1e13::DOUBLE END)"
+    nothing = "own IS NOT NULL AND kept <= 1e-11 * own"
+    PARTS[f"{name}_residuals"] = f"SELECT rebalance_date, unnest(codes) AS ts_code, factor_name, unnest(list_transform(rest, lambda v: CASE WHEN {nothing} THEN 0 ELSE round(v / {unit}) * {unit} END)) AS e, CASE WHEN {nothing} THEN 1 ELSE 1 - (kept / own) * (kept / own) END AS r2, n FROM {name}_rest"
+    PARTS[f"{name}_base"] = f"SELECT rebalance_date, factor_name, max(r2) AS r2, max(n) AS n_obs FROM {name}_residuals GROUP BY ALL"
+    PARTS[f"{name}_pairs"] = " UNION ALL ".join(f"SELECT r.rebalance_date, r.factor_name, '{y}' AS label_name, r.ts_code, e AS x, {y} AS y FROM {name}_residuals r JOIN aligned a ON a.rebalance_date = r.rebalance_date AND a.ts_code = r.ts_code WHERE {y} IS NOT NULL" for y in _LABELS)
+    PARTS[f"{name}_sizes"] = f"SELECT {_G}, count(*) AS residual_universe_size, stddev_pop(x) > 1e-12 AS varies FROM {name}_pairs GROUP BY ALL"
+    PARTS[f"{name}_ic"] = f"SELECT {_G}, {_corr('rx', 'ry')} AS ic FROM (SELECT {_G}, {_ranked('x', _G)} AS rx, {_ranked('y', _G)} AS ry FROM {name}_pairs) GROUP BY ALL"
+    PARTS[f"{name}_spread"] = f"SELECT {_G}, avg(y) FILTER (quantile = 5) - avg(y) FILTER (quantile = 1) AS spread FROM (SELECT *, {_bucket('x', _G)} AS quantile FROM {name}_pairs QUALIFY count(*) OVER (PARTITION BY {_G}) >= 5) GROUP BY ALL"
+    PARTS[f"{name}_redundancy"] = f"SELECT {_G}, r2, n_obs, coalesce(residual_universe_size, 0) AS residual_universe_size, round(CASE WHEN varies THEN ic END, 12) AS residual_rank_ic, CASE WHEN varies THEN spread END AS residual_spread FROM {name}_base CROSS JOIN (SELECT unnest([{', '.join(repr(y) for y in _LABELS)}]) AS label_name) LEFT JOIN {name}_sizes USING ({_G}) LEFT JOIN {name}_ic USING ({_G}) LEFT JOIN {name}_spread USING ({_G})"
+    # the label after all factors; w says what combination of the columns each has become
+    PARTS[f"{name}_l"] = " UNION ALL ".join(f"SELECT rebalance_date, '{y}' AS label_name, count(*) AS n, {columns([*fields, y])} AS xs FROM aligned WHERE {whole} AND {y} IS NOT NULL GROUP BY 1 HAVING count(*) >= {k + 1}" for y in _LABELS)
+    PARTS[f"{name}_y"] = f"SELECT rebalance_date, label_name, n, mu, a, list_transform(a, lambda c: {_length('c')}) AS a0, list_transform(range({k + 1}), lambda j: list_transform(range({k + 1}), lambda i: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS w FROM (SELECT *, {centred} AS a FROM (SELECT *, {means} AS mu FROM {name}_l))"
+    last = _orthogonal(f"{name}_p", f"{name}_y", k)
+    skipped = f"list_filter(range(1, {k + 1}), lambda p: {_length('a[p]')} <= 1e-10 * a0[p])"
+    # coefficients with the constant's first, and what may be added without changing the fit
+    with_constant = lambda v: f"[{v[1]} - list_dot_product({v[0]}, mu[1:{k}])] || {v[0]}"
+    PARTS[f"{name}_b"] = f"SELECT rebalance_date, label_name, n, len(s) AS skipped, {with_constant(('b', f'mu[{k + 1}]'))} AS c, list_transform(s, lambda p: {with_constant((f'w[p][1:{k}]', '0'))}) AS vs FROM (SELECT *, {skipped} AS s, list_transform(w[{k + 1}][1:{k}], lambda x: -x) AS b FROM {last})"
+    for p in range(1, 7):  # of all solutions the one of least norm
+        v = f"vs[{p}]"
+        PARTS[f"{name}_n{p}"] = f"SELECT rebalance_date, label_name, n, skipped, CASE WHEN skipped < {p} THEN c ELSE list_transform(c, lambda x, i: x - {v}[i] * gc) END AS c, CASE WHEN skipped < {p} THEN vs ELSE list_transform(vs, lambda u, j: CASE WHEN j <= {p} THEN u ELSE list_transform(u, lambda x, i: x - {v}[i] * gs[j]) END) END AS vs FROM (SELECT *, list_dot_product({v}, c) / list_dot_product({v}, {v}) AS gc, list_transform(vs, lambda u: list_dot_product({v}, u) / list_dot_product({v}, {v})) AS gs FROM {f'{name}_n{p - 1}' if p > 1 else f'{name}_b'})"
+    terms = ["intercept", *fields]
+    PARTS[f"{name}_fm"] = f"SELECT rebalance_date, label_name, unnest([{', '.join(repr(t) for t in terms)}]) AS term, unnest(c) AS coefficient, n AS n_obs, {k} AS regressor_count, {k + 1} - skipped AS design_rank, skipped = 0 AS full_rank FROM {name}_n6"
+
+
+_regressions("reg", STEP_FACTORS)
+_regressions("six", FACTORS_OF_SIX)
 _regressions("many", FACTORS_OF_MANY)
-PARTS["redundancy_means"] = f"""SELECT {_P}, r.observation_months, mean_r2, residual_ic_mean, residual_spread_mean, ic_mean, spread_mean, residual_ic_mean / nullif(ic_mean, 0) AS residual_ic_retention, residual_spread_mean / nullif(spread_mean, 0) AS residual_spread_retention
-    FROM (SELECT {_P}, count(DISTINCT rebalance_date) AS observation_months, avg(r2) AS mean_r2, avg(residual_rank_ic) AS residual_ic_mean, avg(residual_spread) AS residual_spread_mean FROM reg_redundancy GROUP BY ALL) r LEFT JOIN summary USING ({_P})"""
+PARTS["redundancy_means"] = f"""SELECT {_P}, r.* EXCLUDE ({_P}), ic_mean, spread_mean, residual_ic_mean / nullif(residual_ic_std, 0) AS residual_icir, residual_spread_mean / nullif(residual_spread_std, 0) AS residual_spread_ir,
+    residual_ic_mean / nullif(ic_mean, 0) AS residual_ic_retention, residual_spread_mean / nullif(spread_mean, 0) AS residual_spread_retention
+    FROM (SELECT {_P}, count(DISTINCT rebalance_date) AS observation_months, avg(r2) AS mean_r2, avg(residual_rank_ic) AS residual_ic_mean, stddev_samp(residual_rank_ic) AS residual_ic_std, avg((residual_rank_ic > 0)::INTEGER) AS residual_ic_hit_rate,
+        avg(residual_spread) AS residual_spread_mean, stddev_samp(residual_spread) AS residual_spread_std, avg((residual_spread > 0)::INTEGER) AS residual_spread_hit_rate, avg(residual_universe_size) AS mean_residual_universe_size FROM reg_redundancy GROUP BY ALL) r LEFT JOIN summary USING ({_P})"""
 PARTS["periods"] = "SELECT rebalance_date, ntile(3) OVER (ORDER BY rebalance_date) AS period FROM (SELECT DISTINCT rebalance_date FROM aligned)"
-PARTS["subperiods"] = f"""SELECT period, {_P}, ic_months, ic_mean, ic_std, ic_hit_rate, spread_mean, spread_std, ic_mean / nullif(ic_std, 0) AS icir, spread_mean / nullif(spread_std, 0) AS spread_ir
+PARTS["subperiods"] = f"""SELECT period, 'period_' || period AS period_label, period_start, period_end, {_P}, ic_months, ic_mean, ic_std, ic_hit_rate, spread_mean, spread_std, spread_hit_rate, ic_mean / nullif(ic_std, 0) AS icir, spread_mean / nullif(spread_std, 0) AS spread_ir
     FROM (SELECT period, {_P}, count(rank_ic) AS ic_months, avg(rank_ic) AS ic_mean, stddev_samp(rank_ic) AS ic_std, avg((rank_ic > 0)::INTEGER) AS ic_hit_rate FROM ic JOIN periods USING (rebalance_date) GROUP BY ALL)
-    LEFT JOIN (SELECT period, {_P}, avg(top_bottom_spread) AS spread_mean, stddev_samp(top_bottom_spread) AS spread_std FROM spreads JOIN periods USING (rebalance_date) GROUP BY ALL) USING (period, {_P})"""
-PARTS["robust"] = f"""SELECT {_P}, count(*) AS periods, max(s.ic_mean) AS ic_mean, min(p.ic_mean) AS min_period_ic, max(p.ic_mean) AS max_period_ic, avg(coalesce(sign(p.ic_mean) = sign(s.ic_mean), false)::INTEGER) AS ic_sign_consistency,
-    max(s.spread_mean) AS spread_mean, min(p.spread_mean) AS min_period_spread, max(p.spread_mean) AS max_period_spread, avg(coalesce(sign(p.spread_mean) = sign(s.spread_mean), false)::INTEGER) AS spread_sign_consistency FROM subperiods p LEFT JOIN summary s USING ({_P}) GROUP BY ALL"""
+    LEFT JOIN (SELECT period, {_P}, avg(top_bottom_spread) AS spread_mean, stddev_samp(top_bottom_spread) AS spread_std, avg(coalesce(top_bottom_spread > 0, false)::INTEGER) AS spread_hit_rate FROM spreads JOIN periods USING (rebalance_date) GROUP BY ALL) USING (period, {_P})
+    JOIN (SELECT period, min(rebalance_date) AS period_start, max(rebalance_date) AS period_end FROM periods GROUP BY 1) USING (period)"""
+PARTS["robust"] = f"""SELECT {_P}, count(*) AS periods, max(s.ic_mean) AS ic_mean, min(p.ic_mean) AS min_period_ic, max(p.ic_mean) AS max_period_ic, CASE WHEN max(s.ic_mean) <> 0 THEN avg(coalesce(sign(p.ic_mean) = sign(s.ic_mean), false)::INTEGER) END AS ic_sign_consistency,
+    max(s.spread_mean) AS spread_mean, min(p.spread_mean) AS min_period_spread, max(p.spread_mean) AS max_period_spread, CASE WHEN max(s.spread_mean) <> 0 THEN avg(coalesce(sign(p.spread_mean) = sign(s.spread_mean), false)::INTEGER) END AS spread_sign_consistency FROM subperiods p LEFT JOIN summary s USING ({_P}) GROUP BY ALL"""
 PARTS["fm_means"] = "SELECT label_name, term, count(coefficient) AS observation_months, avg(coefficient) AS mean_coefficient, stddev_samp(coefficient) AS coefficient_std, avg((coefficient > 0)::INTEGER) AS positive_ratio, avg(n_obs) AS mean_n_obs, avg(full_rank::INTEGER) AS full_rank_ratio, avg(coefficient) / nullif(stddev_samp(coefficient) / sqrt(count(coefficient)), 0) AS t_stat FROM reg_fm GROUP BY ALL"
 
 _MV = ("total_mv", "circ_mv", "pb", "pe_ttm", "ps_ttm", "dv_ttm", "turnover_rate", "turnover_rate_f", "volume_ratio")
@@ -272,6 +281,10 @@ def _pivot(chain: str) -> str:
     return f"SELECT rebalance_date, ts_code, {cells} FROM wide w LEFT JOIN {chain} USING (rebalance_date, ts_code) GROUP BY 1, 2"
 
 
+def _significant(*names: str) -> str:
+    return ", ".join(f"CASE WHEN {c} = 0 THEN {c} ELSE round({c} / pow(10.0, floor(log10(abs({c}))) - 5)) * pow(10.0, floor(log10(abs({c}))) - 5) END AS {c}" for c in names)
+
+
 def _board(table: str, columns: str, order: str, where: str = "true", k: int = 5) -> str:
     order = re.sub(r"\b(\w+)((?: DESC)? NULLS LAST)", r"round(\1, 12)\2", order)
     return f"SELECT {columns} FROM {table} WHERE {where} ORDER BY {order} LIMIT {k}"
@@ -316,14 +329,16 @@ SELECTS: dict[str, str] = {
     "factor_corr_summary": "SELECT * FROM corr_means",
     "factor_corr_matrix": f"SELECT factor_a AS factor_name, {', '.join(f'''max(mean_corr) FILTER (factor_b = '{f}') AS {f}''' for f in _FIELDS)} FROM corr_both GROUP BY 1",
     "redundancy_timeseries": "SELECT * FROM reg_redundancy",
+    "redundancy_six": "SELECT * FROM six_redundancy",
     "redundancy_many": "SELECT * FROM many_redundancy",
     "redundancy_summary": "SELECT * FROM redundancy_means",
     "robustness_periods": "SELECT period, min(rebalance_date) AS start_date, max(rebalance_date) AS end_date, count(*) AS months FROM periods GROUP BY 1",
     "subperiod_summary": "SELECT * FROM subperiods",
     "robustness_summary": "SELECT * FROM robust",
-    "fama_macbeth_timeseries": "SELECT * FROM reg_fm",
+    "fama_macbeth_timeseries": f"SELECT * REPLACE ({_significant('coefficient')}) FROM reg_fm",
+    "fama_macbeth_six": "SELECT * FROM six_fm",
     "fama_macbeth_many": "SELECT * FROM many_fm",
-    "fama_macbeth_summary": "SELECT * FROM fm_means",
+    "fama_macbeth_summary": f"SELECT * REPLACE ({_significant('mean_coefficient', 'coefficient_std')}) FROM fm_means",
     "validate_calendar": "SELECT count(*) AS rows, 0 AS month_label_consistency, (SELECT count(*) FROM (SELECT 1 FROM calendar GROUP BY strftime(trade_date, '%Y-%m') HAVING sum(is_month_end::INTEGER) <> 1)) AS single_month_end_per_month, 0 AS prev_trade_date_link, 0 AS next_trade_date_link, count(DISTINCT month) AS month_count, sum(is_month_end::INTEGER)::BIGINT AS month_end_count FROM calendar",
     "validate_prices": "SELECT count(*) AS rows, 0 AS partition_columns_match_trade_date, count(*) FILTER (abs(adj_open - open * adj_factor) > 1e-8 + 1e-5 * abs(open * adj_factor)) AS adj_open_formula, count(*) FILTER (abs(adj_close - close * adj_factor) > 1e-8 + 1e-5 * abs(close * adj_factor)) AS adj_close_formula, count(DISTINCT ts_code) AS unique_ts_code_count, count(DISTINCT trade_date) AS trade_date_count, round(avg((adj_factor IS NOT NULL)::INTEGER), 6) AS adj_factor_non_null_ratio FROM prices",
     "validate_universe": "SELECT count(*) AS rows, count(*) FILTER (trade_execution_date <= rebalance_date) AS trade_execution_after_rebalance, 0 AS partition_columns_match_rebalance_date, count(*) FILTER (NOT is_eligible AND exclude_reason = '') AS exclude_reason_present_for_ineligible_rows, count(*) FILTER (is_eligible) AS eligible_count, round(avg(is_eligible::INTEGER), 6) AS eligible_ratio, count(DISTINCT rebalance_date) AS rebalance_month_count FROM universe",
@@ -339,15 +354,22 @@ SELECTS: dict[str, str] = {
     "leaderboard_top_t_stat": _board("fm_means", "term, label_name, mean_coefficient, t_stat", "t_stat DESC NULLS LAST, term, label_name", "term <> 'intercept'"),
     "leaderboard_top_correlation": _board("corr_means", "factor_a, factor_b, mean_corr, mean_abs_corr", "mean_abs_corr DESC NULLS LAST, factor_a, factor_b", "factor_a <> factor_b"),
     "leaderboard_top_redundancy": _board("redundancy_means", "factor_name, label_name, mean_r2, residual_ic_retention", "mean_r2 DESC NULLS LAST, factor_name, label_name"),
-    "leaderboard_top_robustness": _board("robust", "factor_name, label_name, ic_sign_consistency, ic_mean", "ic_sign_consistency DESC NULLS LAST, ic_mean DESC NULLS LAST, factor_name, label_name"),
-    "leaderboard_weakest_robustness": _board("robust", "factor_name, label_name, ic_sign_consistency, ic_mean", "ic_sign_consistency NULLS LAST, ic_mean NULLS LAST, factor_name, label_name"),
-    "leaderboard_top_subperiods": _board("subperiods", "period, factor_name, label_name, ic_mean, spread_mean", "ic_mean DESC NULLS LAST, period, factor_name, label_name", k=6),
+    "leaderboard_top_robustness": _board("robust", "factor_name, label_name, ic_sign_consistency, spread_sign_consistency, ic_mean", "ic_sign_consistency DESC NULLS LAST, spread_sign_consistency DESC NULLS LAST, factor_name, label_name"),
+    "leaderboard_weakest_robustness": _board("robust", "factor_name, label_name, ic_sign_consistency, spread_sign_consistency, ic_mean", "ic_sign_consistency NULLS LAST, factor_name, label_name"),
+    "leaderboard_top_subperiods": _board("subperiods", "period, factor_name, label_name, ic_mean, spread_mean", "ic_mean DESC NULLS LAST, spread_mean DESC NULLS LAST, period, factor_name, label_name", k=6),
 }
 
 
+@cache
+def _mentioned(sql: str) -> tuple[str, ...]:
+    """The parts that it reads, in the order of PARTS."""
+    read = set(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql))
+    return tuple(n for n in PARTS if n in read)
+
+
 def _needed(sql: str, found: dict[str, None]) -> None:
-    for name in PARTS:
-        if name not in found and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
+    for name in _mentioned(sql):
+        if name not in found:
             _needed(PARTS[name], found)
             found[name] = None
 
@@ -376,9 +398,15 @@ def oracle_sql() -> dict[str, str]:
     con = duckdb.connect()
     for statement in SCHEMA.strip().split(";\n"):
         con.execute(statement)
-    out = {}
+    out, made = {}, set()
     for name, select in SELECTS.items():
-        kinds = con.execute("DESCRIBE " + assembled(select, [])).fetchall()
+        found: dict[str, None] = {}
+        _needed(select, found)
+        for part in found:  # empty, for their columns
+            if part not in made:
+                con.execute(f"CREATE TABLE {part} AS {PARTS[part]}")
+                made.add(part)
+        kinds = con.execute("DESCRIBE " + select).fetchall()
         out[name] = assembled(select, [k[0] for k in kinds if k[1] == "DOUBLE"])
     con.close()
     return out

@@ -1,8 +1,8 @@
 """Evaluation of factors against labels: 18 tables, all on long panels.
 
 Groups are (factor, label) pairs within a date; nothing loops over pairs on the driver. Regressions on several factors are
-one least-squares problem for each date (and label): Spark sums a date's means and covariances, Python solves for the
-coefficients from those alone, and residuals come from a join with the coefficients.
+one least-squares problem for each date (and label): tasks reduce their rows to triangular factors, Spark merges a date's factors, Python solves for the
+coefficients from one small factor, and residuals come from a join with the coefficients.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import average_rank, quantile_bucket
 from ..functions.scalars import correlation, ratio_of
+from ..operators.least_squares import fit, r_factors
 from .factors import stack
 
 DATE = "rebalance_date"
@@ -148,114 +149,80 @@ def correlation_matrix(summary: DataFrame, names: Sequence[str]) -> DataFrame:
     return mirrored.groupBy(F.col("factor_a").alias("factor_name")).pivot("factor_b", list(names)).agg(F.max("mean_corr"))
 
 
-# -- regressions ------------------------------------------------------------------------------------------------------
-
-
-def moments(rows: DataFrame, group: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """group, n_obs, means (by field), covariances (by pair i <= j, row after row), over rows that have all fields."""
-    pairs_ = [(a, b) for i, a in enumerate(fields) for b in fields[i:]]
-    means, covariances = F.array(*map(F.avg, fields)), F.array(*(F.covar_pop(a, b) for a, b in pairs_))
-    return rows.dropna(subset=list(fields)).groupBy(*group).agg(F.count(F.lit(1)).alias("n_obs"), means.alias("means"), covariances.alias("covariances"))
-
-
-#: A regression that leaves no more than this of the variance leaves rounding errors: a residual of zero.
-_NOTHING = 1e-10
-
-
-def _square(flat: Sequence[float], k: int) -> np.ndarray:
-    out = np.zeros((k, k))
-    out[np.triu_indices(k)] = flat
-    return out + np.triu(out, 1).T
-
-
-def solve(means: np.ndarray, covariances: np.ndarray, target: int) -> tuple[float, np.ndarray, int]:
-    """Intercept, coefficients and rank (with the constant's) of one field on all others: the least-squares solution of least norm.
-
-    A direction counts as none if it has less than 1e-10 of the variance that fields of their own would have.
-    """
-    others = np.delete(np.arange(len(means)), target)
-    mean, inner, outer = means[others], covariances[np.ix_(others, others)], covariances[others, target]
-    spread = np.diag(inner) > 1e-20 * (1 + mean**2)
-    scale = np.where(spread, np.sqrt(np.where(spread, np.diag(inner), 1)), 1.0)
-    values, axes = np.linalg.eigh(inner / np.outer(scale, scale) * np.outer(spread, spread))
-    kept = values > 1e-10
-    beta = axes[:, kept] @ ((axes[:, kept].T @ (outer / scale * spread)) / values[kept]) / scale
-    intercept = means[target] - mean @ beta
-    if not kept.all():  # what the data leave open is chosen for the least norm
-        free = axes[:, ~kept] / scale[:, None]
-        move = np.linalg.lstsq(np.vstack([-mean @ free, free]), -np.concatenate([[intercept], beta]), rcond=None)[0]
-        beta = beta + free @ move
-        intercept = means[target] - mean @ beta
-    return float(intercept), beta, int(kept.sum()) + 1
-
-
 # -- redundancy -------------------------------------------------------------------------------------------------------
 
 
 def redundancy_coefficients(aligned: DataFrame, names: Sequence[str]) -> DataFrame:
-    """date, n_obs, means, fits (by factor: coefficients of all factors, 0 for its own, r2 and the factor's deviation), for dates with as many rows as coefficients."""
+    """date, n_obs, means, fits (for each factor: weights of all factors in its residual, r2, and the unit of its residuals), for dates with as many rows as coefficients."""
     k = len(names)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fits = []
-            for means, flat in zip(batch["means"], batch["covariances"], strict=True):
-                means, covariances = np.array(means, float), _square(flat, k)
+            means, fits = [], []
+            for n, flat in zip(batch["n_obs"], batch["r"], strict=True):
+                r = np.asarray(flat, float).reshape(-1, k + 1)
+                means.append(r[0, 1:] / r[0, 0])
                 one = []
-                for target in range(k):
-                    _, beta, _ = solve(means, covariances, target)
-                    full = np.insert(beta, target, 0.0)
-                    own = covariances[target, target]
-                    rest = own - 2 * full @ covariances[target] + full @ covariances @ full
-                    left = rest / own if own > 1e-20 * (1 + means[target] ** 2) else None
-                    one.append({"coefficients": full.tolist(), "r2": None if left is None else 1.0 if left <= _NOTHING else 1 - left, "scale": float(np.sqrt(own)) if own > 0 else 1.0})
+                for target in range(1, k + 1):
+                    found = fit(r, n, target, others := [j for j in range(1, k + 1) if j != target], least_norm=False)
+                    weights = np.zeros(k)
+                    weights[target - 1], weights[np.array(others) - 1] = 1, -found.slopes
+                    digits = 9 if found.residual > 1e-4 * found.deviation else 13
+                    one.append({"factor_name": names[target - 1], "weights": weights.tolist(), "r2": found.r2, "unit": (found.deviation or 1.0) / 10**digits})
                 fits.append(one)
-            yield batch[[DATE, "n_obs", "means"]].assign(fits=fits)
+            yield batch[[DATE, "n_obs"]].assign(means=means, fits=fits)
 
-    return moments(aligned, [DATE], names).where(F.col("n_obs") >= k).mapInPandas(of, f"{DATE} date, n_obs long, means array<double>, fits array<struct<coefficients: array<double>, r2: double, scale: double>>")
+    found = r_factors(aligned, [DATE], names).where(F.col("n_obs") >= k)
+    return found.mapInPandas(of, f"{DATE} date, n_obs long, means array<double>, fits array<struct<factor_name: string, weights: array<double>, r2: double, unit: double>>")
 
 
 def redundancy_residuals(aligned: DataFrame, names: Sequence[str]) -> DataFrame:
     """date, ts_code, factor_name, residual, r2, n_obs of each factor's least squares on all others and a constant, over rows that have all factors.
 
     Dates with fewer rows than coefficients are left out; r2 is NULL where the factor is constant, 1 (and the residual 0) where the others explain it.
-    Residuals are rounded to 9 digits of the factor's deviation, so that ranks don't order rounding errors.
+    Residuals are rounded to 9 digits of the factor's deviation (13 where little is left), so that ranks don't order rounding errors.
     """
     if len(names) < 2:
         raise ValueError("redundancy needs two factors")
     complete = aligned.select(DATE, "ts_code", *names).dropna(subset=list(names))
     met = complete.join(F.broadcast(redundancy_coefficients(complete, names)), DATE)  # a row for each month
-    centred = [F.col(n) - F.get("means", F.lit(i)) for i, n in enumerate(names)]
-
-    def residual(k: int):
-        fit = F.get("fits", F.lit(k))
-        explained = sum((F.get(fit["coefficients"], F.lit(i)) * c for i, c in enumerate(centred) if i != k), F.lit(0.0))
-        rest = F.when(fit["r2"] == 1, F.lit(0.0)).otherwise(F.round((centred[k] - explained) / fit["scale"], 9) * fit["scale"])
-        return F.struct(F.lit(names[k]).alias("factor_name"), rest.alias("residual"), fit["r2"].alias("r2"))
-
-    each = met.select(DATE, "ts_code", F.explode(F.array(*map(residual, range(len(names))))).alias("x"), "n_obs")
-    return each.select(DATE, "ts_code", "x.factor_name", "x.residual", "x.r2", "n_obs")
+    centred = F.zip_with(F.array(*(F.col(n).cast("double") for n in names)), "means", lambda x, m: x - m)
+    each = met.select(DATE, "ts_code", "n_obs", centred.alias("x"), F.explode("fits").alias("f"))
+    rest = F.aggregate(F.zip_with("x", "f.weights", lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
+    residual = F.when(F.col("f.r2") == 1, F.lit(0.0)).otherwise(F.round(rest / F.col("f.unit"), 0) * F.col("f.unit"))
+    return each.select(DATE, "ts_code", "f.factor_name", residual.alias("residual"), "f.r2", "n_obs")
 
 
 def redundancy_timeseries(residuals: DataFrame, aligned: DataFrame, s: EvaluationSettings) -> DataFrame:
-    """date, factor, label: r2, and the rank IC and the top-bottom spread of the residual (NULL where it has no spread)."""
-    labels = stack(aligned, s.labels, [DATE, "ts_code"], "label_name", "label_value")
-    base = residuals.groupBy(DATE, "factor_name").agg(F.max("r2").alias("r2"), F.max("n_obs").alias("n_obs"), F.stddev_pop("residual").alias("spread")).withColumn("label_name", F.explode(F.array(*map(F.lit, s.labels))))
+    """date, factor, label: r2, n_obs of the regression, and over the rows that have the label: their number, the residual's rank IC and its top-bottom spread (NULL where it has no
+    deviation)."""
+    labels = stack(aligned, s.labels, [DATE, "ts_code"], "label_name", "label_value").where("label_value is not null")
+    base = residuals.groupBy(DATE, "factor_name").agg(F.max("r2").alias("r2"), F.max("n_obs").alias("n_obs")).withColumn("label_name", F.explode(F.array(*map(F.lit, s.labels))))
     group = [DATE, *PAIR]
-    met = residuals.join(base.select(DATE, "factor_name", "spread").distinct(), [DATE, "factor_name"]).where("spread > 1e-12").join(labels, [DATE, "ts_code"]).where("label_value is not null").select(*group, "ts_code", "residual", "label_value")
-    ranked = met.select(*group, average_rank(group, F.col("residual")).alias("x"), average_rank(group, F.col("label_value")).alias("y"))
-    ic = ranked.groupBy(*group).agg(correlation(F.col("x"), F.col("y")).alias("residual_rank_ic"))
-    done = _bucketed(met, group, "residual", s.quantiles)
+    met = residuals.join(labels, [DATE, "ts_code"]).select(*group, "ts_code", "residual", "label_value")
+    whole = Window.partitionBy(*group)
+    ranked = met.select(*group, "ts_code", "residual", "label_value", F.count(F.lit(1)).over(whole).alias("n"), F.stddev_pop("residual").over(whole).alias("spread"), average_rank(group, F.col("residual")).alias("x"), average_rank(group, F.col("label_value")).alias("y"), quantile_bucket(group, F.col("residual"), "ts_code", s.quantiles).alias("quantile"))
+    varies, bucketed = F.max("spread") > 1e-12, F.max("n") >= s.quantiles
     mean = lambda q: F.avg(F.when(F.col("quantile") == q, F.col("label_value")))
-    spreads = done.groupBy(*group).agg((mean(s.quantiles) - mean(1)).alias("residual_spread"))
-    return base.drop("spread").join(ic, group, "left").join(spreads, group, "left")
+    found = ranked.groupBy(*group).agg(
+        F.max("n").alias("residual_universe_size"), F.round(F.when(varies, correlation(F.col("x"), F.col("y"))), 12).alias("residual_rank_ic"), F.when(varies & bucketed, mean(s.quantiles) - mean(1)).alias("residual_spread")
+    )
+    return base.join(found, group, "left").withColumn("residual_universe_size", F.coalesce("residual_universe_size", F.lit(0).cast("long")))
 
 
 def redundancy_summary(series: DataFrame, evaluation: DataFrame) -> DataFrame:
-    out = series.groupBy(*PAIR).agg(F.count_distinct(DATE).alias("observation_months"), F.avg("r2").alias("mean_r2"), F.avg("residual_rank_ic").alias("residual_ic_mean"), F.avg("residual_spread").alias("residual_spread_mean"))
+    """What is left of a factor beside the others: means, deviations, ratios and hit rates of the residual's rank IC and spread, and their share of the factor's own."""
+    ic, spread = F.col("residual_rank_ic"), F.col("residual_spread")
+    out = series.groupBy(*PAIR).agg(
+        F.count_distinct(DATE).alias("observation_months"), F.avg("r2").alias("mean_r2"), F.avg(ic).alias("residual_ic_mean"), F.stddev_samp(ic).alias("residual_ic_std"), ratio_of(ic > 0).alias("residual_ic_hit_rate"),
+        F.avg(spread).alias("residual_spread_mean"), F.stddev_samp(spread).alias("residual_spread_std"), ratio_of(spread > 0).alias("residual_spread_hit_rate"), F.avg("residual_universe_size").alias("mean_residual_universe_size"),
+    )
     out = out.join(evaluation.select(*PAIR, "ic_mean", "spread_mean"), list(PAIR), "left")
-    kept = lambda a, b: F.try_divide(F.col(a), F.when(F.col(b) != 0, F.col(b)))
-    return out.withColumns({"residual_ic_retention": kept("residual_ic_mean", "ic_mean"), "residual_spread_retention": kept("residual_spread_mean", "spread_mean")})
+    over = lambda a, b: F.try_divide(F.col(a), F.when(F.col(b) != 0, F.col(b)))
+    return out.withColumns({
+        "residual_icir": over("residual_ic_mean", "residual_ic_std"), "residual_spread_ir": over("residual_spread_mean", "residual_spread_std"),
+        "residual_ic_retention": over("residual_ic_mean", "ic_mean"), "residual_spread_retention": over("residual_spread_mean", "spread_mean"),
+    })
 
 
 # -- robustness -------------------------------------------------------------------------------------------------------
@@ -278,19 +245,22 @@ def period_bounds(periods: DataFrame) -> DataFrame:
 
 
 def subperiod_summary(ic: DataFrame, spreads: DataFrame, periods: DataFrame) -> DataFrame:
+    """The rank IC and the spread of each factor and label within each period, with the period's name and bounds. Months without a spread count in its hit rate, as misses."""
     group = ["period", *PAIR]
     small = F.broadcast(periods)
+    x = F.col("top_bottom_spread")
     a = ic.join(small, DATE).groupBy(*group).agg(F.count("rank_ic").alias("ic_months"), F.avg("rank_ic").alias("ic_mean"), F.stddev_samp("rank_ic").alias("ic_std"), ratio_of(F.col("rank_ic") > 0).alias("ic_hit_rate"))
-    b = spreads.join(small, DATE).groupBy(*group).agg(F.avg("top_bottom_spread").alias("spread_mean"), F.stddev_samp("top_bottom_spread").alias("spread_std"))
-    out = a.join(b, group, "left")
+    b = spreads.join(small, DATE).groupBy(*group).agg(F.avg(x).alias("spread_mean"), F.stddev_samp(x).alias("spread_std"), F.avg(F.coalesce(x > 0, F.lit(False)).cast("double")).alias("spread_hit_rate"))
+    bounds = period_bounds(periods).select("period", F.col("start_date").alias("period_start"), F.col("end_date").alias("period_end"))
+    out = a.join(b, group, "left").join(F.broadcast(bounds), "period")  # a row for each period
     ratio = lambda m, s: F.try_divide(F.col(m), F.when(F.col(s) != 0, F.col(s)))
-    return out.withColumns({"icir": ratio("ic_mean", "ic_std"), "spread_ir": ratio("spread_mean", "spread_std")})
+    return out.withColumns({"icir": ratio("ic_mean", "ic_std"), "spread_ir": ratio("spread_mean", "spread_std"), "period_label": F.concat(F.lit("period_"), F.col("period").cast("string"))})
 
 
 def robustness_summary(subperiods: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """How far the sub-periods agree in sign with the whole; a sub-period without a mean doesn't."""
+    """How far the sub-periods agree in sign with the whole; a sub-period without a mean doesn't. NULL where the whole has no sign."""
     joined = subperiods.select("period", *PAIR, F.col("ic_mean").alias("part_ic"), F.col("spread_mean").alias("part_spread")).join(evaluation.select(*PAIR, "ic_mean", "spread_mean"), list(PAIR), "left")
-    same = lambda a, b: F.avg(F.coalesce(F.signum(a) == F.signum(b), F.lit(False)).cast("double"))
+    same = lambda a, b: F.when(F.max(b) != 0, F.avg(F.coalesce(F.signum(a) == F.signum(b), F.lit(False)).cast("double")))
     return joined.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("periods"), F.max("ic_mean").alias("ic_mean"), F.min("part_ic").alias("min_period_ic"), F.max("part_ic").alias("max_period_ic"), same("part_ic", "ic_mean").alias("ic_sign_consistency"), F.max("spread_mean").alias("spread_mean"), F.min("part_spread").alias("min_period_spread"), F.max("part_spread").alias("max_period_spread"), same("part_spread", "spread_mean").alias("spread_sign_consistency"))
 
 
@@ -298,7 +268,7 @@ def robustness_summary(subperiods: DataFrame, evaluation: DataFrame) -> DataFram
 
 
 def fama_macbeth_timeseries(aligned: DataFrame, s: EvaluationSettings) -> DataFrame:
-    """date, label_name, term (intercept or factor), coefficient, n_obs, design_rank, full_rank: least squares of least norm of the label on all factors
+    """date, label_name, term (intercept or factor), coefficient, n_obs, regressor_count, design_rank, full_rank: least squares of least norm of the label on all factors
     and a constant, over complete rows, for dates with at least as many rows as coefficients."""
     fields, k = list(s.factors), len(s.factors) + 1
     terms = ["intercept", *fields]
@@ -306,14 +276,13 @@ def fama_macbeth_timeseries(aligned: DataFrame, s: EvaluationSettings) -> DataFr
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for day, label, n, means, flat in zip(batch[DATE], batch["label_name"], batch["n_obs"], batch["means"], batch["covariances"], strict=True):
-                intercept, beta, rank = solve(np.array(means, float), _square(flat, k), k - 1)
-                out += [(day, label, t, c, n, rank, rank == k) for t, c in zip(terms, [intercept, *beta.tolist()], strict=True)]
-            yield pd.DataFrame(out, columns=[DATE, "label_name", "term", "coefficient", "n_obs", "design_rank", "full_rank"])
-
-    long = stack(aligned, s.labels, [DATE, "ts_code", *fields], "label_name", "label_value")
-    found = moments(long, [DATE, "label_name"], [*fields, "label_value"]).where(F.col("n_obs") >= k)
-    return found.mapInPandas(of, f"{DATE} date, label_name string, term string, coefficient double, n_obs long, design_rank long, full_rank boolean")
+            for day, label, n, flat in zip(batch[DATE], batch["response"], batch["n_obs"], batch["r"], strict=True):
+                found = fit(np.asarray(flat, float).reshape(-1, k + 1), n, k, range(1, k))
+                out += [(day, label, t, c, n, k - 1, found.rank, found.rank == k) for t, c in zip(terms, [found.intercept, *found.slopes.tolist()], strict=True)]
+            yield pd.DataFrame(out, columns=[DATE, "label_name", "term", "coefficient", "n_obs", "regressor_count", "design_rank", "full_rank"])
+
+    found = r_factors(aligned, [DATE], fields, s.labels).where(F.col("n_obs") >= k)
+    return found.mapInPandas(of, f"{DATE} date, label_name string, term string, coefficient double, n_obs long, regressor_count long, design_rank long, full_rank boolean")
 
 
 def fama_macbeth_summary(series: DataFrame) -> DataFrame:

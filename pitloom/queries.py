@@ -1,8 +1,8 @@
 """One query for each operator, over raw market tables made from the star schema (sources/proxy.py).
 
 Numbers are rounded to six digits (small ones to nine) and dates are dates, so that results can be compared across engines.
-Evaluation runs on all raw factors, whose values don't depend on the order of sums. Regressions take six of them: in the tables made here
-others are sums of each other, so that their residuals would be rounding errors.
+Evaluation and regressions run on all raw factors, whose values don't depend on the order of sums. In the tables made here some are sums of others: their residuals are zero. On the smallest tables
+no month has as many rows as coefficients then; six and three factors have.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .streaming.ingest import Ingestor
 
 #: All factors and labels.
 STEP_FACTORS = EVALUATED = tuple(s.name for s in FACTORS.list())
-FACTORS_REGRESSED = ("size", "book_to_market", "reversal_1m", "momentum_3_1", "roe", "leverage")
+FACTORS_OF_SIX = ("size", "book_to_market", "reversal_1m", "momentum_3_1", "roe", "leverage")
 FACTORS_OF_MANY = ("beta", "gross_margin", "turnover")
 
 
@@ -41,7 +41,7 @@ def _settings(names) -> ev.EvaluationSettings:
     return ev.EvaluationSettings([f"factor_{n}" for n in names], [s.field for s in LABELS.list()])
 
 
-SETTINGS, REGRESSED, MANY = map(_settings, (EVALUATED, FACTORS_REGRESSED, FACTORS_OF_MANY))
+SETTINGS, SIX, MANY = map(_settings, (EVALUATED, FACTORS_OF_SIX, FACTORS_OF_MANY))
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -61,6 +61,16 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def significant(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """Those columns with so many digits: coefficients on factors that nearly explain each other are large, and as sensitive to the last digit of their inputs."""
+
+    def of(c):
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - (digits - 1))
+        return F.when(c == 0, c).otherwise(F.round(c / unit, 0) * unit)
+
+    return df.withColumns({n: of(F.col(n)) for n in names})
+
+
 class Tables:
     """The tables of one input folder: lazy, but for the stages that others build on, which are written once as Parquet
     (as the command line does between its stages) and shared by the queries of an application."""
@@ -139,7 +149,10 @@ class Tables:
 
     @cached_property
     def redundancy(self) -> DataFrame:
-        return self._stage("redundancy", lambda: ev.redundancy_timeseries(ev.redundancy_residuals(self.aligned, REGRESSED.factors), self.aligned, REGRESSED))
+        return self._stage("redundancy", lambda: self.redundancy_of(SETTINGS))
+
+    def redundancy_of(self, settings: ev.EvaluationSettings) -> DataFrame:
+        return ev.redundancy_timeseries(ev.redundancy_residuals(self.aligned, settings.factors), self.aligned, settings)
 
     @cached_property
     def periods(self) -> DataFrame:
@@ -151,7 +164,7 @@ class Tables:
 
     @cached_property
     def fama_macbeth(self) -> DataFrame:
-        return ev.fama_macbeth_timeseries(self.aligned, REGRESSED)
+        return self._stage("fama_macbeth", lambda: ev.fama_macbeth_timeseries(self.aligned, SETTINGS))
 
     @cached_property
     def long(self) -> DataFrame:
@@ -316,12 +329,14 @@ _PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "factor_corr_matrix": lambda t: ev.correlation_matrix(ev.correlation_summary(t.correlation), SETTINGS.factors),
     "redundancy_timeseries": lambda t: t.redundancy,
     "redundancy_summary": lambda t: ev.redundancy_summary(t.redundancy, t.summary),
-    "redundancy_many": lambda t: ev.redundancy_timeseries(ev.redundancy_residuals(t.aligned, MANY.factors), t.aligned, MANY),
+    "redundancy_six": lambda t: t.redundancy_of(SIX),
+    "redundancy_many": lambda t: t.redundancy_of(MANY),
     "robustness_periods": lambda t: ev.period_bounds(t.periods),
     "subperiod_summary": lambda t: t.subperiods,
     "robustness_summary": lambda t: ev.robustness_summary(t.subperiods, t.summary),
-    "fama_macbeth_timeseries": lambda t: t.fama_macbeth,
-    "fama_macbeth_summary": lambda t: ev.fama_macbeth_summary(t.fama_macbeth),
+    "fama_macbeth_timeseries": lambda t: significant(t.fama_macbeth, "coefficient"),
+    "fama_macbeth_summary": lambda t: significant(ev.fama_macbeth_summary(t.fama_macbeth), "mean_coefficient", "coefficient_std"),
+    "fama_macbeth_six": lambda t: ev.fama_macbeth_timeseries(t.aligned, SIX),
     "fama_macbeth_many": lambda t: ev.fama_macbeth_timeseries(t.aligned, MANY),
     **{f"validate_{k}": _validate(v) for k, v in (("calendar", "calendar_table"), ("prices", "adjusted_price_panel"), ("universe", "monthly_universe"), ("snapshot", "monthly_snapshot_base"))},
     "validate_alignment": _alignment,

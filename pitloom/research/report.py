@@ -19,9 +19,9 @@ BOARDS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
     "top_t_stat": ("fama_macbeth_summary", ("-t_stat", "term", "label_name"), ("term", "label_name", "mean_coefficient", "t_stat")),
     "top_correlation": ("factor_correlation_summary", ("-mean_abs_corr", "factor_a", "factor_b"), ("factor_a", "factor_b", "mean_corr", "mean_abs_corr")),
     "top_redundancy": ("redundancy_summary", ("-mean_r2", "factor_name", "label_name"), ("factor_name", "label_name", "mean_r2", "residual_ic_retention")),
-    "top_robustness": ("robustness_summary", ("-ic_sign_consistency", "-ic_mean", "factor_name", "label_name"), ("factor_name", "label_name", "ic_sign_consistency", "ic_mean")),
-    "weakest_robustness": ("robustness_summary", ("ic_sign_consistency", "ic_mean", "factor_name", "label_name"), ("factor_name", "label_name", "ic_sign_consistency", "ic_mean")),
-    "top_subperiods": ("subperiod_summary", ("-ic_mean", "period", "factor_name", "label_name"), ("period", "factor_name", "label_name", "ic_mean", "spread_mean")),
+    "top_robustness": ("robustness_summary", ("-ic_sign_consistency", "-spread_sign_consistency", "factor_name", "label_name"), ("factor_name", "label_name", "ic_sign_consistency", "spread_sign_consistency", "ic_mean")),
+    "weakest_robustness": ("robustness_summary", ("ic_sign_consistency", "factor_name", "label_name"), ("factor_name", "label_name", "ic_sign_consistency", "spread_sign_consistency", "ic_mean")),
+    "top_subperiods": ("subperiod_summary", ("-ic_mean", "-spread_mean", "period", "factor_name", "label_name"), ("period", "factor_name", "label_name", "ic_mean", "spread_mean")),
 }
 
 

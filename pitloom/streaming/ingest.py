@@ -31,11 +31,11 @@ def open_days(calendar: DataFrame, start: date | None = None, end: date | None =
 
 
 def trade_date_start(calendar: DataFrame, last: date | None, lookback: int, history_start: date) -> date:
-    """The lookback-th open day before the last ingested one, looked for among the max(4 * lookback, 30) days before it."""
+    """The lookback-th open day before the last ingested one, looked for among the max(4 * lookback, 30) days before it; the last ingested one if no day of these was open."""
     if last is None:
         return history_start
     before = open_days(calendar, last - timedelta(days=max(4 * lookback, 30)), last).orderBy(F.desc("trade_date")).limit(lookback + 1).collect()
-    return min((r.trade_date for r in before), default=history_start)
+    return min((r.trade_date for r in before), default=last)
 
 
 def announcement_start(last: date | None, lookback_days: int, history_start: date) -> date:

@@ -15,6 +15,7 @@ from pitloom.functions.scalars import parsed_date
 from pitloom.operators import cross_section as cs
 from pitloom.operators.asof import AsofSource, asof_join
 from pitloom.operators.calendar_map import map_dates
+from pitloom.operators.least_squares import fit, r_factors, triangular
 from pitloom.plans import evaluation as ev
 from pitloom.plans import lake, quality
 from pitloom.plans.factors import FACTORS, FactorRegistry, factor_panel, raw_factors
@@ -24,7 +25,7 @@ from pitloom.research.report import bar_chart, render
 from pitloom.sources.market import FrameSource, Retrying
 from pitloom.sources.state import IngestionState
 from pitloom.sources.store import Store
-from pitloom.streaming.ingest import Ingestor, announcement_start
+from pitloom.streaming.ingest import Ingestor, announcement_start, trade_date_start
 
 
 def d(s):
@@ -224,6 +225,87 @@ def test_regressions_against_lstsq(spark):
         ev.redundancy_residuals(panel, ["factor_a"])
 
 
+def test_r_factors_have_the_singular_values_of_the_rows(spark):
+    """In whatever parts the rows come, with fewer rows than columns, missing values and missing groups."""
+    rng = np.random.default_rng(5)
+    f = pd.DataFrame(rng.normal(size=(500, 4)), columns=["a", "b", "x", "y"])
+    f["day"] = [d("2024-01-31") if k < 490 else d("2024-02-29") if k < 498 else None for k in range(500)]
+    f.loc[::7, "b"] = None
+    f.loc[::5, "y"] = None
+    df = spark.createDataFrame(f.astype(object).where(f.notna(), None), "a double, b double, x double, y double, day date")
+    for parts in (1, 9):
+        got = {(r.day, r.response): r for r in r_factors(df.repartition(parts), ["day"], ["a", "b"], ["x", "y"]).collect()}
+        assert len(got) == 6
+        for (day, label), r in got.items():
+            mine = f[[x == day for x in f["day"]]].dropna(subset=["a", "b", label])
+            whole = np.column_stack([np.ones(len(mine)), mine[["a", "b", label]]])
+            s = np.linalg.svd(whole, compute_uv=False)
+            assert r.n_obs == len(mine) and np.linalg.svd(np.array(r.r).reshape(-1, 4), compute_uv=False)[: len(s)] == pytest.approx(s)
+
+
+def test_fits_of_nearly_collinear_columns_equal_lstsq():
+    """To 1e-8, where sums of products would have lost all digits: fields that differ from a sum of others by 1e-7 of their deviation, exact sums, tiny and shifted columns."""
+    rng = np.random.default_rng(6)
+    n = 300
+    x = rng.normal(size=(n, 5)) * [1, 50, 1e-4, 1, 1] + [0, 1000, 0, 3, 0]
+    y = x @ [1.0, 0.02, 300.0, -1.0, 0.5] + rng.normal(size=n)
+    near = x[:, 0] + 0.01 * x[:, 1] + 1e-7 * rng.normal(size=n)
+    for more in ([near], [x[:, 0] - 2 * x[:, 3]], [np.full(n, 4.0)], [near, x[:, 0] - 2 * x[:, 3], x[:, 1] + x[:, 4]]):
+        design = np.column_stack([np.ones(n), x, *more])
+        r = triangular(triangular(np.column_stack([design, y])[:170]), np.column_stack([design, y])[170:])
+        found = fit(r, n, design.shape[1], range(1, design.shape[1]))
+        want, _, rank, _ = np.linalg.lstsq(design, y, rcond=None)
+        assert found.rank == rank
+        # the solution itself is as sensitive as the design; what it explains isn't
+        centred = design[:, 1:] - design[:, 1:].mean(axis=0)
+        assert centred @ found.slopes == pytest.approx(centred @ want[1:], rel=1e-8, abs=1e-8)
+        if not any(column is near for column in more):
+            assert [found.intercept, *found.slopes] == pytest.approx(want, rel=1e-8, abs=1e-8)
+    target = fit(triangular(np.column_stack([np.ones(n), x, near])), n, 6, range(1, 6))
+    rest = near - (x @ target.slopes + target.intercept)
+    assert 0.5e-7 < target.residual < 2e-7 and target.residual == pytest.approx(rest.std(), rel=1e-6) and target.r2 < 1
+    assert fit(triangular(np.column_stack([np.ones(n), x, x[:, 0] + x[:, 1]])), n, 6, range(1, 6)).r2 == 1
+
+
+def test_redundancy_of_labels_samples_and_measures(spark):
+    """A label that is missing for most rows has a sample of its own; a residual that is constant there has no rank IC."""
+    rng = np.random.default_rng(7)
+    f = pd.DataFrame(rng.normal(size=(60, 4)), columns=["factor_a", "factor_b", "label_x", "label_y"])
+    f["rebalance_date"] = np.repeat([d("2024-01-31"), d("2024-02-29"), d("2024-03-29")], 20)
+    f["ts_code"] = [f"s{i % 20:02d}" for i in range(60)]
+    f.loc[f.index % 20 >= 6, "label_y"] = None
+    f.loc[40:, "label_y"] = None
+    panel = spark.createDataFrame(f.astype(object).where(f.notna(), None), "factor_a double, factor_b double, label_x double, label_y double, rebalance_date date, ts_code string")
+    s = ev.EvaluationSettings(["factor_a", "factor_b"], ["label_x", "label_y"])
+    series = ev.redundancy_timeseries(ev.redundancy_residuals(panel, s.factors), panel, s).persist()
+    got = {(r.rebalance_date, r.factor_name, r.label_name): r for r in series.collect()}
+    assert len(got) == 12 and {r.residual_universe_size for r in got.values()} == {20, 6, 0}
+    for (day, name, label), r in got.items():
+        g = f[f["rebalance_date"] == day]
+        other = "factor_b" if name == "factor_a" else "factor_a"
+        e = g[name] - np.polyval(np.polyfit(g[other], g[name], 1), g[other])
+        there = g[label].notna()
+        if there.sum():
+            assert r.residual_rank_ic == pytest.approx(e[there].rank().corr(g[label][there].rank()))
+        else:
+            assert r.residual_rank_ic is None and r.residual_spread is None
+    evaluation = spark.createDataFrame([("factor_a", "label_x", 0.0, 0.5)], "factor_name string, label_name string, ic_mean double, spread_mean double")
+    table = {(r.factor_name, r.label_name): r for r in ev.redundancy_summary(series, evaluation).collect()}
+    one = table["factor_a", "label_x"]
+    ics = pd.Series([r.residual_rank_ic for (_, name, label), r in got.items() if (name, label) == ("factor_a", "label_x")])
+    assert (one.residual_ic_std, one.residual_icir, one.residual_ic_hit_rate) == pytest.approx((ics.std(), ics.mean() / ics.std(), (ics > 0).mean()))
+    assert one.residual_ic_retention is None and one.residual_spread_retention == pytest.approx(one.residual_spread_mean / 0.5)
+    assert table["factor_b", "label_y"].mean_residual_universe_size == pytest.approx(4) and table["factor_b", "label_y"].observation_months == 3
+
+
+def test_start_after_a_probe_without_open_days(spark):
+    """It goes on from the last success, not from the beginning of history."""
+    calendar = spark.createDataFrame([("20230102", 1), ("20240110", 0)], "cal_date string, is_open int")
+    assert trade_date_start(calendar, d("2024-01-31"), 5, d("1990-01-01")) == d("2024-01-31")
+    assert trade_date_start(calendar, None, 5, d("1990-01-01")) == d("1990-01-01")
+    assert trade_date_start(calendar, d("2023-01-05"), 5, d("1990-01-01")) == d("2023-01-02")
+
+
 def exchanges(df):
     """Shuffles by hash or range in the plan, broadcasts aside."""
     plan = df._jdf.queryExecution().executedPlan().toString()
