@@ -22,11 +22,14 @@ class AsofSource:
     ties: Sequence[str] = field(default_factory=tuple)
 
 
-def asof_join(left: DataFrame, sources: Sequence[AsofSource], *, key: str, left_time: str) -> DataFrame:
+def asof_join(left: DataFrame, sources: Sequence[AsofSource], *, key: str, left_time: str, bucket: str | None = None) -> DataFrame:
     """left with the sources' value columns (their names must differ). A NULL left time or key finds nothing.
 
     All sources share one shuffle and one sort, by key, time and ties: markers for left rows and rows of each source
     are stacked, and the last non-null row of each source is carried forward. No pair is ever built.
+
+    A key's rows meet in one task. With a bucket ("month", "year", ... as in date_trunc) those of one key and bucket do: each source's last row of a bucket is carried over to the buckets after
+    it, along one row for each key and bucket.
     """
     kinds = [f"struct<{','.join(f'`{v}`:{s.table.schema[v].dataType.simpleString()}' for v in s.values)}>" for s in sources]
     payload = f"struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in left.schema.fields)}>"
@@ -43,7 +46,25 @@ def asof_join(left: DataFrame, sources: Sequence[AsofSource], *, key: str, left_
         union = union.unionByName(stacked(s.table.where(F.col(key).isNotNull() & F.col(s.time).isNotNull()), s.time, 0, k))
     # among equal times of one source the greatest ties come last; those of other sources are NULL there
     order = [F.asc_nulls_first("__time"), F.asc("__side"), *(F.asc_nulls_last(name) for name, _ in tie_of.values())]
-    past = Window.partitionBy("__key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = union.withColumns({f"__found{k}": F.last(f"__right{k}", ignorenulls=True).over(past) for k in range(len(sources))})
+    part = ["__key"]
+    if bucket:
+        union, part = union.withColumn("__bucket", F.date_trunc(bucket, "__time")), ["__key", "__bucket"]
+    past = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = union.withColumns({f"__found{k}": F.last(f"__right{k}", ignorenulls=True).over(past) for k in range(len(sources))}).where("__side = 1")
+    if bucket:
+        found = _carried(found, union, sources, tie_of)
     values = [F.when(F.col("__key").isNotNull() & F.col("__time").isNotNull(), F.col(f"__found{k}.`{v}`")).alias(v) for k, s in enumerate(sources) for v in s.values]
-    return found.where("__side = 1").select(*(F.col(f"__left.`{c}`").alias(c) for c in left.columns), *values)
+    return found.select(*(F.col(f"__left.`{c}`").alias(c) for c in left.columns), *values)
+
+
+def _carried(found: DataFrame, union: DataFrame, sources: Sequence[AsofSource], tie_of: dict) -> DataFrame:
+    """Left rows whose bucket has nothing before them get each source's last row of the buckets before."""
+    n = range(len(sources))
+    # NULL ties are greatest
+    rank = lambda k: F.struct("__time", *(c for (j, _), (name, _) in tie_of.items() if j == k for c in (F.col(name).isNull(), F.col(name))))
+    last = [F.max_by(f"__right{k}", F.when(F.col(f"__right{k}").isNotNull(), rank(k))).alias(f"__last{k}") for k in n]
+    ends = union.where("__bucket is not null and __key is not null").groupBy("__key", "__bucket").agg(*last)
+    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("__key", "__bucket", *(F.last(f"__last{k}", ignorenulls=True).over(before).alias(f"__carry{k}") for k in n))
+    met = found.join(carry, ["__key", "__bucket"], "left")
+    return met.withColumns({f"__found{k}": F.coalesce(f"__found{k}", f"__carry{k}") for k in n})

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clipped, finite
+from .order import exact_quantiles
 
 STEPS = ("winsorize", "industry_neutralize", "size_neutralize", "zscore")
 DEFAULT_STEPS = STEPS
@@ -29,6 +30,13 @@ def winsorize(df: DataFrame, *, value: str, group: Sequence[str], eligible: str,
     return df.withColumn(value, clipped(F.col(value), F.coalesce(F.col("__q")[0], F.col(value)), F.coalesce(F.col("__q")[1], F.col(value)))).drop("__q")
 
 
+def winsorize_by_order(df: DataFrame, *, value: str, group: Sequence[str], eligible: str, lower: float, upper: float) -> DataFrame:
+    """As winsorize, for cross-sections that no task can hold: the quantiles come from positions in the order (operators/order.py) and are joined back."""
+    found = exact_quantiles(df.where(_sample(eligible, value)), group, value, (lower, upper))
+    met = df.join(found, list(group), "left")
+    return met.withColumn(value, clipped(F.col(value), F.coalesce("q0", value), F.coalesce("q1", value))).drop("q0", "q1")
+
+
 def industry_neutralize(df: DataFrame, *, value: str, group: Sequence[str], eligible: str, exposures: Sequence[str] = ("industry", "market")) -> DataFrame:
     """Subtracts the group mean. On each date the first of the exposures with any value is the grouping; rows
     without a group, groups without a sample and values that aren't finite stay as they are."""

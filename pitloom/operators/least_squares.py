@@ -1,23 +1,20 @@
 """Least squares by group from tall-skinny QR factors.
 
-Each task reduces the rows that it reads to one small triangular factor for each group, a batch at a time; Spark brings the factors of a group together in two steps, so that the
-last has as many as the first has buckets, and not as many as there are tasks. A factor has the singular values of the whole design matrix, so ranks and solutions are those of the rows
+Each task reduces the rows that it reads to one small triangular factor for each group, a batch at a time, and Spark merges a group's factors (see reduced). A factor has the singular values of the whole design matrix, so ranks and solutions are those of the rows
 themselves: nothing is squared, as in sums of products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Groups that a task holds before it passes their factors on; factors that meet in the last step.
-HELD, BUCKETS = 4096, 64
+from .reduced import reduced
+
 #: Of a field's deviation: a residual of no more is rounding error.
 NOTHING = 1e-11
 
@@ -30,56 +27,26 @@ def triangular(*parts: np.ndarray) -> np.ndarray:
 def r_factors(rows: DataFrame, group: Sequence[str], fields: Sequence[str], responses: Sequence[str] = ()) -> DataFrame:
     """group, response, n_obs, r (row after row) of the columns: constant, fields, response; over rows that have all of them. Without responses there is one factor for each
     group and `response` is NULL. A group without such rows has none."""
-    group, fields, wanted = list(group), list(fields), list(responses) or [None]
-    # no aliases: Catalyst would derive the condition that all fields are there anew for each of them
-    base = rows.select(*group, *fields, *responses).dropna(subset=fields)
-    kinds = ", ".join(f"`{g}` {base.schema[g].dataType.simpleString()}" for g in group)
-    flat = [*group, "response", "part", "n_obs", "r"]
-
-    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, tuple[int, np.ndarray]] = {}
-        part = TaskContext.get().partitionId() << 20
-
-        def out() -> pd.DataFrame:
-            nonlocal part
-            made = pd.DataFrame([(*key, part, n, r.ravel()) for key, (n, r) in held.items()], columns=flat)
-            held.clear()
-            part += 1
-            return made
-
-        for batch in batches:
-            for key, mine in batch.groupby(group, sort=False, dropna=False):
-                known = mine[fields].to_numpy(float)
-                for response in wanted:
-                    x = [np.ones(len(known)), known]
-                    if response is not None:
-                        y = mine[response].to_numpy(float)
-                        there = ~np.isnan(y)
-                        x = [np.ones(int(there.sum())), known[there], y[there]]
-                    x = np.column_stack(x)
-                    if len(x):
-                        n, r = held.get((*key, response), (0, x[:0]))
-                        held[(*key, response)] = n + len(x), triangular(r, x)
-            if len(held) > HELD:
-                yield out()
-        if held:
-            yield out()
-
+    fields, wanted = list(fields), list(responses) or [None]
     width = len(fields) + 1 + bool(responses)
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            factors = [triangular(*(np.asarray(p["r"], float).reshape(-1, width) for p in parts)).ravel() for parts in batch["parts"]]
-            yield batch.drop(columns="parts").assign(n_obs=[sum(p["n_obs"] for p in parts) for parts in batch["parts"]], r=factors)
+    def make(part: pd.DataFrame):
+        known = part[fields].to_numpy(float)
+        for response in wanted:
+            x = [np.ones(len(known)), known]
+            if response is not None:
+                y = part[response].to_numpy(float)
+                there = ~np.isnan(y)
+                x = [np.ones(int(there.sum())), known[there], y[there]]
+            if len(x[0]):
+                yield response, len(x[0]), triangular(np.column_stack(x))
 
-    def together(factors: DataFrame, by: Sequence[str], kept: str) -> DataFrame:
-        # in the order of their tasks, so that the result doesn't depend on which comes first
-        parts = F.sort_array(F.collect_list(F.struct("part", "n_obs", "r"))).alias("parts")
-        return factors.groupBy(*by).agg(parts).mapInPandas(merged, f"{kinds}, response string, {kept} n_obs long, r array<double>")
+    def merge(parts: list[np.ndarray]) -> np.ndarray:
+        return triangular(*(p.reshape(-1, width) for p in parts))
 
-    made = base.mapInPandas(reduced, f"{kinds}, response string, part long, n_obs long, r array<double>")
-    some = together(made.withColumn("bucket", F.shiftright("part", 20) % BUCKETS), [*group, "response", "bucket"], "bucket long,")
-    return together(some.withColumnRenamed("bucket", "part"), [*group, "response"], "")
+    # no aliases: Catalyst would derive the condition that all fields are there anew for each of them
+    base = rows.select(*group, *fields, *responses).dropna(subset=fields)
+    return reduced(base, group, make, merge).withColumnsRenamed({"name": "response", "summary": "r"})
 
 
 @dataclass(frozen=True)

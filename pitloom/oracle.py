@@ -296,6 +296,10 @@ SELECTS: dict[str, str] = {
     "missing_factor_months": "SELECT DISTINCT year(trade_date) AS year, month(trade_date) AS month FROM prices EXCEPT SELECT year(d), month(d) FROM factors_of_day",
     "tradable_date_map": "SELECT day, (SELECT min(trade_date) FROM cal WHERE trade_date > day) AS next_day, (SELECT min(trade_date) FROM cal WHERE trade_date >= day) AS on_or_after, (SELECT min(idx) FROM cal WHERE trade_date >= day) AS trade_idx FROM (SELECT unnest(generate_series((SELECT min(trade_date) - 1 FROM cal)::TIMESTAMP, (SELECT max(trade_date) FROM cal)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day)",
     "asof_join": "SELECT u.rebalance_date, u.ts_code, p.trade_date, p.close, p.vol FROM universe u ASOF LEFT JOIN prices p ON u.ts_code = p.ts_code AND u.rebalance_date >= p.trade_date",
+    "asof_join_buckets": "SELECT u.rebalance_date, u.ts_code, p.trade_date, p.close, p.vol FROM universe u ASOF LEFT JOIN prices p ON u.ts_code = p.ts_code AND u.rebalance_date >= p.trade_date",
+    "price_ranks": "SELECT ts_code, trade_date, rank() OVER (ORDER BY vol) + (count(*) OVER (PARTITION BY vol) - 1) / 2 AS average_rank, greatest(1, ((row_number() OVER (ORDER BY vol, ts_code, trade_date) - 1) * 10 + count(*) OVER () - 2) // nullif(count(*) OVER () - 1, 0)) AS decile FROM prices WHERE vol IS NOT NULL",
+    "factor_quantiles": "SELECT factor_name, quantile_cont(v, 0.01) AS q0, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.99) AS q3 FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS factor_name, {f} AS v FROM wide" for f in _FIELDS) + ") WHERE v IS NOT NULL GROUP BY 1",
+    "rolling_amounts": "SELECT ts_code, trade_date, round(sum(amount) OVER w, 2) AS amount_sum, median(amount) OVER w AS amount_median, count(amount) OVER w AS valid_rows FROM prices WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
     "month_ends": "SELECT * FROM ends",
     "universe_features": "SELECT * FROM features",
     "monthly_universe": f"SELECT {_UNIVERSE} FROM universe",
@@ -307,6 +311,7 @@ SELECTS: dict[str, str] = {
     "rolling_moments": "SELECT * FROM moments",
     **{f"factor_{s.name}_raw": f"SELECT rebalance_date, ts_code, {_FORMULAS[s.name]} AS value FROM snapshot" if s.name in _FORMULAS else f"SELECT u.rebalance_date, u.ts_code, {_RISK[s.name]} AS value FROM universe u LEFT JOIN moments m ON m.ts_code = u.ts_code AND m.trade_date = u.rebalance_date" for s in FACTORS.list()},
     "pre_winsorize": "SELECT rebalance_date, ts_code, factor_name, v AS factor_value FROM chain1",
+    "pre_winsorize_by_order": "SELECT rebalance_date, ts_code, factor_name, v AS factor_value FROM chain1",
     "pre_demean": f"SELECT rebalance_date, ts_code, factor_name, v AS factor_value FROM ({_demeaned('long0')})",
     "pre_size": f"SELECT rebalance_date, ts_code, factor_name, v AS factor_value FROM ({_sized('long0')})",
     "pre_zscore": f"SELECT rebalance_date, ts_code, factor_name, v AS factor_value FROM ({_standardised('long0')})",

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.ranks import average_rank, quantile_bucket
 from ..functions.scalars import correlation, ratio_of
 from ..operators.least_squares import fit, r_factors
+from ..operators.pairwise import pair_correlations
 from .factors import stack
 
 DATE = "rebalance_date"
@@ -127,15 +128,9 @@ def evaluation_summary(ic: DataFrame, spread: DataFrame, monotonicity: DataFrame
 
 
 def correlation_timeseries(factors: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Pearson of every unordered pair of factors (each with itself too) for each date, over eligible rows that have both: one aggregation by date and pair."""
+    """Pearson of every unordered pair of factors (each with itself too) for each date, over eligible rows that have both."""
     eligible = factors.where(F.coalesce("is_eligible", F.lit(False)))
-    # every value, then every value from it on
-    first = eligible.select(DATE, F.array(*names).alias("values")).select(DATE, "values", F.posexplode("values").alias("i", "x"))
-    both = first.select(DATE, "i", "x", F.posexplode(F.slice("values", F.col("i") + 1, len(names))).alias("more", "y")).withColumn("j", F.col("i") + F.col("more"))
-    pair = F.sum((F.col("x").isNotNull() & F.col("y").isNotNull()).cast("long"))
-    out = both.groupBy(DATE, "i", "j").agg(correlation(F.col("x"), F.col("y")).alias("correlation"), pair.alias("pair_size"), F.count(F.lit(1)).alias("universe_size"))
-    name = lambda k: F.get(F.array(*map(F.lit, names)), F.col(k))
-    return out.select(DATE, name("i").alias("factor_a"), name("j").alias("factor_b"), "correlation", "pair_size", "universe_size")
+    return pair_correlations(eligible, [DATE], names).withColumnsRenamed({"a": "factor_a", "b": "factor_b"})
 
 
 def correlation_summary(series: DataFrame) -> DataFrame:

@@ -19,10 +19,12 @@ from .functions.ranks import quantile_bucket
 from .operators import cross_section
 from .operators.asof import AsofSource, asof_join
 from .operators.calendar_map import date_map
+from .operators.order import bucket_of, exact_quantiles, ranked
 from .plans import evaluation as ev
 from .plans import lake, quality
 from .plans.factors import FACTORS, factor_panel, raw_factors, rolling_moments, stack
 from .plans.labels import LABELS, label_panel
+from .plans.rolling import rolling_amounts
 from .research.report import BOARDS, leaderboard
 from .sources.market import FrameSource
 from .sources.proxy import LEAST, RULES, WINDOW, Proxy
@@ -285,6 +287,34 @@ def _board(name: str) -> Callable[[Tables], DataFrame]:
     return of
 
 
+def _asof_buckets(t: Tables) -> DataFrame:
+    marks = t.universe.select("rebalance_date", "ts_code")
+    bars = t.prices.select("ts_code", "trade_date", "close", "vol")
+    return asof_join(marks, [AsofSource(bars, "trade_date", ["trade_date", "close", "vol"], ["close"])], key="ts_code", left_time="rebalance_date", bucket="year")
+
+
+def _price_ranks(t: Tables) -> DataFrame:
+    """All bars as one group: rank and decile of the volume, which has many ties."""
+    found = ranked(t.prices.select("ts_code", "trade_date", "vol"), [], "vol", ["ts_code", "trade_date"])
+    return found.select("ts_code", "trade_date", "average_rank", bucket_of(F.col("row_number"), F.col("group_size"), 10).alias("decile"))
+
+
+def _factor_quantiles(t: Tables) -> DataFrame:
+    """Of each factor over all months."""
+    long = stack(t.evaluated, SETTINGS.factors, ["rebalance_date", "ts_code"])
+    return exact_quantiles(long, ["factor_name"], "factor_value", (0.01, 0.25, 0.5, 0.99))
+
+
+def _winsorize_by_order(t: Tables) -> DataFrame:
+    done = cross_section.winsorize_by_order(t.long, value="factor_value", group=["rebalance_date", "factor_name"], eligible="is_eligible", lower=0.01, upper=0.99)
+    return done.select("rebalance_date", "ts_code", "factor_name", "factor_value")
+
+
+def _rolling(t: Tables) -> DataFrame:
+    """Sum and median of the amount over 20 bars of a security, in stretches of 100."""
+    return rolling_amounts(t.prices, size=100).withColumn("amount_sum", F.round("amount_sum", 2))  # cents
+
+
 def _features(t: Tables) -> DataFrame:
     return lake.trading_features(t.prices, lake.month_ends(t.calendar, t.prices), RULES.liquidity_window)
 
@@ -295,6 +325,10 @@ _PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "missing_factor_months": lambda t: lake.missing_factor_months(t.raw.daily(), t.raw.adj_factor()),
     "tradable_date_map": _dates,
     "asof_join": _asof,
+    "asof_join_buckets": _asof_buckets,
+    "price_ranks": _price_ranks,
+    "factor_quantiles": _factor_quantiles,
+    "rolling_amounts": _rolling,
     "month_ends": lambda t: lake.month_ends(t.calendar, t.prices),
     "universe_features": _features,
     "monthly_universe": lambda t: t.universe,
@@ -306,6 +340,7 @@ _PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "rolling_moments": _moments,
     **{f"factor_{s.name}_raw": _factor(s.name) for s in FACTORS.list()},
     "pre_winsorize": _step(["winsorize"]),
+    "pre_winsorize_by_order": _winsorize_by_order,
     "pre_demean": _step(["industry_neutralize"]),
     "pre_size": _step(["size_neutralize"]),
     "pre_zscore": _step(["zscore"]),

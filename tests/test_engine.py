@@ -16,6 +16,7 @@ from pitloom.operators import cross_section as cs
 from pitloom.operators.asof import AsofSource, asof_join
 from pitloom.operators.calendar_map import map_dates
 from pitloom.operators.least_squares import fit, r_factors, triangular
+from pitloom.operators.pairwise import pair_correlations
 from pitloom.plans import evaluation as ev
 from pitloom.plans import lake, quality
 from pitloom.plans.factors import FACTORS, FactorRegistry, factor_panel, raw_factors
@@ -298,6 +299,37 @@ def test_redundancy_of_labels_samples_and_measures(spark):
     assert table["factor_b", "label_y"].mean_residual_universe_size == pytest.approx(4) and table["factor_b", "label_y"].observation_months == 3
 
 
+def test_pair_correlations_against_pandas(spark):
+    """Missing values, constant fields, fields that are constant where another is there, large means; the rows in any parts."""
+    rng = np.random.default_rng(8)
+    f = pd.DataFrame(rng.normal(size=(400, 5)) * [1, 1e-6, 1, 5, 1] + [1e6, 0, 0, 3, 0], columns=list("abcde"))
+    f["c"] = 7.25
+    f.loc[f.index % 3 == 0, "d"] = None
+    f.loc[f["d"].notna(), "e"] = 0.1
+    f.loc[f.index % 11 == 0, "a"] = None
+    f["day"] = [d("2024-01-31") if k < 300 else d("2024-02-29") if k < 399 else None for k in range(400)]
+    df = spark.createDataFrame(f.astype(object).where(f.notna(), None), "a double, b double, c double, d double, e double, day date")
+    for parts in (1, 7):
+        got = {(r.day, r.a, r.b): r for r in pair_correlations(df.repartition(parts), ["day"], list("abcde")).collect()}
+        assert len(got) == 3 * 15
+        for (day, a, b), r in got.items():
+            mine = f[[x == day for x in f["day"]]]
+            both = mine[[a, b]].dropna() if a != b else mine[[a, a]].dropna()
+            assert (r.pair_size, r.universe_size) == (len(both), len(mine))
+            x, y = both.iloc[:, 0], both.iloc[:, 1]
+            want = np.corrcoef(x, y)[0, 1] if len(both) > 1 and x.std() > 1e-9 and y.std() > 1e-12 else None
+            assert r.correlation is None if want is None else r.correlation == pytest.approx(want, abs=1e-9)
+    assert got[d("2024-01-31"), "d", "e"].correlation is None and got[d("2024-01-31"), "c", "c"].correlation is None
+
+
+def test_no_pair_of_values_is_a_row(spark):
+    """Pairs come from products of matrices in tasks, whatever the number of factors."""
+    df = spark.range(40_000).selectExpr("date'2024-01-31' as day", *(f"sin(id * {k}) as f{k}" for k in range(1, 7))).repartition(4)
+    made = pair_correlations(df, ["day"], [f"f{k}" for k in range(1, 7)])
+    assert len(made.collect()) == 21
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_start_after_a_probe_without_open_days(spark):
     """It goes on from the last success, not from the beginning of history."""
     calendar = spark.createDataFrame([("20230102", 1), ("20240110", 0)], "cal_date string, is_open int")
