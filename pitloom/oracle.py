@@ -270,6 +270,12 @@ PARTS["robust"] = f"""SELECT {_P}, count(*) AS periods, max(s.ic_mean) AS ic_mea
     max(s.spread_mean) AS spread_mean, min(p.spread_mean) AS min_period_spread, max(p.spread_mean) AS max_period_spread, CASE WHEN max(s.spread_mean) <> 0 THEN avg(coalesce(sign(p.spread_mean) = sign(s.spread_mean), false)::INTEGER) END AS spread_sign_consistency FROM subperiods p LEFT JOIN summary s USING ({_P}) GROUP BY ALL"""
 PARTS["fm_means"] = "SELECT label_name, term, count(coefficient) AS observation_months, avg(coefficient) AS mean_coefficient, stddev_samp(coefficient) AS coefficient_std, avg((coefficient > 0)::INTEGER) AS positive_ratio, avg(n_obs) AS mean_n_obs, avg(full_rank::INTEGER) AS full_rank_ratio, avg(coefficient) / nullif(stddev_samp(coefficient) / sqrt(count(coefficient)), 0) AS t_stat FROM reg_fm GROUP BY ALL"
 
+# each batch of the stream: the latest time of those before it (with what is delivered again), and of it and those before, less three days
+PARTS["deliveries"] = """SELECT ts, (date_diff('day', DATE '2024-01-01', ts::DATE) + CASE WHEN event_id % 101 = 0 THEN 15 WHEN event_id % 17 = 0 THEN 2 ELSE 0 END + again) // 10 AS batch
+    FROM events, (SELECT unnest([0, 1]) AS again) WHERE again = 0 OR event_id % 13 = 0"""
+PARTS["marks"] = """SELECT batch, max(last) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 3 DAY AS mark, max(last) OVER (ORDER BY batch) - INTERVAL 3 DAY AS next_mark
+    FROM (SELECT batch, date_trunc('millisecond', max(ts)) AS last FROM deliveries WHERE batch < 5 GROUP BY 1)"""
+
 _MV = ("total_mv", "circ_mv", "pb", "pe_ttm", "ps_ttm", "dv_ttm", "turnover_rate", "turnover_rate_f", "volume_ratio")
 _MARKET = ["rebalance_date", "ts_code", "price_trade_date", "close", "adj_close", "amount", "vol", "daily_basic_trade_date", *_MV]
 _UNIVERSE = "rebalance_date, trade_execution_date, ts_code, exchange, market, list_date, delist_date, days_since_list, valid_trade_days_20d, median_amount_20d, has_price_coverage, is_st_flag, is_suspended_flag, is_eligible, exclude_reason, year, month"
@@ -299,7 +305,7 @@ SELECTS: dict[str, str] = {
     "asof_join_buckets": "SELECT u.rebalance_date, u.ts_code, p.trade_date, p.close, p.vol FROM universe u ASOF LEFT JOIN prices p ON u.ts_code = p.ts_code AND u.rebalance_date >= p.trade_date",
     "price_ranks": "SELECT ts_code, trade_date, rank() OVER (ORDER BY vol) + (count(*) OVER (PARTITION BY vol) - 1) / 2 AS average_rank, greatest(1, ((row_number() OVER (ORDER BY vol, ts_code, trade_date) - 1) * 10 + count(*) OVER () - 2) // nullif(count(*) OVER () - 1, 0)) AS decile FROM prices WHERE vol IS NOT NULL",
     "factor_quantiles": "SELECT factor_name, quantile_cont(v, 0.01) AS q0, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2, quantile_cont(v, 0.99) AS q3 FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS factor_name, {f} AS v FROM wide" for f in _FIELDS) + ") WHERE v IS NOT NULL GROUP BY 1",
-    "rolling_amounts": "SELECT ts_code, trade_date, round(sum(amount) OVER w, 2) AS amount_sum, median(amount) OVER w AS amount_median, count(amount) OVER w AS valid_rows FROM prices WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
+    "rolling_amounts": "SELECT ts_code, trade_date, round(sum(amount) OVER w * 100)::BIGINT AS cents, median(amount) OVER w AS amount_median, count(amount) OVER w AS valid_rows FROM prices WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)",
     "month_ends": "SELECT * FROM ends",
     "universe_features": "SELECT * FROM features",
     "monthly_universe": f"SELECT {_UNIVERSE} FROM universe",
@@ -352,6 +358,9 @@ SELECTS: dict[str, str] = {
     "validate_duplicates": "SELECT coalesce(sum(n), 0)::BIGINT AS primary_key_unique FROM (SELECT count(*) AS n FROM prices GROUP BY trade_date HAVING count(*) > 1)",
     "upsert_by_month": "SELECT ts_code, trade_date, CASE WHEN year(trade_date) = 1996 THEN close * 2 ELSE close END AS close FROM prices",
     "replace_by_month": "SELECT ts_code, trade_date, close, year(trade_date) AS year, month(trade_date) AS month FROM prices",
+    "late_events": """SELECT day AS window_start, event_type, count(*) AS events, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM (
+        SELECT *, ts::DATE AS day, (date_diff('day', DATE '2024-01-01', ts::DATE) + CASE WHEN event_id % 101 = 0 THEN 15 WHEN event_id % 17 = 0 THEN 2 ELSE 0 END) // 10 AS batch FROM events
+        ) e JOIN marks m USING (batch) WHERE batch < 5 AND (m.mark IS NULL OR ts > m.mark) AND day + INTERVAL 1 DAY <= (SELECT max(next_mark) FROM marks) GROUP BY 1, 2""",
     "incremental_ingest": "SELECT ts_code, trade_date, close, vol, amount FROM prices",
     "leaderboard_top_ic": _board("ic_summary", "factor_name, label_name, ic_mean, icir, ic_hit_rate", "ic_mean DESC NULLS LAST, factor_name, label_name"),
     "leaderboard_bottom_ic": _board("ic_summary", "factor_name, label_name, ic_mean, icir, ic_hit_rate", "ic_mean NULLS LAST, factor_name, label_name"),
@@ -393,6 +402,7 @@ SCHEMA = """
     CREATE TABLE nation (n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER);
     CREATE TABLE supplier (s_suppkey BIGINT, s_name VARCHAR, s_nationkey INTEGER, s_acctbal DOUBLE);
     CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority VARCHAR);
+    CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR);
     CREATE TABLE lineitem (l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INTEGER, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag VARCHAR, l_linestatus VARCHAR, l_shipdate TIMESTAMP);
 """
 

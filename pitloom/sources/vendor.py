@@ -10,7 +10,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..config import Config
@@ -52,27 +52,48 @@ class _Requests(InputPartition):
     asked: list[dict]
 
 
-def _format(name: str, call: Call, table: str, schema: str, asked: list[dict], per_task: int, attempts: int, wait: float) -> type[DataSource]:
+class _Pace:
+    """How requests are made: in tasks, each tried a few times, with a wait after each.
+
+    With `lanes` there are that many tasks at most and each waits so many times as long, so that all of them together ask no faster than one would, however many cores there are.
+    """
+
+    def __init__(self, call: Call, table: str, per_task: int, attempts: int, wait: float, lanes: int | None) -> None:
+        self.call, self.table, self.per_task, self.attempts, self.lanes = call, table, per_task, attempts, lanes
+        self.wait = wait * (lanes or 1)
+
+    def dealt(self, asked: list[dict]) -> list[InputPartition]:
+        if self.lanes:
+            parts = [asked[k :: self.lanes] for k in range(min(self.lanes, len(asked)))]
+        else:
+            parts = [asked[at : at + self.per_task] for at in range(0, len(asked), self.per_task)]
+        return [_Requests(p) for p in parts] or [_Requests([])]
+
+    def rows(self, asked: list[dict], columns: Sequence[str]) -> Iterator[tuple]:
+        for parameters in asked:
+            for attempt in range(1, self.attempts + 1):
+                try:
+                    found = list(self.call(self.table, **parameters))
+                    break
+                except Exception as e:
+                    if attempt == self.attempts:
+                        raise RuntimeError(f"{self.table} {parameters} failed {self.attempts} times") from e
+                    time.sleep(self.wait * attempt)
+            for r in found:
+                yield tuple(r.get(c) for c in columns)
+            time.sleep(self.wait)  # the vendor's pace
+
+
+def _format(name: str, schema: str, pace: _Pace, asked: list[dict]) -> type[DataSource]:
     class Reader(DataSourceReader):
         def __init__(self, columns: Sequence[str]) -> None:
             self.columns = list(columns)
 
         def partitions(self) -> list[InputPartition]:
-            return [_Requests(asked[at : at + per_task]) for at in range(0, len(asked), per_task)] or [_Requests([])]
+            return pace.dealt(asked)
 
         def read(self, partition: _Requests) -> Iterator[tuple]:
-            for parameters in partition.asked:
-                for attempt in range(1, attempts + 1):
-                    try:
-                        rows = list(call(table, **parameters))
-                        break
-                    except Exception as e:
-                        if attempt == attempts:
-                            raise RuntimeError(f"{table} {parameters} failed {attempts} times") from e
-                        time.sleep(wait * attempt)
-                for r in rows:
-                    yield tuple(r.get(c) for c in self.columns)
-                time.sleep(wait)  # the vendor's pace
+            return pace.rows(partition.asked, self.columns)
 
     class Source(DataSource):
         @classmethod
@@ -88,15 +109,56 @@ def _format(name: str, call: Call, table: str, schema: str, asked: list[dict], p
     return Source
 
 
+def _stream_format(name: str, schema: str, pace: _Pace, start: str, end: str | None) -> type[DataSource]:
+    class Reader(DataSourceStreamReader):
+        """Offsets are open days: all up to and with that one have been asked for. They are kept in the query's checkpoint, so each day is asked for once."""
+
+        def __init__(self, columns: Sequence[str]) -> None:
+            self.columns = list(columns)
+
+        def _open_days(self, after: str, last: str) -> list[str]:
+            columns = ("cal_date", "is_open")
+            calendar = _Pace(pace.call, "trade_cal", 1, pace.attempts, 0.0, None).rows([{"exchange": "", "start_date": start, "end_date": last}], columns)
+            return sorted({day for day, is_open in calendar if day and is_open is not None and int(is_open) == 1 and after < day <= last and day >= start})
+
+        def initialOffset(self) -> dict:
+            return {"day": ""}
+
+        def latestOffset(self) -> dict:
+            return {"day": max(self._open_days("", end or date.today().strftime("%Y%m%d")), default="")}
+
+        def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+            return pace.dealt([{"trade_date": d} for d in self._open_days(start["day"], end["day"])])
+
+        def read(self, partition: _Requests) -> Iterator[tuple]:
+            return pace.rows(partition.asked, self.columns)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+            return Reader(schema.names)
+
+    return Source
+
+
 class VendorSource:
     """A market source that asks a vendor request by request. Open days and securities come from what `store` has ingested already."""
 
-    def __init__(self, spark: SparkSession, call: Call, store: Store, config: Config = Config(), *, schemas: Mapping[str, str] = SCHEMAS, markets: Sequence[str] = UniverseRules.markets, suffixes: Sequence[str] = UniverseRules.suffixes, per_task: int = 50, attempts: int = 3, wait: float = 0.3) -> None:
+    def __init__(self, spark: SparkSession, call: Call, store: Store, config: Config = Config(), *, schemas: Mapping[str, str] = SCHEMAS, markets: Sequence[str] = UniverseRules.markets, suffixes: Sequence[str] = UniverseRules.suffixes, per_task: int = 50, attempts: int = 3, wait: float = 0.3, lanes: int | None = None) -> None:
         if attempts < 1:
             raise ValueError("at least one attempt")
         self.spark, self.call, self.store, self.config, self.schemas = spark, call, store, config, schemas
         self.markets, self.suffixes = markets, suffixes
-        self.per_task, self.attempts, self.wait = per_task, attempts, wait
+        self.per_task, self.attempts, self.wait, self.lanes = per_task, attempts, wait, lanes
+
+    def _pace(self, table: str) -> _Pace:
+        return _Pace(self.call, table, self.per_task, self.attempts, self.wait, self.lanes)
 
     def requests(self, table: str, start: str | None, end: str | None) -> list[dict]:
         """The parameters of each request; there are as many as days or securities."""
@@ -121,5 +183,14 @@ class VendorSource:
 
     def fetch(self, table: str, start: str | None = None, end: str | None = None) -> DataFrame:
         name = f"market_{table}_{uuid.uuid4().hex}"
-        self.spark.dataSource.register(_format(name, self.call, table, self.schemas[table], self.requests(table, start, end), self.per_task, self.attempts, self.wait))
+        self.spark.dataSource.register(_format(name, self.schemas[table], self._pace(table), self.requests(table, start, end)))
         return self.spark.read.format(name).load()
+
+    def stream(self, table: str, start: str | None = None, end: str | None = None) -> DataFrame:
+        """The rows of a table that is asked for by open day, as a stream. The vendor's own calendar says which days were open. A query on it
+        keeps in its checkpoint how far it has come, and needs no other state."""
+        if ASKED_BY[table] != "trade_date":
+            raise ValueError(f"{table} isn't asked for by open day")
+        name = f"market_stream_{table}"  # a query that is started again looks for the same name
+        self.spark.dataSource.register(_stream_format(name, self.schemas[table], self._pace(table), start or self.config.history_start, end))
+        return self.spark.readStream.format(name).load()

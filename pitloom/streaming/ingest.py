@@ -111,6 +111,15 @@ class Ingestor:
 def stream_into(stream: DataFrame, store: Store, table: str, *, date: str, keys: Sequence[str], checkpoint: str):
     """A Structured Streaming query that merges each micro-batch by key; started by the caller through the returned writer.
 
-    The merge is idempotent, so that a batch that is replayed after a failure changes nothing.
+    A batch is landed first, so that its source is read once, however often the merge reads it. The merge is idempotent, so that a batch that is replayed after a failure changes nothing.
     """
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: store.upsert_by_month(batch, table, date=date, keys=keys))
+
+    def merge(batch: DataFrame, number: int) -> None:
+        landing = f"landing/{table}-{number}"
+        store.overwrite(batch, landing)
+        try:
+            store.upsert_by_month(store.read(landing), table, date=date, keys=keys)
+        finally:
+            store.clear(landing)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
