@@ -86,6 +86,8 @@ def blocks(html: str | None) -> list[Block]:
     pieces: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # open containers and blocks: name, excluded, article
+    places: dict[str, list[int]] = {}  # of open blocks, by name
+    containers: list[int] = []
     state = ["", False, 0]  # of the text that is being gathered
     articles = in_link = 0
     strict = True
@@ -102,6 +104,13 @@ def blocks(html: str | None) -> list[Block]:
     def enter() -> None:
         state[:] = stack[-1] if stack else ("", False, 0)
 
+    def cut(at: int) -> None:
+        for name, _, _ in stack[at:]:
+            places[name].pop()
+        while containers and containers[-1] >= at:
+            containers.pop()
+        del stack[at:]
+
     def add(text: str) -> None:
         if "&" in text:  # a reference ends where a tag begins
             text = unescape(text)
@@ -159,19 +168,20 @@ def blocks(html: str | None) -> list[Block]:
             flush()
             in_link = 0
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if tag not in _CONTAINERS and stack[k][0] in _CONTAINERS:
-                        break  # a stray end of a paragraph or the like
+                open_at = places.get(tag)
+                # otherwise a stray end: of what isn't open, or of a paragraph or the like outside the innermost container
+                if open_at and (tag in _CONTAINERS or not containers or open_at[-1] > containers[-1]):
+                    cut(open_at[-1])
             elif tag not in _VOID:
                 while stack and stack[-1][0] not in _CONTAINERS and (tag in _CONTAINERS or stack[-1][0] in ("p", tag, *_HEADINGS)):
-                    stack.pop()  # paragraphs and items end where the next block begins
+                    cut(len(stack) - 1)  # paragraphs and items end where the next block begins
                 _, excluded, article = stack[-1] if stack else ("", False, 0)
                 if tag in ("article", "main") and not article:
                     articles += 1
                     article = articles
+                places.setdefault(tag, []).append(len(stack))
+                if tag in _CONTAINERS:
+                    containers.append(len(stack))
                 stack.append((tag, excluded or _excludes(tag, m[3], article > 0), article))
             enter()
     flush()

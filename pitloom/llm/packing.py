@@ -26,6 +26,9 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: The pattern's white space (not Python's, which has 0x1C to 0x1F too). No match of the pattern goes on from another character into it.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_RUN = re.compile(f"[{_SPACE}]*")
+#: Runs of white space from this length on aren't left to the pattern, whose search goes as deep as a run is long.
+LONG_RUN = 10_000
 
 
 def read_encoding(path: str):
@@ -36,12 +39,21 @@ def read_encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def tokens_of(encoding, chunk: str) -> int:
+    """Tokens of white space and the word after it, either may be missing. The pattern takes a run before a word as one match but for its last character, a run at the end as a whole."""
+    run = _RUN.match(chunk).end()
+    if run < LONG_RUN:
+        return len(encoding.encode_ordinary(chunk))
+    end = run - 1 if run < len(chunk) else run
+    return len(encoding._encode_single_piece(chunk[:end])) + len(encoding.encode_ordinary(chunk[end:]))
+
+
 def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """doc_id, n_tokens: as of the whole text encoded at once; chunks of white space and the word after it are cached. A null text has none. No shuffle."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = read_encoding(vocabulary).encode_ordinary
-        chunks = WordFeatures(lambda fresh: np.fromiter((len(encode(w)) for w in fresh), np.int64, len(fresh)))
+        encoding = read_encoding(vocabulary)
+        chunks = WordFeatures(lambda fresh: np.fromiter((tokens_of(encoding, w) for w in fresh), np.int64, len(fresh)))
         for batch in batches:
             out = [int(n.sum()) for (texts,) in text_rows(batch, "text") for n in chunks.rows([_CHUNK.findall(t) if t else [] for t in texts])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "n_tokens"])
