@@ -72,28 +72,58 @@ def calendar_checks(calendar: DataFrame) -> DataFrame:
     )
 
 
-def price_checks(prices: DataFrame) -> DataFrame:
+def price_flags() -> dict[str, Column]:
+    """Counts of bad rows, as aggregates that a write can observe."""
+
     def formula(adjusted: str, plain: str) -> Column:
         return _flags(~close(F.col(adjusted), F.col(plain) * F.col("adj_factor")))
 
-    return prices.agg(F.count(F.lit(1)).alias("rows"), _partition("trade_date").alias("partition_columns_match_trade_date"), formula("adj_open", "open").alias("adj_open_formula"), formula("adj_close", "close").alias("adj_close_formula"), F.count_distinct("ts_code").alias("unique_ts_code_count"), F.count_distinct("trade_date").alias("trade_date_count"), _present("adj_factor").alias("adj_factor_non_null_ratio"))
+    return {"partition_columns_match_trade_date": _partition("trade_date"), "adj_open_formula": formula("adj_open", "open"), "adj_close_formula": formula("adj_close", "close")}
 
 
-def universe_checks(universe: DataFrame) -> DataFrame:
+def price_checks(prices: DataFrame) -> DataFrame:
+    return prices.agg(F.count(F.lit(1)).alias("rows"), *_named(price_flags()), F.count_distinct("ts_code").alias("unique_ts_code_count"), F.count_distinct("trade_date").alias("trade_date_count"), _present("adj_factor").alias("adj_factor_non_null_ratio"))
+
+
+def _named(columns: Mapping[str, Column]) -> list[Column]:
+    return [c.alias(n) for n, c in columns.items()]
+
+
+def universe_flags() -> dict[str, Column]:
     ineligible = ~F.coalesce("is_eligible", F.lit(False))
-    return universe.agg(F.count(F.lit(1)).alias("rows"), _flags(F.col("trade_execution_date") <= F.col("rebalance_date")).alias("trade_execution_after_rebalance"), _partition("rebalance_date").alias("partition_columns_match_rebalance_date"), _flags(ineligible & (F.coalesce("exclude_reason", F.lit("")) == "")).alias("exclude_reason_present_for_ineligible_rows"), F.coalesce(F.sum(F.col("is_eligible").cast("long")), F.lit(0)).alias("eligible_count"), F.coalesce(F.round(F.avg(F.coalesce("is_eligible", F.lit(False)).cast("double")), 6), F.lit(0.0)).alias("eligible_ratio"), F.count_distinct("rebalance_date").alias("rebalance_month_count"))
+    return {
+        "trade_execution_after_rebalance": _flags(F.col("trade_execution_date") <= F.col("rebalance_date")), "partition_columns_match_rebalance_date": _partition("rebalance_date"),
+        "exclude_reason_present_for_ineligible_rows": _flags(ineligible & (F.coalesce("exclude_reason", F.lit("")) == "")),
+    }
+
+
+def universe_checks(universe: DataFrame) -> DataFrame:
+    return universe.agg(F.count(F.lit(1)).alias("rows"), *_named(universe_flags()), F.coalesce(F.sum(F.col("is_eligible").cast("long")), F.lit(0)).alias("eligible_count"), F.coalesce(F.round(F.avg(F.coalesce("is_eligible", F.lit(False)).cast("double")), 6), F.lit(0.0)).alias("eligible_ratio"), F.count_distinct("rebalance_date").alias("rebalance_month_count"))
 
 
 COVERAGE = (("price", "price_trade_date", "market"), ("daily_basic", "daily_basic_trade_date", "market"), *((p, f"{p}_tradable_date", "event" if p in ("fc", "ex") else "financial") for p in ("fi", "inc", "bs", "cf", "fc", "ex")))
 
 
-def snapshot_checks(snapshot: DataFrame) -> DataFrame:
-    late = [_flags(F.col(c) > F.col("trade_execution_date")) for c in snapshot.columns if c.endswith("_tradable_date")]
+def snapshot_flags(columns: Sequence[str]) -> dict[str, Column]:
+    late = [_flags(F.col(c) > F.col("trade_execution_date")) for c in columns if c.endswith("_tradable_date")]
     total = late[0] if late else F.lit(0)
     for c in late[1:]:
         total = total + c
+    return {
+        "partition_columns_match_rebalance_date": _partition("rebalance_date"), "price_cutoff": _flags(F.col("price_trade_date") > F.col("rebalance_date")),
+        "daily_basic_cutoff": _flags(F.col("daily_basic_trade_date") > F.col("rebalance_date")), "tradable_date_cutoff": total,
+    }
+
+
+def snapshot_checks(snapshot: DataFrame) -> DataFrame:
     covered = [_present(c).alias(f"{n}_coverage_ratio") for n, c, _ in COVERAGE if c in snapshot.columns]
-    return snapshot.agg(F.count(F.lit(1)).alias("rows"), _partition("rebalance_date").alias("partition_columns_match_rebalance_date"), _flags(F.col("price_trade_date") > F.col("rebalance_date")).alias("price_cutoff"), _flags(F.col("daily_basic_trade_date") > F.col("rebalance_date")).alias("daily_basic_cutoff"), total.alias("tradable_date_cutoff"), *covered)
+    return snapshot.agg(F.count(F.lit(1)).alias("rows"), *_named(snapshot_flags(snapshot.columns)), *covered)
+
+
+def write_flags(table: str, columns: Sequence[str]) -> dict[str, Column]:
+    """What a write of that table observes: counts of rows that break an error-level check, by check."""
+    flags = {"adjusted_price_panel": price_flags, "monthly_universe": universe_flags, "monthly_snapshot_base": lambda: snapshot_flags(columns)}[table]()
+    return {n: c for n, c in flags.items() if n not in WARNINGS}
 
 
 def alignment_checks(snapshot: DataFrame, universe: DataFrame) -> DataFrame:

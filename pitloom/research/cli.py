@@ -8,8 +8,8 @@ from collections.abc import Callable, Sequence
 
 from ..config import Config
 from ..logs import logger
-from ..plans.lake import STATEMENTS, UniverseRules, adjusted_price_panel, calendar_table, missing_factor_months, monthly_snapshot_base, monthly_universe, statement_pit_table, year_month
-from ..plans.quality import report, schema_consistency, validate
+from ..plans.lake import STATEMENTS, UniverseRules, adjusted_price_panel, calendar_table, missing_factor_months, monthly_snapshot_base, monthly_universe, statement_pit_table
+from ..plans.quality import report, schema_consistency, validate, write_flags
 from ..session import session
 from ..sources.market import TABLES, MarketSource
 from ..sources.state import IngestionState
@@ -46,7 +46,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def build_table(store: Store, table: str, config: Config, rules: UniverseRules | None = None) -> None:
-    """One lake table from raw and earlier lake tables."""
+    """One lake table from raw and earlier lake tables. Those by month are published only if their checks pass; the write itself counts."""
+
+    def publish(df, date: str, keys: list[str]) -> None:
+        store.replace_checked(df, table, date=date, keys=keys, flags=write_flags(table, df.columns))
+
     raw = lambda t: store.read(f"raw/{t}")
     rules = rules or UniverseRules(config.ipo_min_trade_days, config.liquidity_window, config.min_valid_trade_days, config.min_median_amount)
     if table == "calendar_table":
@@ -55,14 +59,14 @@ def build_table(store: Store, table: str, config: Config, rules: UniverseRules |
         missing = missing_factor_months(raw("daily"), raw("adj_factor")).limit(1).collect()
         if missing:
             raise FileNotFoundError(f"adj_factor has nothing for {missing[0].year}-{missing[0].month:02d}")
-        store.replace_by_month(year_month(adjusted_price_panel(raw("daily"), raw("adj_factor")), "trade_date"), table, date="trade_date", keys=["ts_code", "trade_date"])
+        publish(adjusted_price_panel(raw("daily"), raw("adj_factor"), check=False), "trade_date", ["ts_code", "trade_date"])
     elif table == "monthly_universe":
-        store.replace_by_month(monthly_universe(store.read("calendar_table"), raw("stock_basic"), store.read("adjusted_price_panel"), rules), table, date="rebalance_date", keys=["rebalance_date", "ts_code"])
+        publish(monthly_universe(store.read("calendar_table"), raw("stock_basic"), store.read("adjusted_price_panel"), rules), "rebalance_date", ["rebalance_date", "ts_code"])
     else:
         families = {p: t for p, s in STATEMENTS.items() if (t := store.read_optional(f"raw/{s.table}")) is not None}
         calendar = store.read("calendar_table")
         statements = {p: statement_pit_table(t.drop("year", "month"), calendar, STATEMENTS[p]) for p, t in families.items()}
-        store.replace_by_month(monthly_snapshot_base(store.read("monthly_universe"), store.read("adjusted_price_panel"), raw("daily_basic"), statements), table, date="rebalance_date", keys=["rebalance_date", "ts_code"])
+        publish(monthly_snapshot_base(store.read("monthly_universe"), store.read("adjusted_price_panel"), raw("daily_basic"), statements), "rebalance_date", ["rebalance_date", "ts_code"])
 
 
 def main(argv: Sequence[str] | None = None, source: Callable[[], MarketSource] | None = None) -> int:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,14 @@ def merge_by_key(existing: DataFrame | None, new: DataFrame, keys: Sequence[str]
     return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__new", "__at")
 
 
+class CheckFailed(ValueError):
+    """A table isn't published: counts of bad rows by check."""
+
+    def __init__(self, table: str, counts: Mapping[str, int]) -> None:
+        super().__init__(f"{table}: " + ", ".join(f"{n} {v}" for n, v in counts.items()))
+        self.table, self.counts = table, dict(counts)
+
+
 class Store:
     """root may be on any file system that Spark reads."""
 
@@ -113,6 +121,49 @@ class Store:
         """The whole table, one row for each key."""
         self._write_months(merge_by_key(None, self._months(df, date), keys), table, keys, "static")
 
+    def replace_checked(self, df: DataFrame, table: str, *, date: str, keys: Sequence[str], flags: Mapping[str, Column] | None = None) -> dict[str, int]:
+        """As replace_by_month, but published only if `rows` share no key and every flag (a count of bad rows) is zero, else CheckFailed; the counts are returned.
+
+        The input is computed once: the write beside the table counts what it writes, and keys are counted in the shuffle that brings their rows together. The table that was there stays
+        until the new one is whole, and then makes way for it by a rename. Tasks that run again may be counted again, which makes no zero of a count and no count of a zero.
+        """
+        rows = self._months(df, date)
+        counted = rows.withColumn("__same", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        seen = Observation(f"{table}-{uuid.uuid4().hex}")
+        metrics = {"primary_key_unique": F.coalesce(F.sum(F.when(F.col("__same") > 1, 1).otherwise(0)), F.lit(0)), **(flags or {})}
+        counted = counted.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.cast("long").alias(n) for n, c in metrics.items())).drop("__same")
+        beside = f"{self.root}/beside-{uuid.uuid4().hex}"
+        counted.repartition("year", "month").sortWithinPartitions("year", "month", *keys).write.partitionBy("year", "month").parquet(beside)
+        found = {n: int(v) for n, v in seen.get.items()}
+        bad = {n: v for n, v in found.items() if n != "rows" and v}
+        if bad:
+            self._delete(beside)
+            raise CheckFailed(table, bad)
+        self._swap(beside, self.path(table))
+        return found
+
+    def _system(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _delete(self, path: str) -> None:
+        system, at = self._system(path)
+        system.delete(at, True)
+
+    def _swap(self, new: str, table: str) -> None:
+        system, at = self._system(table)
+        old = self._system(f"{self.root}/replaced-{uuid.uuid4().hex}")[1]
+        there = system.exists(at)
+        if there and not system.rename(at, old):
+            raise OSError(f"{table} can't be moved")
+        system.mkdirs(at.getParent())
+        if not system.rename(self._system(new)[1], at):
+            if there:
+                system.rename(old, at)
+            raise OSError(f"{new} can't be moved to {table}")
+        if there:
+            system.delete(old, True)
+
     def write_month(self, df: DataFrame, table: str, year: int, month: int) -> None:
         """Exactly one partition."""
         rows = df.withColumns({"year": F.lit(year), "month": F.lit(month)})

@@ -25,7 +25,7 @@ from pitloom.research.experiment import Experiment, slugify
 from pitloom.research.report import bar_chart, render
 from pitloom.sources.market import FrameSource, Retrying
 from pitloom.sources.state import IngestionState
-from pitloom.sources.store import Store
+from pitloom.sources.store import CheckFailed, Store
 from pitloom.streaming.ingest import Ingestor, announcement_start, trade_date_start
 
 
@@ -330,6 +330,52 @@ def test_no_pair_of_values_is_a_row(spark):
     assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_checked_write_computes_its_input_once(spark, tmp_path):
+    """It counts what it writes; what fails isn't published, and the table that was there stays."""
+    store = Store(spark, str(tmp_path))
+    read = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    def panel(closes):
+        rows = [(f"s{k}", d(f"2024-0{1 + k % 2}-10"), 1.0, float(c), 2.0, 2.0, 2.0 * c) for k, c in enumerate(closes)]
+        return spark.createDataFrame(rows, "ts_code string, trade_date date, open double, close double, adj_factor double, adj_open double, adj_close double").mapInPandas(noted, "ts_code string, trade_date date, open double, close double, adj_factor double, adj_open double, adj_close double")
+
+    flags = quality.write_flags("adjusted_price_panel", [])
+    how = {"date": "trade_date", "keys": ["ts_code", "trade_date"], "flags": flags}
+    assert store.replace_checked(panel([1, 2, 3]), "prices", **how) == {"rows": 3, "primary_key_unique": 0, **dict.fromkeys(flags, 0)}
+    assert read.value == 3
+    assert store.read("prices").count() == 3 and store.partitions("prices") == [(2024, 1), (2024, 2)]
+    wrong = panel([4, 5]).withColumn("adj_close", F.col("adj_close") + 1)
+    for bad, check in ((wrong, "adj_close_formula"), (panel([1]).unionByName(panel([1])), "primary_key_unique")):
+        with pytest.raises(CheckFailed, match=f"{check} 2"):
+            store.replace_checked(bad, "prices", **how)
+        assert store.read("prices").count() == 3
+    store.replace_checked(panel([7]), "prices", **how)
+    assert [r.close for r in store.read("prices").collect()] == [7.0]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["prices"]
+
+
+def test_coverage_schemas_and_empty_inputs(spark, calendar):
+    """Thresholds of coverage, months that differ in their columns, and tables without rows."""
+    config = Config()
+    warn, error = config.market_coverage_warn, config.market_coverage_error
+    found = quality.coverage_issues({"price_coverage_ratio": (warn + error) / 2, "daily_basic_coverage_ratio": error / 2, "fi_coverage_ratio": 1.0}, config)
+    assert [(i.check, i.level) for i in found] == [("price_coverage", "warning"), ("daily_basic_coverage", "error")]
+    assert quality.coverage_issues({"price_coverage_ratio": warn}, config) == []
+    assert quality.schema_consistency({"2024-01": ["a", "b"], "2024-02": ["a", "b"]}, "t") == []
+    assert quality.schema_consistency({"2024-01": ["a", "b"], "2024-02": ["b", "a"]}, "t")[0].check == "partition_schema_consistency"
+    for prefix, spec in lake.STATEMENTS.items():
+        kinds = ", ".join(f"{c} string" for c in ("ts_code", "ann_date", "f_ann_date", "first_ann_date", "end_date", "update_flag")) + ", metric double"
+        table = lake.statement_pit_table(spark.createDataFrame([], kinds), calendar, spec)
+        assert table.count() == 0 and {f"{prefix}_tradable_date", f"{prefix}_report_period", f"{prefix}_metric"} <= set(table.columns)
+    empty = ev.rank_ic_timeseries(spark.createDataFrame([], "rebalance_date date, ts_code string, factor_a double, label_x double"), ev.EvaluationSettings(["factor_a"], ["label_x"]))
+    assert empty.count() == 0 and "rank_ic" in empty.columns
+
+
 def test_start_after_a_probe_without_open_days(spark):
     """It goes on from the last success, not from the beginning of history."""
     calendar = spark.createDataFrame([("20230102", 1), ("20240110", 0)], "cal_date string, is_open int")
