@@ -361,7 +361,9 @@ SELECTS: dict[str, str] = {
     "late_events": """SELECT day AS window_start, event_type, count(*) AS events, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM (
         SELECT *, ts::DATE AS day, (date_diff('day', DATE '2024-01-01', ts::DATE) + CASE WHEN event_id % 101 = 0 THEN 15 WHEN event_id % 17 = 0 THEN 2 ELSE 0 END) // 10 AS batch FROM events
         ) e JOIN marks m USING (batch) WHERE batch < 5 AND (m.mark IS NULL OR ts > m.mark) AND day + INTERVAL 1 DAY <= (SELECT max(next_mark) FROM marks) GROUP BY 1, 2""",
-    "incremental_ingest": "SELECT ts_code, trade_date, close, vol, amount FROM prices",
+    "incremental_ingest": """WITH last AS (SELECT max(trade_date) AS day FROM prices WHERE trade_date <= DATE '1998-06-30'),
+        start AS (SELECT min(trade_date) AS day FROM (SELECT trade_date FROM cal WHERE trade_date BETWEEN (SELECT day - 80 FROM last) AND (SELECT day FROM last) ORDER BY trade_date DESC LIMIT 21))
+        SELECT ts_code, trade_date, close, CASE WHEN trade_date >= (SELECT day FROM start) THEN 2 * vol ELSE vol END AS vol, amount FROM prices""",
     "leaderboard_top_ic": _board("ic_summary", "factor_name, label_name, ic_mean, icir, ic_hit_rate", "ic_mean DESC NULLS LAST, factor_name, label_name"),
     "leaderboard_bottom_ic": _board("ic_summary", "factor_name, label_name, ic_mean, icir, ic_hit_rate", "ic_mean NULLS LAST, factor_name, label_name"),
     "leaderboard_top_spread": _board("spread_means", "factor_name, label_name, spread_mean, spread_ir", "spread_mean DESC NULLS LAST, factor_name, label_name"),
