@@ -330,10 +330,12 @@ def test_odd_rows_and_clashing_columns(spark, tmp_path, empty):
     rows([(1, None, None) + pad, (None, "u", "<p>the") + pad, (2, "http://[", "<a href='http://['>x</a>") + pad, (2, "http://[", "<a href='http://['>x</a>") + pad], "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
     spark.createDataFrame([] if empty else [(100, [0.5, 1.0], 1), (1, [0.5, 1.0], None), (2, None, 1), (None, [1.0, 1.0], 1), (1, [0.5, 1.0], None), (200, [1.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{sf}/embeddings.parquet")
     spark.createDataFrame([] if empty else [(1, "mail nothing to nobody at all today"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    rows([(1, 0, "user", "Hi.") + pad, (1, 0, "user", "Hi.") + pad, (1, None, None, None) + pad, (None, 1, "", "") + pad, (2, 5, "assistant", " ") + pad], "conv_id long, turn long, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    want = {**dict.fromkeys(("op2", "op3", "op4", "op5", "op6", "op11"), len(ODD)), "op12": 600 * len({r[3] for r in ODD}), "op13": 3}
     for name, query in queries.QUERIES.items():
         n = query(spark, sf).count()
-        if name.split("_")[0] in ("op2", "op3", "op4", "op5", "op6"):
-            assert n == (0 if empty else len(ODD)), name
+        if (op := name.split("_")[0]) in want:
+            assert n == (0 if empty else want[op]), name
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.collect()} == (set() if empty else {4, 5, 6})
 
