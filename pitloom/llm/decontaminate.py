@@ -24,6 +24,8 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 9, 10))
 WINDOW, SIMILARITY = 13, 0.8
 #: Items with fewer tokens are only found in documents that have no other tokens: as a part of longer texts they would tell nothing.
 SHORTEST = 5
+#: Hits that are looked at together.
+_TOGETHER = 1 << 20
 #: What isn't a letter, digit or mark beyond ASCII, where bytes don't tell.
 _OTHER = r"[^\x00-\x7F\p{L}\p{N}\p{M}]"
 
@@ -76,24 +78,62 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int,
     return low + a, b - a, int(same[b] - same[a])
 
 
+def best_of_diagonals(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray, best: tuple | None = None) -> tuple | None:
+    """The best of `best` and the overlaps on these diagonals as (equal tokens, length, -start in doc, start in item), the greatest.
+
+    Diagonals on which as many tokens as they have, or as are equal on them, couldn't be better aren't looked at closer."""
+    low = np.maximum(0, -diagonals)
+    length = np.minimum(len(item), len(doc) - diagonals) - low
+
+    def descending(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return of[np.lexsort((low[of], -(low + diagonals)[of], length[of], counts))[::-1]]
+
+    def limit(count: int, k: int) -> tuple:
+        return count, int(length[k]), -int(low[k] + diagonals[k]), int(low[k])
+
+    order = descending(length, np.arange(len(diagonals)))
+    step = max(1, min(1 << 12, (1 << 22) // max(1, len(item))))
+    for at in range(0, len(order), step):
+        some = order[at : at + step]
+        if best and limit(int(length[some[0]]), int(some[0])) <= best:
+            break
+        place = diagonals[some][:, None] + np.arange(len(item))
+        equal = ((place >= 0) & (place < len(doc)) & (doc[np.clip(place, 0, len(doc) - 1)] == item)).sum(1)
+        counts = dict(zip(some.tolist(), equal.tolist(), strict=True))
+        for k in descending(equal, some).tolist():
+            if best and limit(counts[k], k) <= best:
+                break
+            found = best_overlap(doc, item, int(diagonals[k]))
+            if found:
+                mine = (found[2], found[1], -(found[0] + int(diagonals[k])), found[0])
+                best = max(best, mine) if best else mine
+    return best
+
+
 @dataclass
 class Seeds:
     """Items' tokens and their seeds, sorted by hash."""
 
     items: np.ndarray
     tokens: list[np.ndarray]
+    #: Each one once, in order.
     hashes: np.ndarray
+    #: Of a seed, in order: its hash's place in `hashes` times `len(hashes) + 1`, plus that of the seed before it in its item counted from 1 (0: none).
+    key: np.ndarray
     item: np.ndarray
     place: np.ndarray
 
     @staticmethod
     def of(ids: np.ndarray, tokens: list[np.ndarray]) -> Seeds:
         found = [(seed_hashes(t, m, salt), k) for k, t in enumerate(tokens) for salt, m in masks_for(len(t))]
-        hashes = np.concatenate([h for h, _ in found] or [np.zeros(0, np.uint64)])
+        flat = np.concatenate([h for h, _ in found] or [np.zeros(0, np.uint64)])
         item = np.concatenate([np.full(len(h), k) for h, k in found] or [np.zeros(0, np.int64)])
         place = np.concatenate([np.arange(len(h)) for h, _ in found] or [np.zeros(0, np.int64)])
-        order = np.argsort(hashes, kind="stable")
-        return Seeds(ids, tokens, hashes[order], item[order], place[order])
+        hashes, code = np.unique(flat, return_inverse=True)
+        before = np.where(place > 0, np.roll(code, 1) + 1, 0)
+        key = code * (len(hashes) + 1) + before
+        order = np.argsort(key, kind="stable")
+        return Seeds(ids, tokens, hashes, key[order], item[order], place[order])
 
     def masks(self) -> list[tuple[int, tuple[int, ...]]]:
         return sorted({x for t in self.tokens for x in masks_for(len(t))})
@@ -104,13 +144,31 @@ class Seeds:
         out[self.hashes >> np.uint64(42)] = True
         return out
 
-    def hits(self, hashes: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of hashes, items and places in them of all equal seeds."""
+    def hits(self, hashes: np.ndarray, maybe: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions of hashes, items and places in them of equal seeds, a bounded number at a time; first: the positions where texts begin.
+
+        Of neighbouring hits on one diagonal only the first is there. The others needn't be looked at: they are those whose seeds before are equal too."""
         at = np.flatnonzero(maybe[hashes >> np.uint64(42)])
-        low, high = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
-        count = high - low
-        seed = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.repeat(at, count), self.item[seed], self.place[seed]
+        code = np.searchsorted(self.hashes, hashes[at])
+        equal = self.hashes[np.minimum(code, len(self.hashes) - 1)] == hashes[at] if len(at) else np.zeros(0, bool)
+        at, code = at[equal], code[equal]
+        before = np.full(len(at), -1)
+        follows = np.flatnonzero((np.diff(at, prepend=-2) == 1) & ~np.isin(at, first))
+        before[follows] = code[follows - 1] + 1
+        base = code * (len(self.hashes) + 1)
+        low, high = np.searchsorted(self.key, base), np.searchsorted(self.key, base + len(self.hashes) + 1)
+        cut, resume = (np.where(before < 0, high, np.searchsorted(self.key, base + before, side)) for side in ("left", "right"))
+        count = np.stack([cut - low, high - resume], 1).ravel()
+        begin, at = np.stack([low, resume], 1).ravel(), np.repeat(at, 2)
+        some = np.flatnonzero(count)
+        count, begin, at = count[some], begin[some], at[some]
+        block = np.cumsum(count) // _TOGETHER
+        for part in np.split(np.arange(len(count)), np.flatnonzero(np.diff(block)) + 1):
+            if not len(part):
+                continue
+            n = count[part]
+            seed = np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield np.repeat(at[part], n), self.item[seed], self.place[seed]
 
 
 def _tokenised(batch: pa.RecordBatch, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -163,17 +221,20 @@ def _broadcast_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 words, first = _tokenised(lowered(part, "text"), hasher)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                tried = set()
+                best: dict[tuple[int, int], tuple | None] = {}
                 for salt, mask in masks:
-                    for at, item, place in zip(*(x.tolist() for x in seeds.hits(seed_hashes(words, mask, salt), maybe)), strict=True):
-                        row = int(np.searchsorted(first, at, "right")) - 1
-                        if len(seeds.tokens[item]) >= SHORTEST or first[row + 1] - first[row] == len(seeds.tokens[item]):
-                            tried.add((at - place, item, row))
-                for diagonal, item, row in tried:
-                    a, b = int(first[row]), int(first[row + 1])
-                    best = best_overlap(words[a:b], seeds.tokens[item], diagonal - a)
-                    if best:
-                        found.append((int(ids[row]), int(seeds.items[item]), best[0] + diagonal - a, *best))
+                    for at, item, place in seeds.hits(seed_hashes(words, mask, salt), maybe, first):
+                        row = np.searchsorted(first, at, "right") - 1
+                        tried = np.stack([row, item, at - place - first[row]])
+                        tried = tried[:, np.lexsort(tried[::-1])]
+                        tried = tried[:, np.any(np.diff(tried, prepend=tried[:, :1] - 1), axis=0)]
+                        pair = np.flatnonzero(np.any(np.diff(tried[:2], prepend=-1), axis=0))
+                        for k, upto in zip(pair.tolist(), [*pair[1:].tolist(), tried.shape[1]], strict=True):
+                            row, item = int(tried[0, k]), int(tried[1, k])
+                            doc, wanted = words[first[row] : first[row + 1]], seeds.tokens[item]
+                            if len(wanted) >= SHORTEST or len(doc) == len(wanted):
+                                best[row, item] = best_of_diagonals(doc, wanted, tried[2, k:upto], best.get((row, item)))
+                found += [(int(ids[row]), int(seeds.items[item]), -x[2], x[3], x[1], x[0]) for (row, item), x in best.items() if x]
             yield _rows(found)
 
     return docs.mapInArrow(of, _RESULT)
@@ -191,7 +252,7 @@ def _joined_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 for part in slices(batch, "text"):
                     words, first = _tokenised(lowered(part, "text"), hasher)
                     size, row = np.diff(first), np.repeat(np.arange(len(first) - 1), np.diff(first))
-                    found, where = [], []
+                    found, where, before = [], [], []
                     for salt, mask in masks_of_docs:
                         h = seed_hashes(words, mask, salt)
                         at = np.flatnonzero(row[: len(h)] == row[mask[-1] :][: len(h)])  # inside one text
@@ -202,13 +263,18 @@ def _joined_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                             at = at[np.isin(n, [k for k in range(SHORTEST, WINDOW) if (salt, mask) in masks_for(k)]) | ((n >= WINDOW) & (salt < 1000))]
                         found.append(h[at])
                         where.append(at)
+                        before.append(np.where(at > first[row[at]], h[at - 1], 0))  # zero stands for none
                     at = np.concatenate(where)
                     ids = part.column("id").to_numpy(zero_copy_only=False)[row[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids, pa.int64()), pa.array((at - first[row[at]]).astype(np.int32))], names=["seed", "id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(before).view(np.int64)), pa.array(ids, pa.int64()), pa.array((at - first[row[at]]).astype(np.int32))], names=["seed", "before", "id", "place"])
 
         return of
 
-    met = docs.withColumnRenamed("doc_id", "id").mapInArrow(seeds(True), "seed long, id long, place int").join(items.withColumnRenamed("item_id", "id").mapInArrow(seeds(False), "seed long, id long, place int").select("seed", F.col("id").alias("item_id"), F.col("place").alias("item_place")), "seed")
+    kind = "seed long, before long, id long, place int"
+    of_docs = docs.withColumnRenamed("doc_id", "id").mapInArrow(seeds(True), kind)
+    of_items = items.withColumnRenamed("item_id", "id").mapInArrow(seeds(False), kind).toDF("seed", "item_before", "item_id", "item_place")
+    # of neighbouring hits on one diagonal only the first
+    met = of_docs.join(of_items, "seed").where("before != item_before or before = 0")
     tried = met.select(F.col("id").alias("doc_id"), "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
     both = tried.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id").select("doc_id", "item_id", "diagonals", "text", "item_text")
 
@@ -224,10 +290,9 @@ def _joined_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                     doc, item = words[first[k] : first[k + 1]], tokens[begin[k] : begin[k + 1]]
                     if len(item) < SHORTEST and len(doc) != len(item):
                         continue
-                    for diagonal in diagonals:
-                        best = best_overlap(doc, item, diagonal)
-                        if best:
-                            found.append((i, j, best[0] + diagonal, *best))
+                    best = best_of_diagonals(doc, item, np.array(diagonals))
+                    if best:
+                        found.append((i, j, -best[2], best[3], best[1], best[0]))
             yield _rows(found)
 
     return both.mapInArrow(verify, _RESULT)

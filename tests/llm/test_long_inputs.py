@@ -3,10 +3,11 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from pitloom.llm import html, packing
+from pitloom.llm import decontaminate, html, packing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -78,3 +79,41 @@ def test_wrong_tags_nest_as_by_search():
         tags = [rng.choice(["", "/"]) + rng.choice(names) for _ in range(rng.randint(1, 50))]
         page = "".join(f"<{t}>w{k} " for k, t in enumerate(tags))
         assert [b.tag for b in html.blocks(page)] == _blocks_by_search(tags)
+
+
+def test_hits_that_are_left_out_are_on_diagonals_of_others():
+    """Of two or three words, so that nearly everything repeats."""
+    rng = np.random.default_rng(5)
+    for kinds in (1, 2, 3):
+        texts = [rng.integers(1, kinds + 1, n).astype(np.uint64) for n in (40, 7, 0, 90)]
+        items = [rng.integers(1, kinds + 1, n).astype(np.uint64) for n in (5, 13, 30, 21)] + [np.array([1, 2] * 8, np.uint64)]
+        seeds = decontaminate.Seeds.of(np.arange(len(items)), items)
+        words, first = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        for salt, mask in seeds.masks():
+            hashes = decontaminate.seed_hashes(words, mask, salt)
+            row = np.searchsorted(first, np.arange(len(hashes)), "right") - 1
+            want = {(int(row[a]), k, a - p) for k, t in enumerate(items) if (salt, mask) in decontaminate.masks_for(len(t)) for p, h in enumerate(decontaminate.seed_hashes(t, mask, salt)) for a in np.flatnonzero(hashes == h).tolist()}
+            got = [(int(row[a]), int(i), int(a - p)) for block in seeds.hits(hashes, seeds.filter(), first) for a, i, p in zip(*block, strict=True)]
+            assert set(got) == want
+
+
+@pytest.mark.parametrize("size", [16 << 20, 0])
+def test_a_million_equal_words(spark, size):
+    """Against an item of a thousand of them; two words in turn; and the table's other rows."""
+    some = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, "ha " * 1_000_000), (2, "x " + some), (3, "ho hum " * 200_000), (4, "none of these")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "ha " * 1_000), (8, some), (9, "ho hum " * 300), (10, "ha ha ha ha ha ho")], "item_id long, text string")
+    began = time.monotonic()
+    got = {(r.doc_id, r.item_id): (r.doc_start, r.item_start, r.n_tokens, r.n_equal) for r in decontaminate.overlaps(docs, items, broadcast_bytes=size).collect()}
+    assert got == {(1, 7): (0, 0, 1_000, 1_000), (1, 10): (0, 0, 6, 5), (2, 8): (1, 0, 40, 40), (3, 9): (0, 0, 600, 600)}
+    assert time.monotonic() - began < 120
+
+
+def test_the_best_of_diagonals_is_that_of_looking_at_all():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        doc, item = (rng.integers(0, rng.integers(1, 4), rng.integers(1, 60)).astype(np.uint64) for _ in range(2))
+        diagonals = np.arange(-len(item) + 1, len(doc))
+        rng.shuffle(diagonals)
+        found = [(x[2], x[1], -(x[0] + int(d)), x[0]) for d in diagonals if (x := decontaminate.best_overlap(doc, item, int(d)))]
+        assert decontaminate.best_of_diagonals(doc, item, diagonals) == max(found, default=None)
