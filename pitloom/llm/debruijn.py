@@ -210,10 +210,13 @@ def _verified(spans: DataFrame, found: DataFrame) -> DataFrame:
 
 def _repeated_windows(found: DataFrame) -> DataFrame:
     """id, start, n: windows of branching edges that occur earlier."""
-    # known repeats have keys of their own, so that a window's rows are one for each batch at most
-    first = F.min(F.struct("id", "start")).over(Window.partitionBy("key", "check"))
-    windows = found.where("mark is null").withColumn("first", first)
-    return windows.where(F.col("known") | (F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start"))).select("id", "start", F.col("n").cast("bigint").alias("n"))
+    windows = found.where("mark is null").select("key", "check", "id", "start", "n", "known")
+    # one row for each batch that has a window; its earliest place is reduced before the shuffle and met by a join, which splits what is hot
+    unknown = windows.where("not known")
+    first = unknown.groupBy("key", "check").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("uses")).where("uses > 1")
+    later = unknown.join(first, ["key", "check"]).where("id != first.id or start != first.start")
+    gone = later.select("id", "start", "n").unionByName(windows.where("known").select("id", "start", "n"))
+    return gone.withColumn("n", F.col("n").cast("bigint"))
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 20, anchor: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

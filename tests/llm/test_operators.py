@@ -534,3 +534,12 @@ def test_results_of_odd_rows(spark):
     assert [len(r.block) for r in made if r.warc_type == "conversion" and r.page_id < 3] == [0, 0] and len({r.record_id for r in made if r.page_id == 3}) == 2
     items = spark.createDataFrame([(1, "one two", 0), (2, None, 0), (None, "one two", 0), (1, "one two", 0), (3, "", 0)], "item_id long, text string, doc_id int")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items).collect()) == [(5, 1), (6, 1)]
+
+
+def test_a_hot_window_is_no_window_of_spark(spark):
+    """One window in nearly all batches: every place but the earliest comes out, and no task sorts a group."""
+    rows = [(7, 9, k, 3, 1, False, None) for k in range(2000)] + [(1000 + k, 1, 2, 40 + k, 2, True, None) for k in range(3)] + [(8, 9, 5, 5, 1, False, None), (None, None, 1, 1, 1, None, 77)]
+    found = spark.createDataFrame(rows, "key long, check int, id long, start int, n int, known boolean, mark long")
+    got = debruijn._repeated_windows(found)
+    assert sorted(map(tuple, got.collect())) == sorted([(k, 3, 1) for k in range(1, 2000)] + [(2, 40 + k, 2) for k in range(3)])
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
