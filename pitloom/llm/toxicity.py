@@ -1,10 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (hashed into rows of one embedding table) and of itself,
-so that unseen inflections and misspellings share vectors with seen words. A text's words, as they stand, form overlapping spans
-of a few words; a span's embeddings are averaged and pass a linear softmax over {clean, toxic}. A
-text scores as its most toxic span, so that one insult isn't thinned out by a long text; the spans
-of a labelled text compete for its label in the same way while training.
+so that unseen inflections and misspellings share vectors with seen words. A text is the average of its words' embeddings, which passes a
+linear softmax over {clean, toxic}. The average is weighted, so that one insult isn't thinned out by a long text: a word's weight
+is a bounded exponential of a linear function of its own embedding, learned together with table and softmax.
 """
 
 from __future__ import annotations
@@ -36,19 +35,19 @@ def words_of(text: str | None, longest: int) -> list[str]:
     return [w[at : at + LONG + longest - 1] for w in words for at in (range(0, max(1, len(w) - longest + 1), LONG) if len(w) > LONG else (0,))]
 
 
-def span_begins(n: int, span: int) -> np.ndarray:
-    """Where the spans of n words begin: every half span, so that any half span of words stands in one of them as a whole."""
-    return np.arange(0, max(n - span // 2, 1), max(1, span // 2))
+#: Weights of words lie between exp(-BOUND) and exp(BOUND).
+BOUND = 6.0
 
 
 @dataclass
 class BagModel:
     buckets: int
-    span: int
     shortest: int
     longest: int
     #: What each bucket adds to the difference of the two softmax inputs, once embedded.
     scores: np.ndarray
+    #: What each bucket adds to the logarithm of a word's weight, before it is bounded and divided by the word's features.
+    weights: np.ndarray
     bias: float
 
     def features(self, word: str) -> list[int]:
@@ -60,24 +59,24 @@ class BagModel:
         return out
 
     def word_rows(self, words: list[str]) -> np.ndarray:
-        """For each word the sum of its features' scores and their number."""
+        """For each word the sum of its features' scores and their number, both times its weight."""
         out = np.zeros((len(words), 2))
         if words:
             bags = [self.features(w) for w in words]
             size = np.fromiter(map(len, bags), np.int64, len(bags))
-            flat = self.scores[np.fromiter((f for b in bags for f in b), np.int64, int(size.sum()))]
-            out[:, 0] = np.add.reduceat(flat, np.cumsum(size) - size)
+            flat = np.fromiter((f for b in bags for f in b), np.int64, int(size.sum()))
+            begin = np.cumsum(size) - size
+            out[:, 0] = np.add.reduceat(self.scores[flat], begin)
             out[:, 1] = size
+            out *= np.exp(BOUND * np.tanh(np.add.reduceat(self.weights[flat], begin) / size / BOUND))[:, None]
         return out
 
     def logit(self, rows: np.ndarray) -> float:
         """Of a text's words; without words the bias alone."""
         if not len(rows):
             return self.bias
-        sums = np.concatenate([np.zeros((1, 2)), np.cumsum(rows, axis=0)])
-        begin = span_begins(len(rows), self.span)
-        sums = sums[np.minimum(begin + self.span, len(rows))] - sums[begin]
-        return float((sums[:, 0] / sums[:, 1]).max()) + self.bias
+        score, size = rows.sum(axis=0)
+        return float(score / size) + self.bias
 
 
 def sample_labels(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic", rows_per_class: int = 2500) -> DataFrame:
@@ -103,14 +102,51 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lab
     return fit_texts(list(got["text"]), got["y"].to_numpy(), **options)
 
 
-def fit_texts(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, dim: int = 8, span: int = 12, shortest: int = 3, longest: int = 6, rounds: int = 150, warm: int = 30, rate: float = 0.5, decay: float = 1e-3, least_texts: int = 3, seed: int = 7) -> BagModel:
-    """Full-batch gradient steps with momentum and weight decay on embedding table, softmax weights and
-    bias together. A step is scaled by the largest gradient of its tensor, so that features of few
+@dataclass
+class _Bags:
+    """Texts as words, words as features."""
+
+    #: Of all words, one after the other, and how many each has.
+    features: np.ndarray
+    size: np.ndarray
+    #: Of all texts, one after the other, and how many each has.
+    words: np.ndarray
+    lengths: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.begin, self.text_begin = np.cumsum(self.size) - self.size, np.cumsum(self.lengths) - self.lengths
+        self.word = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        self.text = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+
+
+def loss_and_gradients(bags: _Bags, y: np.ndarray, share: np.ndarray, table: np.ndarray, weight: np.ndarray, attention: np.ndarray, bias: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Cross entropy of the texts, each times its share, and its gradients by the four tensors."""
+    difference = weight[1] - weight[0]
+    score = np.add.reduceat((table @ difference)[bags.features], bags.begin)
+    bound = np.tanh(np.add.reduceat((table @ attention)[bags.features], bags.begin) / bags.size / BOUND)
+    factor = np.exp(BOUND * bound)
+    total = np.add.reduceat((factor * bags.size)[bags.words], bags.text_begin)
+    mean = np.add.reduceat((factor * score)[bags.words], bags.text_begin) / total
+    logit = mean + bias[1] - bias[0]
+    g = share * (1 / (1 + np.exp(-np.clip(logit, -700, 700))) - y)
+    each = (g / total)[bags.text]
+    by_score = factor * np.bincount(bags.words, each, len(bags.size))
+    by_factor = by_score * score - factor * bags.size * np.bincount(bags.words, each * mean[bags.text], len(bags.size))
+    by_factor *= (1 - bound**2) / bags.size
+    by_score, by_factor = (np.bincount(bags.features, x[bags.word], len(table)) for x in (by_score, by_factor))
+    toward = by_score @ table
+    loss = float((share * (np.logaddexp(0, logit) - y * logit)).sum())
+    return loss, [np.outer(by_score, difference) + np.outer(by_factor, attention), np.vstack([-toward, toward]), by_factor @ table, np.array([-g.sum(), g.sum()])]
+
+
+def fit_texts(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, dim: int = 8, shortest: int = 3, longest: int = 6, rounds: int = 200, rate: float = 0.5, decay: float = 1e-3, least_texts: int = 3, seed: int = 7) -> BagModel:
+    """Full-batch gradient steps with momentum and weight decay on embedding table, softmax weights,
+    the words' weights and bias together. A step is scaled by the largest gradient of its tensor, so that features of few
     texts move little.
 
     Features in fewer than least_texts texts keep no vector: they would only memorise.
     """
-    model = BagModel(buckets, span, shortest, longest, np.zeros(buckets), 0.0)
+    model = BagModel(buckets, shortest, longest, np.zeros(buckets), np.zeros(buckets), 0.0)
     number: dict[str, int] = {}
     ids = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t, longest)), np.int32) for t in texts]
     y = np.asarray(labels, float)
@@ -126,47 +162,26 @@ def fit_texts(texts: list[str], labels: np.ndarray, *, buckets: int = 1 << 18, d
         size[k] = len(found)
     number.clear()
     used, flat = np.unique(np.frombuffer(flat, np.int32), return_inverse=True)
-    flat = flat.astype(np.int32)
-    starts, owner = np.cumsum(size) - size, np.repeat(np.arange(len(size), dtype=np.int32), size)
+    bags = _Bags(flat.astype(np.int32), size, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
     in_texts = np.zeros(len(used), np.int64)
     for i in ids:
-        in_texts[np.unique(np.concatenate([flat[starts[w] : starts[w] + size[w]] for w in i]))] += 1
-    common = (in_texts >= least_texts).astype(float)
-    words = np.concatenate(ids)
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    begins = [span_begins(int(n), span) for n in lengths]
-    spans = np.fromiter(map(len, begins), np.int64, len(begins))
-    doc_of = np.repeat(np.arange(len(ids)), spans)
-    last = np.cumsum(lengths)
-    begin = np.concatenate(begins) + (last - lengths)[doc_of]
-    end = np.minimum(begin + span, last[doc_of])
-    summed = np.concatenate([[0], np.cumsum(size[words])])
-    n_span = summed[end] - summed[begin]
+        in_texts[np.unique(np.concatenate([bags.features[bags.begin[w] : bags.begin[w] + size[w]] for w in np.unique(i)]))] += 1
+    common = (in_texts >= least_texts).astype(float)[:, None]
     rng = np.random.default_rng(seed)
-    table, weight, bias = common[:, None] * rng.normal(0, 0.1, (len(used), dim)), rng.normal(0, 0.1, (2, dim)), np.zeros(2)
+    tensors = [common * rng.normal(0, 0.1, (len(used), dim)), rng.normal(0, 0.1, (2, dim)), np.zeros(dim), np.zeros(2)]
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    moments: list = [[np.zeros_like(p), np.zeros(1)] for p in (table, weight, bias)]
+    moments: list = [[np.zeros_like(p), np.zeros(1)] for p in tensors]
     for step in range(1, rounds + 1):
-        difference = weight[1] - weight[0]
-        word = np.add.reduceat((table @ difference)[flat], starts)
-        summed = np.concatenate([[0.0], np.cumsum(word[words])])
-        logit = (summed[end] - summed[begin]) / n_span + bias[1] - bias[0]
-        if step <= warm:  # all spans share the label, until the table can tell them apart
-            active, per = np.arange(len(logit)), share[doc_of] / spans[doc_of]
-        else:
-            order = np.lexsort((logit, doc_of))
-            active, per = order[np.cumsum(spans) - 1], share
-        g = per * (1 / (1 + np.exp(-np.clip(logit[active], -30, 30))) - y[doc_of[active]])
-        each = g / n_span[active]
-        steps = np.bincount(begin[active], each, len(words) + 1) - np.bincount(end[active], each, len(words) + 1)
-        by_feature = common * np.bincount(flat, np.bincount(words, np.cumsum(steps)[:-1], len(size))[owner], len(used))
-        toward = by_feature @ table
-        for p, grad, (m, v) in zip((table, weight, bias), (np.outer(by_feature, difference), np.vstack([-toward, toward]), np.array([-g.sum(), g.sum()])), moments, strict=True):
+        _, gradients = loss_and_gradients(bags, y, share, *tensors)
+        gradients[0] *= common
+        for p, grad, (m, v) in zip(tensors, gradients, moments, strict=True):
             m += 0.1 * (grad - m)
             np.maximum(0.99 * v, np.abs(grad).max(), out=v)
-            p *= 1 - rate * decay * (p is table)
+            p *= 1 - rate * decay * (p is tensors[0])
             p -= rate * (m / (1 - 0.9**step)) / (v + 1e-12)
+    table, weight, attention, bias = tensors
     model.scores[used] = table @ (weight[1] - weight[0])
+    model.weights[used] = table @ attention
     model.bias = float(bias[1] - bias[0])
     return model
 
