@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
 from .words import WordFeatures, map_texts, shipped, text_rows
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -26,6 +27,8 @@ _START = "▁"
 #: Runs of letters up to this length share lattices with others of their length; each longer one is summed by itself, in logarithms.
 _SHARED = 24
 _UNSEEN = 1e-7
+#: Words times languages whose lattices a task holds at a time, about.
+_AT_ONCE = 100_000
 
 
 def read_pieces(path: str) -> list[str]:
@@ -160,6 +163,7 @@ class UnigramModel:
             alpha = self.forward(lat, padded)
             beta = np.zeros_like(alpha)
             beta[-1] = weights[lat.which] / np.maximum(alpha[-1], 1e-300)
+            pieces, uses = [], []
             for c in range(len(lat.spans) - 1, -1, -1):
                 i, j = lat.spans[c]
                 ok = np.flatnonzero(lat.ids[:, c] >= 0)
@@ -167,10 +171,11 @@ class UnigramModel:
                 use = padded[ids] * beta[j, ok]
                 beta[i, ok] += use
                 use *= alpha[i, ok]
-                for k in range(len(self.langs)):
-                    total[:, k] += np.bincount(ids, use[:, k], size)[:size] if len(ids) > 500 else 0
-                if len(ids) <= 500:
-                    np.add.at(total, ids, use)
+                pieces.append(ids)
+                uses.append(use)
+            ids, use = np.concatenate(pieces), np.concatenate(uses)
+            for k in range(len(self.langs)):
+                total[:, k] += np.bincount(ids, use[:, k], size)
         return total
 
     def expected_counts_of_long(self, words: list[str], weights: np.ndarray) -> np.ndarray:
@@ -187,8 +192,8 @@ class UnigramModel:
 def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = DEFAULT_VOCABULARY, rows_per_lang: int = 1000, max_langs: int = 512, rounds: int = 3) -> UnigramModel:
     """Fit on a bounded sample: about rows_per_lang rows of each language, chosen by a hash of the id.
 
-    Rows with a null text or language are left out. The word counts of the sample are summed by
-    Spark; what reaches the driver is bounded by rows_per_lang * number of languages (at most max_langs).
+    Rows with a null text or language are left out. The sample's words are counted by Spark and written once; each round of expectation-maximisation
+    goes over them in tasks. What reaches the driver is bounded by pieces * number of languages (at most max_langs), however many words there are.
     """
     train = train.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(max_langs + 1).collect()}
@@ -199,6 +204,21 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
         return UnigramModel([], {}, np.zeros((1, 0)))
     share: Column = reduce(lambda c, lang: c.when(F.col("lang") == lang, F.lit(min(1.0, rows_per_lang / sizes[lang]))), langs[1:], F.when(F.col("lang") == langs[0], F.lit(min(1.0, rows_per_lang / sizes[langs[0]]))))
     chosen = train.where(F.xxhash64("id").cast("double") / F.lit(2.0**64) + 0.5 < share)
+    known = {p: k for k, p in enumerate(read_pieces(vocabulary))}
+    model = UnigramModel(langs, known, np.full((len(known) + 1, len(langs)), 1 / (len(known) + 1)))
+    words = materialize(word_counts(chosen, langs))
+    for _ in range(rounds):
+        use = np.zeros_like(model.probs)
+        found = expected_uses(words, model).toPandas()
+        use[found["piece"], found["lang"]] = found["use"]
+        model.probs = (use + 0.02) / (use.sum(axis=0) + 0.02 * len(use))
+        model.probs[-1] = _UNSEEN
+    return model
+
+
+def word_counts(texts: DataFrame, langs: list[str]) -> DataFrame:
+    """word (a stretch of letters), uses: its count in each language that has it, as (lang, n) with the language's place in langs. texts: text, lang."""
+    column = {lang: k for k, lang in enumerate(langs)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -211,27 +231,34 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
             for token, n in c.items():
                 for w in stretches(token):
                     runs[w] += n
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(runs), pa.string()), "word": pa.array(list(runs), pa.string()), "n": pa.array(list(runs.values()), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([column[lang]] * len(runs), pa.int32()), "word": pa.array(list(runs), pa.string()), "n": pa.array(list(runs.values()), pa.int64())})
 
-    found = chosen.select("text", "lang").mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    return fit_counts([(a, b, int(n)) for a, b, n in found.itertuples(index=False)], langs, read_pieces(vocabulary), rounds)
+    summed = texts.select("text", "lang").mapInArrow(counted, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return summed.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("uses")).sortWithinPartitions("word")
 
 
-def fit_counts(counts: list[tuple[str, str, int]], langs: list[str], pieces: list[str], rounds: int = 3) -> UnigramModel:
-    """Expectation-maximisation in numpy over (language, stretch, count)."""
-    words = {w: k for k, w in enumerate(sorted({w for _, w, _ in counts}))}
-    column = {lang: c for c, lang in enumerate(langs)}
-    weights = np.zeros((len(words), len(langs)))
-    for lang, w, n in counts:
-        weights[words[w], column[lang]] += n
-    known = {p: k for k, p in enumerate(pieces)}
-    model = UnigramModel(langs, known, np.full((len(known) + 1, len(langs)), 1 / (len(known) + 1)))
-    lattices = model.lattices(list(words))
-    for _ in range(rounds):
-        use = model.expected_counts(lattices, weights) + model.expected_counts_of_long(list(words), weights)
-        model.probs = (use + 0.02) / (use.sum(axis=0) + 0.02 * len(use))
-        model.probs[-1] = _UNSEEN
-    return model
+def expected_uses(words: DataFrame, model: UnigramModel) -> DataFrame:
+    """piece, lang (their places in the model), use: expected uses of the pieces in all words, where there are any.
+
+    Tasks add up what their words use; what the tasks found is added in ascending order, so that the sums don't hang on which ended first.
+    """
+    held = shipped(words.sparkSession, model)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held()
+        total, step = np.zeros_like(m.probs), max(1, _AT_ONCE // len(m.langs))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                some, lists = part.column("word").to_pylist(), part.column("uses")
+                weights, uses = np.zeros((len(some), len(m.langs))), lists.flatten()
+                weights[np.repeat(np.arange(len(some)), lists.value_lengths().to_numpy()), uses.field("lang").to_numpy()] = uses.field("n").to_numpy()
+                total += m.expected_counts(m.lattices(some), weights) + m.expected_counts_of_long(some, weights)
+        piece, lang = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[piece, lang])], names=["piece", "lang", "use"])
+
+    found = words.mapInArrow(of, "piece int, lang int, use double")
+    return found.groupBy("piece", "lang").agg(F.aggregate(F.sort_array(F.collect_list("use")), F.lit(0.0), lambda a, x: a + x).alias("use"))
 
 
 def identify(docs: DataFrame, model: UnigramModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
