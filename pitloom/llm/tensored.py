@@ -16,13 +16,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import component_labels
 from .scratch import materialize
 from .tokens import mixed
-from .words import WordFeatures, text_rows
+from .words import WordFeatures, shipped, text_rows
 
 #: At similarity 0.85 two texts share none of 12 hashes of 3 minhashes with probability (1 - 0.85^3)^12 = 0.00001, in either collection.
 SLOTS, HASHES = 12, 3
@@ -30,6 +31,8 @@ SLOTS, HASHES = 12, 3
 SMALL = 16
 #: Texts and shingles of one side of a block comparison, about; pairs that share one copy of a set.
 BLOCK_TEXTS, BLOCK_SHINGLES, SHARED_BY = 256, 100_000, 128
+#: Bits of a filter: so many for each row, and this many at most (32 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 28
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,6 +118,28 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("text").mapInArrow(of, "digest binary, hashes array<long>")
 
 
+def chosen_texts(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of texts whose text_hash and id are those of a row of reps (h, i), each once. A filter of bits over reps drops most others in the scan, so that the texts which are shuffled
+    grow with reps; the join decides."""
+    size, wanted = 1 << 15, min(MOST_BITS, BITS_EACH * reps.count())
+    while size < wanted:
+        size *= 2
+    bit = lambda h, i: F.pmod(F.xxhash64(h, i), F.lit(size)) + 1
+    set_ = reps.select(bit("h", "i").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in set_.collect():
+        bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
+    held = shipped(texts.sparkSession, bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy() - 1
+        return pd.Series((held()[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    near = texts.where(maybe(bit("text_hash", "id")))
+    return near.join(reps, (F.col("text_hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i")), "left_semi").dropDuplicates(["text_hash", "id"])
+
+
 # -- candidates -------------------------------------------------------------------------------------------------------
 
 
@@ -222,8 +247,9 @@ def links(made: DataFrame, texts: DataFrame, *, size: int, percent: int, small:
     bucket = materialize(keys.join(many, "key"))
     # one row of those that have a set; rows of one text and id are one
     reps = bucket.select("digest").distinct().join(made, "digest").groupBy("digest").agg(F.min(F.struct("text_hash", "id")).alias("r")).select(F.col("r.text_hash").alias("h"), F.col("r.id").alias("i"))
-    chosen = texts.join(reps, (F.col("text_hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i")), "left_semi").dropDuplicates(["text_hash", "id"])
-    sets = materialize(shingle_sets(chosen, size))
+    chosen = chosen_texts(texts, materialize(reps))
+    # dealt by digest once, for all joins below
+    sets = materialize(shingle_sets(chosen, size)).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "digest").persist(StorageLevel.MEMORY_AND_DISK)
     # first: a key's texts against the one that has most company
     weight = bucket.groupBy("digest").agg(F.sum("m").alias("weight"))
     lead = bucket.join(weight, "digest").groupBy("key").agg(F.max(F.struct("weight", "digest", "n")).alias("l")).select("key", F.col("l.digest").alias("a"), F.col("l.n").alias("n_a"))
@@ -248,6 +274,7 @@ def links(made: DataFrame, texts: DataFrame, *, size: int, percent: int, small:
     tried = star.unionByName(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = confirmed(materialize(across.join(tried, ["a", "b"], "left_anti")), sets, percent)
     rest = materialize(more.unionByName(_in_blocks(left.where(F.col("m") > small), sets, percent)))
+    sets.unpersist()
     return labels if rest.isEmpty() else component_labels(edges.unionByName(rest))
 
 

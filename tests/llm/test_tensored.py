@@ -129,3 +129,40 @@ def test_long_texts_and_empty_tables(spark):
     got = found(spark, [(1, long), (2, long + " end"), (3, "x" * 3_000_000), (4, "x y")])
     assert [r[2] for r in got] == [1, 1, 3, 4]
     assert found(spark, []) == []
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(found.apply(k).shuffleWriteBytes() for k in range(found.size()))
+
+
+def test_texts_without_candidates_are_not_shuffled(spark):
+    """All texts used to be shuffled to find those that have candidates."""
+    rng = random.Random(43)
+    lone = [(k, " ".join(f"{rng.getrandbits(64):x}" for _ in range(2000))) for k in range(300)]
+    base = lone[7][1].split()
+    rows = [*lone, (300, lone[7][1]), (None, " ".join([*base[:-3], "a", "b", "c"])), (7, lone[7][1]), (7, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    before = shuffled_bytes(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were too many candidates
+    try:
+        got = sorted((tuple(r) for r in tensored.near_duplicates(docs).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == brute(rows)
+    assert shuffled_bytes(spark) - before < sum(len(t) for _, t in rows) / 4
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 28])
+def test_chosen_texts_are_exact(spark, monkeypatch, most):
+    """Whatever the filter of bits lets through."""
+    monkeypatch.setattr(tensored, "MOST_BITS", most)
+    ids = [None, *range(-20_000, 20_000)]
+    texts = spark.createDataFrame([(i, 0 if i is None else i * 7919) for i in [*ids, None, 5, 6]], "id long, text_hash long").withColumn("text", F.lit("x"))
+    reps = spark.createDataFrame([(0 if i is None else i * 7919, i) for i in ids if i is None or i % 5 == 0], "h long, i long")
+    got = [r.id for r in tensored.chosen_texts(texts, reps).collect()]
+    assert sorted(got, key=str) == sorted((i for i in ids if i is None or i % 5 == 0), key=str)
