@@ -1,7 +1,11 @@
 """What queries leave on disk while they run."""
 
+import datetime as dt
+
+import numpy as np
 import pytest
 
+from pitloom.operators.asof import AsofSource, asof_join, last_by_mark
 from pitloom.queries import QUERIES
 from pitloom.sources import stages
 
@@ -41,3 +45,28 @@ def test_factors_of_daily_risk_need_no_snapshot(spark, written, name):
     assert written() == {"calendar", "prices", "universe", "market"}
     path, schema = next(v for k, v in stages._WRITTEN.items() if k[1] == "prices")
     assert not [c for c in schema.names if c.startswith("adj_") and c != "adj_factor"]
+
+
+def test_market_data_and_quarters_are_written_before_statements_are_met(spark, written):
+    """So that their shuffles are gone by then; the market data alone need no quarters."""
+    assert QUERIES["snapshot_market"](spark, SF).count() > 0
+    assert written() == {"calendar", "prices", "universe", "snapshot_market"}
+    assert QUERIES["monthly_snapshot_base"](spark, SF).count() > 0
+    assert written() == {"calendar", "prices", "universe", "snapshot_market", "quarters", "snapshot"}
+
+
+def test_an_asof_join_needs_only_the_last_row_before_each_mark(spark):
+    rng = np.random.default_rng(11)
+    day = dt.date(2024, 1, 1)
+    rows = [(None if i % 41 == 0 else f"k{rng.integers(5)}", None if i % 37 == 0 else day + dt.timedelta(int(rng.integers(0, 130))), None if i % 6 == 0 else int(rng.integers(3)), i) for i in range(600)]
+    right = spark.createDataFrame(rows, "k string, u date, tie int, v int").selectExpr("*", "v as same")
+    marks = [day + dt.timedelta(x) for x in (10, 40, 41, 100)]
+    left = spark.createDataFrame([(f"k{i}", m) for i in range(6) for m in marks], "k string, t date")
+    source = AsofSource(right, "u", ["u", "tie", "v"], ["tie", "same"])
+    thin = last_by_mark(source, spark.createDataFrame([(m,) for m in marks], "mark date"), key="k")
+    assert thin.table.count() <= 5 * 4
+    want, got = (sorted(map(str, asof_join(left, [x], key="k", left_time="t").collect())) for x in (source, thin))
+    assert got == want and sum("None" not in r for r in got) > 10
+    dealt = AsofSource(right.repartition(3, "k"), "u", ["u", "v"], ["v"])
+    plan = last_by_mark(dealt, spark.createDataFrame([(m,) for m in marks], "mark date"), key="k").table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k") == 1  # the repartition itself
